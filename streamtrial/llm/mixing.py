@@ -110,15 +110,14 @@ def cutoffs(light: DataFrame, fraction: float, epochs: int, seed: int, weights:
 
 
 def mix(docs: DataFrame, fraction: float = 0.5, epochs: int = 1, seed: int = 17, weights: dict[str, dict[str, int]] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """The selected rows, once per epoch that takes them: ``keep`` columns (default doc_id) and ``epoch``.
+    """The selected rows, once per epoch that takes them: doc_id and ``epoch``, or else the ``keep`` columns only.
 
     ``docs``: doc_id, text, lang, source. The budget is ``fraction`` of all tokens; ``weights``: level to name to weight.
     """
     light = written(leaves_of(docs, ["doc_id", tokens_of(F.col("text")).alias("n_tokens")]).select("doc_id", "n_tokens", *[F.col(f"_{k}").alias(k) for k in LEVELS]))
-    keep = keep or ["doc_id"]
     ends = cutoffs(light, fraction, epochs, seed, weights or {})
-    rows = leaves_of(docs, [F.struct(*[F.col(c) for c in keep]).alias("_row"), "doc_id"])
+    rows = leaves_of(docs, [F.struct(*[F.col(f"`{c}`") for c in keep or ["doc_id"]]).alias("_row"), "doc_id"])
     ends = ends.select("last", *[F.col(k).alias(f"_{k}") for k in LEVELS])
     dealt = _dealt(rows.join(ends, [f"_{k}" for k in LEVELS]), F.col("last.epoch"), seed)
     taken = dealt.where((F.col("epoch") < F.col("last.epoch")) | (F.col("_key") <= F.col("last.key")))
-    return taken.select(*[F.col("_row")[c].alias(c) for c in keep], "epoch")
+    return taken.select(*[F.col("_row")[c].alias(c) for c in keep]) if keep else taken.select("doc_id", "epoch")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamtrial.llm import fingerprints, langid, lm_scoring, mixing, packing, quality, toxicity, urlfilter
+from streamtrial.llm import fingerprints, jaccard, langid, linededup, lm_scoring, mixing, packing, quality, toxicity, urlfilter
 from streamtrial.llm.common import documents
 
 TOXIC_AT = 0.6
@@ -46,6 +46,15 @@ def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(documents(spark, sf_dir))
+
+
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = jaccard.join(documents(spark, sf_dir), n=3, num=90, den=100)
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return lm_scoring.score(docs, lm_scoring.train(docs))
@@ -55,13 +64,65 @@ MIX = {"fraction": 0.5, "epochs": 2, "seed": 17, "weights": {"domain": {"d1": 3,
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir), **MIX).select("doc_id", "epoch")
+    return mixing.mix(documents(spark, sf_dir), **MIX)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir), tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_toxicity, op3_fingerprints, op4_quality, op5_urlfilter, op8_lm_scoring, op9_mixing, op10_packing)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_toxicity, op3_fingerprints, op4_quality, op5_urlfilter, op6_linededup, op7_jaccard, op8_lm_scoring, op9_mixing, op10_packing)}
+
+# Words of whole texts, lower-cased in ASCII; three-word shingles; all pairs that share one; reachability.
+OP7_SQL = """
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END) AS sh
+  FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
+
+def _cases(column: str, weights: dict[str, int]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in sorted(weights.items())) + " ELSE 1 END" if weights else "1"
+
+
+def _mix_sql(fraction: float, epochs: int, seed: int, weights: dict[str, dict[str, int]]) -> str:
+    """The same budgets, level by level, and the head of the epochs by plain running sums."""
+    steps, above = [], ["1"]
+    given = "top"
+    for level in mixing.LEVELS:
+        key = [*[k for k in above if k != "1"], level]
+        part = ", ".join(k for k in key[:-1])
+        by = f"PARTITION BY {part}" if part else ""
+        using = f"JOIN {given} USING ({part})" if part else f"CROSS JOIN {given}"
+        steps.append(f"""{level}_a AS (SELECT {', '.join(key)}, sum(cap)::DOUBLE AS c, ({_cases(level, weights.get(level, {}))})::DOUBLE AS w FROM leaf GROUP BY {', '.join(key)}),
+{level}_b AS (SELECT *, coalesce(sum(c) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0, coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w0,
+  sum(w) OVER ({by}) AS wall FROM {level}_a {using} WINDOW o AS ({by} ORDER BY c / w, {level})),
+{level}_c AS (SELECT *, (given - c0) / (wall - w0) AS rate FROM {level}_b),
+{level}_d AS (SELECT *, first(CASE WHEN c > rate * w THEN rate END ORDER BY c > rate * w DESC, c / w, {level}) OVER ({by}) AS open FROM {level}_c),
+{level}_e AS (SELECT {', '.join(key)}, CASE WHEN c <= rate * w THEN c ELSE open * w END AS given FROM {level}_d)""")
+        above, given = key, f"{level}_e"
+    return f"""
+WITH doc AS MATERIALIZED (
+  SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS n,
+    'd' || coalesce(regexp_extract(source, '([0-9])', 1), '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+leaf AS MATERIALIZED (SELECT domain, lang, source, sum(n) * {epochs} AS cap FROM doc GROUP BY ALL),
+top AS (SELECT least(floor(sum(cap) / {epochs} * {fraction}), sum(cap))::DOUBLE AS given FROM leaf),
+{','.join(steps)},
+want AS (SELECT domain, lang, source, floor(given)::BIGINT AS budget FROM {given}),
+dealt AS (SELECT doc.*, e.epoch, md5('{seed}|' || e.epoch || '|' || coalesce(doc_id::VARCHAR, '')) AS k FROM doc CROSS JOIN (SELECT unnest(range({epochs})) AS epoch) e),
+run AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY epoch, k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM dealt)
+SELECT doc_id, epoch::INTEGER AS epoch FROM run JOIN want USING (domain, lang, source) WHERE budget > 0 AND upto <= budget
+"""
+
+
+ORACLES = {"op7_jaccard": OP7_SQL, "op9_mixing": _mix_sql(**MIX)}

@@ -155,3 +155,16 @@ def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataF
             yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(c) for c in p.T], names=[*keep, *names])
 
     return docs.select(*fields).mapInArrow(run, schema)
+
+
+def without_category(docs: DataFrame, chain: Chain, category: str, at: float) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose probability of ``category`` is below ``at``."""
+    spark = bounded(docs.sparkSession)
+    model = spark.sparkContext.broadcast(chain)
+    column = [k.category for k in chain.links].index(category)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield part.filter(pa.array(predict(model.value, part.column("text").to_pylist())[:, column] < at))
+
+    return docs.mapInArrow(run, docs.schema)
