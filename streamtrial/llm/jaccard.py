@@ -12,7 +12,8 @@ set's partitions are empty: then the empty ones are signatures too. Two sets of
 ones. So no similar pair is missed.
 
 Equal sets are one class from the start; signatures are made for one document of each class, and pairs
-are tested exactly. Links within a bucket are found as in ``linking``.
+are tested exactly, if their sketches allow it: a byte that sums up the elements of each of ``SKETCH``
+partitions, of which no more differ than elements do. Links within a bucket are found as in ``linking``.
 
 Defined cases: null and empty texts, and those without words, have size 0 and are linked with nothing; fewer words
 than a shingle has count as one shingle; repeated rows of an id are one document; rows without id get no
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from streamtrial.llm.common import SubstringHash, bounded, mix64, slices, string_parts, word_spans, written
 from streamtrial.llm.linking import links, sized
 
+SKETCH = 128
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -126,6 +128,20 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set array<long>")
 
 
+def sketches_of(docs: DataFrame, n: int) -> DataFrame:
+    """id, size, sketch of every row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            values, sizes = shingle_sets(part.column("text"), n)
+            mixed = mix64(values + np.uint64(11))
+            place = np.repeat(np.arange(len(sizes)) * SKETCH, sizes) + (mixed & np.uint64(SKETCH - 1)).astype(np.int64)
+            sums = np.bincount(place, ((mixed >> np.uint64(16)) & np.uint64(255)).astype(np.float64), SKETCH * len(sizes)).astype(np.int64).astype(np.uint8)
+            rows = [r.tobytes() for r in sums.reshape(-1, SKETCH)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(rows, pa.binary())], names=["id", "size", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, size long, sketch binary")
+
+
 def heads_of(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, set_hash of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,18 +181,22 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> tuple[Data
     again = heads.where("n_shingles > 0").join(firsts.where("copies > 1"), ["set_hash", "n_shingles"]).where("doc_id <> class_id").select("doc_id", "class_id").distinct()
     again = written(again)
     single = docs.select("doc_id", "text").join(sized(again.select("doc_id")), "doc_id", "left_anti")
-    stored: list[DataFrame] = []
+
+    def sketch(ids: DataFrame) -> DataFrame:
+        return sketches_of(single.join(sized(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi"), n).dropDuplicates(["id"])
+
+    def excess(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        return (a != b).sum(-1) - (den - num) * (na + nb) // (den + num)
 
     def verify(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-        if not stored:
-            needed = docs.select("doc_id", "text").join(sized(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
-            stored.append(written(sets_of(needed, n).dropDuplicates(["doc_id"])))
-        sets = stored[0]
+        pairs = written(pairs)
+        used = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+        sets = written(sets_of(single.join(sized(used), "doc_id", "left_semi"), n).dropDuplicates(["doc_id"]))
         both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
         both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
         return both.where(den * F.col("i") >= num * (F.col("t") - F.col("i"))).select("a", "b")
 
-    found, labels = links(members_of(single, n, num, den), verify)
+    found, labels = links(members_of(single, n, num, den), sketch, excess, verify)
     rows = heads.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     rows = rows.join(sized(again), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     rows = rows.join(sized(labels.select(F.col("id").alias("class_id"), "component")), "class_id", "left")

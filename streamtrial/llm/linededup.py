@@ -29,6 +29,8 @@ from streamtrial.llm.common import SubstringHash, bounded, mix64, slices, writte
 from streamtrial.llm.linking import links, sized
 
 LEAST_CHARS, EDITS = 30, 2
+#: Bytes of a line's sketch.
+SKETCH = 64
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -156,6 +158,14 @@ def members_of(lines: DataFrame, edits: int) -> DataFrame:
     return lines.select("id", "line").mapInArrow(run, "bucket long, id long, indexed boolean")
 
 
+def sketched(lines: list[str]) -> list[bytes]:
+    """Counts of characters in SKETCH classes (modulo 256); one edit changes them by two in sum at most."""
+    length = np.array([len(v) for v in lines], np.int64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(lines)) * SKETCH, length) + codes % SKETCH, minlength=SKETCH * len(lines))
+    return [r.tobytes() for r in counts.astype(np.uint8).reshape(-1, SKETCH)]
+
+
 def line_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """id, component of the lines that are linked with others; ``lines``: id, line."""
     bounded(lines.sparkSession)
@@ -166,14 +176,26 @@ def line_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
             ok = within(part.column("ta").to_pylist(), part.column("tb").to_pylist(), edits)
             yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(ok)), part.column("b").filter(pa.array(ok))], names=["a", "b"])
 
+    def sketch(ids: DataFrame) -> DataFrame:
+        stored.append(written(lines.select("id", "line").join(sized(ids), "id", "left_semi").dropDuplicates(["id"])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, "line"):
+                text = part.column("line").to_pylist()
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(v) for v in text], pa.int64()), pa.array(sketched(text), pa.binary())], names=["id", "size", "sketch"])
+
+        return stored[0].mapInArrow(run, "id long, size long, sketch binary")
+
+    def excess(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        d = (a - b).astype(np.uint8)
+        return np.maximum(np.minimum(d, np.uint8(0) - d).sum(-1, dtype=np.int64) - 2 * edits, np.abs(na - nb) - edits)
+
     def verify(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-        if not stored:
-            stored.append(written(lines.select("id", "line").join(sized(ids), "id", "left_semi").dropDuplicates(["id"])))
         text = stored[0]
         both = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("ta")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("tb")), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long")
 
-    return links(members_of(lines, edits), verify)[1]
+    return links(members_of(lines, edits), sketch, excess, verify)[1]
 
 
 def duplicates(docs: DataFrame, edits: int = EDITS) -> DataFrame:

@@ -1,23 +1,26 @@
 """Linking inside buckets without listing all pairs: stars, components, and an exact pass over the rest.
 
 Two rows may be linked only if they share a bucket. A bucket of n members needs n (n - 1) / 2 tests if
-nothing else is known, but for connected components most of them are void:
+nothing else is known, but most are void for connected components, and most others can be told from
+sketches of a hundred bytes that bound a pair's distance from below:
 
 1. star: each member is tested against the bucket's least indexed member only;
-2. components of the links so far;
-3. buckets whose members lie in one component are done. In the others a new pivot, drawn by a hash of
-   round and id, is tested against the members of other components, and the components are joined again,
-   as long as the pairs left are more than a few per member and rounds are left;
-4. every pair that is left (same bucket, different components, not tested) is tested.
-
-No link is lost, whatever the buckets look like. The buckets of near copies, however large, are done after
-one or two linear rounds; step 4 is more than linear only for large buckets of rows that aren't linked.
+2. components of the links so far; buckets whose members lie in one component are done;
+3. in the other buckets the sketches of all pairs of different components are compared, as matrices in blocks
+   of ``CHUNK`` members. The closest pair of each two components is tested first, the components are joined,
+   and then every pair that its sketches don't exclude is tested.
+
+No link is lost, whatever the buckets look like. Pairs are emitted only if their sketches allow a link and
+they are in different components. Step 3 compares sketches in a number that grows with the square of a
+bucket of mixed components, spread over blocks of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +28,8 @@ from streamtrial.llm.common import written
 
 #: Sides of at most so many rows (checked, not guessed) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-PIVOT_ROUNDS, PAIRS_A_MEMBER = 4, 4
+#: Members of a block; a bucket of more is cut into chunks, and each two chunks are a block.
+CHUNK = 512
 
 
 def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -67,44 +71,112 @@ def stars(members: DataFrame) -> DataFrame:
     return marked.where("pivot is not null and id <> pivot").select("bucket", "id", "pivot", "indexed")
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-
-
-def links(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+#: Sketches of two sides (bytes in the last axis) and their sizes to: lower bound of the distance minus what is allowed.
+Excess = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """Binary values of one length as a matrix."""
+    column = column.cast(pa.large_binary())
+    n = len(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(n, -1)
+
+
+def allowed(pairs: DataFrame, sketches: DataFrame, excess: Excess) -> DataFrame:
+    """The pairs (a, b) that their sketches (id, size, sketch) don't exclude."""
+    side = lambda k: sketches.select(F.col("id").alias(k), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if x.num_rows:
+                ok = excess(_bytes(x.column("sa")), _bytes(x.column("sb")), x.column("na").to_numpy(), x.column("nb").to_numpy()) <= 0
+                yield x.select(["a", "b"]).filter(pa.array(ok))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
+
+
+def _block_pairs(x: dict[str, np.ndarray], excess: Excess, closest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components in one block; of each two components the closest only, if asked for."""
+    left = np.flatnonzero(x["side"] <= 0)
+    right = np.flatnonzero(x["side"] >= 0) if (x["side"] != 0).any() else left
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(left), 64):
+        rows = left[at : at + 64]
+        over = excess(x["sketch"][rows, None], x["sketch"][None, right], x["size"][rows, None], x["size"][None, right])
+        ok = (over <= 0) & (x["c"][rows, None] != x["c"][None, right]) & (x["indexed"][rows, None] | x["indexed"][None, right])
+        if left is right:
+            ok &= x["id"][rows, None] < x["id"][None, right]
+        i, j = np.nonzero(ok)
+        out.append((rows[i], right[j], over[i, j]))
+    a, b, over = (np.concatenate(v) for v in zip(*out))
+    if closest and len(a):
+        ca, cb = np.minimum(x["c"][a], x["c"][b]), np.maximum(x["c"][a], x["c"][b])
+        order = np.lexsort((over, cb, ca))
+        first = np.ones(len(order), bool)
+        first[1:] = (ca[order][1:] != ca[order][:-1]) | (cb[order][1:] != cb[order][:-1])
+        a, b = a[order[first]], b[order[first]]
+    return np.minimum(x["id"][a], x["id"][b]), np.maximum(x["id"][a], x["id"][b])
+
+
+def across(parts: DataFrame, sketches: DataFrame, excess: Excess, closest: bool) -> DataFrame:
+    """Distinct pairs (a, b) of ``parts`` (bucket, id, indexed, c, n members of the bucket) that aren't excluded."""
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("id"), chunks).cast("int")
+    rows = parts.join(sketches, "id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "id", "indexed", "c", "size", "sketch")
+    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    names = ["side", "id", "indexed", "c", "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        last = None
+
+        def finished() -> pa.RecordBatch:
+            a, b = _block_pairs({k: np.concatenate([h[k] for h in held]) for k in held[0]}, excess, closest)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ["bucket", "i", "j", *names]} | {"sketch": _bytes(batch.column("sketch"))}
+            change = np.flatnonzero((x["bucket"][1:] != x["bucket"][:-1]) | (x["i"][1:] != x["i"][:-1]) | (x["j"][1:] != x["j"][:-1])) + 1
+            for s, e in zip([0, *change], [*change, batch.num_rows]):
+                key = (x["bucket"][s], x["i"][s], x["j"][s])
+                if held and key != last:
+                    yield finished()
+                    held = []
+                held.append({k: x[k][s:e] for k in [*names, "sketch"]})
+                last = key
+        if held:
+            yield finished()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def links(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], excess: Excess, verify: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) found, and the components (id, component) of linked ids, which are exact.
 
-    ``members``: bucket, id, indexed (pairs need one indexed member at least). ``verify(pairs, ids)`` returns
-    those of the distinct pairs (a, b) that are linked; ``ids`` are all ids that can occur in any pair.
+    ``members``: bucket, id, indexed (pairs need one indexed member at least). ``sketch(ids)``: id, size and
+    sketch of the ids that can occur in pairs; ``excess`` bounds a pair's distance by them. ``verify(pairs, ids)``
+    returns those of the distinct pairs (a, b) that are linked.
     """
     star = written(stars(members))
     ids = written(star.select("id").union(star.select("pivot")).distinct())
-    found = written(verify(star.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), ids))
+    sketches = written(sketch(ids))
+    tested = written(star.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct())
+    found = written(verify(written(allowed(tested, sketches, excess)), ids))
     labels = written(components(found))
-    both = star.select("bucket", "id", "indexed").union(star.select("bucket", F.col("pivot").alias("id"), F.lit(True).alias("indexed"))).groupBy("bucket", "id").agg(F.max("indexed").alias("indexed"))
-    # buckets of two have no pair that is not tested
-    sizes = both.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 2").select("bucket")
-    rest = written(both.join(sizes, "bucket", "left_semi"))
-    for turn in range(PIVOT_ROUNDS + 1):
-        parts = _labelled(rest, labels)
-        mixed = parts.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-        open_ = written(parts.join(mixed, "bucket", "left_semi"))
-        per = open_.groupBy("bucket", "c").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
-        total = per.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs")).first()
-        if not total.n:
-            return found, labels
-        if turn == PIVOT_ROUNDS or total.pairs <= PAIRS_A_MEMBER * total.n:
-            break
-        order = F.struct(F.xxhash64(F.lit(turn), F.col("id")), F.col("id"), F.col("c"))
-        pivots = open_.where("indexed").groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", F.col("p.id").alias("a"), F.col("p.c").alias("pc"))
-        pairs = open_.join(pivots, "bucket").where("c <> pc").select("a", F.col("id").alias("b"))
-        found = written(found.union(verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ids)))
-        labels = written(components(found))
-        rest = open_.drop("c")
-    left = open_.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("indexed").alias("ia"))
-    right = open_.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("indexed").alias("ib"))
-    pairs = left.join(right, "bucket").where("a < b and ca <> cb and (ia or ib)").select("a", "b").distinct()
-    tested = star.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    more = written(verify(pairs.join(tested, ["a", "b"], "left_anti"), ids))
-    found = found.union(more)
-    return found, (written(components(found)) if more.count() else labels)
+    heads = star.groupBy("bucket").agg(F.first("pivot").alias("id")).withColumn("indexed", F.lit(True))
+    both = star.select("bucket", "id", "indexed").union(heads.select("bucket", "id", "indexed"))
+    for closest in (True, False):
+        parts = both.join(sized(labels.withColumnRenamed("component", "c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        # buckets of two have no pair that isn't tested
+        mixed = parts.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("bucket", "n")
+        pairs = written(across(parts.join(mixed, "bucket"), sketches, excess, closest))
+        more = written(verify(pairs.join(tested, ["a", "b"], "left_anti"), ids))
+        if more.take(1):
+            found = found.union(more)
+            labels = written(components(found))
+        tested = tested.union(pairs)
+    return found, labels
