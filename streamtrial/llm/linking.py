@@ -28,6 +28,8 @@ from streamtrial.llm.common import written
 
 #: Sides of at most so many rows (checked, not guessed) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Edge tables of at most so many rows (checked) are worked on in one task, larger ones by shuffles.
+ONE_TASK_EDGES = 200_000
 #: Members of a block; a bucket of more is cut into chunks, and each two chunks are a block.
 CHUNK = 512
 
@@ -44,19 +46,20 @@ def components(edges: DataFrame) -> DataFrame:
     has one row per node on its other side, so Spark can split it.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    state = None
+    together = (lambda df: df.coalesce(1)) if edges.count() <= ONE_TASK_EDGES else (lambda df: df)  # their number never grows
+    edges, state = together(edges), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == state or not now[0]:
             break
         state = now
-        both = edges.union(edges.select("b", "a"))
+        both = together(edges.union(edges.select("b", "a")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.union(least.select("a", "m")).where("a <> b").distinct())
+        edges = together(written(together(small.union(least.select("a", "m"))).where("a <> b").distinct()))
     heads = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(heads)
 
