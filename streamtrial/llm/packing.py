@@ -20,9 +20,11 @@ empty table gives no rows. Numbers within a length follow a hash of id and piece
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,32 +34,90 @@ from pyspark.sql import functions as F
 from streamtrial.llm.common import bounded, slices, written
 
 SEQUENCE, CLOSE = 2048, 0
-#: Word cache of a task: entries, after which it starts anew.
-CACHE = 200_000
+#: Entries of a task's word cache; when there are more, those that the last slice didn't use are dropped.
+CACHE = 400_000
 ROWS_A_BUCKET = 4000
 
+#: Words of these characters have the same pre-tokens by byte classes as by the tokenizer's pattern.
+_PLAIN = re.compile(r"[!-&(-;=-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+
 
 class Encoder:
-    """Ids of a text by a ``tokenizers`` file whose tokens never cross blanks, tabs and newlines; words are cached."""
+    """Ids of a text by a ``tokenizers`` file whose tokens never cross blanks, tabs and newlines; words are cached.
+
+    The file's word merges are also loaded into a ``tiktoken`` table, in which a character stands for a byte,
+    or for a byte at the end of a pre-token; its ranks are the file's ids. It encodes all new plain words of a
+    slice in one call; words with other characters go to the tokenizer itself.
+    """
 
     def __init__(self, path: str):
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        alphabet = sorted(ByteLevel.alphabet())
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # these stand for themselves, the others follow from 256 on
+        others = [b for b in range(256) if b not in set(printable)]
+        byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+        assert sorted(byte) == alphabet
+        ranks, self.ends = {}, np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            end = token.endswith("</w>") and len(token) > 4
+            codes = [byte.get(c) for c in (token[:-4] if end else token)]
+            if None in codes:
+                continue
+            text = "".join(chr(0x100 + b) for b in codes[:-1]) + chr((0x200 if end else 0x100) + codes[-1])
+            ranks[text.encode()] = i
+            self.ends[i] = end
+        for b in range(256):  # single bytes of the characters are never left over
+            ranks.setdefault(bytes([b]), len(self.ends) + b)
+        self.table = Encoding("words", pat_str="[\u0100-\u01ff]*[\u0200-\u02ff]", mergeable_ranks=ranks, special_tokens={})
+
+    def _plain(self, words: list[str]) -> None:
+        data = np.frombuffer(("\n".join(words) + "\n").lower().encode(), np.uint8)
+        kind = np.full(256, 3, np.uint8)
+        kind[ord("a") : ord("z") + 1] = kind[128:] = 1
+        kind[ord("0") : ord("9") + 1] = 2
+        kind[10] = 0
+        k = kind[data]
+        last = np.empty(len(k), bool)
+        last[:-1] = (k[1:] != k[:-1]) | (k[:-1] == 2)
+        last[-1] = True
+        ids = np.array(self.table.encode_ordinary((data.astype(np.uint32) + np.where(last, 0x200, 0x100).astype(np.uint32))[k > 0].tobytes().decode("utf-32-le")), "<u4")
+        pieces = np.cumsum(last & (k > 0))[k == 0]  # pre-tokens up to the end of each word
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        stop = ends[pieces - 1] * 4
+        raw, at = ids.tobytes(), 0
+        for w, e in zip(words, stop.tolist()):
+            self.cache[w] = raw[at:e]
+            at = e
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the closing id included."""
         cache, rows = self.cache, [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(cache) > CACHE:
-            cache.clear()
-        new = [w for w in set().union(*rows) if w not in cache]
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
+        cache[""] = b""
+        used = set().union(*rows)
+        new = used.difference(cache)
+        plain = [w for w in new if _PLAIN.fullmatch(w)]
+        if plain:
+            self._plain(plain)
+        rest = list(new.difference(plain))
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            cache[w] = np.array(e.ids, "<u4").tobytes()
         end = np.array([CLOSE], "<u4").tobytes()
-        return [b"".join([*map(cache.__getitem__, r), end]) for r in rows]
+        out = [b"".join([*map(cache.__getitem__, r), end]) for r in rows]
+        if len(cache) > CACHE:
+            self.cache = {w: cache[w] for w in used}
+        return out
+
+
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
@@ -67,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, with_ids:
     schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_path)
+        encode = _encoder(tokenizer_path)
         for part in slices(batches):
             out = []
             for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
