@@ -43,7 +43,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    judged = urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
 
 
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,4 +126,35 @@ SELECT doc_id, epoch::INTEGER AS epoch FROM run JOIN want USING (domain, lang, s
 """
 
 
-ORACLES = {"op7_jaccard": OP7_SQL, "op9_mixing": _mix_sql(**MIX)}
+def _url_sql() -> str:
+    """Rules, host edges, and the rounds of propagation one after the other."""
+    rules = sorted(urlfilter.RULES, key=lambda r: -(len(r[0]) + len(r[1])))
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    case = lambda k: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{(h + p, v)[k]}'" for h, p, v in rules) + " END"
+    lower = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    found = lambda k: f"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', {k}), '')"
+    link = urlfilter._LINK.replace("'", "''")
+    d, state, rounds = urlfilter.DAMPING, "source", []
+    for i in range(urlfilter.ROUNDS):
+        rounds.append(f"s{i} AS MATERIALIZED (SELECT host, kind, sum(mass) AS mass FROM (SELECT t.stop AS host, kind, mass * share * {d} AS mass FROM {state} JOIN steps t USING (host, kind) UNION ALL SELECT * FROM source) GROUP BY 1, 2)")
+        state = f"s{i}"
+    return f"""
+WITH r AS MATERIALIZED (SELECT page_id, html, {lower(found(1))} AS host, {found(2)} AS path FROM pages),
+told AS MATERIALIZED (SELECT page_id, host, path, {case(0)} AS rule, {case(1)} AS listed FROM r),
+counts AS MATERIALIZED (SELECT host, count(*) AS pages, count(CASE WHEN listed = 'allow' THEN 1 END) AS trust, count(CASE WHEN listed = 'block' THEN 1 END) AS distrust FROM told GROUP BY 1),
+links AS (SELECT src, dst, count(*) AS weight FROM (SELECT host AS src, regexp_replace({lower('x')}, '^.*@', '') AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS x FROM r)) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
+parts AS (SELECT string_split(host, '.') AS a FROM counts WHERE len(string_split(host, '.')) > 2),
+up AS (SELECT DISTINCT array_to_string(a[i:], '.') AS src, array_to_string(a[i + 1:], '.') AS dst FROM (SELECT a, unnest(range(1, len(a) - 1)) AS i FROM parts)),
+edges AS MATERIALIZED (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM links UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up) GROUP BY 1, 2),
+steps AS MATERIALIZED (SELECT 'trust' AS kind, src AS host, dst AS stop, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges
+  UNION ALL SELECT 'distrust', dst, src, weight / sum(weight) OVER (PARTITION BY dst) FROM edges),
+source AS MATERIALIZED (SELECT host, 'trust' AS kind, trust * (1 - {d}) AS mass FROM counts WHERE trust > 0 UNION ALL SELECT host, 'distrust', distrust * (1 - {d}) FROM counts WHERE distrust > 0),
+{', '.join(rounds)},
+ranks AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN mass ELSE 0 END)::DOUBLE AS t, sum(CASE WHEN kind = 'distrust' THEN mass ELSE 0 END)::DOUBLE AS d FROM {state} GROUP BY 1),
+v AS (SELECT host, pages, coalesce(t, 0) AS t, coalesce(d, 0) AS d FROM counts LEFT JOIN ranks USING (host))
+SELECT page_id, told.host, path, rule, coalesce(listed, CASE WHEN told.host <> '' AND d - t >= pages * (1 - {d}) / 2 THEN 'block' ELSE 'allow' END) AS verdict, round(t, 6) AS trust, round(d, 6) AS distrust
+FROM told LEFT JOIN v USING (host)
+"""
+
+
+ORACLES = {"op5_urlfilter": _url_sql(), "op7_jaccard": OP7_SQL, "op9_mixing": _mix_sql(**MIX)}
