@@ -191,7 +191,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> tuple[Data
     def verify(pairs: DataFrame, ids: DataFrame) -> DataFrame:
         pairs = written(pairs)
         used = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        sets = written(sets_of(single.join(sized(used), "doc_id", "left_semi"), n).dropDuplicates(["doc_id"]))
+        sets = sets_of(single.join(sized(used), "doc_id", "left_semi"), n).dropDuplicates(["doc_id"])  # one exchange serves both joins
         both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
         both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
         return both.where(den * F.col("i") >= num * (F.col("t") - F.col("i"))).select("a", "b")

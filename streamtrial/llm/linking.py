@@ -4,7 +4,8 @@ Two rows may be linked only if they share a bucket. A bucket of n members needs
 nothing else is known, but most are void for connected components, and most others can be told from
 sketches of a hundred bytes that bound a pair's distance from below:
 
-1. star: each member is tested against the bucket's least indexed member only;
+1. star: each member is tested against the bucket's least indexed member only, and of its several such pivots
+   against the least first, against others only if they are in other components afterwards;
 2. components of the links so far; buckets whose members lie in one component are done;
 3. in the other buckets the sketches of all pairs of different components are compared, as matrices in blocks
    of ``CHUNK`` members. The closest pair of each two components is tested first, the components are joined,
@@ -168,8 +169,17 @@ def links(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], excess:
     ids = written(star.select("id").union(star.select("pivot")).distinct())
     sketches = written(sketch(ids))
     tested = written(star.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct())
-    found = written(verify(written(allowed(tested, sketches, excess)), ids))
+    near = written(allowed(star.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sketches, excess))
+    found = written(verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), ids))
     labels = written(components(found))
+    apart = near
+    for k in ("a", "b"):
+        named = sized(labels.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")))
+        apart = apart.join(named, k, "left").withColumn(f"c{k}", F.coalesce(f"c{k}", k))
+    more = written(verify(apart.where("ca <> cb").select("a", "b"), ids))
+    if more.take(1):
+        found = found.union(more)
+        labels = written(components(found))
     heads = star.groupBy("bucket").agg(F.first("pivot").alias("id")).withColumn("indexed", F.lit(True))
     both = star.select("bucket", "id", "indexed").union(heads.select("bucket", "id", "indexed"))
     for closest in (True, False):
