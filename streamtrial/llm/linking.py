@@ -104,7 +104,8 @@ def _block_pairs(x: dict[str, np.ndarray], excess: Excess, closest: bool) -> tup
     """Pairs of different components in one block; of each two components the closest only, if asked for."""
     left = np.flatnonzero(x["side"] <= 0)
     right = np.flatnonzero(x["side"] >= 0) if (x["side"] != 0).any() else left
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    none = np.zeros(0, np.int64)
+    out = [(none, none, none)]  # one of two chunks may have no member
     for at in range(0, len(left), 64):
         rows = left[at : at + 64]
         over = excess(x["sketch"][rows, None], x["sketch"][None, right], x["size"][rows, None], x["size"][None, right])

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from streamtrial.llm import fingerprints, jaccard, langid, linededup, lm_scoring, mixing, packing, quality, toxicity, urlfilter
-from streamtrial.llm.linking import components
+from streamtrial.llm.linking import _block_pairs, components
 from streamtrial.llm.queries import tokenizer_path
 
 #: an extra column whose name an operator might use itself
@@ -452,3 +452,14 @@ def test_plan_fills_well(seed):
     assert used == counts and max(fill.values()) <= 2048
     n = max(r[4] + r[2] for r in rows)
     assert n <= 1.01 * sum(k * v for k, v in counts.items()) / 2048 + 2
+
+
+def test_blocks_of_two_chunks():
+    def block(sides):
+        n = len(sides)
+        return {"side": np.array(sides), "id": np.arange(n), "indexed": np.ones(n, bool), "c": np.arange(n), "size": np.ones(n, np.int64), "sketch": np.zeros((n, 4), np.uint8)}
+
+    near = lambda a, b, na, nb: (a != b).sum(-1) + 0 * (na + nb)
+    pairs = lambda sides, closest=False: sorted(zip(*(v.tolist() for v in _block_pairs(block(sides), near, closest))))
+    assert pairs([1, 1]) == [] and pairs([-1, -1]) == []
+    assert pairs([-1, 1, 1]) == [(0, 1), (0, 2)] and pairs([0, 0, 0]) == [(0, 1), (0, 2), (1, 2)] == pairs([0, 0, 0], True)
