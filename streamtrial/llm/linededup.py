@@ -1,15 +1,17 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines of at least ``LEAST_CHARS`` characters within ``EDITS`` edits are one class (with all lines that are so
-connected); only the first line of a class, by document id and place, stays. Shorter lines stay.
+Equal lines, and lines within the edits that the length of the shorter one allows, are one class (with all lines
+that are so connected); only the first line of a class, by document id and place, stays. One edit is allowed
+for each ``EDIT_CHARS`` characters, ``EDITS`` at most, so the shortest lines are linked only if they are equal.
+Blank lines part paragraphs and stay.
 
-A line is cut into ``EDITS + 1`` segments of even length. If two lines are within ``EDITS`` edits, a segment
+A line that allows e edits is cut into e + 1 segments of even length. If two lines are within e edits, a segment
 of the shorter one occurs unchanged in the other (pigeonhole), near its place: for a line and each length that
-is at most ``EDITS`` below its own, only the starts that the edits left and right of the segment allow are
+is at most e below its own, only the starts that the edits left and right of the segment allow are
 probed (multi-match-aware selection of Pass-Join). Index and probe rows share buckets of (length,
 segment, content); a pair with a common bucket is verified by a banded bit-parallel edit distance. Equal
-lines have one id (a 64-bit hash), so copies don't enter the join more than once; links within a
-bucket are found as in ``linking``.
+lines have one id (a 64-bit hash), so they are one class without a join; links within a bucket are found as in
+``linking``.
 
 Defined cases: a null text has no lines and stays null; an empty one has one empty line and stays; rows
 with the same id count as one document; lines of rows without an id come first and stay; an empty table
@@ -28,17 +30,25 @@ from pyspark.sql import functions as F
 from streamtrial.llm.common import SubstringHash, bounded, mix64, slices, written
 from streamtrial.llm.linking import links, sized
 
-LEAST_CHARS, EDITS = 30, 2
+EDITS, EDIT_CHARS = 2, 15
+#: Shortest line that ``EDITS + 1`` segments can be cut from; below it no edit is allowed, whatever EDIT_CHARS is.
+LEAST_CHARS = EDITS + 1
 #: Bytes of a line's sketch.
 SKETCH = 64
+NOT_BLANK = "[^\\x20\\x09-\\x0D]"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line, id, of lines long enough."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= LEAST_CHARS)
+    """doc_id, pos, line, id, of lines that aren't blank."""
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(NOT_BLANK))
     return rows.withColumn("id", F.xxhash64("line"))
 
 
+def allowed_edits(length: np.ndarray, edits: int = EDITS) -> np.ndarray:
+    """Edits that the shorter line of a pair allows."""
+    return np.where(length < LEAST_CHARS, 0, np.minimum(length // EDIT_CHARS, edits))
+
+
 def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Start and size of the edits + 1 segments of lines of such lengths; the last ones are longer by one."""
     k = edits + 1
@@ -67,13 +77,16 @@ def keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray,
 
     for less in range(edits + 1):
         other = length - less
-        for i, (at, size) in enumerate(segments(other, edits)):
-            if not less:
-                add(np.ones(len(lines), bool), i, other, at, size, True)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                if less or shift:
-                    to = at + shift
-                    add((other > edits) & (to >= 0) & (to + size <= length), i, other, to, size, False)
+        may = allowed_edits(other, edits)
+        for e in range(max(1, less), edits + 1):
+            fits = may == e
+            for i, (at, size) in enumerate(segments(other, e)):
+                if not less:
+                    add(fits, i, other, at, size, True)
+                for shift in range(max(-i, less - (e - i)), min(i, less + e - i) + 1):
+                    if less or shift:
+                        to = at + shift
+                        add(fits & (to >= 0) & (to + size <= length), i, other, to, size, False)
     return np.concatenate(bucket), np.concatenate(own), np.concatenate(index)
 
 
@@ -95,6 +108,17 @@ def within(a: list[str], b: list[str], edits: int = EDITS) -> np.ndarray:
     return out
 
 
+def linked(a: list[str], b: list[str], edits: int = EDITS) -> np.ndarray:
+    """Whether each pair is within the edits that its shorter line allows."""
+    may = allowed_edits(np.array([min(len(x), len(y)) for x, y in zip(a, b)], np.int64), edits)
+    out = np.zeros(len(a), bool)
+    for e in range(edits + 1):
+        some = np.flatnonzero(may == e)
+        if len(some):
+            out[some] = within([a[i] for i in some], [b[i] for i in some], e)
+    return out
+
+
 def _codes(texts: list[str], before: int, after: int, fill: int) -> np.ndarray:
     out = np.full((len(texts), before + max(map(len, texts)) + after), fill, np.int32)
     for row, t in zip(out, texts):
@@ -173,7 +197,7 @@ def line_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "ta"):
-            ok = within(part.column("ta").to_pylist(), part.column("tb").to_pylist(), edits)
+            ok = linked(part.column("ta").to_pylist(), part.column("tb").to_pylist(), edits)
             yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(ok)), part.column("b").filter(pa.array(ok))], names=["a", "b"])
 
     def sketch(ids: DataFrame) -> DataFrame:
@@ -188,14 +212,15 @@ def line_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
     def excess(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
         d = (a - b).astype(np.uint8)
-        return np.maximum(np.minimum(d, np.uint8(0) - d).sum(-1, dtype=np.int64) - 2 * edits, np.abs(na - nb) - edits)
+        may = allowed_edits(np.minimum(na, nb), edits)
+        return np.maximum(np.minimum(d, np.uint8(0) - d).sum(-1, dtype=np.int64) - 2 * may, np.abs(na - nb) - may)
 
     def verify(pairs: DataFrame, ids: DataFrame) -> DataFrame:
         text = stored[0]
         both = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("ta")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("tb")), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long")
 
-    return links(members_of(lines, edits), sketch, excess, verify)[1]
+    return links(members_of(lines.where(F.length("line") >= EDIT_CHARS), edits), sketch, excess, verify)[1]
 
 
 def duplicates(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -224,7 +249,7 @@ def _rows(docs: DataFrame, edits: int) -> DataFrame:
 
 def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """All columns of ``docs`` with the later lines taken out of ``text``; rows of which only blanks are left are taken out."""
-    rows = _rows(docs, edits).where(F.col("drop").isNull() | F.col("kept").rlike("[^\\x20\\x09-\\x0D]"))
+    rows = _rows(docs, edits).where(F.col("drop").isNull() | F.col("kept").rlike(NOT_BLANK))
     return rows.select(*[F.col("kept").alias(c) if c == "text" else F.col(f"r.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -271,6 +271,34 @@ def test_line_dedup(spark, empty):
     assert linededup.digest(empty).count() == 0 and linededup.deduplicated(empty).columns == df.columns
 
 
+def test_short_lines_are_deduplicated(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdé ") for _ in range(n)).strip() + "x" for n in (1, 4, 9, 13, 14, 15, 16, 17, 22, 28, 29, 30, 31)]
+    lines = [mutated(v, rng.randrange(4), rng) for v in base for _ in range(12)] + ["}"] * 4 + ["ok"] * 3 + ["on", "", "", " ", " "]
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5)]
+    occ = [(d, i, v) for d, t in enumerate(texts) for i, v in enumerate(t.split("\n")) if v.strip()]
+    uniq = sorted({v for *_, v in occ})
+    root = {v: v for v in uniq}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    pairs = [(a, b) for i, a in enumerate(uniq) for b in uniq[i + 1 :]]
+    near = [abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= min(2, min(len(a), len(b)) // 15) for a, b in pairs]
+    assert linededup.linked(*zip(*pairs)).tolist() == near
+    for (a, b), yes in zip(pairs, near):
+        if yes:
+            root[find(a)] = find(b)
+    seen, drop = set(), defaultdict(list)
+    for d, i, v in occ:
+        (drop[d].append(i) if find(v) in seen else seen.add(find(v)))
+    got = {r.doc_id: r.dropped for r in linededup.digest(table(spark, texts).where("doc_id < 7000").repartition(4)).collect()}
+    assert got == {d: drop.get(d, []) for d in range(len(texts))}
+
+
 @pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 8, 10)])
 def test_jaccard_join(spark, empty, n, num, den):
     rng = random.Random(n)
