@@ -4,8 +4,11 @@ A network with a window of ``SIDE`` tokens on both sides predicts each token fro
 of the window, one tanh layer, softmax. A document's score is the sum of the log probabilities of its
 tokens, each given both sides; the mean per token is comparable between documents.
 
-Tokens are the ``FREQUENT`` most frequent words of the corpus and ``RARE`` hash classes for all others, plus
-a border. Word counts and class frequencies come from all documents. Training: in each round every task
+Tokens of the network are the ``FREQUENT`` most frequent words of the corpus and ``RARE`` hash classes for all
+others, plus a border. A rare word's probability is that of its class times its share of the class, which comes
+from the counts of all words of the corpus (``SMOOTH`` added to each, and to one unseen word per class) by a join of
+each document's rare words with the table of words. Without that table ``score`` gives the classes' part only.
+Word counts and class frequencies come from all documents. Training: in each round every task
 starts from the same weights, masks every ``MASK``-th token of every document of its part (the place is shifted
 by a hash of the document) and takes numpy gradient steps on them; the weights of the tasks are then averaged
 in Spark, weighted by their tokens (parameter mixing). So what is gathered grows with the corpus, while
@@ -29,6 +32,8 @@ from streamtrial.llm.common import SubstringHash, bounded, mix64, slices, string
 
 FREQUENT, RARE, SIDE, WIDTH, HIDDEN = 160, 64, 2, 8, 24
 CLASSES = FREQUENT + RARE
+#: Added to each word's count in its class. Log shares are summed as whole numbers of 1 / UNITS, so their order doesn't matter.
+SMOOTH, UNITS = 0.1, 1 << 24
 BORDER = CLASSES
 MASK, ROUNDS, STEP_ROWS, RATE = 16, 2, 256, 0.5
 SHAPES = {"vectors": (CLASSES + 1, WIDTH), "hidden": (2 * SIDE * WIDTH, HIDDEN), "shift": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,)}
@@ -172,11 +177,11 @@ def trained_round(docs: DataFrame, frequent: list[int], flat: np.ndarray, rate:
     return np.array([r.v for r in mean], np.float32) if mean else flat
 
 
-def train(docs: DataFrame) -> tuple[list[int], np.ndarray]:
-    """The frequent words' hashes and the network's weights, learned from all documents."""
+def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[list[int], np.ndarray]:
+    """The frequent words' hashes and the network's weights, learned from all documents; ``counts``: their word counts, if at hand."""
     bounded(docs.sparkSession)
     rare = F.lit(FREQUENT) + F.pmod("word", F.lit(RARE))
-    counts = written(word_counts(docs))
+    counts = written(word_counts(docs)) if counts is None else counts
     frequent = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
     totals = np.zeros(CLASSES)
     for r in counts.groupBy(rare.cast("int").alias("c")).agg(F.sum("n").alias("n")).collect():
@@ -191,13 +196,53 @@ def train(docs: DataFrame) -> tuple[list[int], np.ndarray]:
     return words, flat
 
 
-def score(docs: DataFrame, model: tuple[list[int], np.ndarray], keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default doc_id), n_tokens, log_prob, mean_log_prob of every document."""
+def rare_words(docs: DataFrame, words: list[int]) -> DataFrame:
+    """text_key, word, k: how often each rare word occurs in a text (once more for each copy of it)."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(shared.value)
+        for part in slices(batches):
+            hashes, counts = word_hashes(part.column("text"))
+            rare = classes(hashes) >= FREQUENT
+            text, word = np.repeat(np.arange(len(counts)), counts)[rare], hashes[rare].view(np.int64)
+            order = np.lexsort((word, text))
+            text, word = text[order], word[order]
+            first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (word[1:] != word[:-1])])[: len(text)])
+            k = np.diff(np.append(first, len(text)))
+            key = part.column("text_key").to_numpy()[text[first]]
+            for a in range(0, len(k), 100_000):
+                b = a + 100_000
+                yield pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(word[first[a:b]]), pa.array(k[a:b])], names=["text_key", "word", "k"])
+
+    return docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "text_key long, word long, k long")
+
+
+def rare_logs(docs: DataFrame, words: list[int], counts: DataFrame) -> DataFrame:
+    """text_key, rare_log: sum of the log shares of a text's rare words in their classes."""
+    name = F.pmod("word", F.lit(RARE)).cast("int")
+    told = counts.where(~F.col("word").isin(words)) if words else counts
+    total = np.full(RARE, SMOOTH)
+    for r in told.groupBy(name.alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        total[r.c] += r.n + SMOOTH * r.v
+    share = F.log((F.coalesce("n", F.lit(0)) + SMOOTH) / F.get(F.array(*[F.lit(float(v)) for v in total]), name))
+    both = rare_words(docs, words).join(told, "word", "left")
+    sums = both.groupBy("text_key").agg(F.sum(F.col("k") * F.round(share * UNITS).cast("long")).alias("logs"))
+    # copies of a text have one key and have been summed up together
+    copies = docs.groupBy(F.xxhash64("text").alias("text_key")).agg(F.count("*").alias("copies"))
+    return sums.join(copies, "text_key").select("text_key", (F.col("logs") / F.col("copies") / UNITS).alias("rare_log"))
+
+
+def score(docs: DataFrame, model: tuple[list[int], np.ndarray], keep: list[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """``keep`` columns (default doc_id), n_tokens, log_prob, mean_log_prob of every document.
+
+    ``counts`` (word, n of the corpus): rare words are scored as words; without it as classes.
+    """
     spark = bounded(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
-    schema = docs.select(*keep).withColumns({"n_tokens": F.lit(0).cast("long"), "log_prob": F.lit(0.0), "mean_log_prob": F.lit(0.0)}).schema
-    schema = type(schema)([type(f)(f.name, f.dataType, True) for f in schema])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("r"), F.xxhash64("text").alias("text_key"), "text")
+    schema = rows.select("r", "text_key").withColumns({"n_tokens": F.lit(0).cast("long"), "class_log": F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = shared.value
@@ -208,8 +253,12 @@ def score(docs: DataFrame, model: tuple[list[int], np.ndarray], keep: list[str]
             total = np.concatenate([[0.0], np.cumsum(log_probabilities(net, padded, at), dtype=np.float64)])
             ends = np.cumsum(counts)
             logs = total[ends] - total[ends - counts]
-            mean = pa.array(logs / np.maximum(counts, 1), mask=counts == 0)
-            columns = [part.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts.astype(np.int64)), pa.array(logs), mean], names=[*keep, "n_tokens", "log_prob", "mean_log_prob"])
-
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([part.column("r"), part.column("text_key"), pa.array(counts.astype(np.int64)), pa.array(logs)], names=["r", "text_key", "n_tokens", "class_log"])
+
+    scored = rows.mapInArrow(run, schema)
+    log_prob = F.col("class_log")
+    if counts is not None:
+        scored = scored.join(rare_logs(docs, model[0], counts), "text_key", "left")
+        log_prob = log_prob + F.coalesce("rare_log", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens"))
+    return scored.select(*[F.col(f"r.`{c}`").alias(c) for c in keep], "n_tokens", log_prob.alias("log_prob"), mean.alias("mean_log_prob"))

@@ -385,6 +385,33 @@ def test_lm_scoring(docs, empty):
     assert lm_scoring.score(empty, lm_scoring.train(empty)).count() == 0
 
 
+def test_lm_scores_rare_words_as_words(spark, docs, empty):
+    counts = lm_scoring.word_counts(docs).cache()
+    words, flat = model = lm_scoring.train(docs, counts)
+    n = {r.word: r.n for r in counts.collect() if r.word not in set(words)}
+    assert n
+    size, kinds = Counter(), Counter()
+    for w, k in n.items():
+        size[w % lm_scoring.RARE] += k
+        kinds[w % lm_scoring.RARE] += 1
+    more = [(9000, "qqzzx " * 3), (9001, prose(70, random.Random(2))), (9001, "qqzzx " * 3), (9002, ""), (None, None)]
+    df = spark.createDataFrame(more, "doc_id long, text string").union(docs.select("doc_id", "text"))
+    plain = {(r.doc_id, r.n_tokens): r.log_prob for r in lm_scoring.score(df, model).collect()}
+    got = lm_scoring.score(df, model, counts=counts).collect()
+    assert len(got) == df.count()
+    text = {(r.doc_id, len((r.text or "").split())): r.text or "" for r in df.collect()}
+    for r in got:
+        hashes = lm_scoring.word_hashes(pa.array([text[r.doc_id, r.n_tokens]]))[0].view(np.int64).tolist()
+        part = 0.0
+        for w in hashes:
+            if w not in words:
+                c = w % lm_scoring.RARE
+                part += np.log((n.get(w, 0) + lm_scoring.SMOOTH) / (size[c] + lm_scoring.SMOOTH * (kinds[c] + 1)))
+        assert abs(r.log_prob - plain[r.doc_id, r.n_tokens] - part) < 1e-6 * (1 + abs(part)), r
+        assert r.mean_log_prob == (r.log_prob / r.n_tokens if r.n_tokens else None)
+    assert lm_scoring.score(empty, lm_scoring.train(empty), counts=lm_scoring.word_counts(empty)).count() == 0
+
+
 def test_training_lowers_loss():
     rng = np.random.default_rng(0)
     seq = np.tile(np.array([1, 2, 3, 4, 5], np.int32), 3000)
