@@ -9,8 +9,9 @@ others, plus a border. A rare word's probability is that of its class times its
 from the counts of all words of the corpus (``SMOOTH`` added to each, and to one unseen word per class) by a join of
 each document's rare words with the table of words. Without that table ``score`` gives the classes' part only.
 Word counts and class frequencies come from all documents. Training: in each round every task
-starts from the same weights, masks every ``MASK``-th token of every document of its part (the place is shifted
-by a hash of the document) and takes numpy gradient steps on them; the weights of the tasks are then averaged
+starts from the same weights and takes numpy gradient steps on the masked tokens of its part; the rounds share out
+the ``MASK`` places (shifted by a hash of the document), so that every token of every document is masked once,
+given its true neighbours. The weights of the tasks are then averaged
 in Spark, weighted by their tokens (parameter mixing). So what is gathered grows with the corpus, while
 what reaches the driver is one set of weights. The result depends on how rows are dealt to tasks, not on
 their timing: a task that runs again gives the same weights.
@@ -137,20 +138,32 @@ def learn(net: dict[str, np.ndarray], padded: np.ndarray, at: np.ndarray, rate:
         context, target = padded[own[:, None] + _OFFSETS], padded[own]
         x, h, z = forward(net, context)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(len(own)), target] -= 1
-        z *= rate / len(own)
+        z *= rate / len(own) / z.sum(1, keepdims=True)
+        z[np.arange(len(own)), target] -= rate / len(own)
         back = (z @ net["out"].T) * (1 - h * h)
-        into = (back @ net["hidden"].T).reshape(-1, WIDTH)
+        into = (back @ net["hidden"].T).ravel()
         net["out"] -= h.T @ z
         net["bias"] -= z.sum(0)
         net["hidden"] -= x.T @ back
         net["shift"] -= back.sum(0)
-        np.subtract.at(net["vectors"], context.ravel(), into)
+        cells = (context[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
+        net["vectors"] -= np.bincount(cells, into, net["vectors"].size).reshape(net["vectors"].shape).astype(np.float32)
 
 
-def trained_round(docs: DataFrame, frequent: list[int], flat: np.ndarray, rate: float) -> np.ndarray:
-    """One round over all documents: the tasks' weights, averaged by their masked tokens."""
+def masked_places(hashes: np.ndarray, counts: np.ndarray, turn: int) -> np.ndarray:
+    """Places masked in round ``turn``, one of MASK sets after the other; over all rounds each token is masked once."""
+    first = np.cumsum(counts) - counts
+    full = counts > 0
+    shift = np.zeros(len(counts), np.uint64)
+    shift[full] = mix64(hashes[first[full]] + counts[full].astype(np.uint64))
+    place = np.arange(len(hashes)) - np.repeat(first, counts)
+    which = (place.astype(np.uint64) + np.repeat(shift, counts)) % np.uint64(MASK)
+    own = np.flatnonzero(which % np.uint64(ROUNDS) == turn)
+    return own[np.argsort(which[own], kind="stable")]
+
+
+def trained_round(docs: DataFrame, frequent: list[int], flat: np.ndarray, rate: float, turn: int) -> np.ndarray:
+    """Round ``turn`` over all documents: the tasks' weights, averaged by their masked tokens."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((frequent, flat))
 
@@ -160,12 +173,7 @@ def trained_round(docs: DataFrame, frequent: list[int], flat: np.ndarray, rate:
         for part in slices(batches):
             hashes, counts = word_hashes(part.column("text"))
             padded, at = windows(classes(hashes), counts)
-            first = np.cumsum(counts) - counts
-            full = counts > 0
-            shift = np.zeros(len(counts), np.uint64)
-            shift[full] = mix64(hashes[first[full]] + counts[full].astype(np.uint64))
-            place = np.arange(len(at)) - np.repeat(first, counts)
-            masked = at[(place.astype(np.uint64) + np.repeat(shift, counts)) % np.uint64(MASK) == 0]
+            masked = at[masked_places(hashes, counts, turn)]
             learn(net, padded, masked, rate)
             seen += len(masked)
         if seen:
@@ -192,7 +200,7 @@ def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[list[int],
     flat = start(totals)
     words = [w for w, _ in frequent]
     for i in range(ROUNDS):
-        flat = trained_round(docs, words, flat, RATE / (1 + i))
+        flat = trained_round(docs, words, flat, RATE / (1 + i), i)
     return words, flat
 
 

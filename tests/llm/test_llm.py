@@ -412,6 +412,19 @@ def test_lm_scores_rare_words_as_words(spark, docs, empty):
     assert lm_scoring.score(empty, lm_scoring.train(empty), counts=lm_scoring.word_counts(empty)).count() == 0
 
 
+def test_every_token_is_masked_once(docs, monkeypatch):
+    rng = np.random.default_rng(5)
+    counts = np.array([0, 1, 3, 15, 16, 17, 0, 500])
+    hashes = rng.integers(0, 1 << 60, counts.sum()).astype(np.uint64)
+    turns = [lm_scoring.masked_places(hashes, counts, i) for i in range(lm_scoring.ROUNDS)]
+    assert sorted(np.concatenate(turns)) == list(range(len(hashes)))
+    used = []
+    real = lm_scoring.trained_round
+    monkeypatch.setattr(lm_scoring, "trained_round", lambda *a: used.append(a[-1]) or real(*a))
+    lm_scoring.train(docs)
+    assert used == list(range(lm_scoring.ROUNDS))
+
+
 def test_training_lowers_loss():
     rng = np.random.default_rng(0)
     seq = np.tile(np.array([1, 2, 3, 4, 5], np.int32), 3000)
