@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line within two edits are cut out; documents of which nothing is left go."""
+    """Of each class of lines connected by few edits (``linededup``) the first stays, so a line cut may be near it only through others; documents of which nothing is left go."""
     return linededup.deduplicated(docs)
 
 
