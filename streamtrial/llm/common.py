@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows, and bytes of text, that a Python task holds at once. A single longer text is still processed whole.
 BATCH_ROWS = 512
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,11 +210,10 @@ def members_of(lines: DataFrame, edits: int) -> DataFrame:
 def shared(members: DataFrame) -> DataFrame:
     """bucket, id, indexed and chunks, of the members of buckets with an index row and more than one line."""
     whole = Window.partitionBy("bucket")
-    marked = members.groupBy("bucket", "id").agg(F.max("mark").alias("mark"), F.max(F.col("mark") % 2).alias("odd")).withColumns({
-        "lo": F.min("id").over(whole), "hi": F.max("id").over(whole), "any": F.max("odd").over(whole), "n": F.count("*").over(whole), "bytes": F.sum("mark").over(whole) / 2,
-    })
+    marked = members.withColumns({"lo": F.min("id").over(whole), "hi": F.max("id").over(whole), "any": F.max(F.col("mark") % 2).over(whole), "n": F.count("*").over(whole), "bytes": F.sum("mark").over(whole) / 2})
     chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("bytes") / CHUNK_BYTES)).cast("int")
-    return marked.where("lo < hi and any = 1").select("bucket", "id", (F.col("odd") == 1).alias("indexed"), chunks.alias("chunks"))
+    several = marked.where("lo < hi and any = 1").groupBy("bucket", "id").agg(F.max(F.col("mark") % 2 == 1).alias("indexed"), F.max(chunks).alias("chunks"))
+    return several.select("bucket", "id", "indexed", "chunks")
 
 
 def parities(lines: list[str]) -> np.ndarray:
