@@ -3,21 +3,24 @@
 A document's set is its distinct word shingles (hashes). Sets are put in bands of sizes in which the largest
 is at most ``1 / threshold`` of the least, so sets of similarity ``threshold`` or more lie in one band or in
 two that follow each other; every set has signatures for its own band and for the next. In a band such
-sets differ in at most ``k`` elements. The domain of the shingles is split by a hash into ``k + 1 + spare``
-partitions, and the subsets of partitions that k differences can't all spoil (here the single ones) are
-enumerated: at least ``1 + spare`` partitions are equal, and each gives a signature of band, partition and
-its elements. A partition without elements says nothing, so it gives none, unless more than ``spare`` of a
-set's partitions are empty: then the empty ones are signatures too. Two sets of which one has at most
-``spare`` empty partitions share an equal one that isn't; otherwise both have signatures for their empty
-ones. So no similar pair is missed.
+sets differ in at most ``k`` elements. A hash splits the domain of the shingles into ``k // 2 + 1 + spare``
+partitions, and each of them into three of the second level. At least ``1 + spare`` partitions then hold one
+difference at most, so two of their three second-level partitions are equal: all three subsets of two are
+enumerated, and each gives a signature of band, partition, subset and the elements in it. A subset without
+elements says nothing, so it gives none, unless more than ``spare`` of a set's partitions have such a subset:
+then the empty ones are signatures too. Two sets of which one has at most ``spare`` such partitions share a
+signature of an equal subset that isn't empty; otherwise both have signatures for their empty ones. So no similar
+pair is missed.
 
 Equal sets are one class from the start; signatures are made for one document of each class, and pairs
-are tested exactly, if their sketches allow it: a byte that sums up the elements of each of ``SKETCH``
-partitions, of which no more differ than elements do. Links within a bucket are found as in ``linking``.
+are tested exactly, if their sketches allow it: counts of elements in each of ``SKETCH`` partitions, whose sum of
+differences is at most the sets' distance. The texts of pairs to test meet in groups of a document and up to
+``PARTNERS`` others. Links within a bucket are found as in ``linking``.
 
 Defined cases: null and empty texts, and those without words, have size 0 and are linked with nothing; fewer words
-than a shingle has count as one shingle; repeated rows of an id are one document; rows without id get no
-row; an empty table gives no rows.
+than a shingle has count as one shingle; rows with the same id are one document, which is linked by each of
+their texts and has the size of the largest; rows without id, which no component could name, get no row; very
+long texts are worked on whole; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamtrial.llm.common import SubstringHash, bounded, mix64, slices, string_parts, word_spans, written
-from streamtrial.llm.linking import links, sized
+from streamtrial.llm.common import Scratch, SubstringHash, bounded, mix64, slices, string_parts, word_spans, written
+from streamtrial.llm.linking import BROADCAST_BYTES, components, links, sized
 
-SKETCH = 128
+#: Bytes of a set's sketch, and documents that one is held against in a group.
+SKETCH, PARTNERS = 256, 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -75,57 +79,51 @@ def bands(size: int, num: int, den: int) -> list[tuple[int, int]]:
 
 
 def partitions(high: int, num: int, den: int) -> tuple[int, int]:
-    """Partitions of a band with sets of at most ``high``, and the spare ones among them.
+    """First-level partitions of a band with sets of at most ``high``, and the spare ones among them; (0, 0): only equal sets are similar.
 
     With intersection I and union U, I / U >= num / den: U - I <= (den - num) / (den + num) * (|a| + |b|).
     """
     k = (den - num) * 2 * high // (den + num)
     if not k:
-        return 1, 0
-    empty = (k + 1) * math.exp(-high / (k + 1))
-    spare = math.ceil(empty + 3 * math.sqrt(empty)) if empty > 0.01 else 0
-    return k + 1 + spare, spare
+        return 0, 0
+    need = k // 2 + 1
+    empty = math.exp(-high * num / den / need / 3)  # of a second-level partition
+    weak = need * (3 * empty**2 * (1 - empty) + empty**3)
+    return need + (spare := math.ceil(weak + 3 * math.sqrt(weak)) if weak > 0.01 else 0), spare
 
 
 def signatures(values: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of all sets, and the set (place) of each."""
     used = np.flatnonzero(sizes)
-    distinct = {int(s): None for s in np.unique(sizes[used])}
-    for s in distinct:
-        distinct[s] = [(band, *partitions(high, num, den)) for band, high in bands(s, num, den)]
-    out, owner = [], []
+    per = sizes[used]
+    rules = {int(s): [(band, *partitions(high, num, den)) for band, high in bands(int(s), num, den)] for s in np.unique(per)}
+    out, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     element = mix64(values)
+    within = (element >> np.uint64(11)).astype(np.uint64)
     for turn in (0, 1):
-        rule = [distinct[int(s)][turn] for s in sizes[used]]
-        band = np.array([r[0] for r in rule], np.uint64)
-        parts = np.array([r[1] for r in rule], np.int64)
-        spare = np.array([r[2] for r in rule], np.int64)
-        base = np.cumsum(parts) - parts
-        per = sizes[used]
-        place = np.repeat(base, per) + ((element >> np.uint64(11)) % np.repeat(parts, per).astype(np.uint64)).astype(np.int64)
-        total = np.zeros(int(parts.sum()), np.uint64)
+        band, parts, spare = (np.array([rules[int(s)][turn][i] for s in per], np.int64) for i in range(3))
+        whole = parts == 0  # one signature of all elements
+        cells = np.where(whole, 1, 3 * parts)
+        base = np.cumsum(cells) - cells
+        place = np.repeat(base, per) + (within % np.repeat(cells, per).astype(np.uint64)).astype(np.int64)
+        total = np.zeros(int(cells.sum()), np.uint64)
         np.add.at(total, place, mix64(element + np.uint64(1)))
         filled = np.zeros(len(total), bool)
         filled[place] = True
+        one = base[whole]
+        out.append(mix64(total[one] + mix64(band[whole].astype(np.uint64) * np.uint64(1 << 32) + np.uint64(3))))
+        owner.append(used[whole])
+        first = np.repeat(base[~whole], parts[~whole]) + 3 * (np.arange(parts.sum()) - np.repeat((np.cumsum(parts) - parts)[~whole], parts[~whole]))
         own = np.repeat(np.arange(len(used)), parts)
-        nth = np.arange(len(total)) - base[own]
-        empty = parts - np.bincount(own[filled], minlength=len(used))
-        keep = filled | (empty > spare)[own]
-        label = mix64(band[own] * np.uint64(1 << 32) + nth.astype(np.uint64) + np.uint64(7))
-        out.append(mix64(total + label)[keep])
-        owner.append(used[own[keep]])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate(owner) if owner else np.zeros(0, np.int64)
-
-
-def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, set (hashes) of every row."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            values, sizes = shingle_sets(part.column("text"), n)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))], names=["doc_id", "set"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set array<long>")
+        empty = np.stack([~filled[first + i] for i in range(3)]) if len(first) else np.zeros((3, 0), bool)
+        keep_empty = (np.bincount(own[empty.sum(0) >= 2], minlength=len(used)) > spare)[own]
+        label = mix64(band[own].astype(np.uint64) * np.uint64(1 << 32) + ((first - base[own]) // 3 * 4).astype(np.uint64) + np.uint64(7))
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            keep = ~(empty[i] & empty[j]) | keep_empty
+            both = total[first[keep] + i] + mix64(total[first[keep] + j] + np.uint64(13)) + label[keep] + np.uint64(i + j)
+            out.append(mix64(both))
+            owner.append(used[own[keep]])
+    return np.concatenate(out), np.concatenate(owner)
 
 
 def sketches_of(docs: DataFrame, n: int) -> DataFrame:
@@ -133,26 +131,50 @@ def sketches_of(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             values, sizes = shingle_sets(part.column("text"), n)
-            mixed = mix64(values + np.uint64(11))
-            place = np.repeat(np.arange(len(sizes)) * SKETCH, sizes) + (mixed & np.uint64(SKETCH - 1)).astype(np.int64)
-            sums = np.bincount(place, ((mixed >> np.uint64(16)) & np.uint64(255)).astype(np.float64), SKETCH * len(sizes)).astype(np.int64).astype(np.uint8)
-            rows = [r.tobytes() for r in sums.reshape(-1, SKETCH)]
+            place = np.repeat(np.arange(len(sizes)) * SKETCH, sizes) + (mix64(values + np.uint64(11)) % np.uint64(SKETCH)).astype(np.int64)
+            counts = np.bincount(place, minlength=SKETCH * len(sizes)).astype(np.uint8)
+            rows = [r.tobytes() for r in counts.reshape(-1, SKETCH)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(rows, pa.binary())], names=["id", "size", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, size long, sketch binary")
 
 
 def heads_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash of every row."""
+    """doc_id, text_key, n_shingles, set_hash of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             values, sizes = shingle_sets(part.column("text"), n)
             total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(values + np.uint64(5)), dtype=np.uint64)])
             ends = np.cumsum(sizes)
             hashed = mix64(total[ends] - total[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(hashed)], names=["doc_id", "n_shingles", "set_hash"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(sizes), pa.array(hashed)], names=["doc_id", "text_key", "n_shingles", "set_hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash long")
+    return docs.select(F.col("doc_id").cast("long"), "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_hash long")
+
+
+def similar(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) in ``rows``: a, part, own (the text is that of a), b, text; groups of a and part are held together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sets = None, []
+        for part in slices(batches):
+            values, sizes = shingle_sets(part.column("text"), n)
+            ends = np.cumsum(sizes)
+            a, deal, own, b = (part.column(k).to_numpy(zero_copy_only=False) for k in ("a", "part", "own", "b"))
+            linked = np.zeros(len(a), bool)
+            for i in range(len(a)):
+                mine = values[ends[i] - sizes[i] : ends[i]]
+                if (a[i], deal[i]) != key:
+                    key, sets = (a[i], deal[i]), []
+                if own[i]:
+                    sets.append(mine.copy())
+                for other in () if own[i] else sets:
+                    at = np.searchsorted(other, mine)
+                    common = int((other[np.minimum(at, len(other) - 1)] == mine).sum()) if len(other) else 0
+                    linked[i] |= common > 0 and den * common >= num * (len(other) + len(mine) - common)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[linked]), pa.array(np.maximum(a, b)[linked])], names=["a", "b"])
+
+    dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("own").desc())
+    return dealt.select("a", "part", "own", "b", "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def members_of(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -164,40 +186,50 @@ def members_of(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             for a in range(0, len(bucket), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + 100_000].view(np.int64)), pa.array(ids[a : a + 100_000])], names=["bucket", "id"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket long, id long").withColumn("indexed", F.lit(True))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket long, id long")
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Per document doc_id, n_shingles, class_id, component_id; and the links (a, b) between class representatives.
+    """Per document doc_id, n_shingles, class_id, component_id; and links (a, b) between class representatives that connect the components.
 
     ``class_id``: least id with the same set. The similarity threshold is ``num / den``.
     """
-    bounded(docs.sparkSession)
-    docs = docs.where("doc_id is not null")
-    heads = written(heads_of(docs, n))
-    firsts = heads.where("n_shingles > 0").groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    firsts = written(firsts)
-    # only copies that aren't the first of their class are left out; their ids are fewer than the documents
-    again = heads.where("n_shingles > 0").join(firsts.where("copies > 1"), ["set_hash", "n_shingles"]).where("doc_id <> class_id").select("doc_id", "class_id").distinct()
-    again = written(again)
-    single = docs.select("doc_id", "text").join(sized(again.select("doc_id")), "doc_id", "left_anti")
-
-    def sketch(ids: DataFrame) -> DataFrame:
-        return sketches_of(single.join(sized(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi"), n).dropDuplicates(["id"])
-
-    def excess(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-        return (a != b).sum(-1) - (den - num) * (na + nb) // (den + num)
-
-    def verify(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-        pairs = written(pairs)
-        used = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        sets = sets_of(single.join(sized(used), "doc_id", "left_semi"), n).dropDuplicates(["doc_id"])  # one exchange serves both joins
-        both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
-        both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
-        return both.where(den * F.col("i") >= num * (F.col("t") - F.col("i"))).select("a", "b")
-
-    found, labels = links(members_of(single, n, num, den), sketch, excess, verify)
-    rows = heads.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    rows = rows.join(sized(again), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    spark = bounded(docs.sparkSession)
+    docs = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    with Scratch(spark) as keep:
+        heads = keep(heads_of(docs, n))
+        full = heads.where("n_shingles > 0")
+        firsts = full.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+        # only copies that aren't the first of their class are left out
+        again = full.join(firsts.where("copies > 1"), ["set_hash", "n_shingles"]).where("doc_id <> class_id").select("doc_id", "text_key", "class_id").distinct()
+        again = written(again)
+        single = docs.join(sized(again.select("doc_id", "text_key")), ["doc_id", "text_key"], "left_anti").select("doc_id", "text")
+        if 16 * again.count() > BROADCAST_BYTES:
+            single = keep(single)  # else every use would shuffle the texts
+
+        def sketch(ids: DataFrame) -> DataFrame:
+            rows = sketches_of(single.join(sized(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi"), n)
+            # a document of several texts can't be excluded by one of them
+            several = F.when(F.min("sketch") != F.max("sketch"), F.lit(1 << 40)).otherwise(F.max("size"))
+            return rows.groupBy("id").agg(several.alias("size"), F.min("sketch").alias("sketch"))
+
+        def excess(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+            return np.minimum(d := a - b, b - a, out=d).sum(-1, dtype=np.uint32).astype(np.int64) - (den - num) * (na + nb) // (den + num)
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            pairs = keep(pairs)
+            parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+            dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(False).alias("own"), "b")
+            owners = dealt.select("a", "part", F.lit(True).alias("own"), F.col("a").alias("b")).distinct()
+            roles = keep(dealt.union(owners))
+            return similar(single.join(sized(roles.withColumnRenamed("b", "doc_id")), "doc_id").withColumnRenamed("doc_id", "b"), n, num, den)
+
+        found = links(members_of(single, n, num, den), sketch, excess, verify, keep)
+        several = heads.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where("lo < hi")
+        same = again.join(several, "doc_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))  # texts of one document
+        found = written(found.union(same).distinct())
+        labels = written(components(found))
+        rows = written(heads.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")))
+    rows = rows.join(sized(again.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     rows = rows.join(sized(labels.select(F.col("id").alias("class_id"), "component")), "class_id", "left")
     return rows.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")), found
