@@ -8,18 +8,20 @@ ones (each fold's come from a model that has not seen it), so it meets the same
 when full models feed it. Words are runs of letters in lower case; a word counts once in a text.
 
 The fit uses a bounded sample of labelled rows: per combination of labels the ``STRATUM_ROWS`` rows with the
-least hash of their id, of at most ``TRAIN_CHARS`` characters. Scoring covers every whole text.
+least hash of their id, in full length. They stream through the driver, which keeps word numbers only. Scoring
+covers every whole text.
 
 Defined cases: a null or empty text is scored by the bias alone; repeated labels of an id count as their
-maximum; a row with a null label is left out of the fit; without labelled rows, or with one class
-only, a category's probability is that class's share (0 without rows).
+maximum; a row with a null label is left out of the fit; rows of the documents that have a label's id are all
+learned from; ties of hashes are settled by the id; without labelled rows, or with one class only, a category's
+probability is that class's share (0 without rows); an empty table gives no rows; very long texts count like others;
+kept columns may have any name but those of the probabilities, which is an error.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from streamtrial.llm.common import bounded, slices
 
-STRATUM_ROWS, TRAIN_CHARS, FOLDS, LEAST_TEXTS, LEAST_CHI2, STEPS = 3000, 10_000, 3, 3, 20.0, 120
+STRATUM_ROWS, FOLDS, LEAST_TEXTS, LEAST_CHI2, STEPS = 3000, 3, 3, 20.0, 120
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -83,12 +85,24 @@ def _fit(idx: np.ndarray, ptr: np.ndarray, extra: np.ndarray, y: np.ndarray, siz
     return b, w, x
 
 
-def train(texts: list[str | None], labels: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
+def numbered(texts: Iterable[str | None]) -> tuple[dict[str, int], list[np.ndarray]]:
+    """Numbers of the words that ``LEAST_TEXTS`` texts have, in the order of the words, and those of each text, ascending."""
+    first: dict[str, int] = {}
+    rows = [np.fromiter((first.setdefault(w, len(first)) for w in bag(t)), np.int32) for t in texts]
+    count = np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=len(first))
+    words = {w: i for i, w in enumerate(sorted(w for w, k in first.items() if count[k] >= LEAST_TEXTS))}
+    place = np.full(len(first), -1, np.int64)
+    for w, i in words.items():
+        place[first[w]] = i
+    return words, [np.sort(p[p >= 0]) for p in (place[r] for r in rows)]
+
+
+def train(texts: Iterable[str | None], labels: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
     """The chain over the categories of ``labels``, in their order."""
-    bags = [bag(t) for t in texts]
-    seen = Counter(w for s in bags for w in s)
-    words = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST_TEXTS))}
-    rows = [np.fromiter((words[w] for w in sorted(s) if w in words), np.int64) for s in bags]
+    return chained(*numbered(texts), labels, folds)
+
+
+def chained(words: dict[str, int], rows: list[np.ndarray], labels: dict[str, np.ndarray], folds: np.ndarray) -> Chain:
     ptr = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
     idx = np.concatenate([*rows, np.zeros(0, np.int64)])
     lens = np.diff(ptr)
@@ -131,13 +145,23 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column]) ->
     names = list(categories)
     flat = labels.select("doc_id", *[c.cast("int").alias(k) for k, c in categories.items()]).dropna()
     flat = flat.groupBy("doc_id").agg(*[F.max(k).alias(k) for k in names])
-    texts = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text")
-    first = Window.partitionBy(*names).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = flat.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= STRATUM_ROWS).drop("_at")
+    # most rows are left out by a threshold of their hash, so that what is ordered by combination is little
+    sizes = flat.groupBy(*names).agg(F.least(F.lit(1.0), (1.2 * STRATUM_ROWS + 200) / F.count("*")).alias("_share"))
+    some = flat.withColumn("_hash", F.xxhash64("doc_id")).join(F.broadcast(sizes), names).where(F.pmod("_hash", F.lit(1 << 30)) < F.col("_share") * (1 << 30))
+    first = Window.partitionBy(*names).orderBy("_hash", "doc_id")
+    chosen = some.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= STRATUM_ROWS).select("doc_id", *names)
     # at most STRATUM_ROWS ids for each of the few label combinations: small enough for every executor
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).collect()
-    folds = np.arange(len(rows)) % FOLDS
-    return train([r.text for r in rows], {k: np.array([r[k] for r in rows], float) for k in names}, folds)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
+    told: dict[str, list[int]] = {k: [] for k in names}
+
+    def texts() -> Iterator[str | None]:
+        for r in rows.toLocalIterator():
+            for k in names:
+                told[k].append(r[k])
+            yield r.text
+
+    words, bags = numbered(texts())
+    return chained(words, bags, {k: np.array(v, float) for k, v in told.items()}, np.arange(len(bags)) % FOLDS)
 
 
 def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataFrame:
@@ -146,15 +170,17 @@ def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataF
     model = spark.sparkContext.broadcast(chain)
     keep = keep or ["doc_id"]
     names = [f"p_{k.category}" for k in chain.links]
-    fields = list(dict.fromkeys([*keep, "text"]))
-    schema = docs.select(*keep).withColumns({k: F.lit(0.0) for k in names}).schema
+    if clash := {*keep} & {*names}:
+        raise ValueError(f"kept columns have the names of probabilities: {sorted(clash)}")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("r"), "text")
+    schema = rows.select("r").withColumns({k: F.lit(0.0) for k in names}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             p = predict(model.value, part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(c) for c in p.T], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([part.column("r"), *[pa.array(c) for c in p.T]], names=["r", *names])
 
-    return docs.select(*fields).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*[F.col(f"r.`{c}`").alias(c) for c in keep], *names)
 
 
 def without_category(docs: DataFrame, chain: Chain, category: str, at: float) -> DataFrame:
