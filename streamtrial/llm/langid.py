@@ -6,11 +6,17 @@ language needs few phrases. ``phrases * log2(training bytes) / bytes`` estimates
 per byte; the language with the least wins, ties go to the smaller name.
 
 Text is lower-cased UTF-8 in which each run of ASCII non-letters is one blank. Blocks of ``BLOCK`` bytes are
-parsed side by side (a phrase ends where its block ends), so a very long text takes no longer steps than
-many short ones; every byte counts.
+parsed side by side, each as if a phrase began with it. Then every block is parsed again with the phrase that
+its predecessor left open, until both parses are in the same state (the state decides all that follows), so a
+very long text is parsed as a whole but takes no longer steps than many short ones.
+
+The labelled sample is bounded: per language the ``SAMPLE_ROWS`` rows with the least hash of their text, and of each
+a span of ``LANGUAGE_BYTES / SAMPLE_ROWS`` bytes (less with over ``ALL_BYTES / LANGUAGE_BYTES`` languages, more with fewer
+rows), which begins at a place told by the hash.
 
 Defined cases: a null or empty text, or one without a letter, gives ``und`` and score 0; so does every
-text when nothing labelled could be learned. Repeated rows get equal results; null ids are kept.
+text when nothing labelled could be learned. Repeated rows get equal results; null ids are kept; an empty table gives no
+rows; kept columns may have any name but ``lang_pred`` and ``score``, which is an error.
 """
 
 from __future__ import annotations
@@ -27,8 +33,8 @@ from streamtrial.llm.common import bounded, slices, string_parts
 
 UNDETERMINED = "und"
 BLOCK = 4096
-#: Bounds of the labelled sample: rows per language, characters of each, bytes per language and over all languages.
-SAMPLE_ROWS, ROW_CHARS, LANGUAGE_BYTES, ALL_BYTES = 400, 2000, 48_000, 800_000
+#: Bounds of the labelled sample: rows per language, bytes per language and over all languages.
+SAMPLE_ROWS, LANGUAGE_BYTES, ALL_BYTES = 400, 48_000, 800_000
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
@@ -111,16 +117,21 @@ def build(samples: dict[str, bytes]) -> Model:
 
 def sample(labelled: DataFrame) -> dict[str, bytes]:
     """A bounded sample per language, chosen by a hash of the text."""
-    head = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), F.lower(F.substring("text", 1, ROW_CHARS)).alias("text"))
+    rows = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), "text")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    per = max(2000, min(LANGUAGE_BYTES, ALL_BYTES // max(1, sizes.count())))
+    # most rows are left out by a threshold of their hash, so that what is ordered by language is little
+    share = F.least(F.lit(1.0), (1.5 * SAMPLE_ROWS + 100) / F.col("n"))
+    some = rows.join(F.broadcast(sizes), "lang").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))  # a row per language
+    span = F.ceil(2 * per / F.least("n", F.lit(SAMPLE_ROWS))).cast("int")  # of characters; blanks are folded
+    start = F.pmod(F.shiftright("h", 31), F.greatest(F.lit(1), F.length("text") - span + 1)) + 1
+    some = some.select("lang", "h", "n", F.lower(F.substring("text", start, span)).alias("text")).distinct()
     first = Window.partitionBy("lang").orderBy("h", "text")
-    rows = head.withColumn("at", F.row_number().over(first)).where(F.col("at") <= SAMPLE_ROWS).orderBy("lang", "at").collect()
-    per = max(2000, min(LANGUAGE_BYTES, ALL_BYTES // max(1, len({r.lang for r in rows}))))
-    out: dict[str, bytes] = {}
-    for r in rows:
-        have = out.setdefault(r.lang, b"")
-        if len(have) < per:
-            out[r.lang] = (have + b" " + normalised(np.frombuffer(r.text.encode(), np.uint8)).tobytes())[:per]
-    return out
+    out: dict[str, list[bytes]] = {}
+    for r in some.withColumn("at", F.row_number().over(first)).where(F.col("at") <= SAMPLE_ROWS).orderBy("lang", "at").toLocalIterator():
+        own = -(-per // min(r.n, SAMPLE_ROWS))
+        out.setdefault(r.lang, []).append(normalised(np.frombuffer(r.text.encode(), np.uint8)).tobytes()[:own])
+    return {k: b" ".join(v)[:per] for k, v in out.items()}
 
 
 def phrases(model: Model, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -130,15 +141,48 @@ def phrases(model: Model, symbols: np.ndarray, starts: np.ndarray, lengths: np.n
     nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     size = np.minimum(lengths[text] - nth * BLOCK, BLOCK)
     order = np.argsort(-size, kind="stable")
-    at, size, text = (starts[text] + nth * BLOCK)[order], size[order], text[order]
+    at, size, text, nth = (starts[text] + nth * BLOCK)[order], size[order], text[order], nth[order]
     state = np.repeat(model.roots[:, None], len(at), axis=1)
     count = np.zeros(state.shape, np.int32)
     alive = len(at) - np.searchsorted(size[::-1], np.arange(size[0] if len(size) else 0), side="right")
+    steps = []
     for i, k in enumerate(alive):
         step = model.table[state[:, :k] + symbols[at[:k] + i]]
+        steps.append(step)
         count[:, :k] += step & 3
         state[:, :k] = step >> 2
-    count += state != model.roots[:, None]
+    # the place of each block's predecessor; first blocks have none
+    place = np.empty(len(text), np.int64)
+    place[np.lexsort((nth, text))] = np.arange(len(text))
+    by_place = np.argsort(place)
+    later = np.flatnonzero(nth > 0)
+    before = by_place[place[later] - 1]
+    entry, end, change = np.repeat(model.roots[:, None], len(later), axis=1), state.copy(), np.zeros(state.shape, np.int32)
+    while True:
+        new = end[:, before]
+        row, col = np.nonzero(new != entry)
+        if not len(row):
+            break
+        entry[row, col] = new[row, col]
+        now, b = entry[row, col], later[col]
+        change[row, b], end[row, b] = 0, state[row, b]
+        row, b = row.copy(), b.copy()
+        for i in range(BLOCK):
+            inside = i < size[b]
+            end[row[~inside], b[~inside]] = now[~inside]
+            row, b, now = row[inside], b[inside], now[inside]
+            if not len(row):
+                break
+            step, plain = model.table[now + symbols[at[b] + i]], steps[i][row, b]
+            change[row, b] += (step & 3) - (plain & 3)
+            now = step >> 2
+            apart = now != plain >> 2
+            row, b, now = row[apart], b[apart], now[apart]
+        else:
+            end[row, b] = now
+    last = np.ones(len(text), bool)
+    last[before] = False
+    count += change + (last & (end != model.roots[:, None]))
     out = np.zeros((len(model.names), len(starts)), np.int64)
     for row, c in zip(out, count):
         row += np.bincount(text, c, len(starts)).astype(np.int64)
@@ -170,13 +214,15 @@ def identify(docs: DataFrame, labelled: DataFrame, keep: list[str] | None = None
     spark = bounded(docs.sparkSession)
     model = spark.sparkContext.broadcast(build(sample(labelled)))
     keep = keep or ["doc_id"]
-    rows = docs.select(*keep, F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_letter"), F.lower("text").alias("_text"))
-    schema = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    if clash := {*keep} & {"lang_pred", "score"}:
+        raise ValueError(f"kept columns have the names of results: {sorted(clash)}")
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("r")
+    rows = docs.select(kept, F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letter"), F.lower("text").alias("text"))
+    schema = rows.select("r").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
-            name, score = judged(model.value, part.column("_text"), part.column("_letter").to_numpy(zero_copy_only=False))
-            columns = [part.column(c) for c in keep] + [pa.array(name, pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+        for part in slices(batches):
+            name, score = judged(model.value, part.column("text"), part.column("letter").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([part.column("r"), pa.array(name, pa.string()), pa.array(score)], names=["r", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*[F.col(f"r.`{c}`").alias(c) for c in keep], "lang_pred", "score")
