@@ -1,13 +1,14 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 A network with a window of ``SIDE`` tokens on both sides predicts each token from the others: token vectors
-of the window, one tanh layer, softmax. A document's score is the sum of the log probabilities of its
-tokens, each given both sides; the mean per token is comparable between documents.
+of the window, one tanh layer, and a softmax in two steps. The ``FREQUENT`` most frequent words of the corpus are in
+``GROUPS`` groups of ``WORDS`` each, by rank; all others are in ``RARE`` hash classes. The first step predicts the group or
+class, the second the word in its group. A rare word's probability is that of its class times its share of the class,
+which comes from the counts of all words of the corpus (``SMOOTH`` added to each, and to one unseen word per class). The
+shares of the ``KNOWN`` most frequent words are sent along; a document's other words are joined with the table of
+words. Without that table ``score`` gives the classes' part only. A document's score is the sum of the log
+probabilities of its tokens, each given both sides; the mean per token is comparable between documents.
 
-Tokens of the network are the ``FREQUENT`` most frequent words of the corpus and ``RARE`` hash classes for all
-others, plus a border. A rare word's probability is that of its class times its share of the class, which comes
-from the counts of all words of the corpus (``SMOOTH`` added to each, and to one unseen word per class) by a join of
-each document's rare words with the table of words. Without that table ``score`` gives the classes' part only.
 Word counts and class frequencies come from all documents. Training: in each round every task
 starts from the same weights and takes numpy gradient steps on the masked tokens of its part; the rounds share out
 the ``MASK`` places (shifted by a hash of the document), so that every token of every document is masked once,
@@ -17,7 +18,8 @@ what reaches the driver is one set of weights. The result depends on how rows ar
 their timing: a task that runs again gives the same weights.
 
 Defined cases: a null or empty text has 0 tokens, log_prob 0 and mean null; an empty table gives no rows;
-repeated rows train as often as they occur and score alike.
+repeated rows train as often as they occur and score alike; words of equal counts are ranked by their hash; very long texts are
+worked on whole; kept columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,13 +33,23 @@ from pyspark.sql import functions as F
 
 from streamtrial.llm.common import SubstringHash, bounded, mix64, slices, string_parts, word_spans, written
 
-FREQUENT, RARE, SIDE, WIDTH, HIDDEN = 160, 64, 2, 8, 24
-CLASSES = FREQUENT + RARE
+GROUPS, WORDS, RARE, SIDE, WIDTH, HIDDEN = 32, 128, 32, 2, 8, 24
+FREQUENT = GROUPS * WORDS
+CLASSES, TOP = FREQUENT + RARE, GROUPS + RARE
+#: Words (the most frequent) whose shares of their class are sent to every task.
+KNOWN = 1 << 17
 #: Added to each word's count in its class. Log shares are summed as whole numbers of 1 / UNITS, so their order doesn't matter.
 SMOOTH, UNITS = 0.1, 1 << 24
 BORDER = CLASSES
-MASK, ROUNDS, STEP_ROWS, RATE = 16, 2, 256, 0.5
-SHAPES = {"vectors": (CLASSES + 1, WIDTH), "hidden": (2 * SIDE * WIDTH, HIDDEN), "shift": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,)}
+MASK, ROUNDS, STEP_ROWS, RATE = 16, 2, 4096, 2.0
+#: A group's weights move by the mean gradient of its words in a step, or as if they were so many.
+LEAST_GROUP = 32
+SHAPES = {
+    "vectors": (CLASSES + 1, WIDTH), "hidden": (2 * SIDE * WIDTH, HIDDEN), "shift": (HIDDEN,), "out": (HIDDEN, TOP), "bias": (TOP,),
+    "inner": (GROUPS, HIDDEN, WORDS), "inner_bias": (GROUPS, WORDS),
+}
+#: The group or rare class of each token.
+_TOP = np.append(np.repeat(np.arange(GROUPS), WORDS), np.arange(GROUPS, TOP))
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -105,11 +117,14 @@ def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def start(class_counts: np.ndarray) -> np.ndarray:
-    """First weights: small fixed random values, and the log frequencies as output bias."""
+    """First weights: small fixed random values, and the log frequencies as biases."""
     rng = np.random.default_rng(7)
     parts = [rng.normal(0, 0.3, s).ravel() for s in (SHAPES["vectors"], SHAPES["hidden"])]
-    bias = np.log((class_counts + 1.0) / (class_counts.sum() + CLASSES))
-    return np.concatenate([*parts, np.zeros(HIDDEN), rng.normal(0, 0.05, SHAPES["out"]).ravel(), bias]).astype(np.float32)
+    share = (class_counts + 1.0) / (class_counts.sum() + CLASSES)
+    top = np.bincount(_TOP, share, TOP)
+    bias, inner = np.log(top), np.log(share[:FREQUENT] / np.repeat(top[:GROUPS], WORDS))
+    small = [rng.normal(0, 0.05, SHAPES[k]).ravel() for k in ("out", "inner")]
+    return np.concatenate([*parts, np.zeros(HIDDEN), small[0], bias, small[1], inner]).astype(np.float32)
 
 
 def forward(net: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,14 +135,32 @@ def forward(net: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray
     return x, h, z
 
 
+def by_group(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group that occurs in ``target`` and the places of its words."""
+    group = np.minimum(target // WORDS, GROUPS)
+    order = np.argsort(group, kind="stable")
+    ends = np.searchsorted(group[order], np.arange(GROUPS), side="right")
+    for g, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends)):
+        if b > a:
+            yield g, order[a:b]
+
+
 def log_probabilities(net: dict[str, np.ndarray], padded: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.empty(len(at), np.float32)
     for a in range(0, len(at), 4096):
         own = at[a : a + 4096]
-        z = forward(net, padded[own[:, None] + _OFFSETS])[2]
-        out[a : a + 4096] = z[np.arange(len(own)), padded[own]]
+        target = padded[own]
+        _, h, z = forward(net, padded[own[:, None] + _OFFSETS])
+        logs = z[np.arange(len(own)), _TOP[target]]
         np.exp(z, out=z)
-        out[a : a + 4096] -= np.log(z.sum(1))
+        logs -= np.log(z.sum(1))
+        for g, rows in by_group(target):
+            z = h[rows] @ net["inner"][g] + net["inner_bias"][g]
+            z -= z.max(1, keepdims=True)
+            word = z[np.arange(len(rows)), target[rows] % WORDS]
+            np.exp(z, out=z)
+            logs[rows] += word - np.log(z.sum(1))
+        out[a : a + 4096] = logs
     return out
 
 
@@ -139,8 +172,20 @@ def learn(net: dict[str, np.ndarray], padded: np.ndarray, at: np.ndarray, rate:
         x, h, z = forward(net, context)
         np.exp(z, out=z)
         z *= rate / len(own) / z.sum(1, keepdims=True)
-        z[np.arange(len(own)), target] -= rate / len(own)
-        back = (z @ net["out"].T) * (1 - h * h)
+        z[np.arange(len(own)), _TOP[target]] -= rate / len(own)
+        back = z @ net["out"].T
+        for g, rows in by_group(target):
+            mine = h[rows]
+            y = mine @ net["inner"][g] + net["inner_bias"][g]
+            y -= y.max(1, keepdims=True)
+            np.exp(y, out=y)
+            y /= y.sum(1, keepdims=True)
+            y[np.arange(len(rows)), target[rows] % WORDS] -= 1
+            back[rows] += (y @ net["inner"][g].T) * np.float32(rate / len(own))
+            y *= rate / max(len(rows), LEAST_GROUP)
+            net["inner"][g] -= mine.T @ y
+            net["inner_bias"][g] -= y.sum(0)
+        back *= 1 - h * h
         into = (back @ net["hidden"].T).ravel()
         net["out"] -= h.T @ z
         net["bias"] -= z.sum(0)
@@ -204,16 +249,45 @@ def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[list[int],
     return words, flat
 
 
-def rare_words(docs: DataFrame, words: list[int]) -> DataFrame:
-    """text_key, word, k: how often each rare word occurs in a text (once more for each copy of it)."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def class_totals(counts: DataFrame, words: list[int]) -> np.ndarray:
+    """Per rare class the smoothed count of its words and of an unseen one."""
+    total = np.full(RARE, SMOOTH)
+    told = counts.where(~F.col("word").isin(words)) if words else counts
+    for r in told.groupBy(F.pmod("word", F.lit(RARE)).cast("int").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        total[r.c] += r.n + SMOOTH * r.v
+    return total
+
+
+class Shares:
+    """Log shares in their classes of the rare words among the most frequent words of the corpus, at most KNOWN."""
+
+    def __init__(self, known: list[tuple[int, int]], frequent: list[int], total: np.ndarray):
+        rare = sorted((w, n) for w, n in known if w not in set(frequent))
+        self.words = np.array([w for w, _ in rare], np.int64)
+        n = np.array([n for _, n in rare], float)
+        self.logs = np.log((n + SMOOTH) / total[(self.words % RARE).astype(np.int64)])
+
+    def __call__(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word is one of them, and its log share, else 0."""
+        if not len(self.words):
+            return np.zeros(len(words), bool), np.zeros(len(words))
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        known = self.words[at] == words
+        return known, np.where(known, self.logs[at], 0.0)
+
+
+def rare_words(docs: DataFrame, words: list[int], shares: Shares) -> DataFrame:
+    """text_key, word, k: how often each rare word without a known share occurs in a text (once more for each copy of it)."""
+    shared = docs.sparkSession.sparkContext.broadcast((words, shares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(shared.value)
+        classes, known = Classes(shared.value[0]), shared.value[1]
         for part in slices(batches):
             hashes, counts = word_hashes(part.column("text"))
             rare = classes(hashes) >= FREQUENT
             text, word = np.repeat(np.arange(len(counts)), counts)[rare], hashes[rare].view(np.int64)
+            other = ~known(word)[0]
+            text, word = text[other], word[other]
             order = np.lexsort((word, text))
             text, word = text[order], word[order]
             first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (word[1:] != word[:-1])])[: len(text)])
@@ -226,15 +300,11 @@ def rare_words(docs: DataFrame, words: list[int]) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "text_key long, word long, k long")
 
 
-def rare_logs(docs: DataFrame, words: list[int], counts: DataFrame) -> DataFrame:
-    """text_key, rare_log: sum of the log shares of a text's rare words in their classes."""
+def rare_logs(docs: DataFrame, words: list[int], shares: Shares, total: np.ndarray, counts: DataFrame) -> DataFrame:
+    """text_key, rare_log: sum of the log shares of a text's other rare words in their classes."""
     name = F.pmod("word", F.lit(RARE)).cast("int")
-    told = counts.where(~F.col("word").isin(words)) if words else counts
-    total = np.full(RARE, SMOOTH)
-    for r in told.groupBy(name.alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        total[r.c] += r.n + SMOOTH * r.v
     share = F.log((F.coalesce("n", F.lit(0)) + SMOOTH) / F.get(F.array(*[F.lit(float(v)) for v in total]), name))
-    both = rare_words(docs, words).join(told, "word", "left")
+    both = rare_words(docs, words, shares).join(counts, "word", "left")
     sums = both.groupBy("text_key").agg(F.sum(F.col("k") * F.round(share * UNITS).cast("long")).alias("logs"))
     # copies of a text have one key and have been summed up together
     copies = docs.groupBy(F.xxhash64("text").alias("text_key")).agg(F.count("*").alias("copies"))
@@ -247,18 +317,27 @@ def score(docs: DataFrame, model: tuple[list[int], np.ndarray], keep: list[str]
     ``counts`` (word, n of the corpus): rare words are scored as words; without it as classes.
     """
     spark = bounded(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
+    shares = None
+    if counts is not None:
+        total = class_totals(counts, model[0])
+        shares = Shares([(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()], model[0], total)
+    shared = spark.sparkContext.broadcast((*model, shares))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("r"), F.xxhash64("text").alias("text_key"), "text")
     schema = rows.select("r", "text_key").withColumns({"n_tokens": F.lit(0).cast("long"), "class_log": F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights = shared.value
+        words, weights, known = shared.value
         classes, net = Classes(words), unpacked(weights)
         for part in slices(batches):
             hashes, counts = word_hashes(part.column("text"))
-            padded, at = windows(classes(hashes), counts)
-            total = np.concatenate([[0.0], np.cumsum(log_probabilities(net, padded, at), dtype=np.float64)])
+            tokens = classes(hashes)
+            padded, at = windows(tokens, counts)
+            logs = log_probabilities(net, padded, at).astype(float)
+            if known:
+                rare = tokens >= FREQUENT
+                logs[rare] += known(hashes[rare].view(np.int64))[1]
+            total = np.concatenate([[0.0], np.cumsum(logs)])
             ends = np.cumsum(counts)
             logs = total[ends] - total[ends - counts]
             yield pa.RecordBatch.from_arrays([part.column("r"), part.column("text_key"), pa.array(counts.astype(np.int64)), pa.array(logs)], names=["r", "text_key", "n_tokens", "class_log"])
@@ -266,7 +345,7 @@ def score(docs: DataFrame, model: tuple[list[int], np.ndarray], keep: list[str]
     scored = rows.mapInArrow(run, schema)
     log_prob = F.col("class_log")
     if counts is not None:
-        scored = scored.join(rare_logs(docs, model[0], counts), "text_key", "left")
+        scored = scored.join(rare_logs(docs, model[0], shares, total, counts), "text_key", "left")
         log_prob = log_prob + F.coalesce("rare_log", F.lit(0.0))
     mean = F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens"))
     return scored.select(*[F.col(f"r.`{c}`").alias(c) for c in keep], "n_tokens", log_prob.alias("log_prob"), mean.alias("mean_log_prob"))
