@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from streamtrial.llm import fingerprints, jaccard, langid, linededup, lm_scoring, mixing, packing, quality, toxicity, urlfilter
-from streamtrial.llm.linking import _block_pairs, components
+from streamtrial.llm.linking import _block_pairs, components, sized
 from streamtrial.llm.queries import tokenizer_path
 
 #: an extra column whose name an operator might use itself
@@ -55,28 +55,89 @@ def test_langid(spark, empty):
     assert {r.lang_pred for r in langid.identify(df, empty).collect()} == {"und"}
 
 
-def test_cross_parsing_equals_brute_force():
+@pytest.mark.parametrize("block", [3, 50, langid.BLOCK])
+def test_cross_parsing_equals_brute_force(monkeypatch, block):
     rng = random.Random(5)
     train = {k: "".join(rng.choice(s) for _ in range(400)).encode() for k, s in (("a", "abc "), ("b", "bcd "))}
     model = langid.build(train)
-    texts = ["".join(rng.choice("abcdx ") for _ in range(n)) for n in (0, 1, 5, 60, 300, 2 * langid.BLOCK + 17)]
+    texts = ["".join(rng.choice("abcdx ") for _ in range(n)) for n in (0, 1, 5, 60, 300, 2 * langid.BLOCK + 17)] + [train["a"].decode() * 2, "x" * 200]
+    monkeypatch.setattr(langid, "BLOCK", block)
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     lengths = np.array([len(t) for t in texts])
     got = langid.phrases(model, model.symbol[data], np.cumsum(lengths) - lengths, lengths)
     for row, name in enumerate(model.names):
         for i, t in enumerate(texts):
-            n = 0
-            for at in range(0, len(t), langid.BLOCK):
-                block, p = t[at : at + langid.BLOCK].encode(), 0
-                while p < len(block):
-                    e = p + 1
-                    while e <= len(block) and block[p:e] in train[name]:
-                        e += 1
-                    p = max(p + 1, e - 1)
-                    n += 1
+            n, p, text = 0, 0, t.encode()
+            while p < len(text):
+                e = p + 1
+                while e <= len(text) and text[p:e] in train[name]:
+                    e += 1
+                p = max(p + 1, e - 1)
+                n += 1
             assert got[row, i] == n
 
 
+def test_names_that_clash(docs):
+    named = docs.withColumns({"letter": F.lit(1), "r": F.lit(2), "_text": F.lit(3)})
+    keep = ["doc_id", "letter", "r", "_text", "text"]
+    model = toxicity.Chain({}, [toxicity.Link("a", -1.0, np.zeros(0), np.zeros(0))])
+    for out in (langid.identify(named, named, keep), toxicity.score(named, model, keep), lm_scoring.score(named, ([], lm_scoring.start(np.zeros(lm_scoring.CLASSES))), keep)):
+        assert out.columns[:5] == keep and {r[1:4] for r in out.select(*keep).collect()} == {(1, 2, 3)} and out.count() == docs.count()
+    with pytest.raises(ValueError):
+        langid.identify(named.withColumn("score", F.lit(1)), named, ["score"])
+    with pytest.raises(ValueError):
+        toxicity.score(named.withColumn("p_a", F.lit(1)), model, ["p_a"])
+
+
+def logistic(x, y, penalised):
+    """Class-balanced logistic regression by Newton's method; the last column is the bias."""
+    x = np.column_stack([x, np.ones(len(x))])
+    pull, w = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())), np.zeros(x.shape[1])
+    ridge = 0.3 * np.append(np.ones(penalised), 0)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x * (pull * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (pull * (p - y)) + ridge * w)
+        w -= step * min(1, 2 / max(1e-9, np.abs(step).max()))
+    return w[:-1], w[-1]
+
+
+def test_chain_equals_plain_regressions():
+    """Out-of-fold log odds of the first category feed the second; words are chosen by a plain chi-square."""
+    rng = random.Random(3)
+    texts, first, second = [], [], []
+    for i in range(150):
+        a, b = i % 3 == 0, i % 2 == 0
+        own = ["bad"] * (a and rng.random() < 0.9) + ["worse"] * (b and rng.random() < 0.9) + ["odd"] * ((a and b) and rng.random() < 0.7)
+        texts.append(" ".join([prose(6, rng), *own]))
+        first.append(float(a))
+        second.append(float(a and b or rng.random() < 0.05))
+    labels, folds = {"one": np.array(first), "two": np.array(second)}, np.arange(150) % toxicity.FOLDS
+    chain = toxicity.train(texts, labels, folds)
+    words = sorted(w for w, n in Counter(w for t in texts for w in toxicity.bag(t)).items() if n >= toxicity.LEAST_TEXTS)
+    assert list(chain.words) == words
+    has = np.array([[w in toxicity.bag(t) for w in words] for t in texts], float)
+
+    def fitted(rows, extra, y):
+        x, y, n = has[rows], y[rows], len(rows)
+        share, k = y.mean(), x.sum(0)
+        chi2 = (y @ x - k * share) ** 2 / np.maximum(k * share * (1 - share), 1e-9) * n / np.maximum(n - k, 1)
+        told = chi2 >= toxicity.LEAST_CHI2
+        w, b = logistic(np.column_stack([x[:, told], extra[rows]]), y, int(told.sum()) + extra.shape[1])
+        full = np.zeros(len(words))
+        full[told] = w[: told.sum()]
+        return lambda r, e: np.clip(has[r] @ full + e[r] @ w[told.sum() :] + b, -8, 8)
+
+    every, none = np.arange(150), np.zeros((150, 0))
+    odds = np.zeros(150)
+    for k in range(toxicity.FOLDS):
+        odds[folds == k] = fitted(every[folds != k], none, labels["one"])(every[folds == k], none)
+    z1 = fitted(every, none, labels["one"])(every, none)
+    z2 = fitted(every, odds[:, None], labels["two"])(every, z1[:, None])
+    got = toxicity.predict(chain, texts)
+    for column, z in zip(got.T, (z1, z2)):
+        assert np.abs(column - 1 / (1 + np.exp(-z))).max() < 0.02
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(1)
     rows, labels = [], []
@@ -299,6 +360,44 @@ def test_short_lines_are_deduplicated(spark):
     assert got == {d: drop.get(d, []) for d in range(len(texts))}
 
 
+def test_rows_with_equal_ids_keep_their_own_lines(spark):
+    copy = "a line of more than thirty characters, the same in two documents"
+    rows = [(1, f"{copy}\nfirst text"), (2, f"a UNIQUE line of more than thirty characters\nqq"), (2, f"{copy}\nsecond"), (3, f"zz\n{copy}"), (3, f"zz\n{copy}"), (None, f"{copy}\nno id")]
+    got = sorted((r.doc_id or 0, r.text) for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, f"{copy}\nno id"), (1, "first text"), (2, "a UNIQUE line of more than thirty characters\nqq"), (2, "second"), (3, "zz"), (3, "zz")]
+
+
+def test_many_lines_and_buckets_of_several_chunks(spark, monkeypatch):
+    """One bucket that is larger than a chunk and a block, with lines of several classes; a text of 100,000 lines."""
+    monkeypatch.setattr(linededup, "CHUNK", 40)
+    rng = random.Random(11)
+    base = ["a common head of a line, then " + "".join(rng.choice("0123456789") for _ in range(20)) for _ in range(30)]
+    lines = [mutated(v, rng.randrange(3), rng) for v in base for _ in range(4)]
+    rng.shuffle(lines)
+    long = "\n".join(str(i) if i % 2 else "again" for i in range(100_000))
+    texts = ["\n".join(lines[i : i + 7]) for i in range(0, len(lines), 7)]
+    df = spark.createDataFrame([*enumerate(texts), (9999, long)], "doc_id long, text string")
+    uniq = sorted(set(lines))
+    root = {v: v for v in uniq}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    near = [(a, b) for i, a in enumerate(uniq) for b in uniq[i + 1 :] if abs(len(a) - len(b)) <= 2]
+    for a, b in near:
+        if edit_distance(a, b) <= 2:
+            root[find(a)] = find(b)
+    seen, drop = set(), defaultdict(list)
+    for d, t in enumerate(texts):
+        for i, v in enumerate(t.split("\n")):
+            (drop[d].append(i) if find(v) in seen else seen.add(find(v)))
+    got = {r.doc_id: r for r in linededup.digest(df).collect()}
+    assert {d: got[d].dropped for d in range(len(texts))} == {d: drop.get(d, []) for d in range(len(texts))}
+    assert got[9999].n_lines == 100_000 and got[9999].n_dropped == 50_000 - 1
+
+
 @pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 8, 10)])
 def test_jaccard_join(spark, empty, n, num, den):
     rng = random.Random(n)
@@ -347,6 +446,11 @@ def test_partenum_never_misses():
                     assert set(sig[own == 0]) & set(sig[own == 1])
 
 
+def plan(df):
+    other = df.sparkSession.range(1 << 22).withColumnRenamed("id", "k")
+    return other.join(df.withColumnRenamed("id", "k"), "k").hint("dummy")._jdf.queryExecution().optimizedPlan().toString().replace("strategy=broadcast", "Broadcast")
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(500, i) for i in range(400, 480)]
@@ -360,8 +464,10 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {v: find(v) for a, b in edges if a != b for v in (a, b)}
+    for most in (0, 200_000):  # by shuffles, and in one task
+        got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), most).collect()}
+        assert got == {v: find(v) for a, b in edges if a != b for v in (a, b)}
+    assert "Broadcast" in plan(sized(spark.range(10))) and "Broadcast" not in plan(sized(spark.range(10), most=10))
 
 
 def test_lm_scoring(docs, empty):
@@ -379,15 +485,68 @@ def test_lm_scoring(docs, empty):
         total = 0.0
         for k in range(2, len(ids) - 2):
             x = np.concatenate([net["vectors"][ids[k + d]] for d in (-2, -1, 1, 2)]).astype(float)
-            z = np.tanh(x @ net["hidden"] + net["shift"]) @ net["out"] + net["bias"]
-            total += z[ids[k]] - np.log(np.exp(z).sum())
+            h = np.tanh(x @ net["hidden"] + net["shift"])
+            g, w = divmod(ids[k], lm_scoring.WORDS)
+            z = h @ net["out"] + net["bias"]
+            total += z[g if ids[k] < lm_scoring.FREQUENT else lm_scoring.GROUPS + ids[k] - lm_scoring.FREQUENT] - np.log(np.exp(z).sum())
+            if ids[k] < lm_scoring.FREQUENT:
+                z = h @ net["inner"][g] + net["inner_bias"][g]
+                total += z[w] - np.log(np.exp(z).sum())
         assert abs(total - got[i].log_prob) < 1e-3 * abs(total) + 1e-6
     assert lm_scoring.score(empty, lm_scoring.train(empty)).count() == 0
 
 
-def test_lm_scores_rare_words_as_words(spark, docs, empty):
+def one_step(net, padded, at, rate):
+    """The gradient of the mean log loss of the places ``at``, token by token; inner weights by their group's own mean."""
+    grad = {k: np.zeros(v.shape) for k, v in net.items()}
+    size = Counter(int(padded[p]) // lm_scoring.WORDS for p in at if padded[p] < lm_scoring.FREQUENT)
+    for p in at:
+        t, around = int(padded[p]), [padded[p + d] for d in (-2, -1, 1, 2)]
+        x = np.concatenate([net["vectors"][c] for c in around])
+        h = np.tanh(x @ net["hidden"] + net["shift"])
+        g, w = divmod(t, lm_scoring.WORDS)
+        y = np.exp(h @ net["out"] + net["bias"])
+        y /= y.sum()
+        y[g if t < lm_scoring.FREQUENT else lm_scoring.GROUPS + t - lm_scoring.FREQUENT] -= 1
+        back = net["out"] @ y
+        grad["out"] += np.outer(h, y) / len(at)
+        grad["bias"] += y / len(at)
+        if t < lm_scoring.FREQUENT:
+            y = np.exp(h @ net["inner"][g] + net["inner_bias"][g])
+            y /= y.sum()
+            y[w] -= 1
+            back = back + net["inner"][g] @ y
+            grad["inner"][g] += np.outer(h, y) / max(size[g], lm_scoring.LEAST_GROUP)
+            grad["inner_bias"][g] += y / max(size[g], lm_scoring.LEAST_GROUP)
+        back = back * (1 - h * h) / len(at)
+        grad["hidden"] += np.outer(x, back)
+        grad["shift"] += back
+        for i, c in enumerate(around):
+            grad["vectors"][c] += (net["hidden"] @ back)[i * lm_scoring.WIDTH : (i + 1) * lm_scoring.WIDTH]
+    return {k: v - rate * grad[k] for k, v in net.items()}
+
+
+def test_a_training_round_equals_the_plain_gradient(spark):
+    texts = [prose(n, random.Random(n)) for n in (0, 3, 40, 90)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    hashes, counts = lm_scoring.word_hashes(pa.array(texts))
+    frequent = sorted({int(v) for v in hashes.view(np.int64)})[:120]
+    flat = lm_scoring.start(np.ones(lm_scoring.CLASSES))
+    net = {k: v.astype(float) for k, v in lm_scoring.unpacked(flat).items()}
+    padded, at = lm_scoring.windows(lm_scoring.Classes(frequent)(hashes), counts)
+    masked = at[lm_scoring.masked_places(hashes, counts, 1)]
+    assert 0 < len(masked) <= lm_scoring.STEP_ROWS
+    want = one_step(net, padded, masked, 0.4)
+    got = lm_scoring.unpacked(lm_scoring.trained_round(df, frequent, flat, 0.4, 1))
+    for k in want:
+        assert np.allclose(got[k], want[k], atol=2e-5), k
+
+
+def test_lm_scores_rare_words_as_words(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "KNOWN", 100)
     counts = lm_scoring.word_counts(docs).cache()
-    words, flat = model = lm_scoring.train(docs, counts)
+    words, flat = lm_scoring.train(docs, counts)
+    model = words, flat = words[:40], flat  # so that some words are rare, some of them known
     n = {r.word: r.n for r in counts.collect() if r.word not in set(words)}
     assert n
     size, kinds = Counter(), Counter()
