@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 def csv_classification(spark: SparkSession, path: str, label: str, key: str, schema: str, most: int | None = None) -> DataFrame:
     """key, x, y of a CSV file: rows with nulls are dropped, labels are coded in sorted order, features that are no numbers are 0.
 
-    ``most``: only the first rows in the order of ``key``.
+    ``most``: only the first rows in the order of ``key``, nulls among them, are looked at.
     """
-    rows = spark.read.csv(path, header=True, schema=schema).na.drop()
+    rows = spark.read.csv(path, header=True, schema=schema)
     if most is not None:
         rows = rows.orderBy(key).limit(most)
+    rows = rows.na.drop()
     codes = rows.select(label).distinct()  # as many rows as classes
     codes = codes.withColumn("y", (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
     features = [F.coalesce(F.expr(f"try_cast(`{c}` AS DOUBLE)"), F.lit(0.0)) for c in rows.columns if c not in (label, key)]
