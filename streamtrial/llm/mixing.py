@@ -13,7 +13,7 @@ inside the one bucket per leaf that holds the end. So a leaf with a third of all
 its buckets, whose number grows with the table.
 
 Defined cases: null levels are a group of their own (shown as ''), null or empty texts have 0 tokens and
-are taken if they stand before the end; weights not listed are 1; repeated rows (equal ids) are counted
+are taken if they stand before the end; weights not listed are 1, and a weight of 0 gives nothing; repeated rows (equal ids) are counted
 one by one and selected together or not at all; an empty table gives no rows.
 """
 
@@ -41,7 +41,7 @@ def domain_of(source: Column) -> Column:
 def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
     w = F.lit(1)
     for name, value in sorted(weights.get(level, {}).items()):
-        w = F.when(F.col(level) == name, F.lit(int(value))).otherwise(w)
+        w = F.when(F.col(level) == name, F.lit(max(0, int(value)))).otherwise(w)
     return w.cast("double")
 
 
@@ -60,14 +60,15 @@ def budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int]
         key = [*above, level]
         part = leaves.groupBy(*key).agg(F.sum("cap").cast("double").alias("_cap")).withColumn("_w", _weight(level, weights))
         part = part.join(nodes, above)
-        order = Window.partitionBy(*above).orderBy(F.col("_cap") / F.col("_w"), level)
+        filled_at = F.when(F.col("_w") > 0, F.try_divide("_cap", "_w")).otherwise(F.lit(float("inf")))  # without weight: last, with nothing
+        order = Window.partitionBy(*above).orderBy(filled_at, level)
         before, everyone = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*above)
         part = part.withColumns({"_cap0": F.coalesce(F.sum("_cap").over(before), F.lit(0.0)), "_w0": F.coalesce(F.sum("_w").over(before), F.lit(0.0)), "_wall": F.sum("_w").over(everyone)})
-        part = part.withColumn("_rate", (F.col("_given") - F.col("_cap0")) / (F.col("_wall") - F.col("_w0")))
+        part = part.withColumn("_rate", F.try_divide(F.col("_given") - F.col("_cap0"), F.col("_wall") - F.col("_w0")))
         part = part.withColumn("_full", F.col("_cap") <= F.col("_rate") * F.col("_w"))
         # the first child that isn't full sets the rate for all after it
-        part = part.withColumn("_open", F.min(F.when(~F.col("_full"), F.struct((F.col("_cap") / F.col("_w")).alias("a"), F.col(level).alias("b"), F.col("_rate").alias("rate")))).over(everyone)["rate"])
-        nodes = part.select(*key, F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("_open") * F.col("_w")).alias("_given"))
+        part = part.withColumn("_open", F.min(F.when(~F.col("_full"), F.struct(filled_at.alias("a"), F.col(level).alias("b"), F.col("_rate").alias("rate")))).over(everyone)["rate"])
+        nodes = part.select(*key, F.when(F.col("_full"), F.col("_cap")).otherwise(F.coalesce(F.col("_open") * F.col("_w"), F.lit(0.0))).alias("_given"))
         above = key
     return leaves.join(nodes, above).select(*levels, "cap", F.floor("_given").cast("long").alias("budget"))
 

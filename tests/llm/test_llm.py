@@ -605,6 +605,12 @@ def test_mixing_budgets_are_fair(spark):
     assert {r.source: r.budget for r in mixing.budgets(df, F.lit(1120), {}).collect()} == {"a": 100, "b": 10, "c": 30, "d": 980, "e": 0}
 
 
+def test_a_weight_of_zero_gives_nothing(spark):
+    leaves = spark.createDataFrame([("d", "en", "a", 100), ("d", "en", "b", 100), ("d", "de", "c", 100)], "domain string, lang string, source string, cap long")
+    got = mixing.budgets(leaves, F.lit(120), {"lang": {"de": 0}, "source": {"b": 0}}).collect()
+    assert {r.source: r.budget for r in got} == {"a": 100, "b": 0, "c": 0}
+
+
 def test_mixing_takes_prefixes(docs, empty):
     for fraction, epochs in ((0.5, 1), (0.7, 3), (1.0, 1)):
         took = Counter((r.doc_id, r.epoch) for r in mixing.mix(docs, fraction, epochs, 5).collect())
