@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamtrial.operators import kernels, trees
+from streamtrial.operators import kernels, pool, trees
 
 #: name -> (maker, task)
 KERNELS = {
@@ -22,10 +22,14 @@ KERNELS = {
     "hoeffding_tree": (trees.HoeffdingTree, "classification"),
     "efdt": (trees.extremely_fast, "classification"),
     "gradient_tree": (trees.GradientLeaf, "classification"),
+    "naive_bayes": (pool.NaiveBayes, "classification"),
+    "knn": (pool.Nearest, "classification"),
+    "bagged_naive_bayes": (pool.Bagged, "classification"),
     "linear": (kernels.LinearSgd, "regression"),
     "bayesian_linear": (kernels.BayesianLinear, "regression"),
     "passive_aggressive_reg": (kernels.PassiveAggressiveLine, "regression"),
     "hoeffding_tree_reg": (trees.HoeffdingRegressor, "regression"),
+    "knn_reg": (pool.NearestMean, "regression"),
 }
 
 

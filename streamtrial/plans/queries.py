@@ -13,7 +13,7 @@ from streamtrial.operators import drift, ensemble, metrics, neighbours, scaling
 from streamtrial.operators.fold import prequential, sweep
 from streamtrial.operators.naive_bayes import fit, naive_bayes
 from streamtrial.operators.scan import scan
-from streamtrial.plans import oracles, search
+from streamtrial.plans import oracles, search, suite
 from streamtrial.plans.storage import shared_dir, stored
 from streamtrial.plans.streams import STREAMS, instances, stream_sql
 from streamtrial.sources import results, tables
@@ -393,6 +393,110 @@ def e3(spark, sf):
     return rows.select("stream_id", "seq", F.count("f0").over(w).alias("c"), F.round(F.coalesce(F.avg("f0").over(w), F.lit(0.0)) + 1e-8, 5).alias("mean"))
 
 
+# --- evaluator and suite ---------------------------------------------------------------------------------
+
+@query("a4_row_cap", f"SELECT stream_id, count(*) AS n, round(sum(f0), 6) AS total FROM ({stream_sql('ev_users')}) WHERE seq <= 30 GROUP BY 1")
+def a4(spark, sf):
+    """The first 30 rows of every stream."""
+    rows = suite.prepared(instances(spark, sf, "ev_users"), 3, most=30)
+    return _rounded(rows.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum(F.col("x")[0]).alias("total")), "total")
+
+
+def _prepared_sql(name: str, most: int, target: bool = False) -> str:
+    """The stream's first rows, features scaled by their ranges so far, and the normalised target if wanted."""
+    fs = [f"f{f}" for f in range(STREAMS[name].width)]
+    y = f"CASE WHEN n0 < 2 THEN y - m WHEN d > 0 THEN (y - m) / d ELSE 0 END AS y, y AS own, m, CASE WHEN n0 < 2 THEN 1 ELSE d END AS d" if target else "y"
+    scaled = ", ".join(f"{_unit(f, oracles.UPTO)} AS g{f[1:]}" for f in fs)
+    stats = f"count(*) OVER {oracles.UPTO} AS n0, avg(y) OVER {oracles.UPTO} AS m, sqrt(greatest(avg(y * y) OVER {oracles.UPTO} - (avg(y) OVER {oracles.UPTO}) * (avg(y) OVER {oracles.UPTO}), 0)) AS d"
+    return f"SELECT stream_id, seq, n, {', '.join(f'g{f[1:]} AS {f}' for f in fs)}, {y} FROM (SELECT *, {scaled}, {stats} FROM ({stream_sql(name)}) WHERE seq <= {most})"
+
+
+def _swapped(sql: str, name: str, own: str) -> str:
+    return sql.replace(f"({stream_sql(name)})", f"({own})")
+
+
+_REG = suite.Suite({"line": ("linear", {})}, "regression", ["ev_value"], most=60, normalize=True)
+_REG_Z = _swapped(oracles.linear_regressor("ev_value", "linear").replace("round(pred, 6)", "pred"), "ev_value", _prepared_sql("ev_value", 60, True))
+
+
+@query("e1_evaluator_reg", f"SELECT 'line' AS framework, 'ev_value' AS dataset, p.stream_id, p.seq, round(i.own, 6) AS y, round(p.pred * i.d + i.m, 5) AS pred FROM ({_REG_Z}) p JOIN ({_prepared_sql('ev_value', 60, True)}) i ON p.stream_id = i.stream_id AND p.seq = i.seq")
+def e1_reg(spark, sf):
+    """A linear model on scaled features and targets; its predictions on the targets' own scale."""
+    preds = _REG.predictions(spark, sf).select("framework", "dataset", "stream_id", "seq", "y", "pred")
+    return _rounded(_rounded(preds, "y"), "pred", places=5)
+
+
+_SUITE = suite.Suite({"perceptron": ("perceptron", {}), "softmax": ("softmax", {}), "wrong": ("no such learner", {})}, "classification", ["ev_users"], n_runs=2, seeds=[7, 3], window=20, most=50, normalize=True)
+_KEPT = {m: _swapped(oracles.linear_classifier("ev_users", m), "ev_users", _prepared_sql("ev_users", 50)) for m in ("perceptron", "softmax")}
+_PLACES = "CROSS JOIN (SELECT 0 AS run_id, 7 AS seed UNION ALL SELECT 1, 3)"
+_BOTH = " UNION ALL ".join(f"SELECT '{m}' AS framework, {i} AS place, s.* FROM (SELECT * FROM ({oracles.classification_metrics(q, 'one').replace('WITH p AS MATERIALIZED (', 'WITH p AS MATERIALIZED (SELECT *, 1 AS one FROM (').replace('), k AS', ')), k AS', 1)})) s" for i, (m, q) in enumerate(_KEPT.items()))
+
+
+def _suite_runs(spark, sf) -> tuple[DataFrame, DataFrame]:
+    preds = stored(_SUITE.predictions(spark, sf))
+    return preds, stored(_SUITE.runs(preds))
+
+
+_RUNS_OF_SUITE = f"SELECT framework, 'ev_users' AS dataset, run_id, seed, n_samples, accuracy, precision, recall, f1, 'finished' AS status, run_id * 3 + place + 1 AS task_index FROM ({_BOTH}) {_PLACES} UNION ALL SELECT 'wrong', 'ev_users', run_id, seed, 0, NULL, NULL, NULL, NULL, 'failed', run_id * 3 + 3 FROM (SELECT 1) {_PLACES}"
+
+
+@query("j6_suite_runs", f"SELECT framework, dataset, run_id, seed, n_samples, accuracy, precision, recall, f1, status, task_index, 6 AS task_total FROM ({_RUNS_OF_SUITE})")
+def j6(spark, sf):
+    """Two learners and one that doesn't exist, with two seeds, over the users' streams."""
+    runs = _suite_runs(spark, sf)[1]
+    return _rounded(runs, *_METRICS).select("framework", "dataset", "run_id", "seed", "n_samples", *_METRICS, "status", "task_index", "task_total")
+
+
+_FIRST_WINDOWS = " UNION ALL ".join(f"SELECT '{m}' AS framework, run_id, stream_id, CAST(floor((seq - 1) / 20) AS BIGINT) AS window_no, count(*) AS n_samples, round(avg(CASE WHEN y = pred THEN 1 ELSE 0 END), 6) AS accuracy FROM ({q}) {_PLACES} GROUP BY ALL" for m, q in _KEPT.items())
+
+
+@query("j6_suite_windows", _FIRST_WINDOWS)
+def j6_windows(spark, sf):
+    preds = stored(_SUITE.predictions(spark, sf))
+    return _rounded(_SUITE.windows(preds), "accuracy").select("framework", "run_id", "stream_id", "window_no", "n_samples", "accuracy")
+
+
+@query("j7_run_events", f"SELECT framework, run_id, seed, task_index, 6 AS task_total, event, CASE WHEN event = 'task_finished' THEN status END AS state, TRUE AS timed FROM ({_RUNS_OF_SUITE}) CROSS JOIN (SELECT 'task_started' AS event UNION ALL SELECT 'task_finished')")
+def j7(spark, sf):
+    told = suite.events(_suite_runs(spark, sf)[1])
+    return told.select("framework", "run_id", "seed", "task_index", "task_total", "event", "state", (F.col("at") > 0).alias("timed"))
+
+
+@query("c16_throughput", f"SELECT framework, run_id, n_samples, n_samples > 0 AS fast FROM ({_RUNS_OF_SUITE})")
+def c16(spark, sf):
+    """Rows a second of every run; shown is whether there is a rate, as the rate itself is never the same twice."""
+    return _suite_runs(spark, sf)[1].select("framework", "run_id", "n_samples", (F.coalesce("rows_per_s", F.lit(0.0)) > 0).alias("fast"))
+
+
+@query("c13_ranking", f"SELECT dataset, framework, n_runs, score, rank() OVER (PARTITION BY dataset ORDER BY score DESC) AS rank FROM (SELECT dataset, framework, count(*) AS n_runs, round(avg(accuracy), 6) AS score FROM ({_RUNS_OF_SUITE}) WHERE status = 'finished' GROUP BY 1, 2)")
+def c13_rank(spark, sf):
+    return suite.ranking(_suite_runs(spark, sf)[1], "classification")
+
+
+@query("a8_result_tables", f"SELECT framework, count(*) AS n_runs, count(CASE WHEN status = 'finished' THEN 1 END) AS n_ok, count(CASE WHEN status = 'failed' THEN 1 END) AS n_errors, max(n_samples) AS n_samples, round(avg(accuracy), 6) AS accuracy_mean, CAST(3 AS BIGINT) AS least_seed, count(*) AS summary_rows FROM ({_RUNS_OF_SUITE}) GROUP BY 1")
+def a8_tables(spark, sf):
+    """The result tables written and read back: aggregate with seeds and errors, and the flat summary."""
+    runs = _suite_runs(spark, sf)[1]
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    results.write_tables(runs, suite.aggregated(runs, "classification"), path)
+    total = spark.read.schema("n_runs long, n_ok long, errors array<string>, seeds array<long>, n_samples long, accuracy_mean double, framework string").json(f"{path}/aggregate")
+    flat = spark.read.schema("framework string").json(f"{path}/summary").groupBy("framework").agg(F.count("*").alias("summary_rows"))
+    return total.join(flat, "framework").select("framework", "n_runs", "n_ok", F.size("errors").cast("long").alias("n_errors"), "n_samples", "accuracy_mean", F.col("seeds")[0].alias("least_seed"), "summary_rows")
+
+
+QUERIES["d1_naive_bayes_kernel"] = lambda spark, sf: prequential(instances(spark, sf, "ev_users"), "naive_bayes")
+ORACLES["d1_naive_bayes_kernel"] = oracles.naive_bayes("ev_users")
+QUERIES["d6_knn_kernel"] = lambda spark, sf: prequential(instances(spark, sf, "ev_users"), "knn", {"window": 40})
+ORACLES["d6_knn_kernel"] = oracles.knn("ev_users", 5, 40, False)
+
+
+@query("j5_seeded_runs")
+def j5(spark, sf):
+    """Bagging with three seeds: seeds are keys of the same job."""
+    one = suite.Suite({"bagging": ("bagged_naive_bayes", {"members": 3})}, "classification", ["ev_users"], n_runs=3, most=40)
+    return _rounded(one.runs(stored(one.predictions(spark, sf))), *_METRICS).select("framework", "dataset", "run_id", "seed", "n_samples", *_METRICS)
+
+
 # --- ensembles and drift ---------------------------------------------------------------------------------
 
 _TEAM = ("perceptron", "logistic", "passive_aggressive")

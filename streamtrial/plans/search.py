@@ -19,23 +19,27 @@ from pyspark.sql import functions as F
 
 from streamtrial.operators.drift import Eddm
 from streamtrial.operators.fold import KERNELS
+from streamtrial.operators.pool import spread
 
 #: Scalers, and grids of parameters per algorithm.
 SCALERS = ("minmax", "standard", "maxabs")
 SPACE = {
     "classification": {
-        "perceptron": {"lr": [0.001, 0.01, 0.1, 1.0]},
-        "logistic": {"lr": [0.001, 0.01, 0.1], "l2": [0.0, 0.001, 0.01]},
-        "passive_aggressive": {"c": [0.01, 0.1, 1.0]},
-        "softmax": {"lr": [0.001, 0.01, 0.1], "l2": [0.0, 0.001, 0.01]},
-        "hoeffding_tree": {"grace": [50, 100, 200], "delta": [1e-7, 1e-5, 1e-3]},
-        "gradient_tree": {"lr": [0.01, 0.1, 1.0]},
+        "naive_bayes": {},
+        "perceptron": {"lr": spread(0.001, 0.1, 0.005)},
+        "logistic": {"lr": spread(0.001, 0.1, 0.005), "l2": spread(0.0, 0.01, 0.001)},
+        "passive_aggressive": {"c": spread(0.1, 10.0, 0.5)},
+        "softmax": {"lr": spread(0.001, 0.1, 0.005), "l2": spread(0.0, 0.01, 0.001)},
+        "hoeffding_tree": {"grace": spread(50, 500, 50), "delta": [1e-9, 1e-7, 1e-4, 1e-2], "tie": spread(0.02, 0.08, 0.01), "nb_threshold": spread(0, 50, 10), "depth": spread(10, 100, 10), "criterion": ["info_gain", "gini"]},
+        "gradient_tree": {"lr": spread(0.01, 0.5, 0.05)},
+        "knn": {"k": spread(3, 15, 2), "window": spread(200, 2000, 200), "p": [1, 2]},
     },
     "regression": {
         "linear": {"lr": [0.001, 0.01, 0.1], "l2": [0.0, 0.001, 0.01]},
         "bayesian_linear": {"alpha": [0.1, 1.0, 10.0], "beta": [0.1, 1.0, 10.0]},
         "passive_aggressive_reg": {"c": [0.01, 0.1, 1.0], "epsilon": [0.01, 0.1]},
         "hoeffding_tree_reg": {"grace": [50, 100, 200], "lr": [0.001, 0.01]},
+        "knn_reg": {"k": spread(3, 15, 2), "window": spread(200, 2000, 200), "p": [1, 2]},
     },
 }
 
@@ -133,9 +137,9 @@ def mutated(config: Config, task: str, seed: int, *parts) -> Config:
 
 
 def encoded(config: Config, task: str) -> list[float]:
-    """A vector of fixed length: scaler and algorithm as index + 1, then parameter values, padded with zeros."""
+    """A vector of fixed length: scaler and algorithm as index + 1, then parameter values (of a word: its index), padded with zeros."""
     longest = max(len(g) for g in SPACE[task].values())
-    values = [float(v) for _, v in config.params]
+    values = [float(SPACE[task][config.algo][k].index(v) if isinstance(v, str) else v) for k, v in config.params]
     return [SCALERS.index(config.scaler) + 1.0, sorted(SPACE[task]).index(config.algo) + 1.0, *values, *[0.0] * (longest - len(values))]
 
 
@@ -201,7 +205,7 @@ def windows(stream: DataFrame, size: int) -> list[DataFrame]:
 def adaptive_search(stream: DataFrame, task: str, window: int = 1000, budget: int = 10, ensemble: int = 3, seed: int = 0) -> DataFrame:
     """stream predictions (seq, y, pred) of an ensemble of the best pipelines so far, with recency-weighted votes.
 
-    The first pool holds all configurations. After each window the pool is the best one, neighbours of it (a
+    The first pool holds all configurations; one of them, drawn by the seed, speaks in the first window. After each window the pool is the best one, neighbours of it (a
     chain), and random ones, all untrained; the best pipeline joins the ensemble untrained and learns on, and
     replaces the worst of a full one. After a fall of the ensemble's score (to 95 %, or for the error to
     110 %) seven tenths of the new pool are random instead of half.
@@ -214,7 +218,7 @@ def adaptive_search(stream: DataFrame, task: str, window: int = 1000, budget: in
         for m in team:
             m.state, m.score = states[m.id], scores[m.id]
         best = next(m for m in pool if m.id == _best(scores, [m.id for m in pool]))
-        speakers = [m.id for m in team] or [best.id]
+        speakers = [m.id for m in team] or [pick([m.id for m in pool], seed, "first")]  # known before the window
         rank = F.create_map(*[F.lit(v) for i, m in enumerate(speakers) for v in (m, (i + 1) / len(speakers))])
         mine = preds.where(F.col("member").isin(speakers)).withColumn("w", rank[F.col("member")])
         if task == "classification":
@@ -315,6 +319,20 @@ def holdout_search(block: DataFrame, task: str, budget: int = 20, seed: int = 0)
     return team[_best(scores, [m.id for m in team])].config, board
 
 
+def first_drift(preds: DataFrame, detector: Eddm) -> tuple[int | None, Eddm]:
+    """The first seq at which the detector reports drift of the errors, and the detector as it then is; one row comes back."""
+    start = pickle.dumps(detector)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, d = pdf.sort_values("seq"), pickle.loads(start)
+        cut = next((s for s, e in zip(pdf.seq, pdf.e) if d.update(e)), None)
+        return pd.DataFrame({"cut": pd.array([cut], dtype="Int64"), "state": [pickle.dumps(d)]})
+
+    flags = preds.select("seq", (F.col("y") != F.col("pred")).cast("double").alias("e"), F.lit(0).alias("k"))
+    found = flags.groupBy("k").applyInPandas(run, "cut long, state binary").first()
+    return found.cut, pickle.loads(bytes(found.state))
+
+
 def online_automl(stream: DataFrame, warm_up: int = 200, recent: int = 500, budget: int = 20, seed: int = 0, step: int = 1000) -> DataFrame:
     """Null predictions in the warm-up, then the pipeline of a hold-out search; drift of its errors starts a new search on the last rows."""
     task = "classification"
@@ -330,9 +348,8 @@ def online_automl(stream: DataFrame, warm_up: int = 200, recent: int = 500, budg
     while at < n:
         block = stream.where(f"seq > {at} and seq <= {at + step}")
         preds, states = advance(block, [member], task, seed)
-        errors = [(r.seq, float(r.y != r.pred)) for r in preds.orderBy("seq").collect()]  # one window's flags
-        cut = next((s for s, e in errors if detector.update(e)), None)
-        end = cut or errors[-1][0]
+        cut, detector = first_drift(preds, detector)
+        end = cut or min(n, at + step)
         out.append(preds.where(F.col("seq") <= end).select("seq", "y", "pred"))
         if cut:
             found, _ = holdout_search(stream.where(f"seq > {max(0, cut - recent)} and seq <= {cut}"), task, budget, seed + cut)

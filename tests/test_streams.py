@@ -7,12 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from streamtrial.operators import drift, ensemble, kernels, metrics, neighbours, scaling, trees
+from streamtrial.operators import drift, ensemble, kernels, metrics, neighbours, pool, scaling, trees
 from streamtrial.operators.fold import KERNELS, prequential, register, sweep
 from streamtrial.operators.naive_bayes import naive_bayes
 from streamtrial.operators.numbering import numbered
 from streamtrial.operators.scan import scan
-from streamtrial.plans import search
+from streamtrial.plans import search, suite
 from streamtrial.sources import results, tables
 from streamtrial.streaming.live import live_predictions, run_available
 
@@ -198,7 +198,7 @@ def test_search_space():
     for i in range(30):
         near = search.nearby(base, "classification", 1, i)
         assert near.algo == base.algo and all(v in search.SPACE["classification"][near.algo][k] for k, v in near.params)
-        assert len(search.encoded(search.random_config("classification", 2, i), "classification")) == 4
+        assert len(search.encoded(search.random_config("classification", 2, i), "classification")) == 8
     assert search.random_config("classification", 1, "a") == base
 
 
@@ -209,6 +209,94 @@ def test_holdout_search(stream):
     assert search.holdout_search(one.where("seq < 4"), "classification", 2) == (None, [])
 
 
+def test_grids():
+    assert pool.spread(50, 500, 50) == list(range(50, 501, 50)) and pool.spread(200, 2000, 200)[-1] == 2000
+    assert len(pool.spread(0.001, 0.1, 0.005)) == 20 and pool.spread(0.0, 0.01, 0.001)[-1] == 0.01
+    assert pool.spread(1, 0, 1) == []
+
+
+def test_pool_kernels_equal_the_joins(stream):
+    same = lambda a, b: {(r.stream_id, r.seq): r.pred for r in a.collect()} == {(r.stream_id, r.seq): r.pred for r in b.collect()}
+    assert same(prequential(stream, "naive_bayes"), naive_bayes(stream, (0, 1, 2), 3))
+    assert same(prequential(stream, "knn", {"window": 40}), neighbours.knn_classify(stream, 5, 40))
+    for algo in ("naive_bayes", "knn"):
+        p = [r.proba for r in prequential(stream, algo, proba=True).collect()]
+        assert all(not m or abs(sum(m.values()) - 1) < 1e-9 for m in p) and sum(not m for m in p) == 2
+
+
+def test_first_drift(spark):
+    flags = [int(i % 10 == 0) if i < 1500 else int(i % 2 == 0) for i in range(3000)]
+    preds = spark.createDataFrame([(i + 1, v, 0) for i, v in enumerate(flags)], "seq long, y int, pred int")
+    plain = drift.Eddm()
+    want = next((i + 1 for i, v in enumerate(flags) if plain.update(float(v))), None)
+    got, state = search.first_drift(preds, drift.Eddm())
+    assert got == want and vars(state) == vars(plain)
+    assert search.first_drift(preds.where("seq <= 5"), drift.Eddm())[0] is None
+
+
+def test_search_speaks_before_it_knows(stream):
+    """In the first window the voice is one drawn from the pool, whatever the rows are."""
+    one = stream.where("stream_id = 's' and seq <= 60").cache()
+    got = [r.pred for r in search.adaptive_search(one, "classification", 60, budget=2, seed=5).orderBy("seq").collect()]
+    pick = search.pick(list(range(len(search.all_configs("classification")))), 5, "first")
+    own = search.Pipeline(search.all_configs("classification")[pick], 3)
+    want = []
+    for r in one.orderBy("seq").collect():
+        want.append(own.predict(np.array(r.x)))
+        own.learn(np.array(r.x), r.y)
+    assert got == want
+
+
+class Fails:
+    def __init__(self, width, **_):
+        self.n = 0
+
+    def predict(self, x):
+        return None if self.n < 3 else 1
+
+    def learn(self, x, y):
+        self.n += 1
+        if self.n > 5:
+            raise RuntimeError("full")
+
+
+def test_suite_arguments():
+    m = {"a": ("perceptron", {})}
+    assert suite.list_datasets("regression") == ["ev_value", "li_revenue"]
+    assert suite.Suite(m, "classification", n_runs=3).run_seeds == [0, 1, 2] and suite.Suite(m, "classification").run_seeds == [None]
+    for bad in ({"models": {}}, {"task": "ranking"}, {"n_runs": 0}, {"window": 0}, {"most": 0}, {"n_runs": 2, "seeds": [1]}, {"datasets": []}, {"datasets": ["ev_value"]}):
+        with pytest.raises(ValueError):
+            suite.Suite(**({"models": m, "task": "classification"} | bad))
+
+
+def test_suite_keeps_what_came_before_a_fault(spark):
+    register("fails", Fails, "classification")
+    s = suite.Suite({"bad": ("fails", {}), "bag": ("bagged_naive_bayes", {"members": 2})}, "classification", ["ev_users"], n_runs=2, seeds=[4, 9], most=10, window=4)
+    preds = s.predictions(spark, "/root/testdata/sf0.001").cache()
+    runs = {(r.framework, r.run_id): r for r in s.runs(preds).collect()}
+    users = preds.select("stream_id").distinct().count()
+    bad, bag = runs["bad", 0], runs["bag", 1]
+    assert bad.status == "failed" and "full" in bad.error and bad.n_samples == 5 * users and bad.task_index == 1
+    assert bag.status == "finished" and bag.seed == 9 and bag.rows_per_s > 0 and (bag.task_index, bag.task_total) == (4, 4) and bag.finished_at >= bag.started_at
+    assert preds.where("framework = 'bad' and run_id = 0 and seq <= 3 and pred is not null").count() == 0
+    rows = [r for r in preds.where("framework = 'bag' and run_id = 1").orderBy("stream_id", "seq").collect()]
+    from streamtrial.plans.streams import instances
+
+    mine = [r for r in instances(spark, "/root/testdata/sf0.001", "ev_users").where("seq <= 10 and stream_id = '" + rows[0].stream_id + "'").orderBy("seq").collect()]
+    model, want = pool.Bagged(3, members=2, seed=9), []
+    for r in mine:
+        want.append(float(model.predict(np.array(r.x))))
+        model.learn(np.array(r.x), r.y)
+    assert [r.pred for r in rows if r.stream_id == rows[0].stream_id] == want
+    total = {r.framework: r for r in suite.aggregated(s.runs(preds), "classification").collect()}
+    assert total["bad"].n_failed == 2 and len(total["bad"].errors) == 2 and total["bad"].accuracy_mean is None and total["bag"].seeds == [4, 9]
+    text = {(r.framework, r.run_id): r for r in results.csv_rows(s.runs(preds), ["accuracy"]).collect()}
+    assert text["bad", 0].accuracy == "" and len(text["bag", 0].total_time_s.split(".")[1]) == 4
+    assert [r.rank for r in suite.ranking(s.runs(preds), "classification").collect()] == [1]
+    with pytest.raises(ValueError):
+        suite.aggregated(s.runs(preds).limit(0), "classification")
+
+
 def test_live_equals_batch(spark, stream, tmp_path):
     stream.repartition(3, "stream_id").write.parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(stream.schema).parquet(str(tmp_path / "in"))
