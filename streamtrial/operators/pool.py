@@ -116,5 +116,5 @@ class Bagged:
 def spread(low: float, high: float, step: float) -> list[float]:
     """low, low + step, ... up to and including high: a grid of parameter values."""
     whole = all(float(v).is_integer() for v in (low, high, step))
-    n = max(0, int((high - low) / step + 1e-9) + 1)
+    n = max(0, int(np.floor((high - low) / step + 1e-9)) + 1)
     return [int(low + i * step) if whole else round(low + i * step, 10) for i in range(n)]

@@ -247,19 +247,6 @@ def test_search_speaks_before_it_knows(stream):
     assert got == want
 
 
-class Fails:
-    def __init__(self, width, **_):
-        self.n = 0
-
-    def predict(self, x):
-        return None if self.n < 3 else 1
-
-    def learn(self, x, y):
-        self.n += 1
-        if self.n > 5:
-            raise RuntimeError("full")
-
-
 def test_suite_arguments():
     m = {"a": ("perceptron", {})}
     assert suite.list_datasets("regression") == ["ev_value", "li_revenue"]
@@ -270,6 +257,18 @@ def test_suite_arguments():
 
 
 def test_suite_keeps_what_came_before_a_fault(spark):
+    class Fails:
+        def __init__(self, width, **_):
+            self.n = 0
+
+        def predict(self, x):
+            return None if self.n < 3 else 1
+
+        def learn(self, x, y):
+            self.n += 1
+            if self.n > 5:
+                raise RuntimeError("full")
+
     register("fails", Fails, "classification")
     s = suite.Suite({"bad": ("fails", {}), "bag": ("bagged_naive_bayes", {"members": 2})}, "classification", ["ev_users"], n_runs=2, seeds=[4, 9], most=10, window=4)
     preds = s.predictions(spark, "/root/testdata/sf0.001").cache()
