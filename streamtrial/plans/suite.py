@@ -111,6 +111,7 @@ class Suite:
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("seq").reset_index(drop=True)
+            y, std, mean = pdf.y.tolist(), pdf["std"].tolist(), pdf["mean"].tolist()
             algo, params = models[pdf.framework[0]]
             seed, began, pred, error = seeds[int(pdf.run_id[0])], time.time(), [], None
             try:
@@ -121,19 +122,24 @@ class Suite:
                 for i, t in enumerate(z):
                     p = model.predict(x[i])
                     model.learn(x[i], t)
-                    pred.append(None if p is None else min(MOST, max(-MOST, float(p) * pdf["std"][i] + pdf["mean"][i])))
+                    pred.append(None if p is None else min(MOST, max(-MOST, float(p) * std[i] + mean[i])))
             except Exception as e:  # the other runs go on
                 error = f"{type(e).__name__}: {e}"
-            out = pdf[["framework", "dataset", "run_id", "stream_id", "seq", "y"]].head(len(pred) + (error is not None)).copy()
-            out["seed"] = pd.array([seed] * len(out), dtype="Int64")
-            out["pred"], out["error"], out["started"], out["ended"] = [*pred, *[None] * (error is not None)], None, None, None
-            out["seq"] = out["seq"].astype("Int64")
-            last = out.index[-1]
-            if error is not None:
-                out.loc[last, ["seq", "y"]] = None
-                out.loc[last, "error"] = error
-            out.loc[last, ["started", "ended"]] = [began, time.time()]
-            return out[["framework", "dataset", "run_id", "seed", "stream_id", "seq", "y", "pred", "error", "started", "ended"]]
+            n, more = len(pred), int(error is not None)
+            end = [None] * max(0, n + more - 1)
+            return pd.DataFrame({
+                "framework": pdf.framework[0],
+                "dataset": pdf.dataset[0],
+                "run_id": pdf.run_id[0],
+                "seed": pd.array([seed] * (n + more), dtype="Int64"),
+                "stream_id": pdf.stream_id[0],
+                "seq": pd.array([*pdf.seq.to_numpy()[:n], *[None] * more], dtype="Int64"),
+                "y": [*y[:n], *[None] * more],
+                "pred": [*pred, *[None] * more],
+                "error": [*end, error],
+                "started": [*end, began],
+                "ended": [*end, time.time()],
+            })
 
         keys = ("framework", "dataset", "run_id", "stream_id")
         return rows.groupBy(*keys).applyInPandas(run, "framework string, dataset string, run_id int, seed long, stream_id string, seq long, y double, pred double, error string, started double, ended double")
