@@ -38,6 +38,8 @@ from streamtrial.llm.linking import BROADCAST_BYTES, components, links, sized
 
 #: Bytes of a set's sketch, and documents that one is held against in a group.
 SKETCH, PARTNERS = 256, 256
+#: Spare partitions that keep random sets of a band from meeting by empty subsets may be one for so many needed.
+SPARE_PART = 6
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -87,9 +89,20 @@ def partitions(high: int, num: int, den: int) -> tuple[int, int]:
     if not k:
         return 0, 0
     need = k // 2 + 1
-    empty = math.exp(-high * num / den / need / 3)  # of a second-level partition
-    weak = need * (3 * empty**2 * (1 - empty) + empty**3)
-    return need + (spare := math.ceil(weak + 3 * math.sqrt(weak)) if weak > 0.01 else 0), spare
+
+    def weak(least: float, parts: int) -> float:
+        """Partitions with an empty subset of a random set of ``least`` elements, with three deviations."""
+        empty = math.exp(-least / parts / 3)  # of a second-level partition
+        mean = parts * (3 * empty**2 * (1 - empty) + empty**3)
+        return mean + 3 * math.sqrt(mean) if mean > 0.01 else 0
+
+    # the least set that has signatures here is the least of the band below
+    for spare in range(need // SPARE_PART + 1):
+        if weak(high * (num / den) ** 2, need + spare) <= spare:
+            return need + spare, spare
+    # small sets would need more: sketches tell them apart
+    spare = math.ceil(weak(high * num / den, need))
+    return need + spare, spare
 
 
 def signatures(values: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
