@@ -33,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamtrial.llm.common import Scratch, SubstringHash, bounded, mix64, slices, string_parts, word_spans, written
+from streamtrial.llm.common import Scratch, bounded, mix64, slices, span_hashes, string_parts, word_spans, written
 from streamtrial.llm.linking import BROADCAST_BYTES, components, links, sized
 
 #: Bytes of a set's sketch, and documents that one is held against in a group.
 SKETCH, PARTNERS = 256, 256
 #: Spare partitions that keep random sets of a band from meeting by empty subsets may be one for so many needed.
 SPARE_PART = 6
+#: Columns that tell equal sets.
+SET = ("set_hash", "set_check")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -50,7 +52,7 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     glued = np.full(len(data) + len(lengths), 32, np.uint8)
     glued[np.arange(len(data)) + np.repeat(np.arange(len(lengths)), lengths)] = _LOWER[data]
     a, b = word_spans(glued)
-    words = SubstringHash(glued)(a, b - a)
+    words = span_hashes(glued, a, b)
     first = np.concatenate([[0], np.searchsorted(a, np.cumsum(lengths + 1))])
     out, sizes = [], np.zeros(len(lengths), np.int64)
     factor = [np.uint64((2 * i + 3) * 0x9E3779B97F4A7C15 % (1 << 64)) for i in range(n)]
@@ -153,16 +155,17 @@ def sketches_of(docs: DataFrame, n: int) -> DataFrame:
 
 
 def heads_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, set_hash of every row."""
+    """doc_id, text_key, n_shingles, and two hashes of the set, set_hash and set_check, of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             values, sizes = shingle_sets(part.column("text"), n)
-            total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(values + np.uint64(5)), dtype=np.uint64)])
-            ends = np.cumsum(sizes)
-            hashed = mix64(total[ends] - total[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(sizes), pa.array(hashed)], names=["doc_id", "text_key", "n_shingles", "set_hash"])
+            ends, hashed = np.cumsum(sizes), []
+            for salt in (5, 0x6A09E667F3BCC909):
+                total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(values + np.uint64(salt)), dtype=np.uint64)])
+                hashed.append(pa.array(mix64(total[ends] - total[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(sizes), *hashed], names=["doc_id", "text_key", "n_shingles", *SET])
 
-    return docs.select(F.col("doc_id").cast("long"), "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_hash long")
+    return docs.select(F.col("doc_id").cast("long"), "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_hash long, set_check long")
 
 
 def similar(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -212,9 +215,9 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> tuple[Data
     with Scratch(spark) as keep:
         heads = keep(heads_of(docs, n))
         full = heads.where("n_shingles > 0")
-        firsts = full.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+        firsts = full.groupBy(*SET, "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
         # only copies that aren't the first of their class are left out
-        again = full.join(firsts.where("copies > 1"), ["set_hash", "n_shingles"]).where("doc_id <> class_id").select("doc_id", "text_key", "class_id").distinct()
+        again = full.join(firsts.where("copies > 1"), [*SET, "n_shingles"]).where("doc_id <> class_id").select("doc_id", "text_key", "class_id").distinct()
         again = written(again)
         single = docs.join(sized(again.select("doc_id", "text_key")), ["doc_id", "text_key"], "left_anti").select("doc_id", "text")
         if 16 * again.count() > BROADCAST_BYTES:

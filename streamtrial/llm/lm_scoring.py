@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamtrial.llm.common import SubstringHash, bounded, mix64, slices, string_parts, word_spans, written
+from streamtrial.llm.common import bounded, mix64, slices, span_hashes, string_parts, word_spans, written
 
 GROUPS, WORDS, RARE, SIDE, WIDTH, HIDDEN = 32, 128, 32, 2, 8, 24
 FREQUENT = GROUPS * WORDS
@@ -64,7 +64,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     a, b = word_spans(glued)
     ends = np.cumsum(lengths + 1)
     count = np.diff(np.concatenate([[0], np.searchsorted(a, ends)]))
-    return SubstringHash(glued)(a, b - a), count
+    return span_hashes(glued, a, b), count
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

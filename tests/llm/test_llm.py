@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from streamtrial.llm import fingerprints, jaccard, langid, linededup, lm_scoring, mixing, packing, quality, toxicity, urlfilter
+from streamtrial.llm.common import span_hashes
 from streamtrial.llm.linking import _block_pairs, components, sized
 from streamtrial.llm.queries import tokenizer_path
 
@@ -696,3 +697,29 @@ def test_blocks_of_two_chunks():
     pairs = lambda sides, closest=False: sorted(zip(*(v.tolist() for v in _block_pairs(block(sides), near, closest))))
     assert pairs([1, 1]) == [] and pairs([-1, -1]) == []
     assert pairs([-1, 1, 1]) == [(0, 1), (0, 2)] and pairs([0, 0, 0]) == [(0, 1), (0, 2), (1, 2)] == pairs([0, 0, 0], True)
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    """A Thue-Morse word and its complement collide for every base modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    hashes, counts = lm_scoring.word_hashes(pa.array([one, two, one + " x", "x"]))
+    assert counts.tolist() == [1, 1, 2, 1] and hashes[0] == hashes[2] != hashes[1] and hashes[3] == hashes[4]
+    df = spark.createDataFrame([(1, f"{one} x y"), (2, f"{two} x y"), (3, f"{one} x y")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(df, n=3, num=90, den=100)[0].collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_span_hashes_depend_on_the_bytes_only():
+    rng = random.Random(4)
+    spans = [bytes(rng.choice(b"ab\x00\xff") for _ in range(n)) for n in [*range(1, 140), 5000] for _ in range(3)]
+    data = np.frombuffer(b" ".join(spans) + b" " + b"  ".join(spans), np.uint8)
+    start, at = [], 0
+    for gap in (1, 2):
+        for s in spans:
+            start.append(at)
+            at += len(s) + gap
+        at += 1 - gap
+    start = np.array(start)
+    hashes = span_hashes(data, start, start + np.array([len(s) for s in spans] * 2)).tolist()
+    assert hashes[: len(spans)] == hashes[len(spans) :]
+    assert len(set(hashes)) == len(set(spans))
