@@ -157,22 +157,23 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 LONG_SPAN = 64
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: eight bytes at a time, scrambled after each; a digest for long spans.
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: eight bytes at a time, scrambled after each; a digest for long spans. Another seed, another hash.
 
     Unlike sums of powers it has no pairs of spans that are sure to collide, so it may decide what is equal.
     """
     length = (end - start).astype(np.int64)
     padded = np.concatenate([np.ascontiguousarray(data), np.zeros(8, np.uint8)])
     eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
-    out = mix64(length.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))
+    out = mix64(length.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D + seed * 0x1405))
+    factor = np.uint64(0xD1342543DE82EF95 + 2 * seed)
     alive, step = np.flatnonzero(length <= LONG_SPAN), 0
     while len(alive := alive[length[alive] > step]):
         chunk = eight[start[alive] + step]
         over = np.maximum(0, 8 - (length[alive] - step)).astype(np.uint64) * np.uint64(8)
         chunk = (chunk << over) >> over
-        out[alive] = mix64((out[alive] ^ chunk) * np.uint64(0xD1342543DE82EF95) + np.uint64(step + 1))
+        out[alive] = mix64((out[alive] ^ chunk) * factor + np.uint64(step + 1))
         step += 8
     for i in np.flatnonzero(length > LONG_SPAN):
-        out[i] = int.from_bytes(hashlib.blake2b(padded[start[i] : end[i]].tobytes(), digest_size=8, key=b"span").digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(padded[start[i] : end[i]].tobytes(), digest_size=8, key=b"span%d" % seed).digest(), "little")
     return out

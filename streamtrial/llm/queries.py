@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamtrial.llm import fingerprints, jaccard, langid, linededup, lm_scoring, mixing, packing, quality, toxicity, urlfilter
+from streamtrial.llm import clustering, extraction, fingerprints, jaccard, langid, linededup, lm_scoring, mixing, packing, quality, ranking, toxicity, urlfilter
 from streamtrial.llm.common import documents, written
 
 TOXIC_AT = 0.6
@@ -73,7 +73,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir), tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_toxicity, op3_fingerprints, op4_quality, op5_urlfilter, op6_linededup, op7_jaccard, op8_lm_scoring, op9_mixing, op10_packing)}
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), dims=64, k=16, rounds=3, seed=1)
+
+
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_toxicity, op3_fingerprints, op4_quality, op5_urlfilter, op6_linededup, op7_jaccard, op8_lm_scoring, op9_mixing, op10_packing, op11_clustering, op12_extraction, op13_ranking)}
 
 # Words of whole texts, lower-cased in ASCII; three-word shingles; all pairs that share one; reachability.
 OP7_SQL = """
@@ -158,4 +170,38 @@ FROM told LEFT JOIN v USING (host)
 """
 
 
-ORACLES = {"op5_urlfilter": _url_sql(), "op7_jaccard": OP7_SQL, "op9_mixing": _mix_sql(**MIX)}
+def _lloyd_sql(k: int, rounds: int, seed: int) -> str:
+    """Rows (vector, dimension, component) against rows of the centroids, a round after the other."""
+    steps, now = [], "c0"
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, k, dist FROM (SELECT r, k, sum((d.x - c.x) * (d.x - c.x))::BIGINT AS dist FROM d JOIN {now} c USING (i) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY r ORDER BY dist, k) = 1)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM d JOIN a{i} USING (r) GROUP BY 1, 2),
+c{i + 1} AS MATERIALIZED (SELECT k, i, coalesce((s - ((s % n) + n) % n) // n, c.x)::BIGINT AS x FROM {now} c LEFT JOIN m{i} USING (k, i))""")
+            now = f"c{i + 1}"
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+d AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(x) AS x FROM v),
+f AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT sha256('{seed}:' || vec_id) AS h, x FROM v WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT {k})),
+c0 AS MATERIALIZED (SELECT k, unnest(range(64)) AS i, unnest(x) AS x FROM f),
+{', '.join(steps)},
+n AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS sha FROM {now} GROUP BY 1)
+SELECT vec_id, k::INTEGER AS cluster, dist AS distance, (sum(dist) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(dist) OVER ())::BIGINT AS inertia, sha AS centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN n USING (k)
+"""
+
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+# Every document against every item by plain joins of their terms.
+OP13_SQL = f"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+p AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM t) GROUP BY 1, 2),
+s AS (SELECT count(*) AS N, sum(len(ts))::BIGINT AS L FROM t WHERE len(ts) > 0),
+w AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1) CROSS JOIN s),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+m AS (SELECT r, doc_id, 100 - 90 + (90 * len(ts) * N) // L AS m FROM t CROSS JOIN s WHERE len(ts) > 0 AND doc_id IS NOT NULL),
+x AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY 1, 2)
+SELECT item_id, (row_number() OVER o)::INTEGER AS rank, doc_id, score FROM x JOIN m USING (r) WHERE score > 0 QUALIFY row_number() OVER o <= 10 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+"""
+
+ORACLES = {"op5_urlfilter": _url_sql(), "op7_jaccard": OP7_SQL, "op9_mixing": _mix_sql(**MIX), "op11_clustering": _lloyd_sql(16, 3, 1), "op13_ranking": OP13_SQL}
