@@ -201,7 +201,7 @@ w AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * df +
 q AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
 m AS (SELECT r, doc_id, 100 - 90 + (90 * len(ts) * N) // L AS m FROM t CROSS JOIN s WHERE len(ts) > 0 AND doc_id IS NOT NULL),
 x AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY 1, 2)
-SELECT item_id, (row_number() OVER o)::INTEGER AS rank, doc_id, score FROM x JOIN m USING (r) WHERE score > 0 QUALIFY row_number() OVER o <= 10 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+SELECT item_id, (row_number() OVER o)::INTEGER AS rank, doc_id, score FROM x JOIN m USING (r) WHERE score > 0 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 10
 """
 
 ORACLES = {"op5_urlfilter": _url_sql(), "op7_jaccard": OP7_SQL, "op9_mixing": _mix_sql(**MIX), "op11_clustering": _lloyd_sql(16, 3, 1), "op13_ranking": OP13_SQL}
