@@ -3,6 +3,9 @@
 A kernel is made for a number of features and has ``predict(x)`` and ``learn(x, y)``; any class with these
 methods can be registered in ``KERNELS`` and then runs in batch and on live streams. Weights have a last column
 for the bias. Ties go to the smallest class; classes that no row had yet take no part.
+
+``state`` and ``restore`` are for parameter mixing: the weights as rows (class, feature, value, weight of the value in a
+mean, gain in precision), and a kernel that goes on from such means.
 """
 
 from __future__ import annotations
@@ -38,6 +41,14 @@ class _Classes:
         p = np.exp(z - z.max())
         return dict(zip(self.classes, (p / p.sum()).tolist()))
 
+    def state(self, rows: int, start: list[tuple] | None = None) -> list[tuple]:
+        return [(c, f, float(v), float(rows), 0.0) for c, w in zip(self.classes, self.w) for f, v in enumerate(w)]
+
+    def restore(self, means: list[tuple]) -> None:
+        for c, f, value, _ in means:
+            at = self._place(int(c))
+            self.w[at, f] = value
+
     def _descend(self, error: np.ndarray, x: np.ndarray) -> None:
         self.w[:, :-1] += self.lr * (np.outer(error, x) - self.l2 * self.w[:, :-1])
         self.w[:, -1] += self.lr * error
@@ -99,6 +110,16 @@ class _Line:
     def predict(self, x: np.ndarray) -> float:
         return float(self.w @ x + self.b)
 
+    def state(self, rows: int, start: list[tuple] | None = None) -> list[tuple]:
+        return [(0, f, float(v), float(rows), 0.0) for f, v in enumerate(np.append(self.w, self.b))]
+
+    def restore(self, means: list[tuple]) -> None:
+        for _, f, value, _ in means:
+            if f < len(self.w):
+                self.w[f] = value
+            else:
+                self.b = value
+
 
 class LinearSgd(_Line):
     CLIP = 10.0
@@ -121,6 +142,18 @@ class BayesianLinear(_Line):
     def __init__(self, width: int, alpha: float = 1.0, beta: float = 1.0, **_):
         super().__init__(width)
         self.beta, self.precision, self.precision_b = beta, np.full(width, alpha), 0.0
+        self.known = np.append(self.precision, 0.0)  # what shards of a round have in common
+
+    def state(self, rows: int, start: list[tuple] | None = None) -> list[tuple]:
+        """Means weigh by precision, and precisions add up: the product of the shards' posteriors."""
+        now = np.append(self.precision, self.precision_b)
+        return [(0, f, float(v), float(p), float(g)) for f, (v, p, g) in enumerate(zip(np.append(self.w, self.b), now, now - self.known))]
+
+    def restore(self, means: list[tuple]) -> None:
+        super().restore(means)
+        for _, f, _, gained in means:
+            self.known[f] += gained
+        self.precision, self.precision_b = self.known[:-1].copy(), float(self.known[-1])
 
     def learn(self, x: np.ndarray, y: float) -> None:
         error = min(self.CLIP, max(-self.CLIP, y - self.predict(x)))

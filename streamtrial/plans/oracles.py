@@ -42,8 +42,30 @@ q AS (SELECT stream_id, seq, v FROM c QUALIFY row_number() OVER (PARTITION BY st
 SELECT i.stream_id, i.seq, i.y, CAST(coalesce(q.v, -1) AS INTEGER) AS pred FROM i LEFT JOIN q ON i.stream_id = q.stream_id AND i.seq = q.seq"""
 
 
-def _recursion(name: str, start: dict[str, str], middle: list[str], step: dict[str, str], pred: str, shown: str) -> str:
+def _mixed_recursion(name: str, start: dict[str, str], middle: list[str], step: dict[str, str], pred: str, shown: str, shards: int, shard_rows: int) -> str:
+    """The same over the shards of one stream side by side; where a round ends all go on from their mean weights."""
+    s = STREAMS[name]
+    seen = {k for k in start if k.startswith("s")}
+
+    def mean(c: str) -> str:
+        own = f"s{c[1:].partition('_')[0]}"
+        over = f"max({c}) OVER ()" if c in seen else f"sum({c} * {own}) OVER () / greatest(sum({own}) OVER (), 1)" if own in seen else f"avg({c}) OVER ()"
+        return f"CASE WHEN t > 0 AND t % {shard_rows} = 0 THEN {over} ELSE {c} END AS {c}"
+
+    inner = f"SELECT {', '.join('r.' + c for c in start)}, i.shard AS sh, i.t AS tt, i.seq AS sq, i.y AS yy, {', '.join(f'i.f{f}' for f in range(s.width))} FROM (SELECT shard, t, {', '.join(map(mean, start))} FROM r) r JOIN i ON i.shard = r.shard AND i.t = r.t + 1"
+    for layer in middle:
+        inner = f"SELECT *, {layer} FROM ({inner})"
+    kind = "INTEGER" if s.task == "classification" else "DOUBLE"
+    return f"""WITH RECURSIVE i AS MATERIALIZED (SELECT *, ((seq - 1) // {shard_rows}) % {shards} AS shard, ((seq - 1) // {shards * shard_rows}) * {shard_rows} + (seq - 1) % {shard_rows} + 1 AS t FROM ({stream_sql(name)})),
+r AS (SELECT DISTINCT shard, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS seq, CAST(NULL AS {kind}) AS y, CAST(NULL AS {kind}) AS pred, {', '.join(f'{v} AS {c}' for c, v in start.items())} FROM i
+UNION ALL SELECT sh, tt, sq, yy, CAST({pred} AS {kind}), {', '.join(step[c] for c in start)} FROM ({inner}))
+SELECT '{name}' AS stream_id, seq, y, {shown} AS pred FROM r WHERE seq > 0"""
+
+
+def _recursion(name: str, start: dict[str, str], middle: list[str], step: dict[str, str], pred: str, shown: str, mix: tuple[int, int] | None = None) -> str:
     """A sequential recurrence over each stream: state columns, layers of intermediate columns, next state."""
+    if mix:
+        return _mixed_recursion(name, start, middle, step, pred, shown, *mix)
     s = STREAMS[name]
     state = list(start)
     inner = f"SELECT {', '.join('r.' + c for c in state)}, i.stream_id AS sid, i.seq AS sq, i.y AS yy, {', '.join(f'i.f{f}' for f in range(s.width))} FROM r JOIN i ON i.stream_id = r.stream_id AND i.seq = r.seq + 1"
@@ -56,7 +78,7 @@ UNION ALL SELECT sid, sq, yy, CAST({pred} AS {kind}), {', '.join(step[c] for c i
 SELECT stream_id, seq, y, {shown} AS pred FROM r WHERE seq > 0"""
 
 
-def linear_classifier(name: str, algo: str, lr: float = 0.01, c: float = 1.0) -> str:
+def linear_classifier(name: str, algo: str, lr: float = 0.01, c: float = 1.0, mix: tuple[int, int] | None = None) -> str:
     """perceptron, logistic, softmax and passive_aggressive; class k takes part once s<k> is set."""
     s = STREAMS[name]
     ks, fs = s.classes, range(s.width)
@@ -85,10 +107,10 @@ def linear_classifier(name: str, algo: str, lr: float = 0.01, c: float = 1.0) ->
         amount = {k: f"{lr_} * e{k}" for k in ks}
     step = {f"w{k}_{f}": f"w{k}_{f} + {amount[k]} * f{f}" for k in ks for f in fs} | {f"b{k}": f"b{k} + {amount[k]}" for k in ks}
     touched = {k: f"CASE WHEN s{k} = 1 OR yy = {k} THEN 1 ELSE 0 END" for k in ks}
-    return _recursion(name, start, middle, step | {f"s{k}": touched[k] for k in ks}, pred, "pred")
+    return _recursion(name, start, middle, step | {f"s{k}": touched[k] for k in ks}, pred, "pred", mix)
 
 
-def linear_regressor(name: str, algo: str, lr: float = 0.01, c: float = 1.0, epsilon: float = 0.1) -> str:
+def linear_regressor(name: str, algo: str, lr: float = 0.01, c: float = 1.0, epsilon: float = 0.1, mix: tuple[int, int] | None = None) -> str:
     s = STREAMS[name]
     fs = range(s.width)
     start = {f"w{f}": "CAST(0 AS DOUBLE)" for f in fs} | {"b": "CAST(0 AS DOUBLE)"}
@@ -105,7 +127,7 @@ def linear_regressor(name: str, algo: str, lr: float = 0.01, c: float = 1.0, eps
         else:
             start |= {f"v{f}": "CAST(1 AS DOUBLE)" for f in fs} | {"vb": "CAST(0 AS DOUBLE)"}
             step = {f"w{f}": f"w{f} + {clip(f'f{f} * e / (v{f} + f{f} * f{f})')}" for f in fs} | {f"v{f}": f"v{f} + f{f} * f{f}" for f in fs} | {"b": "b + e / (vb + 1)", "vb": "vb + 1"}
-    return _recursion(name, start, middle, step, "p", "round(pred, 6)")
+    return _recursion(name, start, middle, step, "p", "round(pred, 6)", mix)
 
 
 def gradient_leaf(name: str, lr: float = 0.1, penalty: float = 0.1) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamtrial.functions import scalar
-from streamtrial.operators import drift, ensemble, metrics, neighbours, scaling
+from streamtrial.operators import drift, ensemble, metrics, neighbours, parameter_mixing, scaling
 from streamtrial.operators.fold import prequential, sweep
 from streamtrial.operators.naive_bayes import fit, naive_bayes
 from streamtrial.operators.scan import scan
@@ -238,6 +238,21 @@ for _id, _algo in (("d11_linear", "linear"), ("d12_bayesian_linear", "bayesian_l
 for _id, _algo, _name, _params in (("d7_hoeffding_tree", "hoeffding_tree", "ev_users", {"grace": 20, "delta": 0.1}), ("d8_efdt", "efdt", "ev_users", {"grace": 20}), ("d15_hoeffding_regressor", "hoeffding_tree_reg", "ev_value", {"grace": 20, "delta": 0.1})):
     QUERIES[_id] = lambda spark, sf, a=_algo, n=_name, p=_params: _rounded(prequential(instances(spark, sf, n), a, p), "pred")
 
+#: Parameter mixing over streams without a key, (shards, rows of a shard); with one shard a round it is the fold.
+_MIXES = {
+    "d2_mix_perceptron": ("li_rule", "perceptron", (8, 500)), "d3_mix_logistic": ("li_flag", "logistic", (16, 1000)), "d11_mix_one_shard": ("ev_amount", "linear", (1, 2500)),
+    "d4_mix_passive_aggressive": ("li_abrupt", "passive_aggressive", (8, 500)), "d5_mix_softmax": ("li_rule", "softmax", (16, 500)), "d11_mix_linear": ("li_revenue", "linear", (16, 1000)), "d13_mix_passive_aggressive_reg": ("li_revenue", "passive_aggressive_reg", (8, 1000)),
+}
+for _id, (_name, _algo, _mix) in _MIXES.items():
+    QUERIES[_id] = lambda spark, sf, n=_name, a=_algo, m=_mix: _mixed(spark, sf, n, a, m)
+    ORACLES[_id] = (oracles.linear_classifier if STREAMS[_name].task == "classification" else oracles.linear_regressor)(_name, _algo, mix=_mix)
+QUERIES["d12_mix_bayesian_linear"] = lambda spark, sf: _mixed(spark, sf, "li_revenue", "bayesian_linear", (16, 1000))
+
+
+def _mixed(spark, sf, name: str, algo: str, mix: tuple[int, int]) -> DataFrame:
+    return _rounded(parameter_mixing.mixed(stored(instances(spark, sf, name)), algo, None, *mix), "pred")
+
+
 QUERIES["d9_gradient_tree"] = lambda spark, sf: prequential(instances(spark, sf, "ev_users"), "gradient_tree")
 ORACLES["d9_gradient_tree"] = oracles.gradient_leaf("ev_users")
 

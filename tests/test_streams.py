@@ -1,5 +1,6 @@
 """Scans, learners, metrics and drift against row-by-row loops, and the pinned semantics."""
 
+import copy
 import math
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamtrial.operators import drift, ensemble, kernels, metrics, neighbours, pool, scaling, trees
-from streamtrial.operators.fold import KERNELS, prequential, register, sweep
+from streamtrial.operators.fold import KERNELS, prequential, register, run_rows, sweep
 from streamtrial.operators.naive_bayes import naive_bayes
 from streamtrial.operators.numbering import numbered
 from streamtrial.operators.scan import scan
@@ -302,3 +303,50 @@ def test_live_equals_batch(spark, stream, tmp_path):
     run_available(live_predictions(live, "logistic"), str(tmp_path / "out"), str(tmp_path / "state"))
     key = lambda df: sorted((r.stream_id, r.seq, r.pred) for r in df.collect())
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(prequential(stream, "logistic"))
+
+
+# --- parameter mixing ------------------------------------------------------------------------------------
+
+def _line_stream(spark, n, classes=0, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.uniform(0, 1, (n, 3))
+    y = (x @ [1.0, -2.0, 0.5] + 0.1 * rng.normal(size=n)) if not classes else np.minimum((x[:, 0] * classes).astype(int), classes - 1)
+    kind = "int" if classes else "double"
+    return x, y, spark.createDataFrame([("s", i + 1, r.tolist(), v.item()) for i, (r, v) in enumerate(zip(x, y))], f"stream_id string, seq long, x array<double>, y {kind}")
+
+
+@pytest.mark.parametrize("algo", ["perceptron", "logistic", "softmax", "passive_aggressive", "linear", "bayesian_linear", "passive_aggressive_reg"])
+def test_mixing_with_one_shard_is_the_fold(spark, algo):
+    from streamtrial.operators.parameter_mixing import mixed
+
+    classes = 3 if KERNELS[algo][1] == "classification" else 0
+    x, y, df = _line_stream(spark, 230, classes)
+    got = [r.pred for r in mixed(df, algo, shards=1, shard_rows=90).orderBy("seq").collect()]
+    assert np.allclose(got, run_rows(KERNELS[algo][0](3), x, y), atol=1e-9)
+
+
+@pytest.mark.parametrize("algo", ["logistic", "bayesian_linear"])
+def test_mixing_equals_plain_rounds(spark, algo):
+    from streamtrial.operators.parameter_mixing import mixed
+
+    shards, size = 3, 20
+    x, y, df = _line_stream(spark, 170, 2 if algo == "logistic" else 0)
+    want, start = [], KERNELS[algo][0](3)
+    for at in range(0, len(x), shards * size):
+        parts = []
+        for s in range(at, min(at + shards * size, len(x)), size):
+            model = copy.deepcopy(start)
+            want += run_rows(model, x[s : s + size], y[s : s + size])
+            parts.append((model, len(x[s : s + size])))
+        if algo == "logistic":
+            start.classes = sorted(set().union(*[m.classes for m, _ in parts]))
+            own = [[(m.w[m.classes.index(c)], n) for m, n in parts if c in m.classes] for c in start.classes]
+            start.w = np.array([sum(w * n for w, n in o) / sum(n for _, n in o) for o in own])
+        else:
+            p = [np.append(m.precision, m.precision_b) for m, _ in parts]
+            w = sum(q * np.append(m.w, m.b) for q, (m, _) in zip(p, parts)) / sum(p)
+            total = sum(p) - (len(p) - 1) * np.append(start.precision, start.precision_b)
+            start.w, start.b, start.precision, start.precision_b = w[:-1], w[-1], total[:-1], total[-1]
+    got = [r.pred for r in mixed(df, algo, shards=shards, shard_rows=size).orderBy("seq").collect()]
+    assert np.allclose(got, want, atol=1e-9)
+    assert mixed(df.limit(0), algo).collect() == []
