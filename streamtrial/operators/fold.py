@@ -26,6 +26,7 @@ KERNELS = {
     "knn": (pool.Nearest, "classification"),
     "bagged_naive_bayes": (pool.Bagged, "classification"),
     "linear": (kernels.LinearSgd, "regression"),
+    "adaptive_line": (kernels.AdaptiveLine, "regression"),
     "bayesian_linear": (kernels.BayesianLinear, "regression"),
     "passive_aggressive_reg": (kernels.PassiveAggressiveLine, "regression"),
     "hoeffding_tree_reg": (trees.HoeffdingRegressor, "regression"),
@@ -41,10 +42,10 @@ def register(name: str, maker, task: str) -> None:
 def run_rows(model, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> list:
     """Predictions of a model that learns each row after predicting it, ``weight`` times."""
     out = []
-    for i in range(len(x)):
-        out.append(model.predict(x[i]))
+    for i, row in enumerate(x):
+        out.append(model.predict(row))
         for _ in range(1 if weight is None else int(weight[i])):
-            model.learn(x[i], y[i])
+            model.learn(row, y[i])
     return out
 
 

@@ -134,6 +134,24 @@ class LinearSgd(_Line):
         self.b += self.lr * error
 
 
+class AdaptiveLine(_Line):
+    """Least squares with a step of its own per weight: the rate over the root of the squared gradients so far (Duchi et al. 2011)."""
+
+    CLIP = 1e3
+
+    def __init__(self, width: int, lr: float = 0.5, **_):
+        super().__init__(width)
+        self.lr, self.squares = lr, np.full(width + 1, 1e-8)
+
+    def learn(self, x: np.ndarray, y: float) -> None:
+        error = min(self.CLIP, max(-self.CLIP, y - self.predict(x)))
+        gradient = error * np.append(x, 1.0)
+        self.squares = self.squares + gradient * gradient
+        step = self.lr * gradient / np.sqrt(self.squares)
+        self.w = self.w + step[:-1]
+        self.b += step[-1]
+
+
 class BayesianLinear(_Line):
     """Diagonal posterior; the bias starts without a prior."""
 

@@ -62,6 +62,28 @@ def _chosen(scores: list[float], epsilon: float, tie: float) -> int | None:
     return best if scores[best] > 0 and (lead > epsilon or (lead < tie and epsilon < tie)) else None
 
 
+def impurity(counts: np.ndarray, criterion: str) -> np.ndarray:
+    """Gini index or entropy of counts per class, over the last axis; 0 without any."""
+    total = counts.sum(-1, keepdims=True)
+    p = np.divide(counts, total, out=np.zeros_like(counts), where=total > 0)
+    if criterion == "gini":
+        return np.where(total[..., 0] > 0, 1 - (p * p).sum(-1), 0.0)
+    return -(p * np.log2(p, out=np.zeros_like(p), where=p > 0)).sum(-1)
+
+
+def best_split(n: np.ndarray, mean: np.ndarray, std: np.ndarray, seen: int, delta: float, tie: float, criterion: str) -> tuple[int, float, list[float]] | None:
+    """Feature, threshold and the share of each class that goes left, if a leaf is to be split.
+
+    ``n``: per class; ``mean`` and ``std``: class x feature; ``seen``: classes that the whole tree has had.
+    """
+    thresholds = n @ mean / n.sum()
+    left = np.array([[cdf(t, m, s) for m, s in zip(*column)] for t, column in zip(thresholds, zip(mean.T, std.T))])  # feature x class
+    a, b = n * left, n * (1 - left)
+    scores = impurity(n, criterion) - (a.sum(1) * impurity(a, criterion) + b.sum(1) * impurity(b, criterion)) / n.sum()
+    f = _chosen(scores.tolist(), bound(1.0 if criterion == "gini" else log2(max(seen, 1)), delta, float(n.sum())), tie)
+    return None if f is None else (f, float(thresholds[f]), left[f].tolist())
+
+
 class HoeffdingTree:
     """Classifier; a leaf predicts its majority class, or by naive Bayes from ``nb_threshold`` rows on if that is set."""
 
@@ -74,13 +96,6 @@ class HoeffdingTree:
         node.weight, node.counts, node.stats = 0.0, {}, {}
         return node
 
-    def _impurity(self, counts: list[float]) -> float:
-        total = sum(counts)
-        if total <= 0:
-            return 0.0
-        shares = [c / total for c in counts if c > 0]
-        return 1 - sum(p * p for p in shares) if self.criterion == "gini" else -sum(p * log2(p) for p in shares)
-
     def learn(self, x: np.ndarray, y: int) -> None:
         self.seen.add(y)
         node, depth = self.root.leaf(x)
@@ -92,26 +107,18 @@ class HoeffdingTree:
 
     def _split(self, node: _Node) -> None:
         classes = sorted(node.counts)
-        n = np.array([node.counts[c] for c in classes])
-        thresholds = n @ np.stack([node.stats[c].mean for c in classes]) / n.sum()
-        std = {c: node.stats[c].std() for c in classes}
-        left = [[cdf(thresholds[f], node.stats[c].mean[f], std[c][f]) for c in classes] for f in range(self.width)]
-        before, scores = self._impurity(list(n)), []
-        for f in range(self.width):
-            a, b = n * left[f], n * (1 - np.array(left[f]))
-            scores.append(before - a.sum() / node.weight * self._impurity(list(a)) - b.sum() / node.weight * self._impurity(list(b)))
-        spread = 1.0 if self.criterion == "gini" else log2(len(self.seen))
-        f = _chosen(scores, bound(spread, self.delta, node.weight), self.tie)
-        if f is None:
+        stats = [node.stats[c] for c in classes]
+        found = best_split(np.array([node.counts[c] for c in classes]), np.stack([m.mean for m in stats]), np.stack([m.std() for m in stats]), len(self.seen), self.delta, self.tie, self.criterion)
+        if found is None:
             return
         node.left, node.right = self._leaf(), self._leaf()
-        for c, share in zip(classes, left[f]):
+        for c, share in zip(classes, found[2]):
             for child, part in ((node.left, share), (node.right, 1 - share)):
                 child.weight += node.counts[c] * part
                 if node.counts[c] * part > 0:
                     child.counts[c] = node.counts[c] * part
                     child.stats[c] = node.stats[c].part(part)
-        node.feature, node.threshold = f, thresholds[f]
+        node.feature, node.threshold = found[:2]
         node.counts, node.stats, node.weight = {}, {}, 0.0
 
     def predict(self, x: np.ndarray) -> int:
@@ -150,7 +157,8 @@ class GradientLeaf:
     """Stochastic gradient tree as the published recurrence gives it: with a positive penalty no split has a
     gain, so it is one leaf whose weight follows the label sequence; classes above 0 count as 1."""
 
-    def __init__(self, width: int, lr: float = 0.1, penalty: float = 0.1, **_):
+    def __init__(self, width: int, lr: float = 0.1, penalty: float = 0.1, grace: int = 200, depth: int = 6, **_):
+        # rows between attempts and depth are accepted, but no attempt ever splits
         self.lr, self.penalty, self.w, self.g, self.h = lr, penalty, 0.0, 0.0, 0.0
 
     def predict(self, x: np.ndarray) -> int:

@@ -137,6 +137,24 @@ def gradient_leaf(name: str, lr: float = 0.1, penalty: float = 0.1) -> str:
     return _recursion(name, {"w": zero, "g": zero, "h": zero}, middle, {"w": f"w - {lr} * g2 / (h2 + {penalty})", "g": "g2", "h": "h2"}, "CASE WHEN w >= 0 THEN 1 ELSE 0 END", "pred")
 
 
+def eddm(name: str, ratio: float = 0.9, least: int = 30) -> str:
+    """stream_id, seq of every drift that early drift detection tells of the errors y: all epochs, one after the other."""
+    middle = [
+        "n0 + 1 AS r1",
+        "CASE WHEN yy = 1 THEN r1 - last END AS gap",
+        "CASE WHEN gap IS NULL THEN k ELSE k + 1 END AS k1",
+        "CASE WHEN gap IS NULL THEN mean ELSE mean + (gap - mean) / k1 END AS mean1",
+        "CASE WHEN gap IS NULL THEN m2 ELSE m2 + (gap - mean) * (gap - mean1) END AS m21",
+        f"CASE WHEN gap IS NOT NULL AND k1 >= {least} THEN mean1 + 2 * sqrt(m21 / k1) END AS level",
+        "CASE WHEN level IS NULL THEN top ELSE greatest(top, level) END AS top1",
+        f"coalesce(level < {ratio} * top1, FALSE) AS hit",
+    ]
+    whole, real = "CAST(0 AS BIGINT)", "CAST(0 AS DOUBLE)"
+    start = {"n0": whole, "last": whole, "k": whole, "mean": real, "m2": real, "top": real}
+    after = {"n0": "r1", "last": "CASE WHEN gap IS NULL THEN last ELSE r1 END", "k": "k1", "mean": "mean1", "m2": "m21", "top": "top1"}
+    return f"SELECT stream_id, seq FROM ({_recursion(name, start, middle, {c: f'CASE WHEN hit THEN 0 ELSE {v} END' for c, v in after.items()}, 'CASE WHEN hit THEN 1 ELSE 0 END', 'pred')}) WHERE pred = 1"
+
+
 def classification_metrics(preds: str, by: str) -> str:
     """Counts and macro metrics over labels seen as truth or prediction; ``by``: grouping columns."""
     return f"""WITH p AS MATERIALIZED ({preds}), k AS (SELECT * FROM p WHERE pred IS NOT NULL),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamtrial.functions import scalar
-from streamtrial.operators import drift, ensemble, metrics, neighbours, parameter_mixing, scaling
+from streamtrial.operators import drift, ensemble, metrics, neighbours, parameter_mixing, scaling, tree_growth
 from streamtrial.operators.fold import prequential, sweep
 from streamtrial.operators.naive_bayes import fit, naive_bayes
 from streamtrial.operators.scan import scan
@@ -253,6 +253,19 @@ def _mixed(spark, sf, name: str, algo: str, mix: tuple[int, int]) -> DataFrame:
     return _rounded(parameter_mixing.mixed(stored(instances(spark, sf, name)), algo, None, *mix), "pred")
 
 
+for _id, _algo, _name in (("d7_hoeffding_lots", "hoeffding_tree", "li_lots"), ("d8_efdt_lots", "efdt", "li_lots"), ("d15_hoeffding_lots", "hoeffding_tree_reg", "li_lots_revenue")):
+    QUERIES[_id] = lambda spark, sf, a=_algo, n=_name: _rounded(prequential(instances(spark, sf, n), a), "pred")
+
+
+def _grown(spark, sf, name: str, block: int, **params) -> DataFrame:
+    s = STREAMS[name]
+    return tree_growth.grown(stored(instances(spark, sf, name)), s.classes, s.width, block, **params)[0]
+
+
+QUERIES["d7_grown_tree"] = lambda spark, sf: _grown(spark, sf, "li_flag", 10_000)
+QUERIES["d8_grown_efdt"] = lambda spark, sf: _grown(spark, sf, "li_rule", 10_000, delta=1e-5)
+
+
 QUERIES["d9_gradient_tree"] = lambda spark, sf: prequential(instances(spark, sf, "ev_users"), "gradient_tree")
 ORACLES["d9_gradient_tree"] = oracles.gradient_leaf("ev_users")
 
@@ -417,32 +430,32 @@ def a4(spark, sf):
     return _rounded(rows.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum(F.col("x")[0]).alias("total")), "total")
 
 
-def _prepared_sql(name: str, most: int, target: bool = False) -> str:
-    """The stream's first rows, features scaled by their ranges so far, and the normalised target if wanted."""
+def _prepared_sql(name: str, target: bool = False) -> str:
+    """The stream's rows, features scaled by their ranges so far, and the normalised target if wanted."""
     fs = [f"f{f}" for f in range(STREAMS[name].width)]
     y = f"CASE WHEN n0 < 2 THEN y - m WHEN d > 0 THEN (y - m) / d ELSE 0 END AS y, y AS own, m, CASE WHEN n0 < 2 THEN 1 ELSE d END AS d" if target else "y"
     scaled = ", ".join(f"{_unit(f, oracles.UPTO)} AS g{f[1:]}" for f in fs)
     stats = f"count(*) OVER {oracles.UPTO} AS n0, avg(y) OVER {oracles.UPTO} AS m, sqrt(greatest(avg(y * y) OVER {oracles.UPTO} - (avg(y) OVER {oracles.UPTO}) * (avg(y) OVER {oracles.UPTO}), 0)) AS d"
-    return f"SELECT stream_id, seq, n, {', '.join(f'g{f[1:]} AS {f}' for f in fs)}, {y} FROM (SELECT *, {scaled}, {stats} FROM ({stream_sql(name)}) WHERE seq <= {most})"
+    return f"SELECT stream_id, seq, n, {', '.join(f'g{f[1:]} AS {f}' for f in fs)}, {y} FROM (SELECT *, {scaled}, {stats} FROM ({stream_sql(name)}))"
 
 
 def _swapped(sql: str, name: str, own: str) -> str:
     return sql.replace(f"({stream_sql(name)})", f"({own})")
 
 
-_REG = suite.Suite({"line": ("linear", {})}, "regression", ["ev_value"], most=60, normalize=True)
-_REG_Z = _swapped(oracles.linear_regressor("ev_value", "linear").replace("round(pred, 6)", "pred"), "ev_value", _prepared_sql("ev_value", 60, True))
+_REG = suite.Suite({"line": ("linear", {})}, "regression", ["ev_value"], normalize=True)
+_REG_Z = _swapped(oracles.linear_regressor("ev_value", "linear").replace("round(pred, 6)", "pred"), "ev_value", _prepared_sql("ev_value", True))
 
 
-@query("e1_evaluator_reg", f"SELECT 'line' AS framework, 'ev_value' AS dataset, p.stream_id, p.seq, round(i.own, 6) AS y, round(p.pred * i.d + i.m, 5) AS pred FROM ({_REG_Z}) p JOIN ({_prepared_sql('ev_value', 60, True)}) i ON p.stream_id = i.stream_id AND p.seq = i.seq")
+@query("e1_evaluator_reg", f"SELECT 'line' AS framework, 'ev_value' AS dataset, p.stream_id, p.seq, round(i.own, 6) AS y, round(p.pred * i.d + i.m, 5) AS pred FROM ({_REG_Z}) p JOIN ({_prepared_sql('ev_value', True)}) i ON p.stream_id = i.stream_id AND p.seq = i.seq")
 def e1_reg(spark, sf):
     """A linear model on scaled features and targets; its predictions on the targets' own scale."""
     preds = _REG.predictions(spark, sf).select("framework", "dataset", "stream_id", "seq", "y", "pred")
     return _rounded(_rounded(preds, "y"), "pred", places=5)
 
 
-_SUITE = suite.Suite({"perceptron": ("perceptron", {}), "softmax": ("softmax", {}), "wrong": ("no such learner", {})}, "classification", ["ev_users"], n_runs=2, seeds=[7, 3], window=20, most=50, normalize=True)
-_KEPT = {m: _swapped(oracles.linear_classifier("ev_users", m), "ev_users", _prepared_sql("ev_users", 50)) for m in ("perceptron", "softmax")}
+_SUITE = suite.Suite({"perceptron": ("perceptron", {}), "softmax": ("softmax", {}), "wrong": ("no such learner", {})}, "classification", ["ev_users"], n_runs=2, seeds=[7, 3], window=20, normalize=True)
+_KEPT = {m: _swapped(oracles.linear_classifier("ev_users", m), "ev_users", _prepared_sql("ev_users")) for m in ("perceptron", "softmax")}
 _PLACES = "CROSS JOIN (SELECT 0 AS run_id, 7 AS seed UNION ALL SELECT 1, 3)"
 _BOTH = " UNION ALL ".join(f"SELECT '{m}' AS framework, {i} AS place, s.* FROM (SELECT * FROM ({oracles.classification_metrics(q, 'one').replace('WITH p AS MATERIALIZED (', 'WITH p AS MATERIALIZED (SELECT *, 1 AS one FROM (').replace('), k AS', ')), k AS', 1)})) s" for i, (m, q) in enumerate(_KEPT.items()))
 
@@ -508,7 +521,7 @@ ORACLES["d6_knn_kernel"] = oracles.knn("ev_users", 5, 40, False)
 @query("j5_seeded_runs")
 def j5(spark, sf):
     """Bagging with three seeds: seeds are keys of the same job."""
-    one = suite.Suite({"bagging": ("bagged_naive_bayes", {"members": 3})}, "classification", ["ev_users"], n_runs=3, most=40)
+    one = suite.Suite({"bagging": ("bagged_naive_bayes", {"members": 3})}, "classification", ["ev_users"], n_runs=3)
     return _rounded(one.runs(stored(one.predictions(spark, sf))), *_METRICS).select("framework", "dataset", "run_id", "seed", "n_samples", *_METRICS)
 
 
@@ -586,13 +599,14 @@ def _errors(spark, sf, name="ev_error") -> DataFrame:
     return instances(spark, sf, name).select("stream_id", "seq", F.col("y").alias("value"))
 
 
-QUERIES["g1_adwin"] = lambda spark, sf: drift.detect(_errors(spark, sf), "adwin")
-QUERIES["g2_eddm"] = lambda spark, sf: drift.detect(_errors(spark, sf), "eddm")
+QUERIES["g1_adwin"] = lambda spark, sf: drift.detect(_errors(spark, sf, "li_lots_error"), "adwin")
+QUERIES["g2_eddm"] = lambda spark, sf: drift.detect(_errors(spark, sf, "li_lots_error"), "eddm")
+ORACLES["g2_eddm"] = oracles.eddm("li_lots_error")
 
 
-@query("g2_first_eddm", f"WITH e AS (SELECT stream_id, seq, seq - coalesce(lag(seq) OVER (PARTITION BY stream_id ORDER BY seq), 0) AS gap FROM ({stream_sql('ev_error')}) WHERE y = 1), l AS (SELECT stream_id, seq, avg(gap) OVER w + 2 * stddev_pop(gap) OVER w AS level, count(*) OVER w AS n FROM e WINDOW w AS {oracles.UPTO}), t AS (SELECT *, max(level) OVER {oracles.UPTO} AS top FROM l WHERE n >= 30) SELECT stream_id, min(seq) AS seq FROM t WHERE level < 0.9 * top GROUP BY 1")
+@query("g2_first_eddm", f"WITH e AS (SELECT stream_id, seq, seq - coalesce(lag(seq) OVER (PARTITION BY stream_id ORDER BY seq), 0) AS gap FROM ({stream_sql('li_lots_error')}) WHERE y = 1), l AS (SELECT stream_id, seq, avg(gap) OVER w + 2 * stddev_pop(gap) OVER w AS level, count(*) OVER w AS n FROM e WINDOW w AS {oracles.UPTO}), t AS (SELECT *, max(level) OVER {oracles.UPTO} AS top FROM l WHERE n >= 30) SELECT stream_id, min(seq) AS seq FROM t WHERE level < 0.9 * top GROUP BY 1")
 def g2_first(spark, sf):
-    return drift.first_eddm(_errors(spark, sf))
+    return drift.first_eddm(_errors(spark, sf, "li_lots_error"))
 
 
 @query("g3_score_drops", f"WITH w AS (SELECT stream_id, CAST(floor((seq - 1) / 500) AS BIGINT) AS window_no, 1 - avg(y) AS score FROM ({stream_sql('ev_error')}) GROUP BY 1, 2), b AS (SELECT *, lag(score) OVER (PARTITION BY stream_id ORDER BY window_no) AS before FROM w) SELECT stream_id, window_no, round(score, 6) AS score, round(before, 6) AS before FROM b WHERE score < 0.95 * before")
@@ -603,40 +617,39 @@ def g3(spark, sf):
 
 # --- search ----------------------------------------------------------------------------------------------
 
-def _curve(preds: DataFrame, task: str, window: int) -> DataFrame:
-    """What a search is judged by: its score per window."""
+def _curve(preds: DataFrame, task: str) -> DataFrame:
+    """What a search is judged by: its score on each stream per 1,000 rows."""
     if task == "classification":
-        return preds.groupBy(metrics.window_no(window)).agg(F.count("*").alias("n"), F.round(F.avg((F.col("y") == F.col("pred")).cast("int")), 6).alias("score"))
-    return preds.groupBy(metrics.window_no(window)).agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg((F.col("y") - F.col("pred")) * (F.col("y") - F.col("pred")))), 6).alias("score"))
-
+        score = F.avg((F.col("y") == F.col("pred")).cast("int"))
+    else:
+        score = F.sqrt(F.avg((F.col("y") - F.col("pred")) * (F.col("y") - F.col("pred"))))
+    return preds.groupBy("seed", "stream_id", metrics.window_no(1000)).agg(F.count("*").alias("n"), F.round(score, 6).alias("score"))
 
-def _halves(spark, sf, name) -> tuple[DataFrame, int]:
-    """The stream, and a window that cuts it into four."""
-    rows = stored(instances(spark, sf, name))
-    return rows, -(-rows.count() // 4) or 1
 
+#: Strategies with their usual windows and budgets, on streams of some 6,000 rows each.
+_SEARCHES = {
+    "h6_adaptive_search": ("adaptive", "li_lots", {}), "h7_drift_reaction": ("adaptive", "li_lots_abrupt", {}), "h6_best_mode": ("adaptive", "li_lots", {"mode": "best"}), "h8_adaptive_search_reg": ("adaptive_reg", "li_lots_revenue", {}),
+    "h8_double_training": ("adaptive_reg", "li_lots_revenue", {"double": True}), "h9_evolutionary_bagging": ("evolving", "li_lots", {}), "h9_evolutionary_bagging_reg": ("evolving_reg", "li_lots_revenue", {}),
+    "h10_genetic_search": ("genetic", "li_lots", {}), "h13_online_automl": ("online", "li_lots_abrupt", {}), "h14_champion": ("champion", "li_lots_revenue", {}),
+}
+for _id, (_strategy, _name, _params) in _SEARCHES.items():
+    QUERIES[_id] = lambda spark, sf, s=_strategy, n=_name, p=_params: _curve(search.searched(instances(spark, sf, n), s, p), STREAMS[n].task)
 
-def _searched(name, run):
-    def f(spark, sf):
-        rows, window = _halves(spark, sf, name)
-        return _curve(run(rows, STREAMS[name].task, window), STREAMS[name].task, window)
 
-    return f
+@query("h7_search_log")
+def h7_log(spark, sf):
+    """Windows, falls, drift and the return to normal on streams whose labels flip half-way."""
+    return _rounded(search.search_log(instances(spark, sf, "li_lots_abrupt"), "adaptive"), "score")
 
 
-QUERIES["h6_adaptive_search"] = _searched("ev_type", lambda r, t, w: search.adaptive_search(r, t, w, budget=6))
-QUERIES["h8_adaptive_search_reg"] = _searched("li_revenue", lambda r, t, w: search.adaptive_search(r, t, w, budget=4))
-QUERIES["h9_evolutionary_bagging"] = _searched("ev_type", lambda r, t, w: search.evolutionary_bagging(r, t, w, population=4, rate=2.0))
-QUERIES["h10_genetic_search"] = _searched("ev_type", lambda r, t, w: search.genetic_search(r, t, w, population=6)[0])
-QUERIES["h13_online_automl"] = _searched("ev_error", lambda r, t, w: search.online_automl(r, budget=4, step=w))
-QUERIES["h14_champion"] = _searched("li_revenue", lambda r, t, w: search.champion_challenger(r, w))
+QUERIES["h15_forest"] = lambda spark, sf: _rounded(prequential(instances(spark, sf, "li_lots_revenue"), "forest_reg", {"models": 3}), "pred")
 
 
 @query("h12_holdout_search")
 def h12(spark, sf):
-    rows = stored(instances(spark, sf, "ev_type"))
-    _, board = search.holdout_search(rows, "classification", budget=8)
-    return spark.createDataFrame(board or [(0, "", 0.0)], "member int, config string, score double")
+    """Twenty random pipelines on every user's stream, each judged by the rows it hasn't learned."""
+    return _rounded(search.holdout_search(instances(spark, sf, "ev_users")), "score")
+
 
 
 # --- live ------------------------------------------------------------------------------------------------

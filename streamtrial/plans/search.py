@@ -1,382 +1,108 @@
-"""Search over pipelines on a stream, window by window.
+"""Searches over pipelines on keyed streams, and the tables of what they search in.
 
-A configuration is a scaler, an algorithm and its parameters. In each window Spark runs all configurations
-side by side over the window's rows (one group per configuration); what comes back to the driver is a
-leaderboard of a few rows, from which the next window's configurations are made. Draws are hashes of the seed,
-so a search repeats itself.
+A strategy (``operators.automl``) is a kernel of the fold, so one job runs it on every stream with every seed: a group per
+(stream, seed), each with its own pool, windows, drift detector and draws, and nothing on the driver. A hold-out search has a
+group per (stream, member). Memory of a task: one stream's rows and one pool.
 """
 
 from __future__ import annotations
 
-import pickle
-import zlib
-from dataclasses import dataclass, field, replace
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from streamtrial.operators.drift import Eddm
-from streamtrial.operators.fold import KERNELS
-from streamtrial.operators.pool import spread
-
-#: Scalers, and grids of parameters per algorithm.
-SCALERS = ("minmax", "standard", "maxabs")
-SPACE = {
-    "classification": {
-        "naive_bayes": {},
-        "perceptron": {"lr": spread(0.001, 0.1, 0.005)},
-        "logistic": {"lr": spread(0.001, 0.1, 0.005), "l2": spread(0.0, 0.01, 0.001)},
-        "passive_aggressive": {"c": spread(0.1, 10.0, 0.5)},
-        "softmax": {"lr": spread(0.001, 0.1, 0.005), "l2": spread(0.0, 0.01, 0.001)},
-        "hoeffding_tree": {"grace": spread(50, 500, 50), "delta": [1e-9, 1e-7, 1e-4, 1e-2], "tie": spread(0.02, 0.08, 0.01), "nb_threshold": spread(0, 50, 10), "depth": spread(10, 100, 10), "criterion": ["info_gain", "gini"]},
-        "gradient_tree": {"lr": spread(0.01, 0.5, 0.05)},
-        "knn": {"k": spread(3, 15, 2), "window": spread(200, 2000, 200), "p": [1, 2]},
-    },
-    "regression": {
-        "linear": {"lr": [0.001, 0.01, 0.1], "l2": [0.0, 0.001, 0.01]},
-        "bayesian_linear": {"alpha": [0.1, 1.0, 10.0], "beta": [0.1, 1.0, 10.0]},
-        "passive_aggressive_reg": {"c": [0.01, 0.1, 1.0], "epsilon": [0.01, 0.1]},
-        "hoeffding_tree_reg": {"grace": [50, 100, 200], "lr": [0.001, 0.01]},
-        "knn_reg": {"k": spread(3, 15, 2), "window": spread(200, 2000, 200), "p": [1, 2]},
-    },
-}
-
-
-@dataclass(frozen=True)
-class Config:
-    scaler: str
-    algo: str
-    params: tuple[tuple[str, float], ...] = ()
-
-    @property
-    def name(self) -> str:
-        return "/".join([self.scaler, self.algo, *[f"{k}={v}" for k, v in self.params]])
-
-
-class Scaler:
-    """Running statistics of x; before any row it gives zeros."""
-
-    def __init__(self, kind: str, width: int):
-        self.kind, self.n = kind, 0
-        self.low, self.high = np.full(width, np.inf), np.full(width, -np.inf)
-        self.mean, self.m2 = np.zeros(width), np.zeros(width)
-
-    def learn(self, x: np.ndarray) -> None:
-        self.n += 1
-        self.low, self.high = np.minimum(self.low, x), np.maximum(self.high, x)
-        d = x - self.mean
-        self.mean = self.mean + d / self.n
-        self.m2 = self.m2 + d * (x - self.mean)
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        if not self.n:
-            return np.zeros(len(x))
-        if self.kind == "minmax":
-            top, bottom = x - self.low, self.high - self.low
-        elif self.kind == "maxabs":
-            top, bottom = x, np.maximum(np.abs(self.low), np.abs(self.high))
-        else:
-            top, bottom = x - self.mean, np.sqrt(self.m2 / self.n)
-        return np.where(bottom > 0, top / np.where(bottom > 0, bottom, 1), 0.0)
-
-
-class Pipeline:
-    """Predicts with the statistics so far; learning updates the scaler first."""
-
-    def __init__(self, config: Config, width: int):
-        self.scaler, self.model = Scaler(config.scaler, width), KERNELS[config.algo][0](width, **dict(config.params))
-
-    def predict(self, x: np.ndarray):
-        return self.model.predict(self.scaler(x))
-
-    def learn(self, x: np.ndarray, y) -> None:
-        self.scaler.learn(x)
-        self.model.learn(self.scaler(x), y)
-
-
-def draw(seed: int, *parts) -> float:
-    """A number in [0, 1) from a hash."""
-    return zlib.crc32("|".join(map(str, (seed, *parts))).encode()) / 2**32
-
-
-def pick(values, seed: int, *parts):
-    return values[int(draw(seed, *parts) * len(values))]
-
-
-def all_configs(task: str) -> list[Config]:
-    """Every scaler with every algorithm at its defaults."""
-    return [Config(s, a) for s in SCALERS for a in SPACE[task]]
-
-
-def random_config(task: str, seed: int, *parts) -> Config:
-    algo = pick(sorted(SPACE[task]), seed, *parts, "algo")
-    return Config(pick(SCALERS, seed, *parts, "scaler"), algo, tuple((k, pick(v, seed, *parts, k)) for k, v in sorted(SPACE[task][algo].items())))
-
+from streamtrial.operators import automl
+from streamtrial.operators.fold import KERNELS, run_rows
+from streamtrial.operators.pipelines import LEARNERS, SCALERS, SELECTORS, Config, Dice, preset, usual
 
-def nearby(config: Config, task: str, seed: int, *parts) -> Config:
-    """Each parameter stays, goes one up, one down, or anywhere, with equal chance; ends are kept."""
-    have, out = dict(config.params), []
-    for name, grid in sorted(SPACE[task][config.algo].items()):
-        at = grid.index(have[name]) if have.get(name) in grid else len(grid) // 2
-        turn = int(draw(seed, *parts, name, "turn") * 4)
-        at = (at, min(at + 1, len(grid) - 1), max(at - 1, 0), int(draw(seed, *parts, name, "any") * len(grid)))[turn]
-        out.append((name, grid[at]))
-    return Config(config.scaler, config.algo, tuple(out))
 
+def _seeded(df: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
+    return df.select("stream_id", "seq", "x", "y").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
 
-def mutated(config: Config, task: str, seed: int, *parts) -> Config:
-    """One component changed: the scaler, or one parameter (or the algorithm where it has none)."""
-    grid = SPACE[task][config.algo]
-    part = pick(["scaler", *sorted(grid)], seed, *parts, "part")
-    if part == "scaler":
-        return replace(config, scaler=pick(SCALERS, seed, *parts, "scaler"))
-    have = dict(config.params) | {part: pick(grid[part], seed, *parts, part)}
-    return replace(config, params=tuple(sorted(have.items())))
 
+def _made(strategy: str, width: int, params: dict | None, seed: int):
+    return KERNELS[strategy][0](width, **(params or {}), seed=int(seed))
 
-def encoded(config: Config, task: str) -> list[float]:
-    """A vector of fixed length: scaler and algorithm as index + 1, then parameter values (of a word: its index), padded with zeros."""
-    longest = max(len(g) for g in SPACE[task].values())
-    values = [float(SPACE[task][config.algo][k].index(v) if isinstance(v, str) else v) for k, v in config.params]
-    return [SCALERS.index(config.scaler) + 1.0, sorted(SPACE[task]).index(config.algo) + 1.0, *values, *[0.0] * (longest - len(values))]
 
-
-@dataclass
-class Member:
-    """A pipeline in the run: its configuration and, once it has learned, its pickled state."""
-
-    id: int
-    config: Config
-    state: bytes | None = None
-    rate: float = 0.0  # of Poisson repeats; 0: every row once
-    score: float = field(default=float("nan"))
-
-
-def advance(block: DataFrame, members: list[Member], task: str, seed: int = 0) -> tuple[DataFrame, dict[int, bytes]]:
-    """Runs all members over a block of one stream: predictions (member, seq, y, pred), and the members' new states.
-
-    One group per member; predictions stay in Spark, states (a few dozen small models) come back.
-    """
-    from streamtrial.plans.storage import stored
-
-    kind = "int" if task == "classification" else "double"
-    table = {m.id: m for m in members}
-    shared = block.sparkSession.sparkContext.broadcast(table)
-    rows = block.select("seq", "x", "y").withColumn("member", F.explode(F.array(*[F.lit(m.id) for m in members])))
+def searched(df: DataFrame, strategy: str, params: dict | None = None, seeds: tuple[int, ...] = (0,)) -> DataFrame:
+    """seed, stream_id, seq, y, pred of a strategy on every stream with every seed; ``seq`` gives the order of a stream."""
+    kind = "int" if KERNELS[strategy][1] == "classification" else "double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        m = shared.value[int(pdf.member.iloc[0])]
-        x, y = np.stack(pdf.x.to_numpy()), pdf.y.to_numpy()
-        model = pickle.loads(m.state) if m.state else Pipeline(m.config, x.shape[1])
-        pred = []
-        for i, s in enumerate(pdf.seq):
-            pred.append(model.predict(x[i]))
-            times = 1 if not m.rate else int(np.random.default_rng([seed, m.id, int(s)]).poisson(m.rate))
-            for _ in range(times):
-                model.learn(x[i], y[i])
-        out = pdf[["member", "seq", "y"]].copy()
-        out["pred"], out["state"] = pred, None
-        out.loc[out.index[-1], "state"] = pickle.dumps(model)
+        x = np.stack(pdf.x.to_numpy())
+        pred = run_rows(_made(strategy, x.shape[1], params, pdf.seed.iloc[0]), x, pdf.y.to_numpy())
+        out = pdf[["seed", "stream_id", "seq", "y"]].copy()
+        out["pred"] = pd.array(pred, dtype="Int32") if kind == "int" else pred
         return out
 
-    done = stored(rows.groupBy("member").applyInPandas(run, f"member int, seq long, y {kind}, pred {kind}, state binary"))
-    states = {r.member: bytes(r.state) for r in done.where("state is not null").select("member", "state").collect()}
-    return done.drop("state"), states
-
-
-def leaderboard(preds: DataFrame, task: str) -> dict[int, float]:
-    """Score per member: accuracy, or minus the root mean squared error."""
-    good = F.avg((F.col("y") == F.col("pred")).cast("double")) if task == "classification" else -F.sqrt(F.avg((F.col("y") - F.col("pred")) * (F.col("y") - F.col("pred"))))
-    return {r.member: (float(r.score) if r.score is not None and np.isfinite(r.score) else -np.inf) for r in preds.groupBy("member").agg(good.alias("score")).collect()}
-
-
-def _best(scores: dict[int, float], ids) -> int:
-    return max(ids, key=lambda i: (scores.get(i, -np.inf), -i))
+    return _seeded(df, seeds).groupBy("stream_id", "seed").applyInPandas(run, f"seed int, stream_id string, seq long, y {kind}, pred {kind}")
 
 
-def windows(stream: DataFrame, size: int) -> list[DataFrame]:
-    n = stream.agg(F.max("seq")).first()[0] or 0
-    return [stream.where(f"seq > {a} and seq <= {a + size}") for a in range(0, n, size)]
-
-
-def adaptive_search(stream: DataFrame, task: str, window: int = 1000, budget: int = 10, ensemble: int = 3, seed: int = 0) -> DataFrame:
-    """stream predictions (seq, y, pred) of an ensemble of the best pipelines so far, with recency-weighted votes.
-
-    The first pool holds all configurations; one of them, drawn by the seed, speaks in the first window. After each window the pool is the best one, neighbours of it (a
-    chain), and random ones, all untrained; the best pipeline joins the ensemble untrained and learns on, and
-    replaces the worst of a full one. After a fall of the ensemble's score (to 95 %, or for the error to
-    110 %) seven tenths of the new pool are random instead of half.
-    """
-    pool = [Member(i, c) for i, c in enumerate(all_configs(task))]
-    next_id, team, out, last = len(pool), [], [], None
-    for w, block in enumerate(windows(stream, window)):
-        preds, states = advance(block, [*pool, *team], task, seed)
-        scores = leaderboard(preds, task)
-        for m in team:
-            m.state, m.score = states[m.id], scores[m.id]
-        best = next(m for m in pool if m.id == _best(scores, [m.id for m in pool]))
-        speakers = [m.id for m in team] or [pick([m.id for m in pool], seed, "first")]  # known before the window
-        rank = F.create_map(*[F.lit(v) for i, m in enumerate(speakers) for v in (m, (i + 1) / len(speakers))])
-        mine = preds.where(F.col("member").isin(speakers)).withColumn("w", rank[F.col("member")])
-        if task == "classification":
-            voted = mine.groupBy("seq", "y", "pred").agg(F.sum("w").alias("w")).groupBy("seq", "y").agg(F.max_by("pred", F.struct(F.round("w", 9), -F.col("pred"))).alias("pred"))
-            now = voted.agg(F.avg((F.col("y") == F.col("pred")).cast("double"))).first()[0]
-            fell = last is not None and now < 0.95 * last
-        else:
-            voted = mine.groupBy("seq", "y").agg((F.sum(F.col("w") * F.col("pred")) / F.sum("w")).alias("pred"))
-            now = voted.agg(F.sqrt(F.avg((F.col("y") - F.col("pred")) * (F.col("y") - F.col("pred"))))).first()[0]
-            fell = last is not None and now > 1.1 * last
-        out.append(voted)
-        last = now
-        joined = Member(next_id, best.config)
-        next_id += 1
-        team = [*team, joined] if len(team) < ensemble else [*[m for m in team if m is not min(team, key=lambda m: (m.score, m.id))], joined]
-        n_random = max(1, int(budget * (0.7 if fell else 0.5)))
-        pool, config = [Member(next_id, best.config)], best.config
-        for i in range(budget - 1 - n_random):
-            config = nearby(config, task, seed, w, i)
-            pool.append(Member(next_id + len(pool), config))
-        for i in range(n_random):
-            pool.append(Member(next_id + len(pool), random_config(task, seed, w, "r", i)))
-        next_id += len(pool)
-    return _all(out)
-
+def search_log(df: DataFrame, strategy: str, params: dict | None = None, seeds: tuple[int, ...] = (0,)) -> DataFrame:
+    """seed, stream_id, seq, event, config, score: what a strategy did on every stream: windows, falls, drift, mutants, promotions."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        x = np.stack(pdf.x.to_numpy())
+        model = _made(strategy, x.shape[1], params, pdf.seed.iloc[0])
+        run_rows(model, x, pdf.y.to_numpy())
+        out = pd.DataFrame(model.log, columns=["seq", "event", "config", "score"])
+        return out.assign(seed=int(pdf.seed.iloc[0]), stream_id=pdf.stream_id.iloc[0])[["seed", "stream_id", "seq", "event", "config", "score"]]
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return _seeded(df, seeds).groupBy("stream_id", "seed").applyInPandas(run, "seed int, stream_id string, seq long, event string, config string, score double")
 
 
-def evolutionary_bagging(stream: DataFrame, task: str, window: int = 1000, population: int = 10, rate: float = 6.0, seed: int = 0) -> DataFrame:
-    """Online bagging of a population; after each window the worst becomes an untrained mutation of the best."""
-    team = [Member(i, random_config(task, seed, "first", i), rate=rate) for i in range(population)]
-    out, next_id = [], population
-    total: dict[int, list[float]] = {m.id: [] for m in team}
-    for w, block in enumerate(windows(stream, window)):
-        preds, states = advance(block, team, task, seed)
-        for k, v in leaderboard(preds, task).items():
-            total[k].append(v)
-        if task == "classification":
-            votes = preds.groupBy("seq", "y", "pred").agg(F.count("*").alias("c"))
-            out.append(votes.groupBy("seq", "y").agg(F.max_by("pred", F.struct("c", -F.col("pred"))).alias("pred")))
-        else:
-            out.append(preds.groupBy("seq", "y").agg(F.avg("pred").alias("pred")))
-        for m in team:
-            m.state = states[m.id]
-        fitness = {m.id: float(np.mean(total[m.id])) for m in team}
-        best = next(m for m in team if m.id == _best(fitness, fitness))
-        worst = min(team, key=lambda m: (fitness[m.id], m.id))
-        team = [m for m in team if m is not worst] + [Member(next_id, mutated(best.config, task, seed, w), rate=rate)]
-        total[next_id] = []
-        next_id += 1
-    return _all(out)
+def holdout_configs(budget: int, seed: int = 0) -> list[Config]:
+    dice = Dice("holdout", seed)
+    return [preset("classification", dice) for _ in range(budget)]
 
 
-def genetic_search(stream: DataFrame, task: str, window: int = 1000, population: int = 10, seed: int = 0) -> tuple[DataFrame, list[tuple]]:
-    """Predictions of the best member of each window's start, and the search log (window, config, score, encoded).
+def holdout_search(df: DataFrame, budget: int = 20, seed: int = 0, share: float = 0.8) -> DataFrame:
+    """stream_id, member, config, score, best: accuracy of random pipelines on the rows of each stream after the first ``share``.
 
-    Parents are drawn in proportion to fitness; a child replaces the worst member if a ridge regression of the
-    log's scores on the encoded configurations expects it to be better.
+    Only the first rows are learned from. The best is the first of equals; streams below four rows have no rows here.
     """
-    team = [Member(i, random_config(task, seed, "first", i)) for i in range(population)]
-    log, out, next_id, head = [], [], population, 0
-    for w, block in enumerate(windows(stream, window)):
-        preds, states = advance(block, team, task, seed)
-        scores = leaderboard(preds, task)
-        out.append(preds.where(F.col("member") == head).select("seq", "y", "pred"))
-        for m in team:
-            m.state, m.score = states[m.id], scores[m.id]
-            log.append((w, m.config.name, m.score, encoded(m.config, task)))
-        fit = np.array([m.score for m in team])
-        share = np.cumsum(np.maximum(fit - fit.min(), 1e-9))
-        parent = team[int(np.searchsorted(share, draw(seed, w, "parent") * share[-1]))]
-        child = Member(next_id, mutated(parent.config, task, seed, w))
-        x = np.array([[1.0, *e] for *_, e in log])
-        beta = np.linalg.solve(x.T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ np.array([s for _, _, s, _ in log]))
-        worst = min(team, key=lambda m: (m.score, m.id))
-        if np.array([1.0, *encoded(child.config, task)]) @ beta >= worst.score:
-            team = [m for m in team if m is not worst] + [child]
-            next_id += 1
-        head = max((m for m in team if m.state), key=lambda m: (m.score, -m.id)).id
-    return _all(out), log
-
+    configs = holdout_configs(budget, seed)
+    rows = df.select("stream_id", "seq", "x", "y").withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(budget - 1))))
 
-def holdout_search(block: DataFrame, task: str, budget: int = 20, seed: int = 0) -> tuple[Config | None, list[tuple]]:
-    """The best of ``budget`` random configurations by the last fifth of the block; the first of equals. None below 4 rows."""
-    seqs = block.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
-    if seqs.a is None or seqs.b - seqs.a + 1 < 4:
-        return None, []
-    team = [Member(i, random_config(task, seed, seqs.a, i)) for i in range(budget)]
-    preds, _ = advance(block, team, task, seed)
-    last = preds.where(F.col("seq") > seqs.a + int(0.8 * (seqs.b - seqs.a + 1)) - 1)
-    scores = leaderboard(last, task)
-    board = [(m.id, m.config.name, scores.get(m.id, -np.inf)) for m in team]
-    return team[_best(scores, [m.id for m in team])].config, board
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        member = int(pdf.member.iloc[0])
+        if len(pdf) < 4:
+            return pd.DataFrame(columns=["stream_id", "member", "config", "score"])
+        x, y = np.stack(pdf.x.to_numpy()), pdf.y.to_numpy()
+        scores, _ = automl.held_out(x, y, [configs[member]], x.shape[1], share)
+        return pd.DataFrame({"stream_id": pdf.stream_id.iloc[:1].to_numpy(), "member": [member], "config": [configs[member].name], "score": scores})
 
+    board = rows.groupBy("stream_id", "member").applyInPandas(run, "stream_id string, member int, config string, score double")
+    first = F.row_number().over(Window.partitionBy("stream_id").orderBy(F.col("score").desc(), "member"))  # ``budget`` rows a stream
+    return board.withColumn("best", first == 1)
 
-def first_drift(preds: DataFrame, detector: Eddm) -> tuple[int | None, Eddm]:
-    """The first seq at which the detector reports drift of the errors, and the detector as it then is; one row comes back."""
-    start = pickle.dumps(detector)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, d = pdf.sort_values("seq"), pickle.loads(start)
-        cut = next((s for s, e in zip(pdf.seq, pdf.e) if d.update(e)), None)
-        return pd.DataFrame({"cut": pd.array([cut], dtype="Int64"), "state": [pickle.dumps(d)]})
+# --- tables of the search space --------------------------------------------------------------------------
 
-    flags = preds.select("seq", (F.col("y") != F.col("pred")).cast("double").alias("e"), F.lit(0).alias("k"))
-    found = flags.groupBy("k").applyInPandas(run, "cut long, state binary").first()
-    return found.cut, pickle.loads(bytes(found.state))
+def space_table(spark: SparkSession, task: str) -> DataFrame:
+    """part (scaler, selector, learner), name, param, ord, value (text), usual: the grids as a table; parts without parameters have one row without them."""
+    rows = []
+    for part, table in (("scaler", SCALERS), ("selector", SELECTORS), ("learner", LEARNERS)):
+        for name, grid in table[task].items():
+            common = dict(usual(name, grid))
+            rows += [(part, name, k, i, str(v), v == common[k]) for k, values in grid.items() for i, v in enumerate(values)] or [(part, name, None, None, None, None)]
+    return spark.createDataFrame(rows, "part string, name string, param string, ord int, value string, usual boolean")
 
 
-def online_automl(stream: DataFrame, warm_up: int = 200, recent: int = 500, budget: int = 20, seed: int = 0, step: int = 1000) -> DataFrame:
-    """Null predictions in the warm-up, then the pipeline of a hold-out search; drift of its errors starts a new search on the last rows."""
-    task = "classification"
-    n = stream.agg(F.max("seq")).first()[0] or 0
-    config, _ = holdout_search(stream.where(f"seq <= {warm_up}"), task, budget, seed)
-    kind = "int"
-    out = [stream.where(f"seq <= {warm_up}").select("seq", "y", F.lit(None).cast(kind).alias("pred"))]
-    if config is None:
-        return out[0]
-    at, member, detector = warm_up, Member(0, config), Eddm()
-    _, states = advance(stream.where(f"seq <= {warm_up}"), [member], task, seed)
-    member.state = states[0]
-    while at < n:
-        block = stream.where(f"seq > {at} and seq <= {at + step}")
-        preds, states = advance(block, [member], task, seed)
-        cut, detector = first_drift(preds, detector)
-        end = cut or min(n, at + step)
-        out.append(preds.where(F.col("seq") <= end).select("seq", "y", "pred"))
-        if cut:
-            found, _ = holdout_search(stream.where(f"seq > {max(0, cut - recent)} and seq <= {cut}"), task, budget, seed + cut)
-            member = Member(0, found or member.config)
-            _, states = advance(stream.where(f"seq > {max(0, cut - recent)} and seq <= {cut}"), [member], task, seed)
-        member.state, at = states[0], end
-    return _all(out)
+def combinations(space: DataFrame) -> DataFrame:
+    """scaler, selector (null: none), learner: all combinations of a space table."""
+    names = lambda part: space.where(F.col("part") == part).select(F.col("name").alias(part)).distinct()
+    with_none = names("selector").union(names("selector").limit(1).select(F.lit(None).cast("string")))
+    return names("scaler").crossJoin(with_none).crossJoin(names("learner"))  # a few dozen rows
 
 
-def champion_challenger(stream: DataFrame, window: int = 1000, live: int = 5, seed: int = 0) -> DataFrame:
-    """Online tuning of a linear regressor: the champion predicts; per window challengers with other learning rates
-    (log-uniform around the champion's) run beside it and the best by clipped absolute error takes over."""
-    task = "regression"
-    team = [Member(0, Config("standard", "linear", (("lr", 0.01),)))]
-    out, next_id, champion = [], 1, 0
-    for w, block in enumerate(windows(stream, window)):
-        base = dict(next(m for m in team if m.id == champion).config.params)["lr"]
-        while len(team) < live:
-            lr = float(min(1.0, max(2e-10, base * 10 ** (4 * draw(seed, w, len(team)) - 2))))
-            team.append(Member(next_id, Config("standard", "linear", (("lr", lr),))))
-            next_id += 1
-        preds, states = advance(block, team, task, seed)
-        out.append(preds.where(F.col("member") == champion).select("seq", "y", "pred"))
-        loss = {r.member: r.l for r in preds.groupBy("member").agg(F.avg(F.least(F.abs(F.col("y") - F.col("pred")), F.lit(1e3))).alias("l")).collect()}
-        for m in team:
-            m.state, m.score = states[m.id], -loss[m.id]
-        champion = _best({m.id: m.score for m in team}, [m.id for m in team])
-        keep = sorted(team, key=lambda m: (-m.score, m.id))[: max(1, live // 2)]
-        team = sorted(keep, key=lambda m: m.id)
-    return _all(out)
+def neighbours(config: DataFrame, space: DataFrame) -> DataFrame:
+    """name, param, ord, turn, to_ord, to_value: where a search may go from each parameter of ``config`` (name, param, ord): same, upper, lower."""
+    ends = space.where("param is not null").groupBy("name", "param").agg(F.max("ord").alias("last"))
+    turns = F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), F.lit(d).alias("d")) for t, d in (("same", 0), ("upper", 1), ("lower", -1))]))
+    moved = config.join(ends, ["name", "param"]).withColumn("t", turns).select("name", "param", "ord", "t.turn", F.greatest(F.lit(0), F.least(F.col("last"), F.col("ord") + F.col("t.d"))).alias("to_ord"))
+    values = space.select("name", "param", F.col("ord").alias("to_ord"), F.col("value").alias("to_value"))
+    return moved.join(values, ["name", "param", "to_ord"]).select("name", "param", "ord", "turn", "to_ord", "to_value")

@@ -35,6 +35,8 @@ _RULE = ("l_quantity / 50", "l_discount * 10", "l_tax * 10")
 _IS = "(CASE WHEN l_quantity / 50 + l_discount * 10 > 1 THEN 1 ELSE 0 END)"
 #: Ten suppliers: some 6,000 rows at every size of the table, so there are more lots in a larger one, not longer ones.
 _LOT = "CAST(floor((l_suppkey - 1) / 10) AS BIGINT)"
+#: Errors that become six times as frequent in the middle of a stream.
+_ERROR = "CASE WHEN (seq * 7919) % 100 < (CASE WHEN 2 * seq > n THEN 60 ELSE 10 END) THEN 1 ELSE 0 END"
 _EVENT = "CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END"
 _PROPS = ("value", "CAST(hour(ts) AS DOUBLE)", "CAST(get_json_object(props, '$.k') AS DOUBLE)")
 
@@ -48,13 +50,14 @@ STREAMS = {
         Stream("li_lots", "classification", "lineitem", _LINE, _RULE, _IS, (0, 1), _LOT),
         Stream("li_lots_abrupt", "classification", "lineitem", _LINE, _RULE, f"CASE WHEN 2 * seq > n THEN 1 - {_IS} ELSE {_IS} END", (0, 1), _LOT),
         Stream("li_lots_revenue", "regression", "lineitem", _LINE, ("l_extendedprice / 100000", "l_discount * 10", "l_tax * 10"), "l_extendedprice * (1 - l_discount) * (1 + l_tax) / 100000", (), _LOT),
+        Stream("li_lots_error", "classification", "lineitem", _LINE, ("l_quantity / 50",), _ERROR, (0, 1), _LOT),
         Stream("li_revenue", "regression", "lineitem", _LINE, ("l_extendedprice / 100000", "l_discount * 10", "l_tax * 10"), "l_extendedprice * (1 - l_discount) * (1 + l_tax) / 100000"),
         Stream("ev_type", "classification", "events", ("event_id",), _PROPS, _EVENT, (0, 1, 2, 3, 4)),
         Stream("ev_users", "classification", "events", ("event_id",), ("value / 100", "CAST(hour(ts) AS DOUBLE) / 24", "CAST(get_json_object(props, '$.k') AS DOUBLE) / 100"), _EVENT, (0, 1, 2, 3, 4), "user_id"),
         Stream("ev_value", "regression", "events", ("event_id",), ("CAST(hour(ts) AS DOUBLE) / 24", "CAST(get_json_object(props, '$.k') AS DOUBLE) / 100", f"CAST({_EVENT} AS DOUBLE) / 4"), "value / 100", (), "user_id"),
         Stream("ev_amount", "regression", "events", ("event_id",), ("CAST(hour(ts) AS DOUBLE) / 24", "CAST(get_json_object(props, '$.k') AS DOUBLE) / 100", f"CAST({_EVENT} AS DOUBLE) / 4"), "value / 100"),
         Stream("doc_quality", "classification", "documents", ("doc_id",), ("CAST(n_chars AS DOUBLE)",), "CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END", (0, 1)),
-        Stream("ev_error", "classification", "events", ("event_id",), ("value",), "CASE WHEN (seq * 7919) % 100 < (CASE WHEN 2 * seq > n THEN 60 ELSE 10 END) THEN 1 ELSE 0 END", (0, 1)),
+        Stream("ev_error", "classification", "events", ("event_id",), ("value",), _ERROR, (0, 1)),
     )
 }
 

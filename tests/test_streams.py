@@ -13,7 +13,7 @@ from streamtrial.operators.fold import KERNELS, prequential, register, run_rows,
 from streamtrial.operators.naive_bayes import naive_bayes
 from streamtrial.operators.numbering import numbered
 from streamtrial.operators.scan import scan
-from streamtrial.plans import search, suite
+from streamtrial.plans import suite
 from streamtrial.sources import results, tables
 from streamtrial.streaming.live import live_predictions, run_available
 
@@ -193,23 +193,6 @@ def test_csv_loader(spark, tmp_path):
     assert [(r.k, list(r.x), r.y) for r in got] == [(1, [1.5, 0.0], 1), (3, [2.5, 7.0], 2), (4, [1.0, 1.0], 0)]
 
 
-def test_search_space():
-    assert len(search.all_configs("classification")) == len(search.SCALERS) * len(search.SPACE["classification"])
-    base = search.random_config("classification", 1, "a")
-    for i in range(30):
-        near = search.nearby(base, "classification", 1, i)
-        assert near.algo == base.algo and all(v in search.SPACE["classification"][near.algo][k] for k, v in near.params)
-        assert len(search.encoded(search.random_config("classification", 2, i), "classification")) == 8
-    assert search.random_config("classification", 1, "a") == base
-
-
-def test_holdout_search(stream):
-    one = stream.where("stream_id = 's'")
-    config, board = search.holdout_search(one, "classification", budget=3, seed=2)
-    assert config.name == max(board, key=lambda r: (r[2], -r[0]))[1] and len(board) == 3
-    assert search.holdout_search(one.where("seq < 4"), "classification", 2) == (None, [])
-
-
 def test_grids():
     assert pool.spread(50, 500, 50) == list(range(50, 501, 50)) and pool.spread(200, 2000, 200)[-1] == 2000
     assert len(pool.spread(0.001, 0.1, 0.005)) == 20 and pool.spread(0.0, 0.01, 0.001)[-1] == 0.01
@@ -225,32 +208,9 @@ def test_pool_kernels_equal_the_joins(stream):
         assert all(not m or abs(sum(m.values()) - 1) < 1e-9 for m in p) and sum(not m for m in p) == 2
 
 
-def test_first_drift(spark):
-    flags = [int(i % 10 == 0) if i < 1500 else int(i % 2 == 0) for i in range(3000)]
-    preds = spark.createDataFrame([(i + 1, v, 0) for i, v in enumerate(flags)], "seq long, y int, pred int")
-    plain = drift.Eddm()
-    want = next((i + 1 for i, v in enumerate(flags) if plain.update(float(v))), None)
-    got, state = search.first_drift(preds, drift.Eddm())
-    assert got == want and vars(state) == vars(plain)
-    assert search.first_drift(preds.where("seq <= 5"), drift.Eddm())[0] is None
-
-
-def test_search_speaks_before_it_knows(stream):
-    """In the first window the voice is one drawn from the pool, whatever the rows are."""
-    one = stream.where("stream_id = 's' and seq <= 60").cache()
-    got = [r.pred for r in search.adaptive_search(one, "classification", 60, budget=2, seed=5).orderBy("seq").collect()]
-    pick = search.pick(list(range(len(search.all_configs("classification")))), 5, "first")
-    own = search.Pipeline(search.all_configs("classification")[pick], 3)
-    want = []
-    for r in one.orderBy("seq").collect():
-        want.append(own.predict(np.array(r.x)))
-        own.learn(np.array(r.x), r.y)
-    assert got == want
-
-
 def test_suite_arguments():
     m = {"a": ("perceptron", {})}
-    assert suite.list_datasets("regression") == ["ev_value", "li_revenue"]
+    assert suite.list_datasets("regression") == ["ev_amount", "ev_value", "li_lots_revenue", "li_revenue"]
     assert suite.Suite(m, "classification", n_runs=3).run_seeds == [0, 1, 2] and suite.Suite(m, "classification").run_seeds == [None]
     for bad in ({"models": {}}, {"task": "ranking"}, {"n_runs": 0}, {"window": 0}, {"most": 0}, {"n_runs": 2, "seeds": [1]}, {"datasets": []}, {"datasets": ["ev_value"]}):
         with pytest.raises(ValueError):
