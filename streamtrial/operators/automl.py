@@ -133,7 +133,7 @@ class AdaptiveClassifier(_Adaptive):
         return max(votes, key=votes.get) if votes else 0  # of equals the vote of the oldest
 
     def _said(self, x: np.ndarray, p: Pipeline) -> int:
-        return p.model.predict(self.views.of(x, p))
+        return self.views.said(x, p)
 
     def learn(self, x: np.ndarray, y: int) -> None:
         right = self._said(x, self.pool[self.best]) == y
@@ -216,7 +216,7 @@ class AdaptiveRegressor(_Adaptive):
         return self.pool[self.best]
 
     def _said(self, x: np.ndarray, p: Pipeline) -> float:
-        return float(p.model.predict(self.views.of(x, p)))
+        return float(self.views.said(x, p))
 
     def predict(self, x: np.ndarray) -> float:
         if self.mode == "best":

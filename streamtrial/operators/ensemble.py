@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamtrial.operators.fold import KERNELS, run_rows
+from streamtrial.operators.fold import KERNELS, dealt, run_rows
 
 
 def poisson(rate: float, *keys: Column) -> Column:
@@ -36,7 +36,7 @@ def bagging(df: DataFrame, algo: str, members: int, rate: float = 6.0, params: d
         pdf["pred"] = run_rows(maker(x.shape[1], **(params or {})), x, pdf.y.to_numpy(), pdf.times.to_numpy())
         return pdf[["member", "stream_id", "seq", "y", "pred"]]
 
-    return rows.groupBy("member", "stream_id").applyInPandas(run, f"member int, stream_id string, seq long, y {kind}, pred {kind}")
+    return dealt(rows, "member", "stream_id").groupBy("member", "stream_id").applyInPandas(run, f"member int, stream_id string, seq long, y {kind}, pred {kind}")
 
 
 def recency_vote(preds: DataFrame, members: int) -> DataFrame:

@@ -303,15 +303,22 @@ class Views:
     """The row as each chain shows it, made once; and after learning, which each chain does once a row."""
 
     def __init__(self):
-        self.x, self.before, self.after = None, {}, {}
+        self.x, self.before, self.after, self.preds = None, {}, {}, {}
 
     def of(self, x: np.ndarray, p: Pipeline) -> np.ndarray:
         if x is not self.x:
-            self.x, self.before, self.after = x, {}, {}
+            self.x, self.before, self.after, self.preds = x, {}, {}, {}
         if id(p.chain) not in self.before:
             self.before[id(p.chain)] = p.chain(x)
         return self.before[id(p.chain)]
 
+    def said(self, x: np.ndarray, p: Pipeline):
+        """What a pipeline predicts before the row is learned."""
+        view = self.of(x, p)
+        if id(p) not in self.preds:
+            self.preds[id(p)] = p.model.predict(view)
+        return self.preds[id(p)]
+
     def learned(self, x: np.ndarray, y, p: Pipeline) -> np.ndarray:
         self.of(x, p)
         if id(p.chain) not in self.after:

@@ -17,23 +17,19 @@ class NaiveBayes:
     """Gaussian naive Bayes from running moments; -1 before any row, ties to the smaller class."""
 
     def __init__(self, width: int, **_):
-        self.width = width
-        self.moments: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        self.width, self.classes, self.n = width, [], np.zeros(0)
+        self.mean, self.m2, self.half, self.norm = (np.zeros((0, width)) for _ in range(4))  # half: 1 / (2 variance); 0 without one
+        self.flat: set[int] = set()  # places of classes with a feature that has no variance
 
     def _scores(self, x: np.ndarray) -> dict[int, float]:
-        total = sum(n for n, _, _ in self.moments.values())
-        out = {}
-        for c in sorted(self.moments):
-            n, mean, m2 = self.moments[c]
-            if n < 2:
-                density = np.full(self.width, FLOOR)
-            else:
-                var, d = m2 / (n - 1), x - mean
-                flat = var <= 0
-                some = np.where(flat, 1.0, var)
-                density = np.where(flat, np.where(np.abs(d) <= 1e-9, 0.0, FLOOR), np.maximum(FLOOR, -0.5 * d * d / some - 0.5 * np.log(2 * pi * some)))
-            out[c] = log(n / total) + float(density.sum())
-        return out
+        if not self.classes:
+            return {}
+        d = x - self.mean
+        density = np.maximum(FLOOR, -(d * d * self.half + self.norm))
+        for i in self.flat:
+            none = self.half[i] == 0
+            density[i, none] = FLOOR if self.n[i] < 2 else np.where(np.abs(d[i, none]) <= 1e-9, 0.0, FLOOR)
+        return dict(zip(self.classes, (np.log(self.n / self.n.sum()) + density.sum(axis=1)).tolist()))
 
     def predict(self, x: np.ndarray) -> int:
         z = self._scores(x)
@@ -46,10 +42,25 @@ class NaiveBayes:
         return {c: v / sum(e.values()) for c, v in e.items()}
 
     def learn(self, x: np.ndarray, y: int) -> None:
-        n, mean, m2 = self.moments.get(y, (0, np.zeros(self.width), np.zeros(self.width)))
-        d = x - mean
-        mean = mean + d / (n + 1)
-        self.moments[y] = (n + 1, mean, m2 + d * (x - mean))
+        if y not in self.classes:
+            at = int(np.searchsorted(self.classes, y))
+            self.classes.insert(at, y)
+            self.n = np.insert(self.n, at, 0.0)
+            self.mean, self.m2, self.half, self.norm = (np.insert(a, at, 0.0, axis=0) for a in (self.mean, self.m2, self.half, self.norm))
+            self.flat = {i + (i >= at) for i in self.flat} | {at}
+        i = self.classes.index(y)
+        self.n[i] += 1
+        d = x - self.mean[i]
+        self.mean[i] += d / self.n[i]
+        self.m2[i] += d * (x - self.mean[i])
+        if self.n[i] >= 2:
+            var = self.m2[i] / (self.n[i] - 1)
+            fine = var > 0
+            self.half[i] = np.divide(0.5, var, out=np.zeros(self.width), where=fine)
+            self.norm[i] = 0.5 * np.log(2 * pi * var, out=np.zeros(self.width), where=fine)
+            self.flat.discard(i)
+            if not fine.all():
+                self.flat.add(i)
 
 
 class _Window:
@@ -70,8 +81,9 @@ class _Window:
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         have = min(self.n, self.window)
         d = (np.abs(self.x[:have] - x) ** self.p).sum(axis=1)
-        age = (np.arange(have) - self.n) % self.window if self.n > self.window else np.arange(have)
-        near = np.lexsort((age, self.y[:have], d))[: self.k]
+        close = np.flatnonzero(d <= np.partition(d, self.k - 1)[self.k - 1]) if have > self.k else np.arange(have)
+        age = (close - self.n) % self.window if self.n > self.window else close
+        near = close[np.lexsort((age, self.y[close], d[close]))[: self.k]]
         return d[near] ** (1 / self.p), self.y[near]
 
 
@@ -79,8 +91,8 @@ class Nearest(_Window):
     """The majority of the k nearest; -1 before any row, ties to the smaller class."""
 
     def proba(self, x: np.ndarray) -> dict[int, float]:
-        values, counts = np.unique(self.nearest(x)[1], return_counts=True)
-        return {int(v): float(c / counts.sum()) for v, c in zip(values, counts)}
+        near = self.nearest(x)[1].astype(int).tolist()
+        return {c: near.count(c) / len(near) for c in sorted(set(near))}
 
     def predict(self, x: np.ndarray) -> int:
         p = self.proba(x)

@@ -590,7 +590,7 @@ def f1(spark, sf):
 def f2(spark, sf):
     out = None
     for algo in ("logistic", "softmax", "hoeffding_tree"):
-        one = prequential(instances(spark, sf, "ev_users"), algo, proba=True)
+        one = prequential(instances(spark, sf, "li_lots"), algo, proba=True)
         out = one if out is None else out.union(one)
     return ensemble.probability_vote(out)
 
@@ -628,8 +628,8 @@ def _curve(preds: DataFrame, task: str) -> DataFrame:
 
 #: Strategies with their usual windows and budgets, on streams of some 6,000 rows each.
 _SEARCHES = {
-    "h6_adaptive_search": ("adaptive", "li_lots", {}), "h7_drift_reaction": ("adaptive", "li_lots_abrupt", {}), "h6_best_mode": ("adaptive", "li_lots", {"mode": "best"}), "h8_adaptive_search_reg": ("adaptive_reg", "li_lots_revenue", {}),
-    "h8_double_training": ("adaptive_reg", "li_lots_revenue", {"double": True}), "h9_evolutionary_bagging": ("evolving", "li_lots", {}), "h9_evolutionary_bagging_reg": ("evolving_reg", "li_lots_revenue", {}),
+    "h6_adaptive_search": ("adaptive", "li_lots", {}), "h7_drift_reaction": ("adaptive", "li_lots_abrupt", {}), "h8_adaptive_search_reg": ("adaptive_reg", "li_lots_revenue", {}),
+    "h9_evolutionary_bagging": ("evolving", "li_lots", {}), "h9_evolutionary_bagging_reg": ("evolving_reg", "li_lots_revenue", {}),
     "h10_genetic_search": ("genetic", "li_lots", {}), "h13_online_automl": ("online", "li_lots_abrupt", {}), "h14_champion": ("champion", "li_lots_revenue", {}),
 }
 for _id, (_strategy, _name, _params) in _SEARCHES.items():

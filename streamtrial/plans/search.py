@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamtrial.operators import automl
-from streamtrial.operators.fold import KERNELS, run_rows
+from streamtrial.operators.fold import KERNELS, dealt, run_rows
 from streamtrial.operators.pipelines import LEARNERS, SCALERS, SELECTORS, Config, Dice, preset, usual
 
 
@@ -37,7 +37,7 @@ def searched(df: DataFrame, strategy: str, params: dict | None = None, seeds: tu
         out["pred"] = pd.array(pred, dtype="Int32") if kind == "int" else pred
         return out
 
-    return _seeded(df, seeds).groupBy("stream_id", "seed").applyInPandas(run, f"seed int, stream_id string, seq long, y {kind}, pred {kind}")
+    return dealt(_seeded(df, seeds), "stream_id", "seed").groupBy("stream_id", "seed").applyInPandas(run, f"seed int, stream_id string, seq long, y {kind}, pred {kind}")
 
 
 def search_log(df: DataFrame, strategy: str, params: dict | None = None, seeds: tuple[int, ...] = (0,)) -> DataFrame:
@@ -50,7 +50,7 @@ def search_log(df: DataFrame, strategy: str, params: dict | None = None, seeds:
         out = pd.DataFrame(model.log, columns=["seq", "event", "config", "score"])
         return out.assign(seed=int(pdf.seed.iloc[0]), stream_id=pdf.stream_id.iloc[0])[["seed", "stream_id", "seq", "event", "config", "score"]]
 
-    return _seeded(df, seeds).groupBy("stream_id", "seed").applyInPandas(run, "seed int, stream_id string, seq long, event string, config string, score double")
+    return dealt(_seeded(df, seeds), "stream_id", "seed").groupBy("stream_id", "seed").applyInPandas(run, "seed int, stream_id string, seq long, event string, config string, score double")
 
 
 def holdout_configs(budget: int, seed: int = 0) -> list[Config]:
@@ -75,7 +75,7 @@ def holdout_search(df: DataFrame, budget: int = 20, seed: int = 0, share: float
         scores, _ = automl.held_out(x, y, [configs[member]], x.shape[1], share)
         return pd.DataFrame({"stream_id": pdf.stream_id.iloc[:1].to_numpy(), "member": [member], "config": [configs[member].name], "score": scores})
 
-    board = rows.groupBy("stream_id", "member").applyInPandas(run, "stream_id string, member int, config string, score double")
+    board = dealt(rows, "stream_id", "member").groupBy("stream_id", "member").applyInPandas(run, "stream_id string, member int, config string, score double")
     first = F.row_number().over(Window.partitionBy("stream_id").orderBy(F.col("score").desc(), "member"))  # ``budget`` rows a stream
     return board.withColumn("best", first == 1)
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamtrial.operators import metrics, scaling
-from streamtrial.operators.fold import KERNELS
+from streamtrial.operators.fold import KERNELS, dealt
 from streamtrial.plans.storage import stored
 from streamtrial.plans.streams import STREAMS, instances
 
@@ -142,7 +142,7 @@ class Suite:
             })
 
         keys = ("framework", "dataset", "run_id", "stream_id")
-        return rows.groupBy(*keys).applyInPandas(run, "framework string, dataset string, run_id int, seed long, stream_id string, seq long, y double, pred double, error string, started double, ended double")
+        return dealt(rows, *keys).groupBy(*keys).applyInPandas(run, "framework string, dataset string, run_id int, seed long, stream_id string, seq long, y double, pred double, error string, started double, ended double")
 
     def _measured(self, preds: DataFrame, *by: str) -> DataFrame:
         rows = preds.where("seq is not null")

@@ -310,3 +310,12 @@ def test_mixing_equals_plain_rounds(spark, algo):
     got = [r.pred for r in mixed(df, algo, shards=shards, shard_rows=size).orderBy("seq").collect()]
     assert np.allclose(got, want, atol=1e-9)
     assert mixed(df.limit(0), algo).collect() == []
+
+
+def test_places_by_halving(spark):
+    from streamtrial.operators.numbering import place
+
+    for count in (1, 5, 64, 65, 300):
+        bounds = [3 * i for i in range(count)]
+        df = spark.createDataFrame([(v,) for v in (-1, 0, 1, 3, 100, 191, 192, 193, 10_000)], "v long")
+        assert all(r.p == sum(b <= r.v for b in bounds) for r in df.select("v", place(F.col("v"), bounds).alias("p")).collect())
