@@ -107,7 +107,7 @@ def test_chain_equals_plain_regressions():
     rng = random.Random(3)
     texts, first, second = [], [], []
     for i in range(150):
-        a, b = i % 3 == 0, i % 2 == 0
+        a, b = i % 4 == 0, i % 5 < 2  # every fold has rows with and without each
         own = ["bad"] * (a and rng.random() < 0.9) + ["worse"] * (b and rng.random() < 0.9) + ["odd"] * ((a and b) and rng.random() < 0.7)
         texts.append(" ".join([prose(6, rng), *own]))
         first.append(float(a))
@@ -185,6 +185,76 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint_edits(single).first().near_next == 1.0
 
 
+M32 = 0xFFFFFFFF
+
+
+def plain_mix(v):
+    v ^= v >> 16
+    v = v * 0x7FEB352D & M32
+    v ^= v >> 15
+    v = v * 0x846CA68B & M32
+    return v ^ v >> 16
+
+
+def plain_level(x):
+    """One level of parsing, a symbol at a time."""
+    runs = [[x[0], 0]]
+    for v in x:
+        if v == runs[-1][0]:
+            runs[-1][1] += 1
+        else:
+            runs.append([v, 1])
+    x = [v if n == 1 else plain_mix(v ^ plain_mix(n)) for v, n in runs]
+    label = x
+    for _ in range(4):
+        lows = [((v ^ u) & -(v ^ u)).bit_length() - 1 for v, u in zip(label, [label[0] ^ 1, *label])]
+        label = [low << 1 | v >> low & 1 for v, low in zip(label, lows)]
+    assert max(label) < 6
+    for big in (3, 4, 5):
+        label = [min({0, 1, 2} - {*label[max(i - 1, 0) : i], *label[i + 1 : i + 2]}) if v == big else v for i, v in enumerate(label)]
+    around = [-1, *label, -1]
+    top = [a < v > b for a, v, b in zip(around, label, around[2:])]
+    start = [i == 0 or t or (around[i] > v < around[i + 2] and not any(top[max(i - 1, 0) : i + 2])) for i, (t, v) in enumerate(zip(top, label))]
+    out = []
+    for v, s in zip(x, start):
+        if s:
+            out.append([])
+        out[-1].append(v)
+    return [plain_mix(sum(plain_mix(v) * pow(0x9E3779B1, i % 16 + 1, 1 << 32) for i, v in enumerate(p)) & M32) for p in out]
+
+
+def plain_sketch(text):
+    x, names = [plain_mix(ord(c) + 1) for c in text], set()
+    for level in range(1, max(fingerprints.LEVELS) + 1):
+        x = plain_level(x) if x else []
+        if level in fingerprints.LEVELS:
+            names |= {plain_mix(v + level & M32) for v in x}
+    return sorted(names)[: fingerprints.SKETCH]
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    if max(len(a), len(b)) < fingerprints.SKETCH:
+        return len({*a} & {*b}) / len({*a} | {*b})
+    return sum(v in a and v in b for v in sorted({*a, *b})[: fingerprints.SKETCH]) / fingerprints.SKETCH
+
+
+def test_fingerprints_equal_plain_parsing(spark):
+    rng = random.Random(12)
+    texts = ["", "x", "ab", "aaaa", "a" * 300, prose(15, rng), prose(200, rng), "é\U0001F600" * 40, prose(3000, rng)]
+    texts += [texts[6][:700] + prose(40, rng), texts[6].replace("a", "aa", 3), "".join(rng.choice("ab") for _ in range(900))]
+    df = spark.createDataFrame([(i * 7, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(df).collect()}
+    for i, text in enumerate(texts):
+        following = texts[(i + 1) % len(texts)]
+        m = len(text) // 4
+        own, changed, after = plain_sketch(text), plain_sketch(text[: len(text) - m] + following[:m]), plain_sketch(following)
+        r = got[i * 7]
+        assert r.fingerprint == "".join(f"{v:08x}" for v in own) and r.edited_fingerprint == "".join(f"{v:08x}" for v in changed)
+        assert (r.near_edited, r.near_next) == (plain_likeness(own, changed), plain_likeness(own, after))
+
+
 def test_parsing_is_locally_consistent():
     text = prose(300)
     whole = np.frombuffer((text).encode("utf-32-le"), np.uint32)

@@ -48,3 +48,16 @@ def test_stages(spark, corpus):
     assert kept[1] - kept[2] == {201, 202, 203}
     assert kept[3] < kept[2] and len(kept[3]) > 0.8 * len(kept[2]) and kept[4] == kept[3]
     assert {r.doc_id for r in corpus_pipeline.run(spark, top).collect()} == kept[4]
+
+
+def test_empty_and_repeated_rows(spark, corpus, tmp_path):
+    """Rows of one id and text are one document, and stay or go together; no documents give no pieces."""
+    top, _, _ = corpus
+    docs = spark.read.parquet(f"{top}/documents.parquet")
+    docs.union(docs.where("doc_id in (3, 8, 200, 201)")).write.parquet(f"{tmp_path}/twice/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("twice", "none"):
+        spark.read.parquet(f"{top}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/twice").where("piece = 0").groupBy("doc_id").count().collect()
+    assert {r.doc_id for r in got if r["count"] == 2} == {3, 200} and not {8, 201} & {r.doc_id for r in got}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
