@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages; each works on all rows that the one before it kept."""
+"""A corpus pipeline of five stages; each works on all rows that the one before it kept.
+
+Defined cases, for every stage: a null text counts as empty, null labels, sources and languages are values like others; rows of
+one id and text are one document, which stays or goes with all its rows; rows without an id are never a copy of another; very long
+texts are worked on whole; other columns are handed on, whatever their names; no rows give no rows.
+"""
 
 from __future__ import annotations
 
