@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from streamtrial.operators.scan import scan
+from streamtrial.plans.storage import stored
+
 
 class Adwin:
     """Adaptive windowing (Bifet and Gavalda 2007): an exponential histogram of the values since the last cut.
@@ -127,6 +130,41 @@ def first_eddm(df: DataFrame, ratio: float = 0.9, least: int = 30) -> DataFrame:
     return rows.where(F.col("level") < ratio * F.col("top")).groupBy("stream_id").agg(F.min("seq").alias("seq"))
 
 
+def _epoch_eddm(errors: DataFrame, start: int, ratio: float, least: int) -> int | None:
+    """The first drift among the error rows (stream_id, seq) of one stream after ``start``, by running sums in blocks."""
+    ran = scan(errors, {"before": ("max", F.col("seq"))})
+    gaps = stored(ran.select("stream_id", "seq", (F.col("seq") - F.coalesce("before", F.lit(start))).cast("double").alias("gap")))
+    sums = scan(gaps, {"k": ("sum", F.lit(1)), "s": ("sum", F.col("gap")), "q": ("sum", F.col("gap") * F.col("gap"))}, inclusive=True)
+    mean = F.col("s") / F.col("k")
+    level = mean + 2 * F.sqrt(F.greatest(F.col("q") / F.col("k") - mean * mean, F.lit(0.0)))
+    rows = stored(sums.where(F.col("k") >= least).select("stream_id", "seq", level.alias("level")))
+    tops = scan(rows, {"top": ("max", F.col("level"))}, inclusive=True)
+    return tops.where(F.col("level") < ratio * F.col("top")).agg(F.min("seq")).first()[0]
+
+
+def every_eddm(df: DataFrame, ratio: float = 0.9, least: int = 30, look: int = 100_000) -> DataFrame:
+    """stream_id, seq of every drift of the one stream of ``df`` (stream_id, seq, value), which should be a stored table.
+
+    The detector starts anew behind each drift, so epochs come one after the other; inside an epoch all is running sums, and no task
+    holds the stream. An epoch is looked for in the next ``look`` rows, then in twice as many, until it is found or the
+    rows end: all rows are read a few times, however many epochs there are.
+    """
+    end = df.agg(F.max("seq")).first()[0] or 0
+    name = df.select("stream_id").first()
+    found, at, ahead = [], 0, look
+    while at < end:
+        errors = df.where(F.col("seq").between(at + 1, at + ahead) & (F.col("value") == 1)).select("stream_id", "seq")
+        cut = _epoch_eddm(errors, at, ratio, least)
+        if cut is not None:
+            found.append((name[0], cut))
+            at, ahead = cut, look
+        elif at + ahead >= end:
+            break
+        else:
+            ahead *= 2
+    return df.sparkSession.createDataFrame(found, "stream_id string, seq long")
+
+
 def score_drops(windows: DataFrame, ratio: float = 0.95) -> DataFrame:
     """The windows (stream_id, window_no, score) whose score is below ``ratio`` of the one before."""
     before = F.lag("score").over(Window.partitionBy("stream_id").orderBy("window_no"))

@@ -12,17 +12,32 @@ from pyspark.sql import functions as F
 from streamtrial.operators.fold import KERNELS, dealt, run_rows
 
 
-def poisson(rate: float, *keys: Column) -> Column:
-    """A Poisson draw from a hash of the keys (inverse distribution function): the same for the same keys."""
-    u = F.crc32(F.concat_ws("|", *[k.cast("string") for k in keys])) / 4294967296.0
-    out, p, total = F.lit(0), exp(-rate), exp(-rate)
+def _steps(rate: float) -> list[tuple[float, int]]:
+    """(least u, draw) of the inverse distribution function."""
+    out, p, total = [], exp(-rate), exp(-rate)
     for k in range(1, int(rate + 8 * rate**0.5) + 8):
-        out = F.when(u >= total, k).otherwise(out)
+        out.append((total, k))
         p *= rate / k
         total += p
     return out
 
 
+def poisson(rate: float, *keys: Column) -> Column:
+    """A Poisson draw from a hash of the keys: the same for the same keys, on every engine that has md5."""
+    text = F.concat_ws("|", *[k.cast("string") for k in keys])
+    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
+    out = F.lit(0)
+    for least, k in _steps(rate):
+        out = F.when(u >= least, k).otherwise(out)
+    return out
+
+
+def poisson_sql(rate: float, key: str) -> str:
+    """The same draw as ANSI SQL; ``key``: text of the keys, joined by bars."""
+    u = f"(('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0)"
+    return "CASE " + " ".join(f"WHEN {u} >= {least!r} THEN {k}" for least, k in reversed(_steps(rate))) + " ELSE 0 END"
+
+
 def bagging(df: DataFrame, algo: str, members: int, rate: float = 6.0, params: dict | None = None, seed: int = 0) -> DataFrame:
     """member, stream_id, seq, y, pred: each member learns each row as often as its draw says."""
     maker, task = KERNELS[algo]

@@ -8,29 +8,32 @@ from pyspark.sql import functions as F
 from streamtrial.operators.scan import scan
 
 
-def _flat(df: DataFrame, width: int) -> DataFrame:
-    return df.select("stream_id", "seq", "y", *[F.col("x")[f].alias(f"f{f}") for f in range(width)])
+def _flat(df: DataFrame, width: int, *more: Column) -> DataFrame:
+    return df.select("stream_id", "seq", "y", *[F.col("x")[f].alias(f"f{f}") for f in range(width)], *more)
 
 
 def _safe(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(0.0)
 
 
-def scaled(df: DataFrame, width: int, kind: str, inclusive: bool = True, with_std: bool = True) -> DataFrame:
+def scaled(df: DataFrame, width: int, kind: str, inclusive: bool = True, with_std: bool = True, weight: Column | None = None) -> DataFrame:
     """stream_id, seq, y and scaled g<f>, by the rows up to (inclusive) or before each row.
 
+    ``weight``: how often a row is learned, as in online bagging; a row of weight 0 leaves the statistics alone.
+
     ``minmax``: 0 without a range; ``online``: range of the rows so far, 1 if it is zero; ``standard``: population
     deviation, 0 without one; ``maxabs``. Before any row the value is 0.
     """
-    rows, fs = _flat(df, width), [f"f{f}" for f in range(width)]
+    rows, fs = _flat(df, width, (F.lit(1) if weight is None else weight).alias("_w")), [f"f{f}" for f in range(width)]
+    w, seen = F.col("_w"), lambda v: F.when(F.col("_w") > 0, v)
     if kind in ("minmax", "online"):
-        ran = scan(rows, {f"{e}_{f}": (e, F.col(f)) for f in fs for e in ("min", "max")}, inclusive)
+        ran = scan(rows, {f"{e}_{f}": (e, seen(F.col(f))) for f in fs for e in ("min", "max")}, inclusive)
         out = [_safe(F.col(f) - F.col(f"min_{f}"), F.col(f"max_{f}") - F.col(f"min_{f}")) for f in fs]
     elif kind == "maxabs":
-        ran = scan(rows, {f"max_{f}": ("max", F.abs(f)) for f in fs}, inclusive)
+        ran = scan(rows, {f"max_{f}": ("max", seen(F.abs(f))) for f in fs}, inclusive)
         out = [_safe(F.col(f), F.col(f"max_{f}")) for f in fs]
     else:
-        ran = scan(rows, {"n": ("sum", F.lit(1)), **{f"s_{f}": ("sum", F.col(f)) for f in fs}, **{f"q_{f}": ("sum", F.col(f) * F.col(f)) for f in fs}}, inclusive)
+        ran = scan(rows, {"n": ("sum", w), **{f"s_{f}": ("sum", w * F.col(f)) for f in fs}, **{f"q_{f}": ("sum", w * F.col(f) * F.col(f)) for f in fs}}, inclusive)
         n = F.when(F.col("n") > 0, F.col("n"))
         out = []
         for f in fs:

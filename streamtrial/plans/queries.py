@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamtrial.functions import scalar
-from streamtrial.operators import drift, ensemble, metrics, neighbours, parameter_mixing, scaling, tree_growth
+from streamtrial.operators import drift, ensemble, metrics, moments, neighbours, parameter_mixing, scaling, tree_growth
 from streamtrial.operators.fold import prequential, sweep
 from streamtrial.operators.naive_bayes import fit, naive_bayes
 from streamtrial.operators.scan import scan
@@ -167,8 +167,18 @@ _SCALARS = {
     "b17_sigmoid": scalar.sigmoid("(c0 - c1) * 100"),
     "b17_softmax": scalar.softmax(_COUNTS)[2],
 }
+_SHARES = "(SELECT user_id, event_type, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS p FROM events GROUP BY 1, 2)"
+#: The same values from the events by other formulas; the normal distribution has none that all engines share.
+_SCALAR_SQL = {
+    "b13_gaussian_density": "CASE WHEN count(*) < 2 THEN 0 WHEN var_samp(value) = 0 THEN CASE WHEN avg(value) = 50 THEN 1 ELSE 0 END ELSE exp(-pow(50 - avg(value), 2) / (2 * var_samp(value))) / sqrt(2 * pi() * var_samp(value) / 10000) END",
+    "b16_hoeffding_bound": "2.32 * sqrt(7 * ln(10) / (2 * count(*)))",
+    "b17_sigmoid": "(1 + tanh(greatest(-500, least(500, 100 * (count(*) FILTER (event_type = 'click') - count(*) FILTER (event_type = 'error')))) / 2)) / 2",
+    "b17_softmax": "1 / (" + " + ".join(f"exp(count(*) FILTER (event_type = '{t}') - count(*) FILTER (event_type = 'purchase'))" for t in ("click", "error", "purchase", "signup", "view")) + ")",
+}
 for _id, _e in _SCALARS.items():
-    ORACLES[_id] = f"SELECT user_id, round({_e}, 6) AS v FROM ({_USER})"
+    ORACLES[_id] = f"SELECT user_id, round({_SCALAR_SQL[_id]}, 6) AS v FROM events GROUP BY user_id" if _id in _SCALAR_SQL else f"SELECT user_id, round({_e}, 6) AS v FROM ({_USER})"
+    if _id.startswith("b15"):
+        ORACLES[_id] = f"SELECT user_id, round({'-sum(p * log2(p))' if _id == 'b15_entropy' else '1 - sum(p * p)'}, 6) AS v FROM {_SHARES} GROUP BY user_id"
 
     def _scalar(spark, sf, e=_e):
         spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("events")
@@ -288,6 +298,38 @@ def c1(spark, sf):
     return ran.select("stream_id", "seq", "n0", F.round(F.col("s") / F.col("n0") + mean + 1e-8, 5).alias("mean"), F.round(var, 4).alias("var"))
 
 
+_TIMES = ensemble.poisson_sql(6.0, "'0|0|' || stream_id || '|' || seq")
+_WEIGHTED = f"(SELECT *, {_TIMES} AS w FROM ({stream_sql('ev_users')}))"
+
+
+def _times() -> F.Column:
+    """How often online bagging learns a row: seed 0, member 0."""
+    return ensemble.poisson(6.0, F.lit(0), F.lit(0), F.col("stream_id"), F.col("seq"))
+
+
+@query("c1_weighted", f"SELECT stream_id, seq, n0 AS n, round(s / n0 + 1e-8, 5) AS mean, round(CASE WHEN n0 > 1 THEN greatest(q - s * s / n0, 0) / (n0 - 1) ELSE 0 END, 5) AS var FROM (SELECT stream_id, seq, (sum(w) OVER u)::DOUBLE AS n0, sum(w * f0) OVER u AS s, sum(w * f0 * f0) OVER u AS q FROM {_WEIGHTED} WINDOW u AS {oracles.UPTO})")
+def c1_weighted(spark, sf):
+    """Running mean and variance where each row counts as often as a Poisson draw says."""
+    rows = _flat(stored(instances(spark, sf, "ev_users")), 1).withColumn("w", _times())
+    return _rounded(_rounded(moments.running(rows, "f0", "w", shift=0.5), "var", places=5).withColumn("mean", F.col("mean") + 1e-8), "mean", places=5)
+
+
+@query("c1_merged", f"SELECT sum(w)::DOUBLE AS n, round(sum(w * f0) / sum(w), 6) AS mean, round((sum(w * f0 * f0) - sum(w * f0) * sum(w * f0) / sum(w)) / (sum(w) - 1), 6) AS var FROM {_WEIGHTED}")
+def c1_merged(spark, sf):
+    """Moments per user and half of the users' rows, merged into one per user and then into one of all."""
+    rows = _flat(instances(spark, sf, "ev_users"), 1).withColumn("w", _times())
+    half = lambda odd: F.col("seq") % 2 == odd
+    per = rows.groupBy("stream_id").agg(*[moments.state(F.when(half(i), F.col("f0")), F.col("w"), 0.5).alias(f"s{i}") for i in (0, 1)])
+    one = per.select(moments.merged(F.col("s0"), F.col("s1")).alias("s")).agg(moments.total(F.col("s"), 0.5).alias("s"))
+    return one.select(F.round("s.n", 4).alias("n"), F.round("s.mean", 6).alias("mean"), F.round(moments.variance(F.col("s")), 6).alias("var"))
+
+
+@query("b6_weighted_standard", f"SELECT stream_id, seq, y, round(CASE WHEN n0 > 0 AND q / n0 - (s / n0) * (s / n0) > 1e-12 * q / n0 THEN (f0 - s / n0) / sqrt(q / n0 - (s / n0) * (s / n0)) ELSE 0 END, 4) AS g0 FROM (SELECT *, sum(w) OVER u AS n0, sum(w * f0) OVER u AS s, sum(w * f0 * f0) OVER u AS q FROM {_WEIGHTED} WINDOW u AS {oracles.UPTO})")
+def b6_weighted(spark, sf):
+    """What a bagged member learns: rows scaled by statistics to which each row went as often as it was drawn."""
+    return _rounded(scaling.scaled(stored(instances(spark, sf, "ev_users")), 1, "standard", weight=_times()), "g0", places=4)
+
+
 @query("c2_class_priors", f"SELECT stream_id, y, count(*) AS c FROM ({stream_sql('ev_users')}) GROUP BY 1, 2")
 def c2(spark, sf):
     return instances(spark, sf, "ev_users").groupBy("stream_id", "y").agg(F.count("*").alias("c"))
@@ -604,6 +646,10 @@ QUERIES["g2_eddm"] = lambda spark, sf: drift.detect(_errors(spark, sf, "li_lots_
 ORACLES["g2_eddm"] = oracles.eddm("li_lots_error")
 
 
+QUERIES["g2_eddm_stream"] = lambda spark, sf: drift.every_eddm(stored(_errors(spark, sf)))
+ORACLES["g2_eddm_stream"] = oracles.eddm("ev_error")
+
+
 @query("g2_first_eddm", f"WITH e AS (SELECT stream_id, seq, seq - coalesce(lag(seq) OVER (PARTITION BY stream_id ORDER BY seq), 0) AS gap FROM ({stream_sql('li_lots_error')}) WHERE y = 1), l AS (SELECT stream_id, seq, avg(gap) OVER w + 2 * stddev_pop(gap) OVER w AS level, count(*) OVER w AS n FROM e WINDOW w AS {oracles.UPTO}), t AS (SELECT *, max(level) OVER {oracles.UPTO} AS top FROM l WHERE n >= 30) SELECT stream_id, min(seq) AS seq FROM t WHERE level < 0.9 * top GROUP BY 1")
 def g2_first(spark, sf):
     return drift.first_eddm(_errors(spark, sf, "li_lots_error"))

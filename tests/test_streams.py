@@ -319,3 +319,32 @@ def test_places_by_halving(spark):
         bounds = [3 * i for i in range(count)]
         df = spark.createDataFrame([(v,) for v in (-1, 0, 1, 3, 100, 191, 192, 193, 10_000)], "v long")
         assert all(r.p == sum(b <= r.v for b in bounds) for r in df.select("v", place(F.col("v"), bounds).alias("p")).collect())
+
+
+def test_every_epoch_of_one_stream(spark):
+    """Block scans with a short look ahead find the drifts that the detector finds row by row."""
+    rng = random.Random(2)
+    values = [int(rng.random() < p) for p in (0.05, 0.3, 0.1, 0.6) for _ in range(700)]
+    detector = drift.Eddm()
+    want = [i + 1 for i, v in enumerate(values) if detector.update(float(v))]
+    df = spark.createDataFrame([("s", i + 1, v) for i, v in enumerate(values)], "stream_id string, seq long, value int").repartition(3).cache()
+    assert len(want) >= 3
+    assert [r.seq for r in drift.every_eddm(df, look=300).orderBy("seq").collect()] == want
+    assert drift.every_eddm(df.limit(0)).collect() == []
+
+
+def test_moments_merge(spark):
+    from streamtrial.operators import moments
+
+    rng = np.random.default_rng(1)
+    v, w, g = rng.normal(1e6, 1, 300), rng.integers(0, 4, 300), rng.integers(0, 5, 300)
+    rows = [(float(a), int(b), int(c)) for a, b, c in zip(v, w, g)] + [(None, 3, 0), (5.0, 0, 7), (None, 1, 8)]
+    df = spark.createDataFrame(rows, "v double, w int, g int")
+    states = df.groupBy("g").agg(moments.state(F.col("v"), F.col("w"), 1e6).alias("s")).cache()
+    one = states.agg(moments.total(F.col("s"), 1e6).alias("s")).select("s.*", moments.variance(F.col("s")).alias("var")).first()
+    full = np.repeat(v, w)
+    assert one.n == len(full) and abs(one.mean - full.mean()) < 1e-6 and abs(one["var"] - full.var(ddof=1)) < 1e-6
+    pair = states.where("g = 1").select(F.col("s").alias("a")).crossJoin(states.where("g = 2").select(F.col("s").alias("b"))).crossJoin(states.where("g = 8").select(F.col("s").alias("c")))
+    got = pair.select(moments.merged(moments.merged(F.col("a"), F.col("b")), F.col("c")).alias("s")).select("s.*").first()
+    full = np.repeat(v[(g == 1) | (g == 2)], w[(g == 1) | (g == 2)])
+    assert got.n == len(full) and abs(got.mean - full.mean()) < 1e-6 and abs(got.m2 / (got.n - 1) - full.var(ddof=1)) < 1e-6
