@@ -18,6 +18,7 @@ from streamtrial.plans.storage import shared_dir, stored
 from streamtrial.plans.streams import STREAMS, instances, stream_sql
 from streamtrial.sources import results, tables
 from streamtrial.streaming.live import live_predictions, run_available
+from streamtrial.streaming.typed import typed_predictions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -711,6 +712,18 @@ def j1(spark, sf):
     return spark.read.parquet(f"{top}/out").select("stream_id", "seq", "y", "pred")
 
 
+@query("j1_typed_state", oracles.linear_regressor("ev_value", "bayesian_linear"))
+def j1_typed(spark, sf):
+    """The same with weights and precisions as typed state, over several micro-batches."""
+    top = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    rows = instances(spark, sf, "ev_value").select("stream_id", "seq", "x", "y")
+    for part in ("seq <= 30", "seq > 30"):  # a file is a micro-batch
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{top}/in")
+    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
+    run_available(typed_predictions(live, "bayesian_linear"), f"{top}/out", f"{top}/state")
+    return _rounded(spark.read.parquet(f"{top}/out").select("stream_id", "seq", "y", "pred"), "pred")
+
+
 @query("j2_live_windows", f"SELECT stream_id, CAST(floor((seq - 1) / 20) AS BIGINT) AS window_no, count(*) AS n, CAST(sum(CASE WHEN y = pred THEN 1 ELSE 0 END) AS BIGINT) AS good FROM ({oracles.linear_classifier('ev_users', 'perceptron')}) GROUP BY 1, 2")
 def j2(spark, sf):
     """Count windows of a live stream, added up batch by batch."""

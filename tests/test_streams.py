@@ -348,3 +348,28 @@ def test_moments_merge(spark):
     got = pair.select(moments.merged(moments.merged(F.col("a"), F.col("b")), F.col("c")).alias("s")).select("s.*").first()
     full = np.repeat(v[(g == 1) | (g == 2)], w[(g == 1) | (g == 2)])
     assert got.n == len(full) and abs(got.mean - full.mean()) < 1e-6 and abs(got.m2 / (got.n - 1) - full.var(ddof=1)) < 1e-6
+
+
+@pytest.mark.parametrize("algo", ["softmax", "bayesian_linear"])
+def test_typed_state_equals_batch_over_restarts(spark, tmp_path, algo):
+    """Micro-batches, a restart in the middle, and late rows that are dropped and counted."""
+    from streamtrial.streaming.typed import typed_predictions
+
+    kind = "int" if KERNELS[algo][1] == "classification" else "double"
+    whole = spark.createDataFrame(rows(60) + rows(50, seed=1, stream="t"), SCHEMA).withColumn("y", F.col("y").cast(kind)).cache()
+    put = lambda df: df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    go = lambda: run_available(typed_predictions(spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), algo), str(tmp_path / "out"), str(tmp_path / "state"))
+    put(whole.where("seq <= 20"))
+    put(whole.where("seq > 20 and seq <= 35"))
+    go()
+    put(whole.where("seq = 30"))
+    put(whole.where("seq > 35"))
+    go()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda df: [(r.stream_id, r.seq, round(float(r.pred), 9)) for r in df.orderBy("stream_id", "seq").collect()]
+    assert key(out) == key(prequential(whole, algo))
+    assert out.where("seq > 35").agg(F.min("late"), F.max("late")).first() == (1, 1)
+    state = spark.read.format("statestore").option("stateVarName", "cursor").load(str(tmp_path / "state")).select("key.stream_id", "value.*").collect()
+    assert sorted((r.stream_id, r.last, r.rows, r.late) for r in state) == [("s", 60, 60, 1), ("t", 50, 50, 1)]
+    with pytest.raises(ValueError):
+        typed_predictions(whole, "knn")
