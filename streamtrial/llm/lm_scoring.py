@@ -9,13 +9,14 @@ shares of the ``KNOWN`` most frequent words are sent along; a document's other w
 words. Without that table ``score`` gives the classes' part only. A document's score is the sum of the log
 probabilities of its tokens, each given both sides; the mean per token is comparable between documents.
 
-Word counts and class frequencies come from all documents. Training: in each round every task
-starts from the same weights and takes numpy gradient steps on the masked tokens of its part; the rounds share out
+Word counts and class frequencies come from all documents. Texts are then read once more: their classes are dealt by a hash of the
+text to parts of about ``PART_TOKENS`` tokens and stored in the order of that hash; training and scoring read these. In each round every part
+starts from the same weights and takes numpy gradient steps on its masked tokens; the rounds share out
 the ``MASK`` places (shifted by a hash of the document), so that every token of every document is masked once,
-given its true neighbours. The weights of the tasks are then averaged
-in Spark, weighted by their tokens (parameter mixing). So what is gathered grows with the corpus, while
-what reaches the driver is one set of weights. The result depends on how rows are dealt to tasks, not on
-their timing: a task that runs again gives the same weights.
+given its true neighbours. The weights of the parts are then averaged
+in Spark, weighted by their tokens (parameter mixing), ``FAN`` at a time. So what is gathered grows with the corpus, while
+what reaches the driver is a few sets of weights. The result depends on the texts alone, not on files, tasks or
+their timing.
 
 Defined cases: a null or empty text has 0 tokens, log_prob 0 and mean null; an empty table gives no rows;
 repeated rows train as often as they occur and score alike; words of equal counts are ranked by their hash; very long texts are
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamtrial.llm.common import bounded, mix64, slices, span_hashes, string_parts, word_spans, written
+from streamtrial.llm.common import Scratch, bounded, mix64, slices, span_hashes, string_parts, word_spans, written
 
 GROUPS, WORDS, RARE, SIDE, WIDTH, HIDDEN = 32, 128, 32, 2, 8, 24
 FREQUENT = GROUPS * WORDS
@@ -42,6 +43,10 @@ KNOWN = 1 << 17
 SMOOTH, UNITS = 0.1, 1 << 24
 BORDER = CLASSES
 MASK, ROUNDS, STEP_ROWS, RATE = 16, 2, 4096, 2.0
+#: Tokens of a part, and sets of weights that one task averages.
+PART_TOKENS, FAN = 500_000, 16
+#: Tokens that a task holds at once; a single longer text is still worked on whole.
+SLICE_TOKENS = 1 << 18
 #: A group's weights move by the mean gradient of its words in a step, or as if they were so many.
 LEAST_GROUP = 32
 SHAPES = {
@@ -195,58 +200,153 @@ def learn(net: dict[str, np.ndarray], padded: np.ndarray, at: np.ndarray, rate:
         net["vectors"] -= np.bincount(cells, into, net["vectors"].size).reshape(net["vectors"].shape).astype(np.float32)
 
 
-def masked_places(hashes: np.ndarray, counts: np.ndarray, turn: int) -> np.ndarray:
+def shifts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Where the masked places of each text start: a hash of its first word and length."""
+    first, full = np.cumsum(counts) - counts, counts > 0
+    out = np.zeros(len(counts), np.uint64)
+    out[full] = mix64(hashes[first[full]] + counts[full].astype(np.uint64))
+    return out
+
+
+def masked_places(shift: np.ndarray, counts: np.ndarray, turn: int) -> np.ndarray:
     """Places masked in round ``turn``, one of MASK sets after the other; over all rounds each token is masked once."""
-    first = np.cumsum(counts) - counts
-    full = counts > 0
-    shift = np.zeros(len(counts), np.uint64)
-    shift[full] = mix64(hashes[first[full]] + counts[full].astype(np.uint64))
-    place = np.arange(len(hashes)) - np.repeat(first, counts)
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     which = (place.astype(np.uint64) + np.repeat(shift, counts)) % np.uint64(MASK)
     own = np.flatnonzero(which % np.uint64(ROUNDS) == turn)
     return own[np.argsort(which[own], kind="stable")]
 
 
-def trained_round(docs: DataFrame, frequent: list[int], flat: np.ndarray, rate: float, turn: int) -> np.ndarray:
-    """Round ``turn`` over all documents: the tasks' weights, averaged by their masked tokens."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((frequent, flat))
+CODES = "text_key long, n_tokens long, shift long, classes binary, known_log double, others array<long>, times array<int>"
+
+
+def encoded(docs: DataFrame, keep: list[str], words: list[int], shares: Shares | None = None) -> DataFrame:
+    """r (the ``keep`` columns), text_key, n_tokens, shift, classes (two bytes a token), known_log (the log shares of known rare words), others and times (rare words without a known share, and how often)."""
+    bounded(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((words, shares))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("r"), F.xxhash64("text").alias("text_key"), "text")
+    kind = rows.select("r").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights = shared.value
-        classes, net, seen = Classes(words), unpacked(weights), 0
+        classes, known = Classes(shared.value[0]), shared.value[1]
         for part in slices(batches):
             hashes, counts = word_hashes(part.column("text"))
-            padded, at = windows(classes(hashes), counts)
-            masked = at[masked_places(hashes, counts, turn)]
-            learn(net, padded, masked, rate)
-            seen += len(masked)
-        if seen:
+            tokens, n = classes(hashes), part.num_rows
+            text, word = np.repeat(np.arange(n), counts), hashes.view(np.int64)
+            rare = tokens >= FREQUENT
+            text, word = text[rare], word[rare]
+            had, logs = known(word) if known else (np.ones(len(word), bool), np.zeros(len(word)))
+            known_log = np.bincount(text, logs, n).astype(float)
+            pairs = np.stack([text[~had], word[~had]])
+            pairs, times = np.unique(pairs, axis=1, return_counts=True) if pairs.size else (pairs, np.zeros(0, np.int64))
+            offsets = pa.array(np.searchsorted(pairs[0], np.arange(n + 1)).astype(np.int32))
+            ends = np.concatenate([[0], np.cumsum(2 * counts)]).astype(np.int32)
+            codes = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(tokens.astype("<i2")))])
+            columns = [part.column("r"), part.column("text_key"), pa.array(counts.astype(np.int64)), pa.array(shifts(hashes, counts).view(np.int64)), codes, pa.array(known_log)]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (pairs[1], times.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns + lists, names=["r", *[f.split()[0] for f in CODES.split(", ")]])
+
+    return rows.mapInArrow(run, f"r {kind['r'].dataType.simpleString()}, {CODES}")
+
+
+def parts_of(tokens: int) -> int:
+    return max(1, -(-tokens // PART_TOKENS))
+
+
+def dealt(codes: DataFrame, parts: int) -> DataFrame:
+    """The codes with their part, a part after the other and each in the order of its texts' hashes: as a stored table a part is a file."""
+    own = F.pmod(F.xxhash64("text_key"), F.lit(parts)).cast("int")
+    rows = codes.withColumn("part", own).repartitionById(parts, F.col("part"))
+    return rows.sortWithinPartitions("part", "text_key", "n_tokens")
+
+
+def _bounded_rows(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with about ``most`` tokens together, one row at least."""
+    ends, at = np.cumsum(batch.column("n_tokens").to_numpy()), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _codes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all tokens, and the number of each row's."""
+    column = batch.column("classes").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return flat.view("<i2").astype(np.int32), batch.column("n_tokens").to_numpy()
+
+
+def trained_round(codes: DataFrame, flat: np.ndarray, rate: float, turn: int, parts: int) -> np.ndarray:
+    """Round ``turn`` over all documents: the parts' weights, averaged by their masked tokens. ``codes``: with part, a part's rows together."""
+    shared = codes.sparkSession.sparkContext.broadcast(flat)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, net, seen = None, None, 0
+
+        def told() -> pa.RecordBatch:
             out = np.concatenate([net[k].ravel() for k in SHAPES]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([out])], names=["seen", "weights"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seen], pa.int64()), pa.array([out.tobytes()])], names=["part", "seen", "weights"])
+
+        for batch in batches:
+            own = batch.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1), len(own)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if own[a] != part:
+                    if seen:
+                        yield told()
+                    part, net, seen = int(own[a]), unpacked(shared.value), 0
+                for rows in _bounded_rows(batch.slice(a, b - a), SLICE_TOKENS):
+                    classes, counts = _codes(rows)
+                    padded, at = windows(classes, counts)
+                    masked = at[masked_places(rows.column("shift").to_numpy().view(np.uint64), counts, turn)]
+                    learn(net, padded, masked, rate)
+                    seen += len(masked)
+        if seen:
+            yield told()
 
-    rows = docs.select("text").mapInArrow(run, "seen long, weights array<double>").select("seen", F.posexplode("weights"))
-    mean = rows.groupBy("pos").agg((F.sum(F.col("col") * F.col("seen")) / F.sum("seen")).alias("v")).orderBy("pos").collect()
-    return np.array([r.v for r in mean], np.float32) if mean else flat
+    def mean(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        seen = table.column("seen").to_numpy()
+        total = sum(n * np.frombuffer(w.as_py(), np.float64) for n, w in zip(seen.tolist(), table.column("weights")))
+        return pa.table({"part": pa.array([table.column("part")[0].as_py() // FAN], pa.int32()), "seen": pa.array([int(seen.sum())]), "weights": pa.array([(total / seen.sum()).tobytes()])})
 
+    weights = codes.select("part", "n_tokens", "shift", "classes").mapInArrow(run, "part int, seen long, weights binary")
+    while parts > 1:
+        weights = weights.groupBy(F.floor(F.col("part") / FAN)).applyInArrow(mean, "part int, seen long, weights binary")
+        parts = -(-parts // FAN)
+    found = weights.collect()  # one, or none without tokens
+    return np.frombuffer(bytes(found[0].weights), np.float64).astype(np.float32) if found else flat
 
-def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[list[int], np.ndarray]:
-    """The frequent words' hashes and the network's weights, learned from all documents; ``counts``: their word counts, if at hand."""
-    bounded(docs.sparkSession)
+
+def vocabulary(counts: DataFrame) -> tuple[list[int], np.ndarray, int]:
+    """The frequent words' hashes, the first weights, and the number of tokens, from word counts."""
     rare = F.lit(FREQUENT) + F.pmod("word", F.lit(RARE))
-    counts = written(word_counts(docs)) if counts is None else counts
     frequent = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
     totals = np.zeros(CLASSES)
     for r in counts.groupBy(rare.cast("int").alias("c")).agg(F.sum("n").alias("n")).collect():
         totals[r.c] = r.n
+    tokens = int(totals.sum())
     for i, (word, n) in enumerate(frequent):
         totals[i] = n
         totals[FREQUENT + word % RARE] -= n
-    flat = start(totals)
-    words = [w for w, _ in frequent]
+    return [w for w, _ in frequent], start(totals), tokens
+
+
+def _rounds(codes: DataFrame, flat: np.ndarray, parts: int) -> np.ndarray:
     for i in range(ROUNDS):
-        flat = trained_round(docs, words, flat, RATE / (1 + i), i)
-    return words, flat
+        flat = trained_round(codes, flat, RATE / (1 + i), i, parts)
+    return flat
+
+
+def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[list[int], np.ndarray]:
+    """The frequent words' hashes and the network's weights, learned from all documents; ``counts``: their word counts, if at hand."""
+    counts = written(word_counts(docs)) if counts is None else counts
+    words, flat, tokens = vocabulary(counts)
+    with Scratch(docs.sparkSession) as keep:
+        return words, _rounds(keep(dealt(encoded(docs.withColumn("_n", F.lit(0)).select("_n", "text"), ["_n"], words).drop("r"), parts_of(tokens))), flat, parts_of(tokens))
 
 
 def class_totals(counts: DataFrame, words: list[int]) -> np.ndarray:
@@ -276,76 +376,64 @@ class Shares:
         return known, np.where(known, self.logs[at], 0.0)
 
 
-def rare_words(docs: DataFrame, words: list[int], shares: Shares) -> DataFrame:
-    """text_key, word, k: how often each rare word without a known share occurs in a text (once more for each copy of it)."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, shares))
+def shares_of(counts: DataFrame, words: list[int]) -> tuple[Shares, np.ndarray]:
+    """The shares that are sent along, and the smoothed counts of the rare classes."""
+    total = class_totals(counts, words)
+    return Shares([(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()], words, total), total
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, known = Classes(shared.value[0]), shared.value[1]
-        for part in slices(batches):
-            hashes, counts = word_hashes(part.column("text"))
-            rare = classes(hashes) >= FREQUENT
-            text, word = np.repeat(np.arange(len(counts)), counts)[rare], hashes[rare].view(np.int64)
-            other = ~known(word)[0]
-            text, word = text[other], word[other]
-            order = np.lexsort((word, text))
-            text, word = text[order], word[order]
-            first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (word[1:] != word[:-1])])[: len(text)])
-            k = np.diff(np.append(first, len(text)))
-            key = part.column("text_key").to_numpy()[text[first]]
-            for a in range(0, len(k), 100_000):
-                b = a + 100_000
-                yield pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(word[first[a:b]]), pa.array(k[a:b])], names=["text_key", "word", "k"])
-
-    return docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "text_key long, word long, k long")
-
-
-def rare_logs(docs: DataFrame, words: list[int], shares: Shares, total: np.ndarray, counts: DataFrame) -> DataFrame:
+
+def rare_logs(codes: DataFrame, total: np.ndarray, counts: DataFrame) -> DataFrame:
     """text_key, rare_log: sum of the log shares of a text's other rare words in their classes."""
     name = F.pmod("word", F.lit(RARE)).cast("int")
     share = F.log((F.coalesce("n", F.lit(0)) + SMOOTH) / F.get(F.array(*[F.lit(float(v)) for v in total]), name))
-    both = rare_words(docs, words, shares).join(counts, "word", "left")
-    sums = both.groupBy("text_key").agg(F.sum(F.col("k") * F.round(share * UNITS).cast("long")).alias("logs"))
+    pairs = codes.select("text_key", F.explode(F.arrays_zip("others", "times")).alias("e")).select("text_key", F.col("e.others").alias("word"), F.col("e.times").alias("k"))
+    sums = pairs.join(counts, "word", "left").groupBy("text_key").agg(F.sum(F.col("k") * F.round(share * UNITS).cast("long")).alias("logs"))
     # copies of a text have one key and have been summed up together
-    copies = docs.groupBy(F.xxhash64("text").alias("text_key")).agg(F.count("*").alias("copies"))
+    copies = codes.groupBy("text_key").agg(F.count("*").alias("copies"))
     return sums.join(copies, "text_key").select("text_key", (F.col("logs") / F.col("copies") / UNITS).alias("rare_log"))
 
 
-def score(docs: DataFrame, model: tuple[list[int], np.ndarray], keep: list[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
-    """``keep`` columns (default doc_id), n_tokens, log_prob, mean_log_prob of every document.
-
-    ``counts`` (word, n of the corpus): rare words are scored as words; without it as classes.
-    """
-    spark = bounded(docs.sparkSession)
-    keep = keep or ["doc_id"]
-    shares = None
-    if counts is not None:
-        total = class_totals(counts, model[0])
-        shares = Shares([(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()], model[0], total)
-    shared = spark.sparkContext.broadcast((*model, shares))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("r"), F.xxhash64("text").alias("text_key"), "text")
-    schema = rows.select("r", "text_key").withColumns({"n_tokens": F.lit(0).cast("long"), "class_log": F.lit(0.0)}).schema
+def scored(codes: DataFrame, keep: list[str], flat: np.ndarray, total: np.ndarray | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """The ``keep`` columns, n_tokens, log_prob, mean_log_prob of encoded documents."""
+    shared = codes.sparkSession.sparkContext.broadcast(flat)
+    schema = codes.select("r", "text_key", "n_tokens").withColumn("class_log", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights, known = shared.value
-        classes, net = Classes(words), unpacked(weights)
-        for part in slices(batches):
-            hashes, counts = word_hashes(part.column("text"))
-            tokens = classes(hashes)
-            padded, at = windows(tokens, counts)
-            logs = log_probabilities(net, padded, at).astype(float)
-            if known:
-                rare = tokens >= FREQUENT
-                logs[rare] += known(hashes[rare].view(np.int64))[1]
-            total = np.concatenate([[0.0], np.cumsum(logs)])
-            ends = np.cumsum(counts)
-            logs = total[ends] - total[ends - counts]
-            yield pa.RecordBatch.from_arrays([part.column("r"), part.column("text_key"), pa.array(counts.astype(np.int64)), pa.array(logs)], names=["r", "text_key", "n_tokens", "class_log"])
-
-    scored = rows.mapInArrow(run, schema)
+        net = unpacked(shared.value)
+        for batch in batches:
+            for rows in _bounded_rows(batch, SLICE_TOKENS):
+                classes, counts = _codes(rows)
+                logs = log_probabilities(net, *windows(classes, counts)).astype(float)
+                out = rows.column("known_log").to_numpy().copy()
+                full = counts > 0
+                if full.any():
+                    out[full] += np.add.reduceat(logs, (np.cumsum(counts) - counts)[full])
+                yield pa.RecordBatch.from_arrays([rows.column("r"), rows.column("text_key"), rows.column("n_tokens"), pa.array(out)], names=["r", "text_key", "n_tokens", "class_log"])
+
+    out = codes.select("r", "text_key", "n_tokens", "classes", "known_log").mapInArrow(run, schema)
     log_prob = F.col("class_log")
     if counts is not None:
-        scored = scored.join(rare_logs(docs, model[0], shares, total, counts), "text_key", "left")
+        out = out.join(rare_logs(codes, total, counts), "text_key", "left")
         log_prob = log_prob + F.coalesce("rare_log", F.lit(0.0))
     mean = F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens"))
-    return scored.select(*[F.col(f"r.`{c}`").alias(c) for c in keep], "n_tokens", log_prob.alias("log_prob"), mean.alias("mean_log_prob"))
+    return out.select(*[F.col(f"r.`{c}`").alias(c) for c in keep], "n_tokens", log_prob.alias("log_prob"), mean.alias("mean_log_prob"))
+
+
+def score(docs: DataFrame, model: tuple[list[int], np.ndarray], keep: list[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """``keep`` columns (default doc_id), n_tokens, log_prob, mean_log_prob of every document by a model that was trained before.
+
+    ``counts`` (word, n of the corpus): rare words are scored as words; without it as classes.
+    """
+    keep = keep or ["doc_id"]
+    shares, total = shares_of(counts, model[0]) if counts is not None else (None, None)
+    return scored(encoded(docs, keep, model[0], shares), keep, model[1], total, counts)
+
+
+def pseudo_likelihood(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The same for the documents that the model is trained on: they are encoded once for training and scoring."""
+    keep = keep or ["doc_id"]
+    counts = written(word_counts(docs))
+    words, flat, tokens = vocabulary(counts)
+    shares, total = shares_of(counts, words)
+    codes = written(dealt(encoded(docs, keep, words, shares), parts_of(tokens)))
+    return scored(codes, keep, _rounds(codes, flat, parts_of(tokens)), total, counts)

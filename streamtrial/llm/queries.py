@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamtrial.llm import clustering, extraction, fingerprints, jaccard, langid, linededup, lm_scoring, mixing, packing, quality, ranking, toxicity, urlfilter
-from streamtrial.llm.common import documents, written
+from streamtrial.llm.common import documents
 
 TOXIC_AT = 0.6
 
@@ -57,9 +57,7 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    counts = written(lm_scoring.word_counts(docs))
-    return lm_scoring.score(docs, lm_scoring.train(docs, counts), counts=counts)
+    return lm_scoring.pseudo_likelihood(documents(spark, sf_dir))
 
 
 MIX = {"fraction": 0.5, "epochs": 2, "seed": 17, "weights": {"domain": {"d1": 3, "d0": 2}, "lang": {"en": 4, "de": 3, "fr": 2}}}

@@ -605,10 +605,14 @@ def test_a_training_round_equals_the_plain_gradient(spark):
     flat = lm_scoring.start(np.ones(lm_scoring.CLASSES))
     net = {k: v.astype(float) for k, v in lm_scoring.unpacked(flat).items()}
     padded, at = lm_scoring.windows(lm_scoring.Classes(frequent)(hashes), counts)
-    masked = at[lm_scoring.masked_places(hashes, counts, 1)]
+    order = np.argsort([r.text_key for r in df.orderBy("doc_id").select(F.xxhash64("text").alias("text_key")).collect()])
+    hashes = np.concatenate([lm_scoring.word_hashes(pa.array([texts[i]]))[0] for i in order])  # rows come by the hash of their text
+    counts = counts[order]
+    padded, at = lm_scoring.windows(lm_scoring.Classes(frequent)(hashes), counts)
+    masked = at[lm_scoring.masked_places(lm_scoring.shifts(hashes, counts), counts, 1)]
     assert 0 < len(masked) <= lm_scoring.STEP_ROWS
     want = one_step(net, padded, masked, 0.4)
-    got = lm_scoring.unpacked(lm_scoring.trained_round(df, frequent, flat, 0.4, 1))
+    got = lm_scoring.unpacked(lm_scoring.trained_round(lm_scoring.dealt(lm_scoring.encoded(df, ["doc_id"], frequent), 1), flat, 0.4, 1, 1))
     for k in want:
         assert np.allclose(got[k], want[k], atol=2e-5), k
 
@@ -646,11 +650,11 @@ def test_every_token_is_masked_once(docs, monkeypatch):
     rng = np.random.default_rng(5)
     counts = np.array([0, 1, 3, 15, 16, 17, 0, 500])
     hashes = rng.integers(0, 1 << 60, counts.sum()).astype(np.uint64)
-    turns = [lm_scoring.masked_places(hashes, counts, i) for i in range(lm_scoring.ROUNDS)]
+    turns = [lm_scoring.masked_places(lm_scoring.shifts(hashes, counts), counts, i) for i in range(lm_scoring.ROUNDS)]
     assert sorted(np.concatenate(turns)) == list(range(len(hashes)))
     used = []
     real = lm_scoring.trained_round
-    monkeypatch.setattr(lm_scoring, "trained_round", lambda *a: used.append(a[-1]) or real(*a))
+    monkeypatch.setattr(lm_scoring, "trained_round", lambda *a: used.append(a[-2]) or real(*a))
     lm_scoring.train(docs)
     assert used == list(range(lm_scoring.ROUNDS))
 
@@ -793,3 +797,19 @@ def test_span_hashes_depend_on_the_bytes_only():
     hashes = span_hashes(data, start, start + np.array([len(s) for s in spans] * 2)).tolist()
     assert hashes[: len(spans)] == hashes[len(spans) :]
     assert len(set(hashes)) == len(set(spans))
+
+
+def test_scores_depend_on_texts_only(spark, monkeypatch):
+    """Five files or fifty, any order: parts are dealt by the text, and their weights averaged in their order."""
+    monkeypatch.setattr(lm_scoring, "PART_TOKENS", 400)
+    monkeypatch.setattr(lm_scoring, "FAN", 3)
+    rng = random.Random(21)
+    df = spark.createDataFrame([(i, prose(rng.randint(0, 60), rng), "k") for i in range(200)] + [(500, None, "n"), (3, prose(2000, rng), "k")], "doc_id long, text string, n_tokens string")
+    runs = [{(r.doc_id, r.n_tokens): r.log_prob for r in lm_scoring.pseudo_likelihood(df.repartition(n)).collect()} for n in (2, 13)]
+    assert runs[0].keys() == runs[1].keys() and len(runs[0]) == 202
+    assert all(abs(v - runs[1][k]) <= 1e-5 * (1 + abs(v)) for k, v in runs[0].items())
+    model = lm_scoring.train(df)
+    counts = lm_scoring.word_counts(df).cache()
+    again = {(r.doc_id, r.n_tokens): r.log_prob for r in lm_scoring.score(df, model, counts=counts).collect()}
+    assert all(abs(v - again[k]) <= 1e-5 * (1 + abs(v)) for k, v in runs[0].items())
+    assert lm_scoring.pseudo_likelihood(df.limit(0)).count() == 0
