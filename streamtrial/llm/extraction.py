@@ -23,6 +23,7 @@ columns are not read, and those named like results are replaced; an empty table
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamtrial.llm.common import Scratch, bounded, slices, span_hashes, written
+from streamtrial.llm.common import Scratch, bounded, slices, written
 from streamtrial.llm.linking import sized
 
 #: A text is template if this share of a slot's voices has it, and so many voices have it at least.
@@ -280,9 +281,7 @@ class Wrapper:
 
 
 def hashes(texts: list[str]) -> list[int]:
-    data = [t.encode("utf-8", "surrogatepass") for t in texts]
-    ends = np.cumsum([len(d) for d in data]).astype(np.int64)
-    return span_hashes(np.frombuffer(b"".join(data), np.uint8), ends - [len(d) for d in data], ends).view(np.int64).tolist() if data else []
+    return [int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in texts]
 
 
 def slots_of(page: list[Node], reference: list[Node]) -> dict[int, int]:
