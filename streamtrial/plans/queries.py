@@ -273,8 +273,8 @@ def _grown(spark, sf, name: str, block: int, **params) -> DataFrame:
     return tree_growth.grown(stored(instances(spark, sf, name)), s.classes, s.width, block, **params)[0]
 
 
-QUERIES["d7_grown_tree"] = lambda spark, sf: _grown(spark, sf, "li_flag", 10_000)
-QUERIES["d8_grown_efdt"] = lambda spark, sf: _grown(spark, sf, "li_rule", 10_000, delta=1e-5)
+QUERIES["d7_grown_tree"] = lambda spark, sf: _grown(spark, sf, "li_flag", 20_000)
+QUERIES["d8_grown_efdt"] = lambda spark, sf: _grown(spark, sf, "li_rule", 20_000, delta=1e-5)
 
 
 QUERIES["d9_gradient_tree"] = lambda spark, sf: prequential(instances(spark, sf, "ev_users"), "gradient_tree")
