@@ -24,7 +24,9 @@ def scan(df: DataFrame, measures: dict[str, tuple[str, Column]], inclusive: bool
     if block is None:
         block = max(LEAST_BLOCK, isqrt(df.agg(F.max("seq").alias("m")).first().m or 1))
     names = list(measures)
-    rows = df.withColumn("_blk", F.floor((F.col("seq") - 1) / block)).withColumns({f"_v_{k}": v for k, (_, v) in measures.items()})
+    # dealt and sorted as they are, before the measures make them wide; totals and windows share the exchange
+    rows = df.withColumn("_blk", F.floor((F.col("seq") - 1) / block)).repartition("stream_id", "_blk").sortWithinPartitions("stream_id", "_blk", "seq")
+    rows = rows.withColumns({f"_v_{k}": v for k, (_, v) in measures.items()})
     totals = rows.groupBy("stream_id", "_blk").agg(*[_FUNCTIONS[measures[k][0]](f"_v_{k}").alias(f"_t_{k}") for k in names])
     earlier = Window.partitionBy("stream_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("stream_id", "_blk", *[_FUNCTIONS[measures[k][0]](f"_t_{k}").over(earlier).alias(f"_b_{k}") for k in names])

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from streamtrial.functions import scalar
 from streamtrial.operators import drift, ensemble, metrics, moments, neighbours, parameter_mixing, scaling, tree_growth
-from streamtrial.operators.fold import prequential, sweep
+from streamtrial.operators.fold import prequential, register, sweep
 from streamtrial.operators.naive_bayes import fit, naive_bayes
+from streamtrial.operators.numbering import numbered
 from streamtrial.operators.scan import scan
 from streamtrial.plans import oracles, search, suite
 from streamtrial.plans.storage import shared_dir, stored
@@ -568,6 +569,46 @@ def j5(spark, sf):
     return _rounded(one.runs(stored(one.predictions(spark, sf))), *_METRICS).select("framework", "dataset", "run_id", "seed", "n_samples", *_METRICS)
 
 
+class _Majority:
+    """A learner from outside the library: the commonest label so far, the smallest of equals."""
+
+    def __init__(self, width: int, **_):
+        self.counts: dict[int, int] = {}
+
+    def predict(self, x) -> int:
+        return min(self.counts, key=lambda c: (-self.counts[c], c)) if self.counts else 0
+
+    def learn(self, x, y: int) -> None:
+        self.counts[int(y)] = self.counts.get(int(y), 0) + 1
+
+
+_SO_FAR = ", ".join(f"count(*) FILTER (y = {c}) OVER {oracles.BEFORE} AS c{c}" for c in range(5))
+
+
+@query("j3_registered_learner", f"SELECT stream_id, seq, y, CAST({scalar.argmax([f'c{c}' for c in range(5)], list(range(5)), '0')} AS INTEGER) AS pred FROM (SELECT stream_id, seq, y, {_SO_FAR} FROM ({stream_sql('ev_users')}))")
+def j3(spark, sf):
+    """Any class with predict and learn runs in the fold once it is registered."""
+    register("majority", _Majority, "classification")
+    return prequential(instances(spark, sf, "ev_users"), "majority")
+
+
+@query("e6_sorted_runs", f"SELECT framework, dataset, run_id, row_number() OVER (ORDER BY run_id, framework, dataset) AS place FROM ({_RUNS_SQL})")
+def e6(spark, sf):
+    """Runs in the order of results, numbered by it."""
+    return numbered(stored(_runs(spark, sf).select("framework", "dataset", "run_id")), ["run_id", "framework", "dataset"]).select("framework", "dataset", "run_id", F.col("seq").alias("place"))
+
+
+@query("a1_datasets", " UNION ALL ".join(f"SELECT '{t}' AS task, '{n}' AS name, {i + 1} AS place, count(*) AS n_samples FROM {STREAMS[n].table}" for t in ("classification", "regression") for i, n in enumerate(sorted(s.name for s in STREAMS.values() if s.task == t))))
+def a1(spark, sf):
+    """The catalog's names per task, sorted, with the rows of their tables."""
+    names = [(t, n, i + 1, STREAMS[n].table) for t in ("classification", "regression") for i, n in enumerate(suite.list_datasets(t))]
+    rows = None
+    for table in sorted({n[-1] for n in names}):
+        one = spark.read.parquet(f"{sf}/{table}.parquet").agg(F.count("*").alias("n_samples")).withColumn("table", F.lit(table))
+        rows = one if rows is None else rows.union(one)
+    return spark.createDataFrame(names, "task string, name string, place int, table string").join(F.broadcast(rows), "table").select("task", "name", "place", "n_samples")
+
+
 # --- ensembles and drift ---------------------------------------------------------------------------------
 
 _TEAM = ("perceptron", "logistic", "passive_aggressive")
