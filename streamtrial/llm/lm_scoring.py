@@ -43,6 +43,8 @@ KNOWN = 1 << 17
 SMOOTH, UNITS = 0.1, 1 << 24
 BORDER = CLASSES
 MASK, ROUNDS, STEP_ROWS, RATE = 16, 2, 4096, 2.0
+#: Places that are scored at a time.
+SCORE_ROWS = 4096
 #: Tokens of a part, and sets of weights that one task averages.
 PART_TOKENS, FAN = 500_000, 16
 #: Tokens that a task holds at once; a single longer text is still worked on whole.
@@ -56,6 +58,9 @@ SHAPES = {
 #: The group or rare class of each token.
 _TOP = np.append(np.repeat(np.arange(GROUPS), WORDS), np.arange(GROUPS, TOP))
 
+#: Places of each class's numbers among all vectors.
+_CELLS = np.arange((CLASSES + 1) * WIDTH).reshape(-1, WIDTH)
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -133,39 +138,48 @@ def start(class_counts: np.ndarray) -> np.ndarray:
 
 
 def forward(net: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = net["vectors"][context].reshape(len(context), -1)
+    x = np.take(net["vectors"], context, axis=0).reshape(len(context), -1)
     h = np.tanh(x @ net["hidden"] + net["shift"])
-    z = h @ net["out"] + net["bias"]
-    z -= z.max(1, keepdims=True)
-    return x, h, z
+    return x, h, h @ net["out"] + net["bias"]
+
+
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp(z - top) in place, its sums per row, and the top of each row: one for all if no row vanishes by it, else the row's own."""
+    ones, top = np.ones(z.shape[1], z.dtype), z.max(initial=0.0)
+    e = np.exp(z - top)
+    sums = e @ ones
+    if sums.min(initial=1.0) > 1e-30:
+        return e, sums, np.full(len(z), top, z.dtype)
+    top = z.max(1)
+    np.exp(z - top[:, None], out=e)
+    return e, e @ ones, top
 
 
-def by_group(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each group that occurs in ``target`` and the places of its words."""
-    group = np.minimum(target // WORDS, GROUPS)
+def grouped(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the places in which the words of a group follow each other, and (group, first, end) of those that occur."""
+    group = np.minimum(target // WORDS, GROUPS).astype(np.int16)
     order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(GROUPS), side="right")
-    for g, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends)):
-        if b > a:
-            yield g, order[a:b]
+    ends = np.searchsorted(group[order], np.arange(GROUPS), side="right").tolist()
+    return order, [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
 
 
 def log_probabilities(net: dict[str, np.ndarray], padded: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.empty(len(at), np.float32)
-    for a in range(0, len(at), 4096):
-        own = at[a : a + 4096]
+    for a in range(0, len(at), SCORE_ROWS):
+        own = at[a : a + SCORE_ROWS]
+        order, groups = grouped(padded[own])
+        own = own[order]
         target = padded[own]
         _, h, z = forward(net, padded[own[:, None] + _OFFSETS])
         logs = z[np.arange(len(own)), _TOP[target]]
-        np.exp(z, out=z)
-        logs -= np.log(z.sum(1))
-        for g, rows in by_group(target):
-            z = h[rows] @ net["inner"][g] + net["inner_bias"][g]
-            z -= z.max(1, keepdims=True)
-            word = z[np.arange(len(rows)), target[rows] % WORDS]
-            np.exp(z, out=z)
-            logs[rows] += word - np.log(z.sum(1))
-        out[a : a + 4096] = logs
+        _, sums, top = exponentials(z)
+        logs -= np.log(sums) + top
+        for g, b, e in groups:
+            z = h[b:e] @ net["inner"][g] + net["inner_bias"][g]
+            word = z[np.arange(e - b), target[b:e] % WORDS]
+            _, sums, top = exponentials(z)
+            logs[b:e] += word - np.log(sums) - top
+        out[a + order] = logs
     return out
 
 
@@ -173,21 +187,21 @@ def learn(net: dict[str, np.ndarray], padded: np.ndarray, at: np.ndarray, rate:
     """Gradient steps over the masked places ``at``."""
     for a in range(0, len(at), STEP_ROWS):
         own = at[a : a + STEP_ROWS]
+        order, groups = grouped(padded[own])
+        own = own[order]
         context, target = padded[own[:, None] + _OFFSETS], padded[own]
         x, h, z = forward(net, context)
-        np.exp(z, out=z)
-        z *= rate / len(own) / z.sum(1, keepdims=True)
+        z, sums, _ = exponentials(z)
+        z *= (rate / len(own) / sums)[:, None].astype(np.float32)
         z[np.arange(len(own)), _TOP[target]] -= rate / len(own)
         back = z @ net["out"].T
-        for g, rows in by_group(target):
-            mine = h[rows]
-            y = mine @ net["inner"][g] + net["inner_bias"][g]
-            y -= y.max(1, keepdims=True)
-            np.exp(y, out=y)
-            y /= y.sum(1, keepdims=True)
-            y[np.arange(len(rows)), target[rows] % WORDS] -= 1
-            back[rows] += (y @ net["inner"][g].T) * np.float32(rate / len(own))
-            y *= rate / max(len(rows), LEAST_GROUP)
+        for g, b, e in groups:
+            mine = h[b:e]
+            y, sums, _ = exponentials(mine @ net["inner"][g] + net["inner_bias"][g])
+            y /= sums[:, None]
+            y[np.arange(e - b), target[b:e] % WORDS] -= 1
+            back[b:e] += (y @ net["inner"][g].T) * np.float32(rate / len(own))
+            y *= np.float32(rate / max(e - b, LEAST_GROUP))
             net["inner"][g] -= mine.T @ y
             net["inner_bias"][g] -= y.sum(0)
         back *= 1 - h * h
@@ -196,7 +210,7 @@ def learn(net: dict[str, np.ndarray], padded: np.ndarray, at: np.ndarray, rate:
         net["bias"] -= z.sum(0)
         net["hidden"] -= x.T @ back
         net["shift"] -= back.sum(0)
-        cells = (context[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
+        cells = np.take(_CELLS, context, axis=0).ravel()
         net["vectors"] -= np.bincount(cells, into, net["vectors"].size).reshape(net["vectors"].shape).astype(np.float32)
 
 
