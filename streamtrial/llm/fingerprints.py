@@ -11,7 +11,8 @@ common (bottom-k estimate of the sets' Jaccard similarity).
 
 Defined cases: null counts as empty; an empty text has an empty fingerprint, two of them have likeness 1,
 one and another text 0. Equal texts have equal fingerprints. Rows with equal ids follow each other in the
-order of a hash of their text; null ids come first; a table of one row is its own successor.
+order of a hash of their text, and of equal rows either may come first, with the same results; null ids come first; a table of one row is its
+own successor; very long texts are parsed whole; other columns are not read, and an empty table gives no rows.
 """
 
 from __future__ import annotations

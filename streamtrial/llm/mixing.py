@@ -14,7 +14,8 @@ its buckets, whose number grows with the table.
 
 Defined cases: null levels are a group of their own (shown as ''), null or empty texts have 0 tokens and
 are taken if they stand before the end; weights not listed are 1, and a weight of 0 gives nothing; repeated rows (equal ids) are counted
-one by one and selected together or not at all; an empty table gives no rows.
+one by one and selected together or not at all, as equal places in an epoch are; very long texts count whole, and one that doesn't fit what is
+left of a budget ends the leaf; other columns are not read unless they are to be kept; an empty table gives no rows.
 """
 
 from __future__ import annotations

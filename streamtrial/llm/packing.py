@@ -15,7 +15,8 @@ A plan row says: pieces number ``first .. first + times - 1`` of a length stand
 bucket), so a length that a third of all pieces has is spread over buckets.
 
 Defined cases: a null or empty text is the single id 0; repeated rows are packed one by one; an
-empty table gives no rows. Numbers within a length follow a hash of id and piece, so runs agree.
+empty table gives no rows. Numbers within a length follow a hash of id and piece, so runs agree; pieces of one length are alike to the plan, so
+ties among them don't matter. Very long texts are cut, whole, into pieces; other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ that equal an earlier line, words inside 8-word windows that occur twice or more
 fails the base rules with fewer than 20 words, or if over 30 % of its words are in repeated windows.
 
 Defined cases: a null text has no words and fails; an empty table gives no rows; without trusted rows all
-scores are 0. Repeated rows count as often as they occur and get equal results.
+scores are 0. Repeated rows count as often as they occur and get equal results, as the verdict is a threshold on each document's own
+score and not a rank, so ties play no part; very long texts count whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

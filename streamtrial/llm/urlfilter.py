@@ -12,7 +12,9 @@ Scale: edges are counted per pair of hosts before anything is joined; the ranks
 over (host, kind), and Spark splits the join of a hub host as its other side has one row per host.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and is allowed; html null
-means no links; an empty table gives no rows; repeated pages count as often as they occur.
+means no links; an empty table gives no rows; repeated pages count as often as they occur; a host whose trust and distrust
+are equal is allowed, as are hosts that nothing reaches; very long urls and pages are read whole; other columns are not read, and those
+named like results are replaced.
 """
 
 from __future__ import annotations

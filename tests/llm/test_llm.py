@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -813,3 +814,27 @@ def test_scores_depend_on_texts_only(spark, monkeypatch):
     again = {(r.doc_id, r.n_tokens): r.log_prob for r in lm_scoring.score(df, model, counts=counts).collect()}
     assert all(abs(v - again[k]) <= 1e-5 * (1 + abs(v)) for k, v in runs[0].items())
     assert lm_scoring.pseudo_likelihood(df.limit(0)).count() == 0
+
+
+def test_links_of_long_pages_equal_plain_counts(spark):
+    """Absolute links of every kind, on a page of some hundred thousand characters; relative ones and those to the own host are no edges."""
+    rng = random.Random(31)
+    hosts = ["a.example.com", "B.example.com", "c.org", "x.y.c.org"]
+    link = lambda: rng.choice(['<a href="https://{}/p">', "<a  HREF='//{}'>".replace("HREF", "href"), "<img src=http://user:pw@{}/i.png>", '<a href="/rel/{}">', '<a name="{}">']).format(rng.choice(hosts))
+    pages = [(i, h.lower(), "".join(link() + "x" * rng.randint(0, 40) for _ in range(n))) for i, (h, n) in enumerate([*((h, 30) for h in hosts), (hosts[0], 3000), ("", 5)])]
+    want = Counter()
+    for _, host, html in pages:
+        for m in re.finditer(r"""(?:href|src)\s*=\s*["']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'\s>]+)""", html):
+            to = m[1].lower().rpartition("@")[2]
+            if host and to != host:
+                want[host, to] += 1
+    for host in {h for _, h, _ in pages}:
+        parts = host.split(".")
+        for i in range(len(parts) - 2):
+            steps = ".".join(parts[i:]), ".".join(parts[i + 1 :])
+            want[steps] += 0
+            want[steps[::-1]] += 0
+    ups = {p for h in {h for _, h, _ in pages} for i in range(len(h.split(".")) - 2) for a, b in [(".".join(h.split(".")[i:]), ".".join(h.split(".")[i + 1 :]))] for p in ((a, b), (b, a))}
+    df = spark.createDataFrame(pages, "page_id long, host string, html string").repartition(3)
+    got = {(r.src, r.dst): r.weight for r in urlfilter.host_edges(df).collect()}
+    assert got == {k: v + (k in ups) for k, v in want.items()}
