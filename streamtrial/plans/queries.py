@@ -252,8 +252,8 @@ for _id, _algo, _name, _params in (("d7_hoeffding_tree", "hoeffding_tree", "ev_u
 
 #: Parameter mixing over streams without a key, (shards, rows of a shard); with one shard a round it is the fold.
 _MIXES = {
-    "d2_mix_perceptron": ("li_rule", "perceptron", (8, 500)), "d3_mix_logistic": ("li_flag", "logistic", (16, 1000)), "d11_mix_one_shard": ("ev_amount", "linear", (1, 2500)),
-    "d4_mix_passive_aggressive": ("li_abrupt", "passive_aggressive", (8, 500)), "d5_mix_softmax": ("li_rule", "softmax", (16, 500)), "d11_mix_linear": ("li_revenue", "linear", (16, 1000)), "d13_mix_passive_aggressive_reg": ("li_revenue", "passive_aggressive_reg", (8, 1000)),
+    "d2_mix_perceptron": ("li_rule", "perceptron", (8, 500)), "d3_mix_logistic": ("li_flag", "logistic", (16, 2000)), "d11_mix_one_shard": ("ev_amount", "linear", (1, 2500)),
+    "d4_mix_passive_aggressive": ("li_abrupt", "passive_aggressive", (8, 500)), "d5_mix_softmax": ("li_rule", "softmax", (16, 500)), "d11_mix_linear": ("li_revenue", "linear", (16, 2000)), "d13_mix_passive_aggressive_reg": ("li_revenue", "passive_aggressive_reg", (8, 1000)),
 }
 for _id, (_name, _algo, _mix) in _MIXES.items():
     QUERIES[_id] = lambda spark, sf, n=_name, a=_algo, m=_mix: _mixed(spark, sf, n, a, m)
