@@ -373,3 +373,52 @@ def test_typed_state_equals_batch_over_restarts(spark, tmp_path, algo):
     assert sorted((r.stream_id, r.last, r.rows, r.late) for r in state) == [("s", 60, 60, 1), ("t", 50, 50, 1)]
     with pytest.raises(ValueError):
         typed_predictions(whole, "knn")
+
+
+# --- many rounds, many streams ---------------------------------------------------------------------------
+
+LINEAR = ["perceptron", "logistic", "softmax", "passive_aggressive", "linear", "bayesian_linear", "passive_aggressive_reg"]
+
+
+@pytest.mark.parametrize("algo", LINEAR)
+def test_lockstep_equals_the_kernels(algo):
+    from streamtrial.operators.lockstep import LOCKSTEP, run_streams
+
+    rng = np.random.default_rng(5)
+    lengths = np.array([40, 40, 17, 3, 1])
+    x = rng.normal(size=(lengths.sum(), 3))
+    y = np.round(rng.uniform(0, 4, len(x))).astype(int) if KERNELS[algo][1] == "classification" else x @ [1.0, -2.0, 0.5]
+    x[50, 1] = np.nan
+    model, at = LOCKSTEP[algo](len(lengths), 3, y), 0
+    got = run_streams(model, x, y, lengths)
+    for n, state in zip(lengths, model.state(lengths)):
+        plain = KERNELS[algo][0](3)
+        assert np.allclose(got[at : at + n].astype(float), run_rows(plain, x[at : at + n], y[at : at + n]), atol=1e-9, equal_nan=True)
+        want = plain.state(int(n))
+        assert [s[:2] for s in state] == [s[:2] for s in want] and np.allclose([s[2:] for s in state], [s[2:] for s in want], atol=1e-9, equal_nan=True)
+        at += n
+
+
+@pytest.mark.parametrize("span", [1, 120, 10**6])
+@pytest.mark.parametrize("algo", ["softmax", "bayesian_linear"])
+def test_jobs_of_mixing_do_not_grow_with_its_rounds(spark, monkeypatch, algo, span):
+    from streamtrial.operators import parameter_mixing
+
+    monkeypatch.setattr(parameter_mixing, "SPAN_ROWS", span)
+    x, y, df = _line_stream(spark, 310, 2 if algo == "softmax" else 0)
+    want, start = [], None
+    for at in range(0, 310, 60):
+        states = []
+        for s in range(at, min(at + 60, 310), 20):
+            model = KERNELS[algo][0](3)
+            if start:
+                model.restore(start)
+            want += run_rows(model, x[s : min(s + 20, at + 60)], y[s : min(s + 20, at + 60)])
+            states.append(model.state(len(x[s : s + 20]), start))
+        start = parameter_mixing.mean_state(states, start)
+    spark.sparkContext.setJobGroup(f"mix {algo} {span}", "")
+    out = parameter_mixing.mixed(df, algo, shards=3, shard_rows=20)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"mix {algo} {span}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert np.allclose([r.pred for r in out.orderBy("seq").collect()], want, atol=1e-9)
+    assert jobs < 12 or span < 10**6
