@@ -6,10 +6,12 @@ from math import exp
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamtrial.operators.fold import KERNELS, dealt, run_rows
+from streamtrial.operators.fold import KERNELS, dealt, in_chunks, matrix, run_rows, told
+from streamtrial.operators.lockstep import LOCKSTEP, side_by_side
 
 
 def _steps(rate: float) -> list[tuple[float, int]]:
@@ -26,10 +28,14 @@ def poisson(rate: float, *keys: Column) -> Column:
     """A Poisson draw from a hash of the keys: the same for the same keys, on every engine that has md5."""
     text = F.concat_ws("|", *[k.cast("string") for k in keys])
     u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
-    out = F.lit(0)
-    for least, k in _steps(rate):
-        out = F.when(u >= least, k).otherwise(out)
-    return out
+
+    def draw(v: Column) -> Column:
+        out = F.lit(0)
+        for least, k in _steps(rate):
+            out = F.when(v >= least, k).otherwise(out)
+        return out
+
+    return F.transform(F.array(u), draw)[0]  # one digest a row, not one for each step
 
 
 def poisson_sql(rate: float, key: str) -> str:
@@ -51,7 +57,14 @@ def bagging(df: DataFrame, algo: str, members: int, rate: float = 6.0, params: d
         pdf["pred"] = run_rows(maker(x.shape[1], **(params or {})), x, pdf.y.to_numpy(), pdf.times.to_numpy())
         return pdf[["member", "stream_id", "seq", "y", "pred"]]
 
-    return dealt(rows, "member", "stream_id").groupBy("member", "stream_id").applyInPandas(run, f"member int, stream_id string, seq long, y {kind}, pred {kind}")
+    def together(rows: pa.Table, bounds: np.ndarray) -> pa.Table:
+        pred, _ = side_by_side(maker, params or {}, matrix(rows), rows["y"].to_numpy(), bounds, rows["times"].to_numpy())
+        return told(rows, ["member", "stream_id", "seq", "y"], kind, pred)
+
+    schema = f"member int, stream_id string, seq long, y {kind}, pred {kind}"
+    if maker in LOCKSTEP:
+        return in_chunks(rows, ("member", "stream_id"), together, schema)
+    return dealt(rows, "member", "stream_id").groupBy("member", "stream_id").applyInPandas(run, schema)
 
 
 def recency_vote(preds: DataFrame, members: int) -> DataFrame:

@@ -389,7 +389,7 @@ def test_lockstep_equals_the_kernels(algo):
     x = rng.normal(size=(lengths.sum(), 3))
     y = np.round(rng.uniform(0, 4, len(x))).astype(int) if KERNELS[algo][1] == "classification" else x @ [1.0, -2.0, 0.5]
     x[50, 1] = np.nan
-    model, at = LOCKSTEP[algo](len(lengths), 3, y), 0
+    model, at = LOCKSTEP[KERNELS[algo][0]](len(lengths), 3, y), 0
     got = run_streams(model, x, y, lengths)
     for n, state in zip(lengths, model.state(lengths)):
         plain = KERNELS[algo][0](3)
@@ -422,3 +422,32 @@ def test_jobs_of_mixing_do_not_grow_with_its_rounds(spark, monkeypatch, algo, sp
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert np.allclose([r.pred for r in out.orderBy("seq").collect()], want, atol=1e-9)
     assert jobs < 12 or span < 10**6
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 10**6])
+@pytest.mark.parametrize("algo", LINEAR)
+def test_streams_folded_together_equal_single_ones(spark, monkeypatch, algo, chunk):
+    from streamtrial.operators import fold
+
+    monkeypatch.setattr(fold, "CHUNK_ROWS", chunk)
+    kind, sizes = KERNELS[algo][1], {"a": 70, "b": 1, "c": 33}
+    table = [(s, i, x, y if kind == "classification" else x[0] - y) for s, n in sizes.items() for _, i, x, y in rows(n, seed=n)]
+    df = spark.createDataFrame(table[::-1], SCHEMA if kind == "classification" else SCHEMA.replace("y int", "y double"))
+    want, shares = [], []
+    for s in sizes:
+        model = KERNELS[algo][0](3)
+        for t in table:
+            if t[0] == s:
+                want.append(model.predict(np.array(t[2])))
+                shares.append(model.proba(np.array(t[2])) if kind == "classification" else None)
+                model.learn(np.array(t[2]), t[3])
+    got = prequential(df, algo, proba=kind == "classification")
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    got = got.orderBy("stream_id", "seq").collect()
+    assert np.allclose([r.pred for r in got], want, atol=1e-9)
+    if kind == "classification":
+        assert [sorted(r.proba) for r in got] == [sorted(p) for p in shares] and all(abs(r.proba[c] - v) < 1e-9 for r, p in zip(got, shares) for c, v in p.items())
+    bags = {(r.member, r.stream_id, r.seq): r.pred for r in ensemble.bagging(df, algo, 2).collect()}
+    draws = df.withColumn("times", ensemble.poisson(6.0, F.lit(0), F.lit(1), F.col("stream_id"), F.col("seq"))).orderBy("seq").where("stream_id = 'a'").collect()
+    want = run_rows(KERNELS[algo][0](3), np.array([r.x for r in draws]), [r.y for r in draws], [r.times for r in draws])
+    assert len(bags) == 208 and np.allclose([bags[1, "a", r.seq] for r in draws], want, atol=1e-9)
