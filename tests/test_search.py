@@ -461,3 +461,21 @@ def test_grown_tree_is_the_fold_while_leaves_fill_whole_blocks(spark):
     assert [r.pred for r in preds.orderBy("seq").collect()][:600] == want[:600]
     assert tree_growth.grown(df.limit(0), (0, 1), 3)[0].collect() == []
     assert KERNELS["hoeffding_tree"][1] == "classification"
+
+
+@pytest.mark.parametrize("span", [1, 700, 10**6])
+def test_grown_tree_does_not_depend_on_spans_of_blocks(spark, monkeypatch, span):
+    monkeypatch.setattr(tree_growth, "SPAN_ROWS", span)
+    x, y, df = grow_rows(spark, 2600)
+    plain, want = Deferred(3, grace=100, delta=0.05), []
+    for at in range(0, len(x), 300):
+        plain.begin()
+        want += run_rows(plain, x[at : at + 300], y[at : at + 300])
+        plain.end()
+    spark.sparkContext.setJobGroup(f"grow {span}", "")
+    preds, tree, leaves = tree_growth.grown(df, (0, 1, 2), 3, block=300, grace=100, delta=0.05)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"grow {span}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r.pred for r in preds.orderBy("seq").collect()] == want
+    assert sum(f >= 0 for f in tree.feature) >= 2 and abs(sum(r.n for r in leaves.collect()) - 2600) < 1e-6
+    assert jobs < 12 or span < 10**6
