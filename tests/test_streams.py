@@ -451,3 +451,15 @@ def test_streams_folded_together_equal_single_ones(spark, monkeypatch, algo, chu
     draws = df.withColumn("times", ensemble.poisson(6.0, F.lit(0), F.lit(1), F.col("stream_id"), F.col("seq"))).orderBy("seq").where("stream_id = 'a'").collect()
     want = run_rows(KERNELS[algo][0](3), np.array([r.x for r in draws]), [r.y for r in draws], [r.times for r in draws])
     assert len(bags) == 208 and np.allclose([bags[1, "a", r.seq] for r in draws], want, atol=1e-9)
+
+
+def test_catalog_is_numbered_only_where_targets_ask_for_it(spark):
+    from streamtrial.plans.queries import QUERIES
+    from streamtrial.plans.streams import STREAMS, instances
+
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["a2_dataset_meta"](spark, sf)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 4
+    want = [(s.name, s.task, df.count(), s.width, df.select("y").distinct().count() if s.task == "classification" else 0) for s in STREAMS.values() for df in [instances(spark, sf, s.name)]]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
