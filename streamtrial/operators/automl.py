@@ -11,6 +11,7 @@ Fixed values: windows of 1,000 rows, pools of ten, ensembles of three.
 from __future__ import annotations
 
 from collections import deque
+from math import inf, isfinite, log, sqrt
 
 import numpy as np
 
@@ -18,7 +19,7 @@ from streamtrial.operators.dice import Dice
 from streamtrial.operators.drift import Adwin, Eddm
 from streamtrial.operators.fold import register
 from streamtrial.operators.forest import ForestRegressor
-from streamtrial.operators.kernels import AdaptiveLine
+from streamtrial.operators.plain import AdaptiveLine
 from streamtrial.operators.pipelines import Config, Pipeline, Scaler, Views, all_configs, encoded, mutated, nearby, pipelines, preset, random_config
 
 #: A prediction in the normalised target beyond this has diverged.
@@ -29,7 +30,7 @@ register("forest_reg", ForestRegressor, "regression")
 class Strategy:
     """What all strategies have: a counter of rows, draws of the seed, a log."""
 
-    task = "classification"
+    task, plain = "classification", True
 
     def __init__(self, width: int, seed: int = 0):
         self.width, self.rows, self.dice, self.log = width, 0, Dice(type(self).__name__, seed), []
@@ -137,11 +138,14 @@ class AdaptiveClassifier(_Adaptive):
 
     def learn(self, x: np.ndarray, y: int) -> None:
         right = self._said(x, self.pool[self.best]) == y
-        for i, p in enumerate(self.pool):
-            self.scores[i][0] += self._said(x, p) == y
-            self.scores[i][1] += 1
-            if self._score(self.scores[i]) > self._score(self.scores[self.best]):
-                self.best = i
+        top = self._score(self.scores[self.best])
+        for i, (s, p) in enumerate(zip(self.scores, self.pool)):
+            s[0] += self._said(x, p) == y
+            s[1] += 1
+            if i == self.best:
+                top = s[0] / s[1]
+            elif s[0] / s[1] > top:
+                self.best, top = i, s[0] / s[1]
         for s, p in zip(self.team_scores, self.team):
             s[0] += self._said(x, p) == y
             s[1] += 1
@@ -178,8 +182,12 @@ class RunningNorm:
         return z * self.std + self.mean
 
 
+def square(v: float) -> float:
+    return v * v  # inf where a power would be an error
+
+
 def diverged(z: float) -> bool:
-    return not np.isfinite(z) or abs(z) > DIVERGED
+    return not abs(z) <= DIVERGED
 
 
 class AdaptiveRegressor(_Adaptive):
@@ -239,7 +247,7 @@ class AdaptiveRegressor(_Adaptive):
             if diverged(said := self._said(x, p)):
                 self.dead.add(i)
                 continue
-            self.scores[i][0] += (y - self.norm.back(said)) ** 2
+            self.scores[i][0] += square(y - self.norm.back(said))
             self.scores[i][1] += 1
             learning.append(p)
             if self._score(self.scores[i]) < self._score(self.scores[self.best]):
@@ -247,7 +255,7 @@ class AdaptiveRegressor(_Adaptive):
         own = set(map(id, learning))
         for s, p in zip(self.team_scores, self.team):
             if not diverged(said := self._said(x, p)):
-                s[0] += (y - self.norm.back(said)) ** 2
+                s[0] += square(y - self.norm.back(said))
                 s[1] += 1
                 if self.double or id(p) not in own:
                     learning.append(p)
@@ -257,9 +265,9 @@ class AdaptiveRegressor(_Adaptive):
         for p in learning:
             p.model.learn(self.views.learned(x, z, p), z)
         self.views.done()
-        said = self.norm.back(min(DIVERGED, max(-DIVERGED, s))) if np.isfinite(s := self._said(x, self.pool[self.best])) else self.norm.back(0.0)
+        said = self.norm.back(min(DIVERGED, max(-DIVERGED, s))) if isfinite(s := self._said(x, self.pool[self.best])) else self.norm.back(0.0)
         self.views.done()
-        drift = self.adwin.update(min((y - said) ** 2, 1e10))
+        drift = self.adwin.update(min(square(y - said), 1e10))
         self.rows += 1
         if drift:
             self.chosen = self.pool[self.best]
@@ -286,8 +294,7 @@ class _Evolving(Strategy):
         config = Config(parent.config.algo, parent.config.params, other.scaler) if new == "scaler" else Config(other.algo, other.params, parent.config.scaler)
         child = Pipeline(config, self.width)
         if new == "learner":
-            mine, own = parent.chain.scaler, child.chain.scaler
-            own.n, own.low, own.high, own.mean, own.m2 = mine.n, mine.low, mine.high, mine.mean, mine.m2
+            child.chain.scaler.go_on(parent.chain.scaler)
         return child
 
     def learn(self, x: np.ndarray, y) -> None:
@@ -299,8 +306,7 @@ class _Evolving(Strategy):
         for p, s in zip(self.team, self.scores):
             s[0] += self._gain(p.predict(x), y)
             s[1] += 1
-            for _ in range(self.dice.poisson(self.rate)):
-                p.learn(x, y)
+            p.learn(x, y, self.dice.poisson(self.rate))
         self.rows += 1
 
 
@@ -337,7 +343,7 @@ class EvolvingRegressor(_Evolving):
         return score[0] / score[1] if score[1] else 0.0
 
     def predict(self, x: np.ndarray) -> float:
-        return float(np.mean([p.predict(x) for p in self.team]))
+        return sum(p.predict(x) for p in self.team) / len(self.team)
 
 
 class GeneticClassifier(Strategy):
@@ -368,8 +374,7 @@ class GeneticClassifier(Strategy):
         for i, p in enumerate(self.team):
             self.scores[i][0] += p.predict(x) == y
             self.scores[i][1] += 1
-            for _ in range(self.dice.poisson(self.rate)):
-                p.learn(x, y)
+            p.learn(x, y, self.dice.poisson(self.rate))
             if self._accuracy(self.scores[i]) > self._accuracy(self.scores[self.best]):
                 self.best = i
         self.rows += 1
@@ -397,11 +402,12 @@ def held_out(x: np.ndarray, y: np.ndarray, configs: list[Config], width: int, sh
     split = max(1, int(len(x) * share))
     team = pipelines(configs, width)
     views = Views()
+    x, y = x.tolist(), y.tolist()
     for row, label in zip(x[:split], y[:split]):
         for p in team:
             p.model.learn(views.learned(row, label, p), label)
         views.done()
-    scores = [float(np.mean([p.predict(x[i]) == y[i] for i in range(split, len(x))])) if split < len(x) else 0.0 for p in team]
+    scores = [sum(p.predict(x[i]) == y[i] for i in range(split, len(x))) / (len(x) - split) if split < len(x) else 0.0 for p in team]
     return scores, team
 
 
@@ -461,8 +467,8 @@ class ChampionRegressor(Strategy):
             self.model = AdaptiveLine(width + len(pairs), lr=lr)
             self.loss, self.squares, self.n, self.lease, self.left = 0.0, 0.0, 0, 0, 0
 
-        def x(self, x: np.ndarray) -> np.ndarray:
-            return np.append(x, [x[a] * x[b] for a, b in self.pairs]) if self.pairs else x
+        def x(self, x: list[float]) -> list[float]:
+            return [*x, *[x[a] * x[b] for a, b in self.pairs]] if self.pairs else x
 
         @property
         def name(self) -> Config:
@@ -470,8 +476,8 @@ class ChampionRegressor(Strategy):
 
     def __init__(self, width: int, live: int = 5, lease: int = 100, lr: float = 0.5, delta: float = 0.1, seed: int = 0):
         super().__init__(width, seed)
-        self.live_most, self.lease, self.delta = live, lease, delta
-        self.scaler, self.low, self.high = Scaler(width, "standard"), np.inf, -np.inf
+        self.live_most, self.lease, self.log_delta = live, lease, log(2 / delta)
+        self.scaler, self.low, self.high = Scaler(width, "standard"), inf, -inf
         self.champion = self._Model(width, lr, ())
         self.live: list = []
         self.waiting: list = []
@@ -501,27 +507,28 @@ class ChampionRegressor(Strategy):
 
     def _bounds(self, m) -> tuple[float, float]:
         if m.n < 2:
-            return -np.inf, np.inf
+            return -inf, inf
         mean = m.loss / m.n
-        wide = (2 * max(m.squares / m.n - mean * mean, 0.0) * np.log(2 / self.delta) / m.n) ** 0.5 + 3 * (self.high - self.low) * np.log(2 / self.delta) / m.n
+        wide = sqrt(2 * max(m.squares / m.n - mean * mean, 0.0) * self.log_delta / m.n) + 3 * (self.high - self.low) * self.log_delta / m.n
         return mean - wide, mean + wide
 
-    def predict(self, x: np.ndarray) -> float:
-        z = self.scaler(x)
+    def predict(self, x) -> float:
+        z = self.scaler(x if isinstance(x, list) else np.asarray(x, float).tolist())
         said = self.champion.model.predict(self.champion.x(z))
         if self.low > self.high:
             return 0.0
-        return float(min(self.high, max(self.low, said))) if np.isfinite(said) else (self.low + self.high) / 2
+        return min(self.high, max(self.low, said)) if isfinite(said) else (self.low + self.high) / 2
 
-    def learn(self, x: np.ndarray, y: float) -> None:
+    def learn(self, x, y: float) -> None:
         self._scheduled()
+        x = x if isinstance(x, list) else np.asarray(x, float).tolist()
         before = self.scaler(x)
         self.scaler.learn(x)
         after = self.scaler(x)
         self.low, self.high = min(self.low, float(y)), max(self.high, float(y))
         for m in (self.champion, *self.live):
             said = m.model.predict(m.x(before))
-            loss = abs(y - min(self.high, max(self.low, said))) if np.isfinite(said) else self.high - self.low
+            loss = abs(y - min(self.high, max(self.low, said))) if isfinite(said) else self.high - self.low
             m.loss += loss
             m.squares += loss * loss
             m.n += 1

@@ -1,17 +1,19 @@
 """Pipelines of a scaler, a selector and a learner inside one task, the space of their configurations, and draws from it.
 
 These are the parts of the search strategies in ``automl``: a configuration is a row of names and parameters, a chain is the
-running state of its scaler and selector, and learners are the kernels of the fold.
+running state of its scaler and selector, and learners are the kernels of the fold, in plain numbers where they have that form.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from math import inf, sqrt
 
 import numpy as np
 
 from streamtrial.operators.dice import Dice
 from streamtrial.operators.fold import KERNELS
+from streamtrial.operators.plain import made
 from streamtrial.operators.pool import spread
 
 # What a search chooses from. Grids of parameters per scaler, selector and learner.
@@ -175,47 +177,66 @@ class Scaler:
 
     def __init__(self, width: int, kind: str, with_std: bool = True):
         self.kind, self.with_std, self.n = kind, with_std, 0
-        self.low, self.high = np.full(width, np.inf), np.full(width, -np.inf)
-        self.mean, self.m2 = np.zeros(width), np.zeros(width)
+        self.low, self.high = [inf] * width, [-inf] * width
+        self.mean, self.m2 = [0.0] * width, [0.0] * width
 
-    def learn(self, x: np.ndarray, y=None) -> None:
-        self.n += 1
+    def learn(self, x: list[float], y=None) -> None:
+        self.n = n = self.n + 1
         if self.kind == "standard":
-            d = x - self.mean
-            self.mean = self.mean + d / self.n
-            self.m2 = self.m2 + d * (x - self.mean)
+            mean, m2 = self.mean, self.m2
+            for f, v in enumerate(x):
+                d = v - mean[f]
+                mean[f] = m = mean[f] + d / n
+                m2[f] += d * (v - m)
         else:
-            self.low, self.high = np.minimum(self.low, x), np.maximum(self.high, x)
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        if not self.n:
-            return np.zeros(len(x))
+            low, high = self.low, self.high
+            for f, v in enumerate(x):  # NaN stays
+                if v < low[f] or v != v:
+                    low[f] = v
+                if v > high[f] or v != v:
+                    high[f] = v
+
+    def go_on(self, other: Scaler) -> None:
+        """From the statistics of another one."""
+        self.n, self.low, self.high, self.mean, self.m2 = other.n, other.low.copy(), other.high.copy(), other.mean.copy(), other.m2.copy()
+
+    def __call__(self, x: list[float]) -> list[float]:
+        n = self.n
+        if not n:
+            return [0.0] * len(x)
         if self.kind == "minmax":
-            top, bottom = x - self.low, self.high - self.low
-        elif self.kind == "maxabs":
-            top, bottom = x, np.maximum(np.abs(self.low), np.abs(self.high))
-        elif self.with_std:
-            top, bottom = x - self.mean, np.sqrt(self.m2 / self.n)
-        else:
-            return x - self.mean
-        fine = bottom > 0
-        return np.divide(top, bottom, out=np.zeros(len(x)), where=fine)
+            return [(v - a) / (b - a) if b - a > 0 else 0.0 for v, a, b in zip(x, self.low, self.high)]
+        if self.kind == "maxabs":
+            return [v / top if (top := max(abs(a), abs(b))) > 0 else 0.0 for v, a, b in zip(x, self.low, self.high)]
+        if self.with_std:
+            return [(v - m) / d if (d := sqrt(q / n)) > 0 else 0.0 for v, m, q in zip(x, self.mean, self.m2)]
+        return [v - m for v, m in zip(x, self.mean)]
+
+
+def _like(x, out: list[float]):
+    """Arrays for arrays."""
+    return out if isinstance(x, list) else np.array(out)
 
 
 class VarianceKept:
     """Features whose variance over the rows so far is over ``threshold``, all of them below ``least`` rows; others are 0."""
 
     def __init__(self, width: int, threshold: float = 0.0, least: int = 2):
-        self.threshold, self.least, self.n, self.mean, self.m2 = threshold, least, 0, np.zeros(width), np.zeros(width)
-
-    def learn(self, x: np.ndarray, y=None) -> None:
-        self.n += 1
-        d = x - self.mean
-        self.mean = self.mean + d / self.n
-        self.m2 = self.m2 + d * (x - self.mean)
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return x if self.n < max(self.least, 1) else np.where(self.m2 > self.threshold * self.n, x, 0.0)
+        self.threshold, self.least, self.n, self.mean, self.m2 = threshold, least, 0, [0.0] * width, [0.0] * width
+
+    def learn(self, x: list[float], y=None) -> None:
+        self.n = n = self.n + 1
+        mean, m2 = self.mean, self.m2
+        for f, v in enumerate(x):
+            d = v - mean[f]
+            mean[f] = m = mean[f] + d / n
+            m2[f] += d * (v - m)
+
+    def __call__(self, x: list[float]) -> list[float]:
+        if self.n < max(self.least, 1):
+            return x
+        least = self.threshold * self.n
+        return _like(x, [v if q > least else 0.0 for v, q in zip(x, self.m2)])
 
 
 class KBest:
@@ -228,7 +249,7 @@ class KBest:
     def learn(self, x: np.ndarray, y) -> None:
         if self.k >= self.width:
             return
-        self.n += 1
+        self.n, x = self.n + 1, np.asarray(x)
         d, e = x - self.mean, float(y) - self.mean_y
         self.mean = self.mean + d / self.n
         self.mean_y += e / self.n
@@ -241,10 +262,8 @@ class KBest:
             return x
         v = self.m2 * self.m2_y
         strength = np.round(np.divide(np.abs(self.both), np.sqrt(np.maximum(v, 0)), out=np.zeros(self.width), where=v > 1e-18), 9)
-        out = np.zeros(self.width)
-        kept = np.argsort(-strength, kind="stable")[: self.k]
-        out[kept] = x[kept]
-        return out
+        kept = set(np.argsort(-strength, kind="stable")[: self.k].tolist())
+        return _like(x, [v if f in kept else 0.0 for f, v in enumerate(x)])
 
 
 _SELECT = {"variance": VarianceKept, "k_best": KBest}
@@ -261,12 +280,14 @@ class Chain:
     def key(config: Config) -> tuple:
         return config.scaler, config.scaler_params, config.selector, config.selector_params
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
+    def __call__(self, x) -> list[float]:
+        x = x if isinstance(x, list) else np.asarray(x, float).tolist()
         x = self.scaler(x) if self.scaler else x
         return self.selector(x) if self.selector else x
 
-    def learn(self, x: np.ndarray, y) -> np.ndarray:
+    def learn(self, x, y) -> list[float]:
         """The row as the learner gets it."""
+        x = x if isinstance(x, list) else np.asarray(x, float).tolist()
         if self.scaler:
             self.scaler.learn(x)
             x = self.scaler(x)
@@ -281,16 +302,26 @@ class Pipeline:
 
     def __init__(self, config: Config, width: int, chain: Chain | None = None):
         self.config, self.chain = config, chain or Chain(config, width)
-        self.model = KERNELS[config.algo][0](width, **dict(config.params))
+        self.model = made(KERNELS[config.algo][0], width, dict(config.params))
 
-    def predict(self, x: np.ndarray):
+    def predict(self, x):
         return self.model.predict(self.chain(x))
 
-    def proba(self, x: np.ndarray) -> dict[int, float]:
+    def proba(self, x) -> dict[int, float]:
         return self.model.proba(self.chain(x))
 
-    def learn(self, x: np.ndarray, y) -> None:
-        self.model.learn(self.chain.learn(x, y), y)
+    def learn(self, x, y, times: int = 1) -> None:
+        """The row so many times; it looks the same to the learner each time if neither a selector nor running moments change."""
+        if times > 1 and not self.chain.selector and (self.chain.scaler is None or self.chain.scaler.kind != "standard"):
+            x = x if isinstance(x, list) else np.asarray(x, float).tolist()
+            view, learn = self.chain.learn(x, y), self.model.learn
+            for _ in range(times):
+                learn(view, y)
+            if self.chain.scaler:
+                self.chain.scaler.n += times - 1
+        else:
+            for _ in range(times):
+                self.model.learn(self.chain.learn(x, y), y)
 
 
 def pipelines(configs: list[Config], width: int) -> list[Pipeline]:
@@ -305,21 +336,22 @@ class Views:
     def __init__(self):
         self.x, self.before, self.after, self.preds = None, {}, {}, {}
 
-    def of(self, x: np.ndarray, p: Pipeline) -> np.ndarray:
+    def of(self, x, p: Pipeline) -> list[float]:
         if x is not self.x:
             self.x, self.before, self.after, self.preds = x, {}, {}, {}
         if id(p.chain) not in self.before:
             self.before[id(p.chain)] = p.chain(x)
         return self.before[id(p.chain)]
 
-    def said(self, x: np.ndarray, p: Pipeline):
+    def said(self, x, p: Pipeline):
         """What a pipeline predicts before the row is learned."""
-        view = self.of(x, p)
-        if id(p) not in self.preds:
-            self.preds[id(p)] = p.model.predict(view)
-        return self.preds[id(p)]
+        if x is self.x and (key := id(p)) in self.preds:
+            return self.preds[key]
+        out = p.model.predict(self.of(x, p))
+        self.preds[id(p)] = out
+        return out
 
-    def learned(self, x: np.ndarray, y, p: Pipeline) -> np.ndarray:
+    def learned(self, x, y, p: Pipeline) -> list[float]:
         self.of(x, p)
         if id(p.chain) not in self.after:
             self.after[id(p.chain)] = p.chain.learn(x, y)
