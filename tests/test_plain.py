@@ -84,3 +84,23 @@ def test_streams_that_are_folded_alone_equal_the_learner(spark):
             pred, proba = got[f"s{s}", i + 1]
             assert pred == model.predict(row) and proba == model.proba(row)
             model.learn(row, label)
+
+
+@pytest.mark.parametrize("algo", ["perceptron", "passive_aggressive", "softmax", "bayesian_linear"])
+def test_shards_in_plain_numbers_equal_shards_side_by_side(algo, monkeypatch):
+    from streamtrial.operators import parameter_mixing
+
+    classes = KERNELS[algo][1] == "classification"
+    x, y = rows(900, seed=4, classes=classes)
+    ways = []
+    for most in (16, 1):
+        monkeypatch.setattr(parameter_mixing, "SIDE_BY_SIDE", most)
+        means, pred, folded = None, [], []
+        monkeypatch.setattr(parameter_mixing, "run_rows", lambda *a, f=folded: f.append(1) or run_rows(*a))
+        for at in range(0, 900, 400):
+            own = slice(at, at + 400)
+            more, states = parameter_mixing.shard_states(algo, {}, means, x[own], y[own], 100, np.unique(y))
+            pred, means = pred + more, parameter_mixing.mean_state(states, means)
+        ways.append((pred, means, len(folded)))
+    assert np.allclose(ways[0][0], ways[1][0], rtol=1e-9) and np.allclose(np.array(ways[0][1]), np.array(ways[1][1]), rtol=1e-9)
+    assert ways[0][2] == 9 and ways[1][2] == 1  # the last round has one shard
