@@ -104,3 +104,14 @@ def test_shards_in_plain_numbers_equal_shards_side_by_side(algo, monkeypatch):
         ways.append((pred, means, len(folded)))
     assert np.allclose(ways[0][0], ways[1][0], rtol=1e-9) and np.allclose(np.array(ways[0][1]), np.array(ways[1][1]), rtol=1e-9)
     assert ways[0][2] == 9 and ways[1][2] == 1  # the last round has one shard
+
+
+def test_only_ties_at_the_border_are_looked_at_row_by_row():
+    from streamtrial.operators import neighbours
+
+    d = np.array([[3.0, 1.0, 2.0, np.inf], [1.0, 1.0, 1.0, 2.0], [np.inf] * 4, [0.0, 5.0, 5.0, 5.0]])
+    taken, more = neighbours._near(d, 2)
+    assert more.tolist() == [False, True, False, True] and taken[0].tolist() == [False, True, True, False] and not taken[2].any()
+    labels = np.array([2, 1, 1, 0])
+    assert neighbours._vote(labels, d, taken).tolist()[0] == 1 and neighbours._vote(labels, d, taken).tolist()[2] == -1
+    assert neighbours._weighted(np.array([1.0, 2.0, 4.0, 8.0]), d, taken).tolist()[2] == 0.0
