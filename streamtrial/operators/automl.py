@@ -5,6 +5,10 @@ control state and its draws. So a search over many streams, strategies and seeds
 seed), with windows of a fixed number of rows inside each group and nothing on the driver. ``log`` holds what a
 strategy did: (row, event, configuration, score).
 
+Between two rows at which a strategy may change its pool the pipelines don't know of each other. So ``run``, which has all rows of a
+stream, gives each pipeline the rows of such a block at once (``plain.steps``) and then goes through what they said; the results are
+those of ``predict`` and ``learn`` row by row, which live streams use.
+
 Fixed values: windows of 1,000 rows, pools of ten, ensembles of three.
 """
 
@@ -19,7 +23,7 @@ from streamtrial.operators.dice import Dice
 from streamtrial.operators.drift import Adwin, Eddm
 from streamtrial.operators.fold import register
 from streamtrial.operators.forest import ForestRegressor
-from streamtrial.operators.plain import AdaptiveLine
+from streamtrial.operators.plain import AdaptiveLine, steps
 from streamtrial.operators.pipelines import Config, Pipeline, Scaler, Views, all_configs, encoded, mutated, nearby, pipelines, preset, random_config
 
 #: A prediction in the normalised target beyond this has diverged.
@@ -35,6 +39,13 @@ class Strategy:
     def __init__(self, width: int, seed: int = 0):
         self.width, self.rows, self.dice, self.log = width, 0, Dice(type(self).__name__, seed), []
 
+    def one_by_one(self, x: np.ndarray, y: np.ndarray) -> list:
+        out = []
+        for row, label in zip(np.asarray(x, float).tolist(), np.asarray(y).tolist()):
+            out.append(self.predict(row))
+            self.learn(row, label)
+        return out
+
     def note(self, event: str, config: Config | None = None, score: float = float("nan")) -> None:
         self.log.append((self.rows, event, config.name if config else None, float(score)))
 
@@ -61,6 +72,28 @@ class _Adaptive(Strategy):
         self.scores = [[0.0, 0] for _ in self.pool]  # sum and number of what is scored
         self.dead: set[int] = set()
 
+    def run(self, x: np.ndarray, y: np.ndarray) -> list:
+        """Predictions of a stream's rows, by blocks at whose last row a window may end or drift may be told."""
+        x, y, out = np.asarray(x, float), np.asarray(y).tolist(), []
+        while len(out) < len(y):
+            at = len(out)
+            size = min(self.adwin.clock - self.adwin.rows % self.adwin.clock, self.window - self.rows % self.window)
+            out += self._block(x[at : at + size], y[at : at + size])
+        return out
+
+    def _stepped(self, team: list[Pipeline], x: np.ndarray, y: list, target: list, then: dict[int, list] | None = None) -> dict[int, list]:
+        """What each pipeline says to the rows before it learns them, by its id; ``then`` is filled with what it says after."""
+        views: dict[int, tuple[list, list]] = {}
+        said: dict[int, list] = {}
+        for p in team:
+            if id(p) in said:
+                continue
+            if id(p.chain) not in views:
+                views[id(p.chain)] = p.chain.block(x, target)
+            more = None if then is None else then.setdefault(id(p), [])
+            said[id(p)] = steps(p.model, *views[id(p.chain)], target, None, None, more)
+        return said
+
     def _rebuilt(self) -> None:
         best = config = self.pool[self.best].config
         configs = [best]
@@ -136,6 +169,38 @@ class AdaptiveClassifier(_Adaptive):
     def _said(self, x: np.ndarray, p: Pipeline) -> int:
         return self.views.said(x, p)
 
+    def _block(self, x: np.ndarray, y: list) -> list:
+        said = self._stepped([*self.pool, *self.team], x, y, y)
+        pool, team = [said[id(p)] for p in self.pool], [said[id(p)] for p in self.team]
+        hits, out, drift, n = [[a == b for a, b in zip(s, y)] for s in pool], [], False, len(self.team)
+        for t in range(len(y)):
+            if self.mode == "best":
+                out.append(pool[self.best][t])
+            else:
+                votes: dict[int, float] = {}
+                for i, s in enumerate(team):
+                    votes[s[t]] = votes.get(s[t], 0.0) + (i + 1) / n
+                out.append(max(votes, key=votes.get) if votes else 0)
+            right, best, top = hits[self.best][t], self.best, self._score(self.scores[self.best])
+            for i, (s, h) in enumerate(zip(self.scores, hits)):
+                s[0] += h[t]
+                s[1] += 1
+                now = s[0] / s[1]
+                if i == best:
+                    top = now
+                elif now > top:
+                    best, top = i, now
+            self.best = best
+            drift = self.adwin.update(float(right))
+        for s, own in zip(self.team_scores, team):
+            s[0] += sum(a == b for a, b in zip(own, y))
+            s[1] += len(y)
+        self.rows += len(y)
+        if drift and self.rows > 2 * self.base:
+            self._on_drift()
+        self._explored()
+        return out
+
     def learn(self, x: np.ndarray, y: int) -> None:
         right = self._said(x, self.pool[self.best]) == y
         top = self._score(self.scores[self.best])
@@ -190,6 +255,10 @@ def diverged(z: float) -> bool:
     return not abs(z) <= DIVERGED
 
 
+class _Divergence(Exception):
+    """A pipeline diverged inside a block."""
+
+
 class AdaptiveRegressor(_Adaptive):
     """The same on a normalised target, by root mean squared error; snapshots are the trained pipelines themselves.
 
@@ -202,6 +271,7 @@ class AdaptiveRegressor(_Adaptive):
 
     def __init__(self, width: int, double: bool = False, seed: int = 0, **options):
         super().__init__(width, seed=seed, **options)
+        self.made = (width, double, seed), options
         self.double, self.norm = double, RunningNorm()
         self.team = [self.pool[self.dice.pick(range(len(self.pool)))] for _ in range(self.size)] if self.mode == "ensemble" else []
         self.team_scores = [[0.0, 0] for _ in self.team]
@@ -226,6 +296,67 @@ class AdaptiveRegressor(_Adaptive):
     def _said(self, x: np.ndarray, p: Pipeline) -> float:
         return float(self.views.said(x, p))
 
+    def run(self, x: np.ndarray, y: np.ndarray) -> list:
+        """By blocks from the first row on; where a pipeline diverges the stream starts anew and goes row by row."""
+        if self.rows or self.double:
+            return self.one_by_one(x, y)
+        try:
+            return super().run(x, y)
+        except _Divergence:
+            self.__init__(*self.made[0], **self.made[1])
+            return self.one_by_one(x, y)
+
+    def _block(self, x: np.ndarray, y: list) -> list:
+        norms, z = [(self.norm.mean, self.norm.std)], []
+        for v in y:
+            self.norm.learn(float(v))
+            norms.append((self.norm.mean, self.norm.std))
+            z.append(self.norm(float(v)))
+        then: dict[int, list] = {}
+        said = self._stepped([*self.pool, *self.team, *([self.chosen] if self.mode == "best" else [])], x, y, z, then)
+        if any(diverged(v) for s in said.values() for v in s):
+            raise _Divergence
+        pool, team = [said[id(p)] for p in self.pool], [said[id(p)] for p in self.team]
+        out, scores, n, drift = [], self.scores, len(self.team), False
+        for t, target in enumerate(y):
+            mean, std = norms[t]
+            if self.mode == "best":
+                out.append(min(DIVERGED, max(-DIVERGED, said[id(self.chosen)][t] * std + mean)))
+            else:
+                total = weight = 0.0
+                for i, s in enumerate(team):
+                    total += (i + 1) / n * (s[t] * std + mean)
+                    weight += (i + 1) / n
+                out.append(min(DIVERGED, max(-DIVERGED, total / weight)) if weight else mean)
+            mean, std = norms[t + 1]
+            best, top = self.best, self._score(scores[self.best])
+            for i, (own, s) in enumerate(zip(scores, pool)):
+                e = target - (s[t] * std + mean)
+                own[0] += e * e
+                own[1] += 1
+                now = (own[0] / own[1]) ** 0.5
+                if i == best:
+                    top = now
+                elif now < top:
+                    best, top = i, now
+            self.best = best
+            for own, s in zip(self.team_scores, team):
+                e = target - (s[t] * std + mean)
+                own[0] += e * e
+                own[1] += 1
+            s = then[id(self.pool[best])][t]
+            s = float(s() if callable(s) else s)
+            s = min(DIVERGED, max(-DIVERGED, s)) if isfinite(s) else 0.0
+            drift = self.adwin.update(min(square(target - (s * std + mean)), 1e10))
+        self.rows += len(y)
+        if drift:
+            self.chosen = self.pool[self.best]
+            self._on_drift()
+        if self.rows % self.window == 0:
+            self.chosen = self.pool[self.best]
+        self._explored()
+        return out
+
     def predict(self, x: np.ndarray) -> float:
         if self.mode == "best":
             z = self._said(x, self.chosen)
@@ -297,12 +428,39 @@ class _Evolving(Strategy):
             child.chain.scaler.go_on(parent.chain.scaler)
         return child
 
+    def _mutated(self) -> None:
+        fitness = [self._fitness(s) for s in self.scores]
+        best, worst = int(np.argmax(fitness)), int(np.argmin(fitness))
+        self.team[worst], self.scores[worst] = self._child(self.team[best]), [0.0, 0]
+        self.note("mutated", self.team[worst].config, fitness[best])
+
+    def run(self, x: np.ndarray, y: np.ndarray) -> list:
+        """Predictions of a stream's rows, by windows: the first row of one is predicted before the mutation."""
+        x, y, out = np.asarray(x, float), np.asarray(y).tolist(), []
+        while len(out) < len(y):
+            at, size = len(out), self.window - self.rows % self.window
+            rows, target = x[at : at + size], y[at : at + size]
+            first = None
+            if self.rows and self.rows % self.window == 0:
+                first = [self.predict(rows[0].tolist())]
+                self._mutated()
+            said, shares = [], []
+            times = self.dice.poissons(self.rate, len(rows) * len(self.team)).reshape(len(rows), -1)
+            for p, s, own in zip(self.team, self.scores, times.T):
+                likely = [] if self.task == "classification" else None
+                said.append(p.steps(rows, target, own, likely))
+                shares.append(likely)
+                for a, b in zip(said[-1], target):
+                    s[0] += self._gain(a, b)
+                s[1] += len(rows)
+            votes = [self._vote(v) for v in zip(*(shares if self.task == "classification" else said))]
+            out += votes if first is None else [*first, *votes[1:]]
+            self.rows += len(rows)
+        return out
+
     def learn(self, x: np.ndarray, y) -> None:
         if self.rows and self.rows % self.window == 0:
-            fitness = [self._fitness(s) for s in self.scores]
-            best, worst = int(np.argmax(fitness)), int(np.argmin(fitness))
-            self.team[worst], self.scores[worst] = self._child(self.team[best]), [0.0, 0]
-            self.note("mutated", self.team[worst].config, fitness[best])
+            self._mutated()
         for p, s in zip(self.team, self.scores):
             s[0] += self._gain(p.predict(x), y)
             s[1] += 1
@@ -322,9 +480,13 @@ class EvolvingClassifier(_Evolving):
         return score[0] / score[1] if score[1] else 0.0
 
     def predict(self, x: np.ndarray) -> int | None:
+        return self._vote([p.proba(x) for p in self.team])
+
+    @staticmethod
+    def _vote(shares: list[dict[int, float]]) -> int | None:
         total: dict[int, float] = {}
-        for p in self.team:
-            for c, v in p.proba(x).items():
+        for own in shares:
+            for c, v in own.items():
                 total[c] = total.get(c, 0.0) + v
         return max(total, key=lambda c: (total[c], -c)) if total else None
 
@@ -343,7 +505,11 @@ class EvolvingRegressor(_Evolving):
         return score[0] / score[1] if score[1] else 0.0
 
     def predict(self, x: np.ndarray) -> float:
-        return sum(p.predict(x) for p in self.team) / len(self.team)
+        return self._vote([p.predict(x) for p in self.team])
+
+    @staticmethod
+    def _vote(said: list[float]) -> float:
+        return sum(said) / len(said)
 
 
 class GeneticClassifier(Strategy):
@@ -370,6 +536,32 @@ class GeneticClassifier(Strategy):
     def predict(self, x: np.ndarray) -> int:
         return self.team[self.best].predict(x)
 
+    def run(self, x: np.ndarray, y: np.ndarray) -> list:
+        """Predictions of a stream's rows, by windows."""
+        x, y, out = np.asarray(x, float), np.asarray(y).tolist(), []
+        while len(out) < len(y):
+            at, size = len(out), self.window - self.rows % self.window
+            rows, target = x[at : at + size], y[at : at + size]
+            times = self.dice.poissons(self.rate, len(rows) * len(self.team)).reshape(len(rows), -1)
+            said = [p.steps(rows, target, own) for p, own in zip(self.team, times.T)]
+            scores = self.scores
+            for t, label in enumerate(target):
+                out.append(said[self.best][t])
+                best, top = self.best, self._accuracy(scores[self.best])
+                for i, (own, s) in enumerate(zip(scores, said)):
+                    own[0] += s[t] == label
+                    own[1] += 1
+                    now = own[0] / own[1]
+                    if i == best:
+                        top = now
+                    elif now > top:
+                        best, top = i, now
+                self.best = best
+            self.rows += len(rows)
+            if self.rows % self.window == 0:
+                self._evolved()
+        return out
+
     def learn(self, x: np.ndarray, y: int) -> None:
         for i, p in enumerate(self.team):
             self.scores[i][0] += p.predict(x) == y

@@ -13,7 +13,7 @@ import numpy as np
 
 from streamtrial.operators.dice import Dice
 from streamtrial.operators.fold import KERNELS
-from streamtrial.operators.plain import made
+from streamtrial.operators.plain import made, steps
 from streamtrial.operators.pool import spread
 
 # What a search chooses from. Grids of parameters per scaler, selector and learner.
@@ -172,6 +172,22 @@ def mutated(config: Config, task: str, dice: Dice) -> Config:
 
 # --- scalers and selectors -------------------------------------------------------------------------------
 
+def running(n: int, mean: list[float], m2: list[float], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and squared deviations (rows + 1 by features) before and after each row, by the recurrence of ``learn``."""
+    means, squares = np.empty((len(rows) + 1, len(mean))), np.empty((len(rows) + 1, len(mean)))
+    for f, (m, q) in enumerate(zip(mean, m2)):
+        ms, qs, k = [m], [q], n
+        for v in rows[:, f].tolist():
+            k += 1
+            d = v - m
+            m += d / k
+            q += d * (v - m)
+            ms.append(m)
+            qs.append(q)
+        means[:, f], squares[:, f] = ms, qs
+    return means, squares
+
+
 class Scaler:
     """Running statistics of x; before any row it gives zeros."""
 
@@ -196,6 +212,35 @@ class Scaler:
                 if v > high[f] or v != v:
                     high[f] = v
 
+    def block(self, x: np.ndarray, rows: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``x`` as it looks when the first ``ahead`` of the ``rows`` are learned, and each of the rows once it is; learns them all."""
+        ns = self.n + np.arange(len(rows) + 1)
+        if self.kind == "standard":
+            means, squares = running(self.n, self.mean, self.m2, rows)
+            self.mean, self.m2 = means[-1].tolist(), squares[-1].tolist()
+        else:
+            low, high = np.minimum.accumulate(np.vstack([self.low, rows])), np.maximum.accumulate(np.vstack([self.high, rows]))
+            self.low, self.high = low[-1].tolist(), high[-1].tolist()
+        self.n += len(rows)
+
+        def shown(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+            n = ns[at][:, None]
+            if self.kind == "minmax":
+                size = high[at] - low[at]
+                out = np.where(size > 0, (x - low[at]) / size, 0.0)
+            elif self.kind == "maxabs":
+                top = np.maximum(np.abs(low[at]), np.abs(high[at]))
+                out = np.where(top > 0, x / top, 0.0)
+            elif self.with_std:
+                d = np.sqrt(squares[at] / n)
+                out = np.where(d > 0, (x - means[at]) / d, 0.0)
+            else:
+                out = x - means[at]
+            return np.where(n > 0, out, 0.0)
+
+        with np.errstate(all="ignore"):
+            return shown(x, ahead), shown(rows, np.arange(1, len(rows) + 1))
+
     def go_on(self, other: Scaler) -> None:
         """From the statistics of another one."""
         self.n, self.low, self.high, self.mean, self.m2 = other.n, other.low.copy(), other.high.copy(), other.mean.copy(), other.m2.copy()
@@ -239,6 +284,15 @@ class VarianceKept:
         return _like(x, [v if q > least else 0.0 for v, q in zip(x, self.m2)])
 
 
+    def block(self, before: np.ndarray, rows: np.ndarray, ahead: np.ndarray, y: list) -> tuple[np.ndarray, np.ndarray]:
+        """Both as ``Scaler.block`` gives them, with 0 for what is left out at the time; learns the rows."""
+        means, squares = running(self.n, self.mean, self.m2, rows)
+        ns = self.n + np.arange(len(rows) + 1)[:, None]
+        kept = (squares > self.threshold * ns) | (ns < max(self.least, 1))
+        self.mean, self.m2, self.n = means[-1].tolist(), squares[-1].tolist(), self.n + len(rows)
+        return np.where(kept[ahead], before, 0.0), np.where(kept[1:], rows, 0.0)
+
+
 class KBest:
     """The k features with the greatest absolute correlation with y over the rows so far, the first of equals; others are 0."""
 
@@ -266,6 +320,22 @@ class KBest:
         return _like(x, [v if f in kept else 0.0 for f, v in enumerate(x)])
 
 
+    def block(self, before: np.ndarray, rows: np.ndarray, ahead: np.ndarray, y: list) -> tuple[np.ndarray, np.ndarray]:
+        if self.k >= self.width:
+            return before, rows
+        seen, after, at = [], [], 0
+        for i, row in enumerate(before):
+            for view in rows[at : ahead[i]]:  # those of the row before
+                self.learn(view, y[i - 1])
+                after.append(self(view))
+            at = ahead[i]
+            seen.append(self(row))
+        for view in rows[at:]:
+            self.learn(view, y[-1])
+            after.append(self(view))
+        return np.array(seen).reshape(before.shape), np.array(after).reshape(rows.shape)
+
+
 _SELECT = {"variance": VarianceKept, "k_best": KBest}
 
 
@@ -297,6 +367,20 @@ class Chain:
         return x
 
 
+    def block(self, x: np.ndarray, y: list, times: np.ndarray | None = None) -> tuple[list, list]:
+        """Rows as they look before each is learned, and as the learner gets them, each ``times`` times in a row; learns them all."""
+        if times is None:
+            before = rows = x
+            ahead = np.arange(len(x))
+        else:
+            before, rows, ahead = x, np.repeat(x, times, axis=0), np.cumsum(times) - times
+        if self.scaler:
+            before, rows = self.scaler.block(before, rows, ahead)
+        if self.selector:
+            before, rows = self.selector.block(before, rows, ahead, y)
+        return before.tolist(), rows.tolist()
+
+
 class Pipeline:
     """Predicts with the statistics so far; learning updates scaler and selector first."""
 
@@ -324,6 +408,11 @@ class Pipeline:
                 self.model.learn(self.chain.learn(x, y), y)
 
 
+    def steps(self, x: np.ndarray, y: list, times: np.ndarray | None = None, shares: list | None = None) -> list:
+        """Predictions for rows that are learned one after the other, each ``times`` times; its chain is its own."""
+        return steps(self.model, *self.chain.block(x, y, times), y, None if times is None else times.tolist(), shares)
+
+
 def pipelines(configs: list[Config], width: int) -> list[Pipeline]:
     """Untrained pipelines that start at the same row: those with equal scaler and selector share their state."""
     chains: dict[tuple, Chain] = {}
