@@ -7,7 +7,8 @@ strategy did: (row, event, configuration, score).
 
 Between two rows at which a strategy may change its pool the pipelines don't know of each other. So ``run``, which has all rows of a
 stream, gives each pipeline the rows of such a block at once (``plain.steps``) and then goes through what they said; the results are
-those of ``predict`` and ``learn`` row by row, which live streams use.
+those of ``predict`` and ``learn`` row by row, which live streams use. Adaptive searches step up to a window's end, whatever drift
+may come before, and step pipelines once that have had the same rows with the same learner.
 
 Fixed values: windows of 1,000 rows, pools of ten, ensembles of three.
 """
@@ -15,6 +16,7 @@ Fixed values: windows of 1,000 rows, pools of ten, ensembles of three.
 from __future__ import annotations
 
 from collections import deque
+from copy import deepcopy
 from math import inf, isfinite, log, sqrt
 
 import numpy as np
@@ -50,6 +52,17 @@ class Strategy:
         self.log.append((self.rows, event, config.name if config else None, float(score)))
 
 
+class _Ahead:
+    """What a pipeline says to the rows from ``start`` on before it learns them, and what it says after."""
+
+    def __init__(self, pipeline: Pipeline, start: int):
+        self.pipeline, self.start, self.said, self.then = pipeline, start, [], []
+
+    @property
+    def end(self) -> int:
+        return self.start + len(self.said)
+
+
 class _Adaptive(Strategy):
     """The pool, its budget and the reaction to drift, shared by both tasks.
 
@@ -75,24 +88,66 @@ class _Adaptive(Strategy):
     def run(self, x: np.ndarray, y: np.ndarray) -> list:
         """Predictions of a stream's rows, by blocks at whose last row a window may end or drift may be told."""
         x, y, out = np.asarray(x, float), np.asarray(y).tolist(), []
+        target, more = self._targets(y)
+        self.ahead = {id(p): _Ahead(p, 0) for p in self._members()} if self.rows else {}  # untrained ones may be twins
         while len(out) < len(y):
-            at = len(out)
-            size = min(self.adwin.clock - self.adwin.rows % self.adwin.clock, self.window - self.rows % self.window)
-            out += self._block(x[at : at + size], y[at : at + size])
+            at, left = len(out), self.window - self.rows % self.window
+            self._go_ahead(x, target, at, min(len(y), at + left))
+            size = min(self.adwin.clock - self.adwin.rows % self.adwin.clock, left, len(y) - at)
+            out += self._block(at, y[at : at + size], more)
+        models = set()
+        for p in {id(p): p for p in self._members()}.values():  # rows that come one by one teach each its own
+            p.model = deepcopy(p.model) if id(p.model) in models else p.model
+            models.add(id(p.model))
+        self.ahead = {}
         return out
 
-    def _stepped(self, team: list[Pipeline], x: np.ndarray, y: list, target: list, then: dict[int, list] | None = None) -> dict[int, list]:
-        """What each pipeline says to the rows before it learns them, by its id; ``then`` is filled with what it says after."""
-        views: dict[int, tuple[list, list]] = {}
-        said: dict[int, list] = {}
-        for p in team:
-            if id(p) in said:
+    def _members(self) -> list[Pipeline]:
+        return [*self.pool, *self.team]
+
+    def _go_ahead(self, x: np.ndarray, target: list, at: int, end: int) -> None:
+        """All pipelines step to ``end``. Untrained ones with equal learners have one model between them for as long as their chains show them the same rows."""
+        held, models = {}, {}
+        for p in self._members():
+            if id(p) in held:
                 continue
-            if id(p.chain) not in views:
-                views[id(p.chain)] = p.chain.block(x, target)
-            more = None if then is None else then.setdefault(id(p), [])
-            said[id(p)] = steps(p.model, *views[id(p.chain)], target, None, None, more)
-        return said
+            if (own := self.ahead.get(id(p))) is None:
+                own = _Ahead(p, at)
+                if not vars(p.model).keys() & {"predict", "learn", "proba"}:
+                    p.model = models.setdefault((p.config.algo, p.config.params), p.model)
+            held[id(p)] = own
+        self.ahead = held
+        lacking = [a for a in held.values() if a.end < end]
+        views, shown, owners, taken, told = {}, {}, {}, set(), {}
+        for a in lacking:
+            p = a.pipeline
+            if id(p.chain) not in shown:
+                before, after = p.chain.views(x[a.end : end], target[a.end : end])
+                key = a.end, before.tobytes(), after.tobytes()
+                if key not in views:
+                    views[key] = before.tolist(), after.tolist()
+                shown[id(p.chain)] = views[key]
+            key = id(p.model), id(shown[id(p.chain)])
+            if key not in owners:
+                owners[key] = deepcopy(p.model) if key[0] in taken else p.model
+                taken.add(key[0])
+            p.model = owners[key]
+        for a in lacking:
+            p = a.pipeline
+            if id(p.model) not in told:
+                then = [] if self.task == "regression" else None
+                told[id(p.model)] = steps(p.model, *shown[id(p.chain)], target[a.end : end], None, None, then), then
+            said, then = told[id(p.model)]
+            done = at - a.start
+            a.start, a.said, a.then = at, a.said[done:] + said if a.said else said, None if then is None else a.then[done:] + then
+        self._checked([said for said, _ in told.values()])
+
+    def _checked(self, said: list[list]) -> None:
+        pass
+
+    def _told(self, p: Pipeline, at: int, size: int) -> list:
+        a = self.ahead[id(p)]
+        return a.said[at - a.start : at - a.start + size]
 
     def _rebuilt(self) -> None:
         best = config = self.pool[self.best].config
@@ -169,9 +224,11 @@ class AdaptiveClassifier(_Adaptive):
     def _said(self, x: np.ndarray, p: Pipeline) -> int:
         return self.views.said(x, p)
 
-    def _block(self, x: np.ndarray, y: list) -> list:
-        said = self._stepped([*self.pool, *self.team], x, y, y)
-        pool, team = [said[id(p)] for p in self.pool], [said[id(p)] for p in self.team]
+    def _targets(self, y: list) -> tuple[list, None]:
+        return y, None
+
+    def _block(self, at: int, y: list, _) -> list:
+        pool, team = [self._told(p, at, len(y)) for p in self.pool], [self._told(p, at, len(y)) for p in self.team]
         hits, out, drift, n = [[a == b for a, b in zip(s, y)] for s in pool], [], False, len(self.team)
         for t in range(len(y)):
             if self.mode == "best":
@@ -306,22 +363,30 @@ class AdaptiveRegressor(_Adaptive):
             self.__init__(*self.made[0], **self.made[1])
             return self.one_by_one(x, y)
 
-    def _block(self, x: np.ndarray, y: list) -> list:
+    def _members(self) -> list[Pipeline]:
+        return [*self.pool, *self.team, *([self.chosen] if self.mode == "best" else [])]
+
+    def _targets(self, y: list) -> tuple[list, list]:
+        """The normalised targets, and mean and deviation before the first and after each."""
         norms, z = [(self.norm.mean, self.norm.std)], []
         for v in y:
             self.norm.learn(float(v))
             norms.append((self.norm.mean, self.norm.std))
             z.append(self.norm(float(v)))
-        then: dict[int, list] = {}
-        said = self._stepped([*self.pool, *self.team, *([self.chosen] if self.mode == "best" else [])], x, y, z, then)
-        if any(diverged(v) for s in said.values() for v in s):
+        return z, norms
+
+    def _checked(self, said: list[list]) -> None:
+        if any(not (np.abs(np.array(s)) <= DIVERGED).all() for s in said):
             raise _Divergence
-        pool, team = [said[id(p)] for p in self.pool], [said[id(p)] for p in self.team]
+
+    def _block(self, at: int, y: list, norms: list) -> list:
+        pool, team = [self._told(p, at, len(y)) for p in self.pool], [self._told(p, at, len(y)) for p in self.team]
+        chosen, norms = self._told(self.chosen, at, len(y)) if self.mode == "best" else None, norms[at : at + len(y) + 1]
         out, scores, n, drift = [], self.scores, len(self.team), False
         for t, target in enumerate(y):
             mean, std = norms[t]
             if self.mode == "best":
-                out.append(min(DIVERGED, max(-DIVERGED, said[id(self.chosen)][t] * std + mean)))
+                out.append(min(DIVERGED, max(-DIVERGED, chosen[t] * std + mean)))
             else:
                 total = weight = 0.0
                 for i, s in enumerate(team):
@@ -344,7 +409,8 @@ class AdaptiveRegressor(_Adaptive):
                 e = target - (s[t] * std + mean)
                 own[0] += e * e
                 own[1] += 1
-            s = then[id(self.pool[best])][t]
+            a = self.ahead[id(self.pool[best])]
+            s = a.then[at + t - a.start]
             s = float(s() if callable(s) else s)
             s = min(DIVERGED, max(-DIVERGED, s)) if isfinite(s) else 0.0
             drift = self.adwin.update(min(square(target - (s * std + mean)), 1e10))

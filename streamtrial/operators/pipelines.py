@@ -368,6 +368,11 @@ class Chain:
 
 
     def block(self, x: np.ndarray, y: list, times: np.ndarray | None = None) -> tuple[list, list]:
+        """``views`` as lists."""
+        before, rows = self.views(x, y, times)
+        return before.tolist(), rows.tolist()
+
+    def views(self, x: np.ndarray, y: list, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows as they look before each is learned, and as the learner gets them, each ``times`` times in a row; learns them all."""
         if times is None:
             before = rows = x
@@ -378,7 +383,7 @@ class Chain:
             before, rows = self.scaler.block(before, rows, ahead)
         if self.selector:
             before, rows = self.selector.block(before, rows, ahead, y)
-        return before.tolist(), rows.tolist()
+        return before, rows
 
 
 class Pipeline:

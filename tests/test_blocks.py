@@ -116,3 +116,23 @@ def test_a_row_takes_few_calls(name, most):
     finally:
         sys.setprofile(None)
     assert calls[0] / len(x) < most
+
+
+@pytest.mark.parametrize(("name", "most"), [("adaptive", 45), ("adaptive_reg", 15)])
+def test_pipelines_that_had_the_same_rows_step_once(name, most, monkeypatch):
+    """Pipelines that a row of the first window steps: 72 and 24 by their number, and 75 and 24 before."""
+    maker, task = KERNELS[name]
+    x, y = rows(300, classes=task == "classification")
+    stepped = []
+    monkeypatch.setattr(automl, "steps", lambda model, before, *more: stepped.append(len(before)) or steps(model, before, *more))
+    maker(3, window=300).run(x, y)
+    assert sum(stepped) / len(x) < most
+
+
+@pytest.mark.parametrize(("name", "params"), STRATEGIES[:4])
+def test_rows_one_by_one_go_on_from_a_run(name, params):
+    maker, task = KERNELS[name]
+    x, y = rows(400, 3, 6, task == "classification")
+    one, other = (maker(3, seed=2, **params) for _ in range(2))
+    assert one.run(x[:230], y[:230]) + one.one_by_one(x[230:], y[230:]) == other.one_by_one(x, y)
+    assert repr(one.log) == repr(other.log) and one.dice.state == other.dice.state
