@@ -463,3 +463,41 @@ def test_catalog_is_numbered_only_where_targets_ask_for_it(spark):
     assert plan.count("Window [") <= 4
     want = [(s.name, s.task, df.count(), s.width, df.select("y").distinct().count() if s.task == "classification" else 0) for s in STREAMS.values() for df in [instances(spark, sf, s.name)]]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_scaling_where_streams_are_folded_is_that_of_the_scans(spark):
+    import pyarrow as pa
+
+    rng, none, nan = np.random.default_rng(8), None, float("nan")
+    odd = [[none, nan, 1.0], [none, 1.0, nan], [2.0, none, 3.0], [2.0, 4.0, float("inf")], [1.0, nan, 0.5]]
+    x = [*odd, *rng.uniform(-1, 1, (55, 3)).tolist(), *odd[::-1], *np.ones((5, 3)).tolist()]
+    y = [*rng.uniform(-1, 1, 50).tolist(), none, 2.0, none, *rng.uniform(-1, 1, 7).tolist(), none, *[1.0] * 4, *[3.0] * 5]
+    rows = [("a" if i < 60 else "b", i + 1 if i < 60 else i - 59, v, t) for i, (v, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "stream_id string, seq long, x array<double>, y double")
+    bounds = np.array([0, 60, 70])
+    got = suite.in_range(pa.chunked_array([pa.array(x)]), bounds).to_pylist()
+    z, mean, std = (v.to_pylist() for v in suite.around_mean(pa.chunked_array([pa.array(y)]), bounds))
+    want = suite.prepared(df, 3, True, True).orderBy("stream_id", "seq").collect()
+    assert repr(got) == repr([list(r.x) for r in want])
+    assert [v is None for v in z] == [r.z is None for r in want]
+    for own, name in ((z, "z"), (mean, "mean"), (std, "std")):
+        assert np.allclose([v or 0.0 for v in own], [r[name] or 0.0 for r in want], rtol=1e-9, atol=1e-12)
+
+
+def test_a_suite_deals_the_rows_of_keyed_streams_once(spark):
+    """Before, each run had a copy, and features were scaled in exchanges of their own; runs and windows took several passes over predictions."""
+    s = suite.Suite({"a": ("perceptron", {}), "b": ("softmax", {}), "wrong": ("none", {})}, "classification", ["ev_users"], n_runs=2, window=20, normalize=True)
+    preds = s.predictions(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan(preds) and plan(preds).count("Exchange hashpartitioning") <= 2 and "Join" not in plan(preds)
+    one = s.windows(preds, "accuracy")
+    assert plan(one).count("MapInArrow") == 1 and plan(s.windows(preds)).count("MapInArrow") == 1
+    want = {(r.framework, r.run_id, r.stream_id, r.window_no): (r.n_samples, r.accuracy) for r in s.windows(preds).collect()}
+    assert {(r.framework, r.run_id, r.stream_id, r.window_no): (r.n_samples, r.accuracy) for r in one.collect()} == want
+    assert preds.where("framework = 'wrong' and error = \"KeyError: 'none'\" and seq is null").groupBy("run_id").count().count() == 2
+
+
+def test_streams_without_key_are_dealt_for_each_run(spark):
+    s = suite.Suite({"a": ("perceptron", {}), "b": ("naive_bayes", {})}, "classification", ["ev_error", "ev_users"], n_runs=2, most=40)
+    rows = {(r.dataset, r.framework, r.run_id): r["count"] for r in s.predictions(spark, "/root/testdata/sf0.001").groupBy("dataset", "framework", "run_id").count().collect()}
+    assert len(rows) == 8 and {n for (d, *_), n in rows.items() if d == "ev_error"} == {40} and len(set(rows.values())) == 2
