@@ -176,14 +176,14 @@ def running(n: int, mean: list[float], m2: list[float], rows: np.ndarray) -> tup
     """Means and squared deviations (rows + 1 by features) before and after each row, by the recurrence of ``learn``."""
     means, squares = np.empty((len(rows) + 1, len(mean))), np.empty((len(rows) + 1, len(mean)))
     for f, (m, q) in enumerate(zip(mean, m2)):
-        ms, qs, k = [m], [q], n
-        for v in rows[:, f].tolist():
-            k += 1
+        ms, qs = [m], [q]
+        to_means, to_squares = ms.append, qs.append
+        for k, v in enumerate(rows[:, f].tolist(), n + 1):
             d = v - m
             m += d / k
             q += d * (v - m)
-            ms.append(m)
-            qs.append(q)
+            to_means(m)
+            to_squares(q)
         means[:, f], squares[:, f] = ms, qs
     return means, squares
 
