@@ -172,3 +172,20 @@ def test_members_of_a_population_learn_a_row_in_few_calls():
     finally:
         sys.setprofile(None)
     assert calls[0] / len(x) < 90, calls[0] / len(x)
+
+
+def test_a_bound_for_the_nearest_holds_them_all(monkeypatch):
+    """All columns were parted to find the k-th; now the least values of groups are, unless numbers are missing."""
+    rng = np.random.default_rng(9)
+    for wide in (20, 200, 1003):
+        total = np.round(rng.uniform(0, 1, (32, wide)), 2)
+        total[0, :], total[1, 5:] = np.inf, np.inf
+        bound, want = pool.kth_or_more(total, 5), np.sort(total, axis=1)[:, 4]
+        assert (bound >= want).all()
+        total[2, ::3] = np.nan
+        assert pool.kth_or_more(total, 5)[2] >= np.sort(total[2])[4]
+    sizes, part = [], np.partition
+    monkeypatch.setattr(pool.np, "partition", lambda v, *a, **k: sizes.append(v.shape[1]) or part(v, *a, **k))
+    x, y = rows(640)
+    steps(pool.Nearest(3, k=5, window=400), x.tolist(), x.tolist(), y.tolist())
+    assert max(sizes) < 200

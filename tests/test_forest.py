@@ -53,3 +53,27 @@ def test_a_row_of_the_forest_takes_few_calls():
     finally:
         sys.setprofile(None)
     assert calls[0] / len(x) < 92
+
+
+def test_a_forest_of_means_asks_for_no_models():
+    """Leaves that predict means learned linear models that nothing asked for; predictions are those of the recurrence of means."""
+    from streamtrial.operators.forest import Tree
+
+    x, y = rows(300)
+    model = ForestRegressor(3, models=3, leaf="mean", grace=20, delta=0.5)
+    seen, own = [], Tree._learned
+
+    def learned(self, node, row, target, times):
+        n, mean, bad = node.n, node.mean, node.bad_model
+        own(self, node, row, target, times)
+        for _ in range(times):
+            n += 1
+            mean += (target - mean) / n
+        seen.append((n, mean) == (node.n, node.mean) and node.bad_model == bad)
+
+    Tree._learned = learned
+    try:
+        run_rows(model, x, y)
+    finally:
+        Tree._learned = own
+    assert len(seen) > 300 and all(seen) and sum(t.splits for t in model.trees)
