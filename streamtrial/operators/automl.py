@@ -16,6 +16,7 @@ Fixed values: windows of 1,000 rows, pools of ten, ensembles of three.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 from copy import deepcopy
 from math import inf, isfinite, log, sqrt
 
@@ -33,6 +34,20 @@ DIVERGED = 1e6
 register("forest_reg", ForestRegressor, "regression")
 
 
+def alone(going: Iterator):
+    """The end of one strategy's ``going``: what it asks for is stepped learner by learner."""
+    told = None
+    while True:
+        try:
+            jobs = going.send(told)
+        except StopIteration as end:
+            return end.value
+        told, lists = [], {}
+        for model, before, after, *more in jobs:
+            before, after = (lists.setdefault(id(v), (v, v.tolist()))[1] for v in (before, after))
+            told.append(steps(model, before, after, *more))
+
+
 class Strategy:
     """What all strategies have: a counter of rows, draws of the seed, a log."""
 
@@ -48,10 +63,37 @@ class Strategy:
             self.learn(row, label)
         return out
 
+    def run(self, x: np.ndarray, y: np.ndarray) -> list:
+        """Predictions of a stream's rows, each of which is learned before the next."""
+        return alone(self.going(x, y))
+
+    def going(self, x: np.ndarray, y: np.ndarray) -> Iterator:
+        """``run`` that hands out what its learners are to do, lists of (learner and arguments of ``steps``), and is sent what they say."""
+        return self.one_by_one(x, y)
+        yield
+
     def note(self, event: str, config: Config | None = None, score: float = float("nan")) -> None:
         self.log.append((self.rows, event, config.name if config else None, float(score)))
 
 
+def bests(now: np.ndarray, best: int) -> list[int]:
+    """The best member after each row, as a loop over the members that keeps the best until one has less; ``now``: members by rows, before the first row and after each."""
+    out: list[int] = []
+    while len(out) < now.shape[1] - 1:
+        own = now[:, len(out) :]
+        turns = np.flatnonzero((own[:best, 1:] < own[best, :-1]).any(0) | (own[best + 1 :, 1:] < own[best, 1:]).any(0))
+        out += [best] * (int(turns[0]) if len(turns) else own.shape[1] - 1)
+        if len(turns):
+            top = own[best, turns[0]]
+            for i, v in enumerate(own[:, turns[0] + 1].tolist()):
+                if i == best:
+                    top = v
+                elif v < top:
+                    best, top = i, v
+            out.append(best)
+    return out
+
+
 class _Ahead:
     """What a pipeline says to the rows from ``start`` on before it learns them, and what it says after."""
 
@@ -85,14 +127,14 @@ class _Adaptive(Strategy):
         self.scores = [[0.0, 0] for _ in self.pool]  # sum and number of what is scored
         self.dead: set[int] = set()
 
-    def run(self, x: np.ndarray, y: np.ndarray) -> list:
+    def going(self, x: np.ndarray, y: np.ndarray) -> Iterator:
         """Predictions of a stream's rows, by blocks at whose last row a window may end or drift may be told."""
         x, y, out = np.asarray(x, float), np.asarray(y).tolist(), []
         target, more = self._targets(y)
         self.ahead = {id(p): _Ahead(p, 0) for p in self._members()} if self.rows else {}  # untrained ones may be twins
         while len(out) < len(y):
             at, left = len(out), self.window - self.rows % self.window
-            self._go_ahead(x, target, at, min(len(y), at + left))
+            yield from self._go_ahead(x, target, at, min(len(y), at + left))
             size = min(self.adwin.clock - self.adwin.rows % self.adwin.clock, left, len(y) - at)
             out += self._block(at, y[at : at + size], more)
         models = set()
@@ -105,7 +147,7 @@ class _Adaptive(Strategy):
     def _members(self) -> list[Pipeline]:
         return [*self.pool, *self.team]
 
-    def _go_ahead(self, x: np.ndarray, target: list, at: int, end: int) -> None:
+    def _go_ahead(self, x: np.ndarray, target: list, at: int, end: int) -> Iterator:
         """All pipelines step to ``end``. Untrained ones with equal learners have one model between them for as long as their chains show them the same rows."""
         held, models = {}, {}
         for p in self._members():
@@ -118,26 +160,29 @@ class _Adaptive(Strategy):
             held[id(p)] = own
         self.ahead = held
         lacking = [a for a in held.values() if a.end < end]
-        views, shown, owners, taken, told = {}, {}, {}, set(), {}
+        views, shown, owners, taken = {}, {}, {}, set()
         for a in lacking:
             p = a.pipeline
             if id(p.chain) not in shown:
                 before, after = p.chain.views(x[a.end : end], target[a.end : end])
                 key = a.end, before.tobytes(), after.tobytes()
                 if key not in views:
-                    views[key] = before.tolist(), after.tolist()
+                    views[key] = before, after
                 shown[id(p.chain)] = views[key]
             key = id(p.model), id(shown[id(p.chain)])
             if key not in owners:
                 owners[key] = deepcopy(p.model) if key[0] in taken else p.model
                 taken.add(key[0])
             p.model = owners[key]
+        jobs = {}
         for a in lacking:
             p = a.pipeline
-            if id(p.model) not in told:
-                then = [] if self.task == "regression" else None
-                told[id(p.model)] = steps(p.model, *shown[id(p.chain)], target[a.end : end], None, None, then), then
-            said, then = told[id(p.model)]
+            if id(p.model) not in jobs:
+                jobs[id(p.model)] = p.model, *shown[id(p.chain)], target[a.end : end], None, None, [] if self.task == "regression" else None
+        said = (yield list(jobs.values())) if jobs else []
+        told = {k: (s, job[6]) for (k, job), s in zip(jobs.items(), said)}
+        for a in lacking:
+            said, then = told[id(a.pipeline.model)]
             done = at - a.start
             a.start, a.said, a.then = at, a.said[done:] + said if a.said else said, None if then is None else a.then[done:] + then
         self._checked([said for said, _ in told.values()])
@@ -229,26 +274,24 @@ class AdaptiveClassifier(_Adaptive):
 
     def _block(self, at: int, y: list, _) -> list:
         pool, team = [self._told(p, at, len(y)) for p in self.pool], [self._told(p, at, len(y)) for p in self.team]
-        hits, out, drift, n = [[a == b for a, b in zip(s, y)] for s in pool], [], False, len(self.team)
-        for t in range(len(y)):
+        out, drift, n = [], False, len(self.team)
+        hits = np.array(pool) == np.array(y)
+        sums = np.cumsum(hits, axis=1) + np.array([[s[0]] for s in self.scores])
+        now = np.column_stack([[self._score(s) for s in self.scores], sums / (self.scores[0][1] + np.arange(1, len(y) + 1))])
+        own = bests(-now, self.best)
+        for t, (best, *said) in enumerate(zip([self.best, *own[:-1]], *team)):
             if self.mode == "best":
-                out.append(pool[self.best][t])
+                out.append(pool[best][t])
             else:
                 votes: dict[int, float] = {}
-                for i, s in enumerate(team):
-                    votes[s[t]] = votes.get(s[t], 0.0) + (i + 1) / n
+                for i, v in enumerate(said):
+                    votes[v] = votes.get(v, 0.0) + (i + 1) / n
                 out.append(max(votes, key=votes.get) if votes else 0)
-            right, best, top = hits[self.best][t], self.best, self._score(self.scores[self.best])
-            for i, (s, h) in enumerate(zip(self.scores, hits)):
-                s[0] += h[t]
-                s[1] += 1
-                now = s[0] / s[1]
-                if i == best:
-                    top = now
-                elif now > top:
-                    best, top = i, now
-            self.best = best
-            drift = self.adwin.update(float(right))
+        for best, right in zip([self.best, *own], zip(*hits.tolist())):
+            drift = self.adwin.update(float(right[best]))
+        for s, total in zip(self.scores, sums[:, -1].tolist()):
+            s[0], s[1] = total, s[1] + len(y)
+        self.best = own[-1]
         for s, own in zip(self.team_scores, team):
             s[0] += sum(a == b for a, b in zip(own, y))
             s[1] += len(y)
@@ -324,7 +367,7 @@ class AdaptiveRegressor(_Adaptive):
     implementation has it; by default once. Drift is told by the squared error of the best, from the first row on.
     """
 
-    task = "regression"
+    task, together = "regression", True
 
     def __init__(self, width: int, double: bool = False, seed: int = 0, **options):
         super().__init__(width, seed=seed, **options)
@@ -339,7 +382,7 @@ class AdaptiveRegressor(_Adaptive):
 
     @staticmethod
     def _score(score: list) -> float:
-        return (score[0] / score[1]) ** 0.5 if score[1] else 0.0
+        return sqrt(score[0] / score[1]) if score[1] else 0.0
 
     def _fell(self, now: float) -> bool:
         return self.previous is not None and now > 1.1 * self.previous
@@ -353,12 +396,12 @@ class AdaptiveRegressor(_Adaptive):
     def _said(self, x: np.ndarray, p: Pipeline) -> float:
         return float(self.views.said(x, p))
 
-    def run(self, x: np.ndarray, y: np.ndarray) -> list:
+    def going(self, x: np.ndarray, y: np.ndarray) -> Iterator:
         """By blocks from the first row on; where a pipeline diverges the stream starts anew and goes row by row."""
         if self.rows or self.double:
             return self.one_by_one(x, y)
         try:
-            return super().run(x, y)
+            return (yield from super().going(x, y))
         except _Divergence:
             self.__init__(*self.made[0], **self.made[1])
             return self.one_by_one(x, y)
@@ -375,6 +418,14 @@ class AdaptiveRegressor(_Adaptive):
             z.append(self.norm(float(v)))
         return z, norms
 
+    @staticmethod
+    def _added(score: list, said: list, goal: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+        """The sums of squared errors after each row, which ``score`` goes on from."""
+        e = goal - (np.array(said) * std + mean)
+        sums = np.cumsum(np.append(score[0], e * e))[1:]
+        score[0], score[1] = float(sums[-1]), score[1] + len(said)
+        return sums
+
     def _checked(self, said: list[list]) -> None:
         if any(not (np.abs(np.array(s)) <= DIVERGED).all() for s in said):
             raise _Divergence
@@ -382,38 +433,33 @@ class AdaptiveRegressor(_Adaptive):
     def _block(self, at: int, y: list, norms: list) -> list:
         pool, team = [self._told(p, at, len(y)) for p in self.pool], [self._told(p, at, len(y)) for p in self.team]
         chosen, norms = self._told(self.chosen, at, len(y)) if self.mode == "best" else None, norms[at : at + len(y) + 1]
-        out, scores, n, drift = [], self.scores, len(self.team), False
-        for t, target in enumerate(y):
-            mean, std = norms[t]
-            if self.mode == "best":
-                out.append(min(DIVERGED, max(-DIVERGED, chosen[t] * std + mean)))
-            else:
-                total = weight = 0.0
-                for i, s in enumerate(team):
-                    total += (i + 1) / n * (s[t] * std + mean)
-                    weight += (i + 1) / n
-                out.append(min(DIVERGED, max(-DIVERGED, total / weight)) if weight else mean)
-            mean, std = norms[t + 1]
-            best, top = self.best, self._score(scores[self.best])
-            for i, (own, s) in enumerate(zip(scores, pool)):
-                e = target - (s[t] * std + mean)
-                own[0] += e * e
-                own[1] += 1
-                now = (own[0] / own[1]) ** 0.5
-                if i == best:
-                    top = now
-                elif now < top:
-                    best, top = i, now
-            self.best = best
-            for own, s in zip(self.team_scores, team):
-                e = target - (s[t] * std + mean)
-                own[0] += e * e
-                own[1] += 1
-            a = self.ahead[id(self.pool[best])]
+        norms, goal = np.array(norms), np.array(y, dtype=float)
+        (mean, std), n = norms[:-1].T, len(self.team)
+        if self.mode == "best":
+            out = np.array(chosen) * std + mean
+        else:
+            out, weight = np.zeros(len(y)), 0.0
+            for i, s in enumerate(team):
+                out += (i + 1) / n * (np.array(s) * std + mean)
+                weight += (i + 1) / n
+            out = out / weight if weight else mean
+        if self.mode == "best" or weight:
+            out = np.minimum(DIVERGED, np.maximum(-DIVERGED, out))
+        mean, std = norms[1:].T
+        before = [self._score(s) for s in self.scores]
+        sums = [self._added(s, own, goal, mean, std) for s, own in zip(self.scores, pool)]
+        now = np.column_stack([before, np.sqrt(np.array(sums) / (self.scores[0][1] - len(y) + np.arange(1, len(y) + 1)))])
+        for s, own in zip(self.team_scores, team):
+            self._added(s, own, goal, mean, std)
+        own, ahead = bests(now, self.best), [self.ahead[id(p)] for p in self.pool]
+        self.best, drift = own[-1], False
+        for t, (best, target, (mean, std)) in enumerate(zip(own, y, norms[1:].tolist())):
+            a = ahead[best]
             s = a.then[at + t - a.start]
             s = float(s() if callable(s) else s)
             s = min(DIVERGED, max(-DIVERGED, s)) if isfinite(s) else 0.0
             drift = self.adwin.update(min(square(target - (s * std + mean)), 1e10))
+        out = out.tolist()
         self.rows += len(y)
         if drift:
             self.chosen = self.pool[self.best]
@@ -500,7 +546,7 @@ class _Evolving(Strategy):
         self.team[worst], self.scores[worst] = self._child(self.team[best]), [0.0, 0]
         self.note("mutated", self.team[worst].config, fitness[best])
 
-    def run(self, x: np.ndarray, y: np.ndarray) -> list:
+    def going(self, x: np.ndarray, y: np.ndarray) -> Iterator:
         """Predictions of a stream's rows, by windows: the first row of one is predicted before the mutation."""
         x, y, out = np.asarray(x, float), np.asarray(y).tolist(), []
         while len(out) < len(y):
@@ -510,13 +556,11 @@ class _Evolving(Strategy):
             if self.rows and self.rows % self.window == 0:
                 first = [self.predict(rows[0].tolist())]
                 self._mutated()
-            said, shares = [], []
             times = self.dice.poissons(self.rate, len(rows) * len(self.team)).reshape(len(rows), -1)
-            for p, s, own in zip(self.team, self.scores, times.T):
-                likely = [] if self.task == "classification" else None
-                said.append(p.steps(rows, target, own, likely))
-                shares.append(likely)
-                for a, b in zip(said[-1], target):
+            shares = [[] if self.task == "classification" else None for _ in self.team]
+            said = yield [p.asked(rows, target, own, likely) for p, own, likely in zip(self.team, times.T, shares)]
+            for s, own in zip(self.scores, said):
+                for a, b in zip(own, target):
                     s[0] += self._gain(a, b)
                 s[1] += len(rows)
             votes = [self._vote(v) for v in zip(*(shares if self.task == "classification" else said))]
@@ -602,14 +646,14 @@ class GeneticClassifier(Strategy):
     def predict(self, x: np.ndarray) -> int:
         return self.team[self.best].predict(x)
 
-    def run(self, x: np.ndarray, y: np.ndarray) -> list:
+    def going(self, x: np.ndarray, y: np.ndarray) -> Iterator:
         """Predictions of a stream's rows, by windows."""
         x, y, out = np.asarray(x, float), np.asarray(y).tolist(), []
         while len(out) < len(y):
             at, size = len(out), self.window - self.rows % self.window
             rows, target = x[at : at + size], y[at : at + size]
             times = self.dice.poissons(self.rate, len(rows) * len(self.team)).reshape(len(rows), -1)
-            said = [p.steps(rows, target, own) for p, own in zip(self.team, times.T)]
+            said = yield [p.asked(rows, target, own) for p, own in zip(self.team, times.T)]
             scores = self.scores
             for t, label in enumerate(target):
                 out.append(said[self.best][t])

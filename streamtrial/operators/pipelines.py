@@ -413,9 +413,14 @@ class Pipeline:
                 self.model.learn(self.chain.learn(x, y), y)
 
 
+    def asked(self, x: np.ndarray, y: list, times: np.ndarray | None = None, shares: list | None = None) -> tuple:
+        """The learner and the arguments of ``steps``, rows as arrays, for rows that are learned one after the other, each ``times`` times; its chain is its own."""
+        return self.model, *self.chain.views(x, y, times), y, None if times is None else times.tolist(), shares, None
+
     def steps(self, x: np.ndarray, y: list, times: np.ndarray | None = None, shares: list | None = None) -> list:
-        """Predictions for rows that are learned one after the other, each ``times`` times; its chain is its own."""
-        return steps(self.model, *self.chain.block(x, y, times), y, None if times is None else times.tolist(), shares)
+        """Predictions for rows as ``asked``."""
+        model, before, after, *more = self.asked(x, y, times, shares)
+        return steps(model, before.tolist(), after.tolist(), *more)
 
 
 def pipelines(configs: list[Config], width: int) -> list[Pipeline]:
