@@ -702,14 +702,19 @@ class GeneticClassifier(Strategy):
 def held_out(x: np.ndarray, y: np.ndarray, configs: list[Config], width: int, share: float = 0.8) -> tuple[list[float], list[Pipeline]]:
     """Accuracies of the configurations on the rows after the first ``share``, from which nothing is learned; and the trained pipelines."""
     split = max(1, int(len(x) * share))
-    team = pipelines(configs, width)
-    views = Views()
-    x, y = x.tolist(), y.tolist()
-    for row, label in zip(x[:split], y[:split]):
-        for p in team:
-            p.model.learn(views.learned(row, label, p), label)
-        views.done()
-    scores = [sum(p.predict(x[i]) == y[i] for i in range(split, len(x))) / (len(x) - split) if split < len(x) else 0.0 for p in team]
+    team, rest, y = pipelines(configs, width), x[split:].tolist(), np.asarray(y).tolist()
+    shown, scores = {}, []
+    for p in team:
+        if (key := id(p.chain)) not in shown:
+            after = p.chain.views(np.asarray(x[:split], float), y[:split])[1].tolist()
+            shown[key] = after, [p.chain(row) for row in rest]
+        after, later = shown[key]
+        learn = p.model.learn
+        for row, label in zip(after, y):
+            learn(row, label)
+        every = getattr(p.model, "predict_all", None)
+        said = every(later) if every and later else map(p.model.predict, later)
+        scores.append(sum(a == b for a, b in zip(said, y[split:])) / len(later) if later else 0.0)
     return scores, team
 
 

@@ -118,3 +118,23 @@ def test_the_best_after_each_row_is_that_of_the_loop():
                     own, top = i, v
             want.append(own)
         assert automl.bests(now, best) == want
+
+
+def test_members_of_a_holdout_search_share_a_group(spark, monkeypatch):
+    """Each member had a group of its own for every stream: 18 groups here, and as many copies of the rows."""
+    from streamtrial.plans import search
+
+    x, y = rows(90, classes=True)
+    df = spark.createDataFrame([("s" if i < 60 else "t" if i < 87 else "u", i, x[i].tolist(), int(y[i])) for i in range(90)], "stream_id string, seq long, x array<double>, y int")
+    board = search.holdout_search(df, budget=6, seed=1)
+    assert "Generate" not in board._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.stream_id, r.member): (r.score, r.best) for r in board.collect()}
+    assert {s for s, _ in got} == {"s", "t"} and len(got) == 12
+    for s, a, b in (("s", 0, 60), ("t", 60, 87)):
+        want = []
+        for config in search.holdout_configs(6, 1):
+            p, split = automl.Pipeline(config, 3), a + int((b - a) * 0.8)
+            for i in range(a, split):
+                p.learn(x[i], int(y[i]))
+            want.append(sum(p.predict(x[i]) == y[i] for i in range(split, b)) / (b - split))
+        assert [got[s, m] for m in range(6)] == [(v, m == int(np.argmax(want))) for m, v in enumerate(want)]
