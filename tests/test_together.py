@@ -138,3 +138,22 @@ def test_members_of_a_holdout_search_share_a_group(spark, monkeypatch):
                 p.learn(x[i], int(y[i]))
             want.append(sum(p.predict(x[i]) == y[i] for i in range(split, b)) / (b - split))
         assert [got[s, m] for m in range(6)] == [(v, m == int(np.argmax(want))) for m, v in enumerate(want)]
+
+
+def test_splits_of_many_leaves_are_those_of_each():
+    """A block scored its leaves one by one, and read the whole tree from lists for every block."""
+    from streamtrial.operators import tree_growth, trees
+
+    rng = np.random.default_rng(2)
+    n = np.floor(rng.uniform(0, 200, (40, 3))) * (rng.random((40, 3)) > 0.2)
+    n[:, 1] += 2
+    mean, std = rng.normal(0, 1, (40, 3, 4)) * (n > 0)[..., None], rng.uniform(0, 1, (40, 3, 4)) * (n > 1)[..., None]
+    for criterion, delta in (("info_gain", 0.5), ("gini", 0.9), ("info_gain", 1e-7)):
+        want = [trees.best_split(a[a > 0], m[a > 0], s[a > 0], 3, delta, 0.05, criterion) for a, m, s in zip(n, mean, std)]
+        assert trees.best_splits(n, mean, std, 3, delta, 0.05, criterion) == want
+    tree = tree_growth.Tree()
+    for _ in range(70):
+        leaf = int(rng.choice([i for i, f in enumerate(tree.feature) if f < 0]))
+        tree.split(leaf, int(rng.integers(4)), float(rng.random()))
+        for own, column in zip(tree.arrays(), (tree.feature, tree.threshold, tree.left, tree.right)):
+            assert own[: len(column)].tolist() == column
